@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veriskill.llm.common import Powers, arrow_stage, mix, written
 
 WIDTH, GRAM = 400, 32
-SLICE = 1 << 22  # bytes of texts looked at together; longer texts are cut with an overlap
+SLICE = 1 << 18  # bytes of texts looked at together; longer texts are cut with an overlap
 BLOCK = 3 << 20  # bytes of suffix text that are sorted together
 HUGE = 50_000  # occurrences from which on a bucket is told apart by hash
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)  # every difference modulo 16 is one of two elements of the cover
@@ -50,9 +50,11 @@ def _group_runs(group: list[tuple[int, int, bytes]], width: int, powers: Powers)
     begin = np.cumsum(size) - size
     prefix = powers.prefix(data)
     gram = min(GRAM, width // 2)
-    at = np.arange(len(data) - gram + 1)
-    hashes = powers.span(prefix, at, at + gram)
-    least = (hashes & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)  # ties: the leftmost
+    grams = prefix[gram:] - prefix[: len(prefix) - gram]
+    grams *= powers.down[: len(grams)]
+    least = grams * np.uint64(0xBF58476D1CE4E5B9)
+    least &= ~np.uint64(0xFFFFFF)
+    least |= np.arange(len(least), dtype=np.uint64)  # ties: the leftmost
     reach, window = 1, width - gram + 1
     while reach * 2 <= window:
         least = np.minimum(least[: len(least) - reach], least[reach:])
@@ -66,7 +68,7 @@ def _group_runs(group: list[tuple[int, int, bytes]], width: int, powers: Powers)
     first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (own[1:] != own[:-1])]))
     length = np.diff(np.concatenate([first, [len(starts)]]))
     number, offset = np.array([k for k, _, _ in group]), np.array([a for _, a, _ in group])
-    return number[own[first]], starts[first] - begin[own[first]] + offset[own[first]], length, where[first] - starts[first], mix(hashes[where[first]]).view(np.int64)
+    return number[own[first]], starts[first] - begin[own[first]] + offset[own[first]], length, where[first] - starts[first], mix(grams[where[first]]).view(np.int64)
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:

@@ -47,25 +47,37 @@ class WordCachedTokenizer:
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.memo: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}  # pre-token -> its place in the pool
+        self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        model, letters = self.tokenizer.model, self.letters
+        ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+        self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.pool = np.concatenate([self.pool, np.array([x for i in ids for x in i], np.uint32)])
+        self.size = np.concatenate([self.size, np.array([len(i) for i in ids], np.int64)])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        memo, model, letters = self.memo, self.tokenizer.model, self.letters
-        if len(memo) > CACHE:
-            memo.clear()
-        out = []
-        for text in texts:
-            ids: list[int] = []
-            if text and any(s in text for s in self.special):
-                ids = list(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            elif text:
-                for w in self.find(text):
-                    got = memo.get(w)
-                    if got is None:
-                        got = memo[w] = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))]
-                    ids += got
-            ids.append(END)
-            out.append(np.array(ids, np.uint32))
+        parts = [[] if not t or any(s in t for s in self.special) else self.find(t) for t in texts]
+        new = set().union(*parts) - self.memo.keys()
+        if len(self.memo) + len(new) > CACHE:
+            self.forget()
+            new = set().union(*parts)
+        self.learn(list(new))
+        get = self.memo.__getitem__
+        word = np.fromiter((k for p in parts for k in map(get, p)), np.int64, sum(map(len, parts)))
+        n = self.size[word]
+        begin = (np.cumsum(self.size) - self.size)[word]
+        flat = self.pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])].tolist()
+        end = np.array([END], np.uint32)
+        out = [np.concatenate([flat[a:b], end]) for a, b in zip(ends, ends[1:])]
+        for k, t in enumerate(texts):
+            if t and not parts[k]:  # holds the text of a special token
+                out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32)
         return out
 
 

@@ -63,6 +63,9 @@ class Grammar:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(PATTERNS)))
     bias: float = -2.0
 
+    def __post_init__(self) -> None:
+        self.patterns = self.matcher()
+
     def lexicon(self, token: str) -> tuple[int, float]:
         weight = self.words.get(token)
         if weight is None:
@@ -77,8 +80,11 @@ class Grammar:
     def clauses(self, text: str | None, memo: dict[str, tuple[int, float]]) -> np.ndarray:
         """For each pattern, the summed weight of the clauses that match it."""
         out = np.zeros(len(PATTERNS))
+        lowered = (text or "").lower()
+        if not any(w in lowered and p.search(lowered) for w, p in self.patterns):
+            return out  # a clause matches only where an insult or a threat stands in it
         state, weight = 0, 0.0
-        for token in TOKEN.findall((text or "").lower()):
+        for token in TOKEN.findall(lowered):
             if token in STOP:
                 if state and (p := pattern_of(state)) is not None:
                     out[p] += weight
@@ -97,6 +103,11 @@ class Grammar:
             out[p] += weight
         return out
 
+    def matcher(self) -> list[tuple[str, re.Pattern[str]]]:
+        """Each insult and threat with the pattern by which it stands as a token, or begins one."""
+        edge = "(?![^\\W_])"
+        return [(w, re.compile(f"(?<![^\\W_]){re.escape(w)}{end}")) for forms, end in ((self.words, edge), (THREAT, edge), (self.stems, "")) for w in sorted(forms)]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(np.log1p(x) @ self.weights + self.bias, -30, 30)))
 
