@@ -71,6 +71,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random-looking value for each byte.
+BYTE = mix(np.arange(256, dtype=np.uint64) + _ODD)
+
+
 class Powers:
     """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
 
@@ -86,8 +90,9 @@ class Powers:
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums of which `span` makes hashes of any stretch of `data` (uint8)."""
         self.to(len(data) + 1)
-        values = mix(data.astype(np.uint64) + _ODD)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.up[: len(data)])])
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE[data] * self.up[: len(data)], out=out[1:])
+        return out
 
     def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(np.uint64) * _ODD)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import LOWER, Powers, arrow_stage, components, mix, word_bounds, written
+from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths_to_list, mix, word_bounds, written
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
@@ -32,8 +32,9 @@ def shingle_set(text: str | None, number: int, powers: Powers) -> np.ndarray:
     size = min(number, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
-        out = mix(out * np.uint64(3) + words[k : k + len(out)])
-    return np.unique(out)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(out)]
+    out = np.sort(mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 class Fragments:
@@ -46,7 +47,7 @@ class Fragments:
     """
 
     def __init__(self, least: int, top: int = 1 << 40):
-        self.bounds, self.plan = [1], []
+        self.bounds, self.plan, self.known = [1], [], {}
         while self.bounds[-1] < top:
             self.bounds.append(self.bounds[-1] * 100 // least + 1)
         grid, g = [1], 1
@@ -70,45 +71,46 @@ class Fragments:
         for count, spare in {self.plan[k], self.plan[max(0, k - 1)]}:
             least_spare[count] = min(spare, least_spare.get(count, spare))
         out = []
+        running = np.zeros(n + 1, np.uint64)
+        np.cumsum(hashes * np.uint64(0x9E3779B97F4A7C15), out=running[1:])
         for count, spare in least_spare.items():
-            part = (mix(hashes) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
-            sums = np.zeros(count, np.uint64)
-            np.add.at(sums, part.astype(np.int64), hashes * np.uint64(0x9E3779B97F4A7C15))
-            filled = np.bincount(part.astype(np.int64), minlength=count)
+            cut = np.concatenate([[0], np.searchsorted(hashes, self.edges(count)), [n]])
+            filled = np.diff(cut)
             use = np.flatnonzero(filled) if count - np.count_nonzero(filled) <= spare else np.arange(count)
-            out.append(mix(mix(sums[use] + filled[use].astype(np.uint64)) + np.uint64(count * 0x2545F4914F6CDD1D % (1 << 64)) + use.astype(np.uint64)))
+            sums = running[cut[use + 1]] - running[cut[use]] + filled[use].astype(np.uint64)
+            out.append(mix(mix(sums) + np.uint64(count * 0x2545F4914F6CDD1D % (1 << 64)) + use.astype(np.uint64)))
         return np.concatenate(out)
 
+    def edges(self, count: int) -> np.ndarray:
+        if count not in self.known:
+            self.known[count] = np.array([(k << 64) // count for k in range(1, count)], np.uint64)
+        return self.known[count]
+
 
 def _set_id(hashes: np.ndarray) -> int:
     """A signed 64-bit name of the set; 0 only for the empty one."""
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) or 1 if len(hashes) else 0
 
 
-def _sets(docs: DataFrame, number: int) -> DataFrame:
-    def each(batch: pa.RecordBatch) -> dict[str, object]:
-        powers = Powers()
-        sets = [shingle_set(t, number, powers) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "node": [_set_id(s) for s in sets]}
-
-    return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint")
-
-
-def _postings(docs: DataFrame, number: int, least: int) -> DataFrame:
-    """(sig, node) for every set, each set once for a batch."""
+def _sets(docs: DataFrame, number: int, least: int) -> DataFrame:
+    """(doc_id, n_shingles, node, sigs) for every row; a batch's repeated set has its signatures once."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        powers, cut, seen, sigs, nodes = Powers(), Fragments(least), set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        powers, cut, seen = Powers(), Fragments(least), set()
+        sizes, nodes, sigs, counts = [], [], [np.zeros(0, np.uint64)], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(text, number, powers)
             node = _set_id(s)
-            if node and node not in seen:
+            sizes.append(len(s))
+            nodes.append(node)
+            new = node and node not in seen
+            if new:
                 seen.add(node)
                 sigs.append(cut.signatures(s))
-                nodes.append(np.full(len(sigs[-1]), node, np.int64))
-        return {"sig": pa.array(np.concatenate(sigs).view(np.int64)), "node": pa.array(np.concatenate(nodes))}
+            counts.append(len(sigs[-1]) if new else 0)
+        return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "sigs": lengths_to_list(np.concatenate(sigs).view(np.int64), counts, pa.int64())}
 
-    return arrow_stage(docs.select("text"), each, "sig bigint, node bigint")
+    return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, sigs array<bigint>")
 
 
 def _tokens(docs: DataFrame, number: int) -> DataFrame:
@@ -152,9 +154,10 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     own kind. Other columns are dropped; an empty table gives an empty frame.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = written(_sets(docs, number), "sets")
+    signed = written(_sets(docs, number, least), "sets")
+    sets = signed.drop("sigs")
     nodes = written(sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
-    postings = _postings(docs, number, least)
+    postings = signed.select(F.explode("sigs").alias("sig"), "node")
     shared = postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
     bucket = written(postings.join(shared, "sig").distinct(), "buckets")
 
