@@ -129,25 +129,27 @@ def _tokens(docs: DataFrame, number: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(stage, "node bigint, part int, hashes array<bigint>")
 
 
-def _linked(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """Those of `pairs` (a, b) whose sets are linked; overlaps are counted fragment by fragment and summed."""
+def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared, united) of those pairs whose sizes allow a link; overlaps are counted by fragment and summed."""
     na, nb = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
     near = pairs.join(na, "a").join(nb, "b").where(100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
     ta, tb = (tokens.select(F.col("node").alias(c), "part", F.col("hashes").alias(f"h{c}")) for c in "ab")
     counted = near.join(ta, "a").join(tb, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c"))
     each = F.expr(f"sum(c) * {OVERLAP_PARTS} div count(*)")  # repeated rows repeat every part of a set alike
-    both = counted.groupBy("a", "b", "na", "nb").agg(each.alias("c"))
-    return both.where(100 * F.col("c") >= least * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    both = counted.groupBy("a", "b", "na", "nb").agg(each.alias("shared"))
+    return both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("united"))
 
 
-def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 3) -> DataFrame:
+def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable over links) for every row of `docs`.
 
-    Rows with equal sets are one node. Within a bucket of equal fragments every node is first compared with the least
-    one only; nodes that are now in its component need no further comparison with each other, the rest start again
-    with a least one of their own. After `star_rounds` rounds all pairs of a bucket that still lie in different
-    components are compared, those of its largest component with the others only. So a group of copies costs a number
-    of pairs in proportion to its size, and no link that could join two components is left out.
+    Rows with equal sets are one node. Within a bucket of equal fragments every node is first compared with one head
+    only, the node that meets most others over all its buckets, which among near copies is their common original;
+    those now in its component need no comparison with each other, the rest start again with a head of their own.
+    After `star_rounds` rounds the nodes outside a bucket's largest component are compared with all of the bucket's
+    nodes in other components, but for pairs that the distances to the bucket's first head already rule out (the
+    Jaccard distance is a metric). So a group of copies costs pairs in proportion to its size, and no link that could
+    join two components is left out.
 
     Null, empty and wordless texts have no shingles and stay alone, each row under its own doc_id. Fewer words than
     `number` make one shingle of all. Repeated rows are all kept; a null doc_id is least only in a component of its
@@ -159,37 +161,49 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     nodes = written(sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
     postings = signed.select(F.explode("sigs").alias("sig"), "node")
     shared = postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    bucket = written(postings.join(shared, "sig").distinct(), "buckets")
+    met = written(postings.join(shared, "sig").distinct(), "buckets")
+    degree = met.join(met.groupBy("sig").count(), "sig").groupBy("node").agg(F.sum("count").alias("degree"))
+    about = written(degree.join(nodes, "node"), "about")  # node, degree, doc_id, n
 
-    wanted = bucket.select("node").distinct().join(nodes, "node")
-    owner = wanted.select(F.col("doc_id").alias("owner"), "node")
+    owner = about.select(F.col("doc_id").alias("owner"), "node")
     tokens = written(_tokens(docs.join(owner, F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
-
-    label = nodes.select("node", F.col("node").alias("comp"))
-    edges, tried, left = None, None, bucket
-    for turn in range(star_rounds + 1):
+    bucket = written(met.join(about.select("node", "degree", "n"), "node"), "buckets")
+
+    head_of = lambda rows: rows.groupBy("sig").agg(F.max(F.struct("degree", "node", *(["comp"] if "comp" in rows.columns else []))).alias("h"))
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    label = about.select("node", F.col("node").alias("comp"))
+    found, left = None, bucket
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Adds what is not compared yet, and labels the components anew."""
+        nonlocal found, label
+        new = pairs.distinct() if found is None else pairs.distinct().join(found, ["a", "b"], "left_anti")
+        new = written(_compared(new, tokens, about, least), "compared")
+        found = new if found is None else found.unionByName(new)
+        comp = components(found.where(100 * F.col("shared") >= least * F.col("united")))
+        label = about.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+    for turn in range(star_rounds):
+        member = left.join(label, "node")
+        head = head_of(member).select("sig", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
+        compare(member.join(head, "sig").where("comp <> head_comp").select(*ordered("head", "node")))
         member = left.join(label, "node")
-        if turn < star_rounds:
-            head = member.groupBy("sig").agg(F.min(F.struct("node", "comp")).alias("h")).select("sig", "h.*").toDF("sig", "head", "head_comp")
-            pairs = member.join(head, "sig").where("comp <> head_comp").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        else:
-            counts = member.groupBy("sig", "comp").count()
-            main = counts.groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("m.comp").alias("main"))
-            minor = member.join(main, "sig").where("comp <> main").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            pairs = minor.join(member, "sig").where("comp <> cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        pairs = pairs.distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(_linked(pairs, tokens, nodes, least), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        comp = components(edges)
-        label = nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        if turn < star_rounds:
-            member = left.join(label, "node")
-            head = member.groupBy("sig").agg(F.min(F.struct("node", "comp")).alias("h")).select("sig", F.col("h.comp").alias("hc"))
-            left = written(member.join(head, "sig").where("comp <> hc").select("sig", "node"), "left") if turn < star_rounds - 1 else bucket
-
-    label = written(label, "classes")
-    least_id = label.join(nodes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        head = head_of(member).select("sig", F.col("h.comp").alias("head_comp"))
+        left = written(member.join(head, "sig").where("comp <> head_comp").select(left.columns), "left")
+
+    member = bucket.join(label, "node")
+    main = member.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("m.comp").alias("main"))
+    mixed = member.join(main, "sig").join(head_of(bucket).select("sig", F.col("h.node").alias("head")), "sig").select("sig", "node", "comp", "n", "main", "head", *ordered("head", "node"))
+    if found is None:
+        mixed = mixed.withColumn("d", F.lit(None).cast("double"))
+    else:
+        mixed = mixed.join(found.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d")), ["a", "b"], "left")
+    mixed = written(mixed.select("sig", "node", "comp", "n", "main", F.when(F.col("head") == F.col("node"), 0.0).otherwise(F.col("d")).alias("d")), "mixed")
+    minor = mixed.where("comp <> main").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("d").alias("dx"))
+    could = (F.col("comp") != F.col("cx")) & (100 * F.least("n", "nx") >= least * F.greatest("n", "nx")) & F.coalesce(F.abs(F.col("d") - F.col("dx")) <= 1 - least / 100 + 1e-9, F.lit(True))
+    compare(minor.join(mixed, "sig").where(could).select(*ordered("x", "node")))
+
+    label = written(nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), "classes")
+    least_id = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     placed = label.join(least_id, "comp").select("node", "component_id")
     return sets.join(placed, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
