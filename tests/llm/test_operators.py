@@ -156,14 +156,30 @@ def test_ngram_join(spark, sf):
     rows = rows + [(1000 + k, t) for k, t in enumerate(variants() + ODD)]
     df = frame(spark, []).unionByName(spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.lit(1).cast("bigint")}))
     want = brute.jaccard(rows)
-    for rounds in (3, 0, 1):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(df.repartition(3), star_rounds=rounds).collect()}
-        assert got == want
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(df.repartition(3)).collect()}
+    assert got == want
     assert ngram_join.jaccard_join(df.limit(0)).count() == 0
     again = df.limit(3).unionByName(df.limit(3)).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))
     assert ngram_join.jaccard_join(again).count() == 7
 
 
+def test_ngram_join_of_one_large_group(spark):
+    """Copies of one text with edits at, over and under the threshold, some of them edited further."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, texts = [word() for _ in range(150)], []
+    while len(texts) < 250:
+        w = list(base) if not texts or rng.random() < 0.6 else rng.choice(texts).split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    for least in (90, 80):
+        want = brute.jaccard(list(enumerate(texts)), least)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(frame(spark, texts), least=least).collect()}
+        assert got == want
+        assert least == 80 or len({c for _, c in want.values()}) > 1
+
+
 def test_fragment_signatures_meet():
     """Sets at the threshold always have a signature in common."""
     rng, cut = np.random.default_rng(3), ngram_join.Fragments(90)

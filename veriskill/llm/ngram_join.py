@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths_to_list, mix, word_bounds, written
@@ -140,16 +140,37 @@ def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int)
     return both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("united"))
 
 
-def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_id: str = "doc_id", text: str = "text", star_rounds: int = 4) -> DataFrame:
+def _apart(star: DataFrame, label: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes with one head, in different components, that may be linked; one at least not with the head."""
+    of = star.join(label, "node").join(label.select(F.col("node").alias("head"), F.col("comp").alias("head_comp")), "head").withColumn("out", F.col("comp") != F.col("head_comp"))
+    live = written(of.where("out").select("head").distinct(), "heads")
+    of = of.join(live, "head").join(sizes.select("node", "n"), "node").select("head", "node", "comp", "out", "n")
+    own, base = tokens.select("node", "part", F.col("hashes").alias("own")), tokens.select(F.col("node").alias("head"), "part", F.col("hashes").alias("base"))
+    differing = F.array_union(F.array_except("own", "base"), F.array_except("base", "own"))
+    rows = of.join(own, "node").join(base, ["head", "part"]).select("head", "node", "comp", "out", "n", F.explode(differing).alias("token")).distinct()
+    rows = written(rows, "differences")
+    often = rows.groupBy("head", "token").agg(F.count("*").alias("freq"))
+    mine = Window.partitionBy("head", "node")
+    ranked = rows.join(often, ["head", "token"]).withColumns({"pos": F.row_number().over(mine.orderBy("freq", "token")), "size": F.count("*").over(mine)}).where("freq > 1").drop("freq")
+    ranked = written(ranked, "ranked")
+    x, y = (ranked.select("head", "token", *(F.col(c).alias(c + k) for c in ("node", "comp", "out", "n", "size", "pos"))) for k in "xy")
+    most = F.floor((100 - least) * (F.col("nx") + F.col("ny")) / (100 + least))  # shingles in which linked sets may differ
+    common = F.greatest(F.lit(1), F.ceil((F.col("sizex") + F.col("sizey") - most) / 2))
+    able = (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy")) & (F.col("outx") | F.col("outy")) & (100 * F.least("nx", "ny") >= least * F.greatest("nx", "ny"))
+    able = able & (F.col("posx") <= F.col("sizex") - common + 1) & (F.col("posy") <= F.col("sizey") - common + 1)
+    return x.join(y, ["head", "token"]).where(able).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+
+
+def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable over links) for every row of `docs`.
 
-    Rows with equal sets are one node. Within a bucket of equal fragments every node is first compared with one head
-    only, the node that meets most others over all its buckets, which among near copies is their common original;
-    those now in its component need no comparison with each other, the rest start again with a head of their own.
-    After `star_rounds` rounds the nodes outside a bucket's largest component are compared with all of the bucket's
-    nodes in other components, but for pairs that the distances to the bucket's first head already rule out (the
-    Jaccard distance is a metric). So a group of copies costs pairs in proportion to its size, and no link that could
-    join two components is left out.
+    Rows with equal sets are one node. Within a bucket of equal fragments every node is compared with one head only,
+    the node that meets most others over all its buckets, which among near copies is their common original. Where a
+    node is not linked with its head, any set that it is linked with and that has the same head differs from the head
+    in some of the same shingles (two sets that differ from it in disjoint shingles are as far apart as both
+    differences together). So the remaining candidates come from an equi-join over these few differing shingles, the
+    rarest first and no more of them than the least common number leaves. A group of copies thus costs pairs in
+    proportion to its size, and no link that could join two components is left out.
 
     Null, empty and wordless texts have no shingles and stay alone, each row under its own doc_id. Fewer words than
     `number` make one shingle of all. Repeated rows are all kept; a null doc_id is least only in a component of its
@@ -160,7 +181,7 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     sets = signed.drop("sigs")
     nodes = written(sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
     postings = signed.select(F.explode("sigs").alias("sig"), "node")
-    shared = postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
+    shared = written(postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")  # written: a plain join, whose skew can be split
     met = written(postings.join(shared, "sig").distinct(), "buckets")
     degree = met.join(met.groupBy("sig").count(), "sig").groupBy("node").agg(F.sum("count").alias("degree"))
     about = written(degree.join(nodes, "node"), "about")  # node, degree, doc_id, n
@@ -169,39 +190,20 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     tokens = written(_tokens(docs.join(owner, F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
     bucket = written(met.join(about.select("node", "degree", "n"), "node"), "buckets")
 
-    head_of = lambda rows: rows.groupBy("sig").agg(F.max(F.struct("degree", "node", *(["comp"] if "comp" in rows.columns else []))).alias("h"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    label = about.select("node", F.col("node").alias("comp"))
-    found, left = None, bucket
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Adds what is not compared yet, and labels the components anew."""
-        nonlocal found, label
-        new = pairs.distinct() if found is None else pairs.distinct().join(found, ["a", "b"], "left_anti")
-        new = written(_compared(new, tokens, about, least), "compared")
-        found = new if found is None else found.unionByName(new)
-        comp = components(found.where(100 * F.col("shared") >= least * F.col("united")))
-        label = about.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-
-    for turn in range(star_rounds):
-        member = left.join(label, "node")
-        head = head_of(member).select("sig", F.col("h.node").alias("head"), F.col("h.comp").alias("head_comp"))
-        compare(member.join(head, "sig").where("comp <> head_comp").select(*ordered("head", "node")))
-        member = left.join(label, "node")
-        head = head_of(member).select("sig", F.col("h.comp").alias("head_comp"))
-        left = written(member.join(head, "sig").where("comp <> head_comp").select(left.columns), "left")
-
-    member = bucket.join(label, "node")
-    main = member.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("m.comp").alias("main"))
-    mixed = member.join(main, "sig").join(head_of(bucket).select("sig", F.col("h.node").alias("head")), "sig").select("sig", "node", "comp", "n", "main", "head", *ordered("head", "node"))
-    if found is None:
-        mixed = mixed.withColumn("d", F.lit(None).cast("double"))
-    else:
-        mixed = mixed.join(found.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d")), ["a", "b"], "left")
-    mixed = written(mixed.select("sig", "node", "comp", "n", "main", F.when(F.col("head") == F.col("node"), 0.0).otherwise(F.col("d")).alias("d")), "mixed")
-    minor = mixed.where("comp <> main").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-    could = (F.col("comp") != F.col("cx")) & (100 * F.least("n", "nx") >= least * F.greatest("n", "nx")) & F.coalesce(F.abs(F.col("d") - F.col("dx")) <= 1 - least / 100 + 1e-9, F.lit(True))
-    compare(minor.join(mixed, "sig").where(could).select(*ordered("x", "node")))
+    head = bucket.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("h")).select("sig", F.col("h.node").alias("head"))
+    star = written(bucket.join(head, "sig").where("node <> head").select("head", "node").distinct(), "stars")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return written(_compared(pairs, tokens, about, least), "compared").where(100 * F.col("shared") >= least * F.col("united")).select("a", "b")
+
+    def labels(links: DataFrame) -> DataFrame:
+        return about.select("node").join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+
+    links = compared(star.select(*ordered("head", "node")).distinct())
+    label = labels(links)
+    links = links.unionByName(compared(_apart(star, label, tokens, about, least)))
+    label = labels(links)
 
     label = written(nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), "classes")
     least_id = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
