@@ -235,7 +235,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
         return {"rid": pa.array(rid[number]), "at": pa.array(at), "starts": pa.array(starts.astype(np.int32)), "lead": pa.array(lead.astype(np.int32)), "anchor": pa.array(anchor)}
 
     seen = written(arrow_stage(docs.where(F.octet_length("text") >= width).select("rid", "text"), runs, "rid bigint, at bigint, starts int, lead int, anchor bigint"), "anchors")
-    often = seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    often = written(seen.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")  # written: a plain join, whose skew can be split
     both = written(seen.join(often, "anchor").withColumn("huge", F.col("n") >= huge).drop("n"), "candidates")
     grouped = lambda rows: rows.groupBy("rid").agg(F.collect_set(F.struct("at", "starts", "lead", "anchor")).alias("runs"))
     spans = _sorted_blocks(_contents(docs, grouped(both.where("not huge")), width), width)
