@@ -79,11 +79,13 @@ pairs AS (SELECT f.model_name, f.forecast_hour, f.latitude, f.longitude, f.mean_
   FROM fc f JOIN obs_mean o ON o.latitude = f.latitude AND o.longitude = f.longitude AND o.obs_time <= f.initialization_time + f.forecast_hour * INTERVAL 1 HOUR AND o.obs_time > f.initialization_time + (f.forecast_hour - f.accum_h) * INTERVAL 1 HOUR GROUP BY ALL)"""
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, six: tuple[str, ...] = ()):
+    """Registers a query; the columns `six`, raw means otherwise, are rounded to six places on both sides."""
+
     def add(f: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Frames(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(Frames(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in six})
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in six)}) FROM ({sql})" if six else sql
         return f
 
     return add
@@ -168,7 +170,7 @@ def _health(f: Frames) -> DataFrame:
 # -- filters and scalar functions ------------------------------------------------------------------------------------
 
 
-@query("flt01_bbox", f"{C.SQL} SELECT * EXCLUDE (min_value, max_value, percentile_25, percentile_50, percentile_75) FROM ensemble_statistics WHERE latitude BETWEEN 25.5 AND 26 AND longitude BETWEEN -85 AND -84.5 AND mean_value IS NOT NULL")
+@query("flt01_bbox", f"{C.SQL} SELECT * EXCLUDE (min_value, max_value, percentile_25, percentile_50, percentile_75) FROM ensemble_statistics WHERE latitude BETWEEN 25.5 AND 26 AND longitude BETWEEN -85 AND -84.5 AND mean_value IS NOT NULL", six=('mean_value', 'std_dev'))
 def _bbox(f: Frames) -> DataFrame:
     return f.stats.where(J.in_box(F.col("latitude"), F.col("longitude"), 25.5, 26.0, -85.0, -84.5) & F.col("mean_value").isNotNull())
 
@@ -199,7 +201,7 @@ def member_field(f: Frames, member: str, run_id: int = 1, variable_id: int = 1,
 
 
 for _m, _sql in (("mean", "coalesce(mean_value, 0) AS value FROM ensemble_statistics WHERE"), ("std", "std_dev AS value FROM ensemble_statistics WHERE std_dev IS NOT NULL AND"), ("3", "value FROM forecast_data WHERE ensemble_member = 3 AND")):
-    query(f"flt05_field_{_m}", f"{C.SQL} SELECT latitude, longitude, {_sql} run_id = 1 AND variable_id = 1 AND forecast_hour = 12")(lambda f, m=_m: member_field(f, m))
+    query(f"flt05_field_{_m}", f"{C.SQL} SELECT latitude, longitude, {_sql} run_id = 1 AND variable_id = 1 AND forecast_hour = 12", six=("value",))(lambda f, m=_m: member_field(f, m))
 
 
 @query("flt06_models", f"{C.SQL} SELECT model_name, count(*) AS n_rows FROM regridded_forecast WHERE model_name IN ('AIFS', 'UKMO') GROUP BY ALL")
@@ -276,7 +278,7 @@ def _cone(f: Frames) -> DataFrame:
 # -- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("jn01_wind_mean", f"{C.SQL}, {_WIND} SELECT run_id, forecast_hour, latitude, longitude, u, v FROM wind")
+@query("jn01_wind_mean", f"{C.SQL}, {_WIND} SELECT run_id, forecast_hour, latitude, longitude, u, v FROM wind", six=('u', 'v'))
 def _wind_mean(f: Frames) -> DataFrame:
     return wind_field(f)
 
@@ -299,7 +301,7 @@ def _runs_models(f: Frames) -> DataFrame:
     return f.runs.join(F.broadcast(f.models), "model_id").select("run_id", "model_name", "ensemble_count", "initialization_time")
 
 
-@query("jn04_latest_forecast", f"{C.SQL}, {_LATEST} SELECT rf.model_name, rf.forecast_hour, rf.latitude, rf.longitude, rf.mean_value, rf.std_dev, l.initialization_time FROM regridded_forecast rf JOIN models USING (model_name) JOIN latest l ON l.model_name = rf.model_name WHERE variable_name = 'precipitation' AND forecast_hour <= 24")
+@query("jn04_latest_forecast", f"{C.SQL}, {_LATEST} SELECT rf.model_name, rf.forecast_hour, rf.latitude, rf.longitude, rf.mean_value, rf.std_dev, l.initialization_time FROM regridded_forecast rf JOIN models USING (model_name) JOIN latest l ON l.model_name = rf.model_name WHERE variable_name = 'precipitation' AND forecast_hour <= 24", six=('mean_value', 'std_dev'))
 def _latest_forecast(f: Frames) -> DataFrame:
     rows = C.regridded_forecast(f.spark, f.stats).where("variable_name = 'precipitation' AND forecast_hour <= 24")
     return rows.join(f.latest.select("model_name", "initialization_time"), "model_name").select("model_name", "forecast_hour", "latitude", "longitude", "mean_value", "std_dev", "initialization_time")
@@ -320,7 +322,7 @@ def snapped(f: Frames) -> DataFrame:
     return J.snapped_pairs(f.timed(1), f.observed, "precipitation")
 
 
-@query("jn06_snapped_pairs", f"{_SNAP} SELECT * FROM snap")
+@query("jn06_snapped_pairs", f"{_SNAP} SELECT * FROM snap", six=('mean_value', 'std_dev', 'obs'))
 def _snapped(f: Frames) -> DataFrame:
     return snapped(f).drop("cy", "cx")
 
@@ -330,7 +332,7 @@ def _pairs(f: Frames) -> DataFrame:
     return f.pairs().select("model_name", "forecast_hour", "latitude", "longitude", *(F.round(c, 7).alias(c) for c in ("mean_rate", "std_rate", "obs_rate")), "n_obs")
 
 
-@query("jn09_left_default", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, mean_value, coalesce(std_dev, 0) AS std_dev FROM ensemble_statistics WHERE variable_id = 1")
+@query("jn09_left_default", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, mean_value, coalesce(std_dev, 0) AS std_dev FROM ensemble_statistics WHERE variable_id = 1", six=('mean_value', 'std_dev'))
 def _left(f: Frames) -> DataFrame:
     rows = f.stats.where("variable_id = 1")
     return J.with_default(rows.select(*_FIELD, "mean_value"), rows.where("std_dev IS NOT NULL").select(*_FIELD, "std_dev"), _FIELD)
@@ -356,7 +358,7 @@ def _wind_series(f: Frames) -> DataFrame:
     return A.point_series(at_point(member_wind(f)).join(f.latest, "run_id"), "speed", places=7)
 
 
-@query("agg03_obs_cell_mean", f"{C.SQL} SELECT obs_time, latitude, longitude, p AS value FROM obs_mean")
+@query("agg03_obs_cell_mean", f"{C.SQL} SELECT obs_time, latitude, longitude, p AS value FROM obs_mean", six=('value',))
 def _obs_cells(f: Frames) -> DataFrame:
     return f.observations()
 
@@ -370,7 +372,7 @@ def point_obs(f: Frames, column: str = "precipitation") -> DataFrame:
     return at_point(f.observed).where(F.col(column).isNotNull()).groupBy("obs_time").agg(F.round(F.avg(column), 10).alias("obs"))
 
 
-@query("agg05_obs_point_mean", f"{C.SQL} SELECT obs_time, round(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL")
+@query("agg05_obs_point_mean", f"{C.SQL} SELECT obs_time, round(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL", six=('obs',))
 def _obs_point(f: Frames) -> DataFrame:
     return point_obs(f)
 
@@ -418,7 +420,7 @@ def _shares(f: Frames) -> DataFrame:
     return field_shares(f).select("latitude", "longitude", F.round("v", 6).alias("v"), F.round("s", 6).alias("s"))
 
 
-@query("agg11_ensemble_statistics", f"{C.SQL} SELECT * FROM ensemble_statistics")
+@query("agg11_ensemble_statistics", f"{C.SQL} SELECT * FROM ensemble_statistics", six=('mean_value', 'std_dev', 'min_value', 'max_value', 'percentile_25', 'percentile_50', 'percentile_75'))
 def _statistics(f: Frames) -> DataFrame:
     return C.ensemble_statistics(f.data)
 
@@ -570,12 +572,12 @@ def _bucketed(f: Frames) -> DataFrame:
     return p.join(F.broadcast(p.agg(F.max("value").alias("top")))).select("latitude", "longitude", F.round(E.bucketed_value(F.col("value"), F.col("top"), 6), 6).alias("value"))
 
 
-@query("grd03_dense", f"{_POINTS}, k AS (SELECT CAST(latitude * 2 AS INTEGER) AS cy, CAST(longitude * 2 AS INTEGER) AS cx, value FROM pts) SELECT cy / 2 AS latitude, cx / 2 AS longitude, value, cy / 2 - 0.25 AS south, cy / 2 + 0.25 AS north, cx / 2 - 0.25 AS west, cx / 2 + 0.25 AS east FROM (SELECT DISTINCT cy FROM k) CROSS JOIN (SELECT DISTINCT cx FROM k) LEFT JOIN k USING (cy, cx)")
+@query("grd03_dense", f"{_POINTS}, k AS (SELECT CAST(latitude * 2 AS INTEGER) AS cy, CAST(longitude * 2 AS INTEGER) AS cx, value FROM pts) SELECT cy / 2 AS latitude, cx / 2 AS longitude, value, cy / 2 - 0.25 AS south, cy / 2 + 0.25 AS north, cx / 2 - 0.25 AS west, cx / 2 + 0.25 AS east FROM (SELECT DISTINCT cy FROM k) CROSS JOIN (SELECT DISTINCT cx FROM k) LEFT JOIN k USING (cy, cx)", six=('value',))
 def _dense(f: Frames) -> DataFrame:
     return G.dense(points(f), 2)
 
 
-@query("grd04_decimate", f"{_POINTS} SELECT latitude, longitude, value FROM (SELECT *, row_number() OVER (PARTITION BY floor(latitude + 0.5), floor(longitude + 0.5) ORDER BY latitude, longitude) AS k FROM pts) WHERE k = 1")
+@query("grd04_decimate", f"{_POINTS} SELECT latitude, longitude, value FROM (SELECT *, row_number() OVER (PARTITION BY floor(latitude + 0.5), floor(longitude + 0.5) ORDER BY latitude, longitude) AS k FROM pts) WHERE k = 1", six=('value',))
 def _decimate(f: Frames) -> DataFrame:
     return G.decimate(points(f))
 
@@ -601,7 +603,7 @@ def _arrows(f: Frames) -> DataFrame:
     return G.arrows(one_wind(f))
 
 
-@query("grd07_resample", f"{_W1}, {_nearest('0.2e0')} SELECT round(ty, 6) AS ty, round(tx, 6) AS tx, u, v FROM nn")
+@query("grd07_resample", f"{_W1}, {_nearest('0.2e0')} SELECT round(ty, 6) AS ty, round(tx, 6) AS tx, u, v FROM nn", six=('u', 'v'))
 def _resample(f: Frames) -> DataFrame:
     return G.resample(one_wind(f), 0.2).select(F.round("ty", 6).alias("ty"), F.round("tx", 6).alias("tx"), "u", "v")
 
