@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import arrow_stage
+from veriskill.llm.common import arrow_stage, hashed_sample
 
-#: Of the labelled rows outside the held-out fold, at most this many with the least hash of their id are learned from.
+#: Of the labelled rows outside the held-out fold, at most this many, chosen by the hash of their id, are learned from.
 SAMPLE_ROWS = 8_000
 STEMS = range(4, 8)  # lengths of learned word beginnings
 LEAST_DOCS, LEAST_ODDS = 5, 3.0
@@ -152,7 +152,7 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, tox
     Rows without a 0 or 1 label take no part; with no toxic row the lexicon is empty and scores are low.
     """
     known = labels.where(F.col(toxic).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(toxic).cast("int").alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id")).limit(rows)  # at most `rows` ids: bounded, so it may be broadcast
+    some = hashed_sample(known, "doc_id", rows)  # at most `rows` ids: bounded, so it may be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("toxic", "text")
     grammar = _learn_lexicon(texts)
     got = _clause_stage(texts, grammar, "toxic", "int").collect()
