@@ -10,6 +10,7 @@ Layout of a store folder, all Parquet:
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ END = 2
 WIDTH = 2  # bytes of an id in a chunk; the vocabulary has fewer than 2^16
 SPAN, MASK, LEAST, MOST = 16, 255, 32, 4096  # rolling window, cut where hash & MASK == 0, chunk lengths in ids
 PARTS = "key binary, doc_id {}, n bigint, ids binary, chunks array<binary>, root binary, kind string"
-CACHE = 400_000  # pre-tokens whose ids a task keeps
+CACHE = 500_000  # stretches whose ids a task keeps
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,8 +36,16 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+#: A space beside other white space, or the mark at which texts are split.
+BESIDE = re.compile(r" \s|\s |\x01")
+
+
 class WordCachedTokenizer:
-    """encode(text) of a byte-level BPE tokenizer, pre-token by pre-token; each different pre-token is encoded once."""
+    """encode(text) of a byte-level BPE tokenizer, stretch by stretch; each different stretch is encoded once.
+
+    A pre-token begins at every space that has no white space beside it, so such texts are cut there; other texts are
+    cut into pre-tokens. A new stretch is cut into pre-tokens, which the tokenizer's model encodes one by one.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -50,18 +59,36 @@ class WordCachedTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, int] = {}  # pre-token -> its place in the pool
+        self.memo: dict[str, int] = {}  # stretch -> its place in the pool
+        self.tokens: dict[str, list[int]] = {}  # pre-token -> its ids
         self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def stretches(self, text: str | None) -> list[str]:
+        if not text or any(s in text for s in self.special):
+            return []
+        if BESIDE.search(text) or text[0] == " " or text[-1] == " ":
+            return self.find(text)
+        return text.replace(" ", "\x01 ").split("\x01")
+
+    def encode_token(self, token: str) -> list[int]:
+        plain = token.replace(" ", "\u0120") if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(self.letters)
+        got = self.tokens[token] = [t.id for t in self.tokenizer.model.tokenize(plain)]
+        return got
+
     def learn(self, words: list[str]) -> None:
-        model, letters = self.tokenizer.model, self.letters
-        ids = [[t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+        known, find, encode = self.tokens, self.find, self.encode_token
+        ids: list[list[int]] = []
+        for w in words:
+            own: list[int] = []
+            for t in find(w):
+                own += known.get(t) or encode(t)
+            ids.append(own)
         self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.pool = np.concatenate([self.pool, np.array([x for i in ids for x in i], np.uint32)])
-        self.size = np.concatenate([self.size, np.array([len(i) for i in ids], np.int64)])
+        self.pool = np.concatenate([self.pool, np.fromiter((x for i in ids for x in i), np.uint32)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [[] if not t or any(s in t for s in self.special) else self.find(t) for t in texts]
+        parts = [self.stretches(t) for t in texts]
         new = set().union(*parts) - self.memo.keys()
         if len(self.memo) + len(new) > CACHE:
             self.forget()
