@@ -179,20 +179,20 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = written(_sets(docs, number, least), "sets")
     sets = signed.drop("sigs")
-    nodes = written(sets.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
-    postings = signed.select(F.explode("sigs").alias("sig"), "node")
-    shared = written(postings.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig"), "shared")  # written: a plain join, whose skew can be split
-    met = written(postings.join(shared, "sig").distinct(), "buckets")
-    degree = met.join(met.groupBy("sig").count(), "sig").groupBy("node").agg(F.sum("count").alias("degree"))
-    about = written(degree.join(nodes, "node"), "about")  # node, degree, doc_id, n
+    own = F.first(F.when(F.size("sigs") > 0, F.col("sigs")), True)  # rows of a node have equal signatures or none
+    nodes = written(signed.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), own.alias("sigs")), "nodes")
+    postings = nodes.select(F.explode("sigs").alias("sig"), "node")
+    shared = written(postings.groupBy("sig").count().where("count > 1"), "shared")  # written: a plain join, whose skew can be split
+    met = written(postings.join(shared, "sig"), "buckets")
+    degree = met.groupBy("node").agg(F.sum("count").alias("degree"))
+    about = written(degree.join(nodes.drop("sigs"), "node"), "about")  # node, degree, doc_id, n
 
     owner = about.select(F.col("doc_id").alias("owner"), "node")
     tokens = written(_tokens(docs.join(owner, F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
-    bucket = written(met.join(about.select("node", "degree", "n"), "node"), "buckets")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    head = bucket.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("h")).select("sig", F.col("h.node").alias("head"))
-    star = written(bucket.join(head, "sig").where("node <> head").select("head", "node").distinct(), "stars")
+    head = met.join(about.select("node", "degree"), "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("h")).select("sig", F.col("h.node").alias("head"))
+    star = written(met.join(head, "sig").where("node <> head").select("head", "node").distinct(), "stars")
 
     def compared(pairs: DataFrame) -> DataFrame:
         return written(_compared(pairs, tokens, about, least), "compared").where(100 * F.col("shared") >= least * F.col("united")).select("a", "b")
