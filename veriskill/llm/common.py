@@ -64,6 +64,21 @@ def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40))).limit(rows)
 
 
+BITMAP_WORDS = 1 << 17  # words of 64 bits: what is broadcast has this many rows at most, whatever the input
+
+
+def probably_in(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose `key` falls on a bit that a key of `wanted` sets: none of those wanted is lost.
+
+    For use before a join by `key`, which drops the few others: rows without a partner are then not shuffled. With
+    very many keys most bits are set, and the join sees all rows as it would have without. Null keys have a bit too.
+    """
+    slot = F.expr(f"cast(pmod(shiftright(xxhash64(`{key}`), 6), {BITMAP_WORDS}) as int)")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) as int))")
+    words = wanted.select(slot.alias("__slot"), bit.alias("bit")).groupBy("__slot").agg(F.bit_or("bit").alias("__word"))
+    return df.withColumn("__slot", slot).join(F.broadcast(words), "__slot").where(F.col("__word").bitwiseAND(bit) != 0).drop("__slot", "__word")
+
+
 #: bytes.translate tables: A-Z lower-cased only, and the same with every ASCII byte outside [0-9a-z] as a space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if b > 127 or chr(LOWER[b]).isalnum() else 32 for b in range(256))

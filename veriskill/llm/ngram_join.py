@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths_to_list, mix, word_bounds, written
+from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths_to_list, mix, probably_in, word_bounds, written
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
@@ -188,7 +188,8 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     about = written(degree.join(nodes.drop("sigs"), "node"), "about")  # node, degree, doc_id, n
 
     owner = about.select(F.col("doc_id").alias("owner"), "node")
-    tokens = written(_tokens(docs.join(owner, F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
+    some = probably_in(docs, about.select("doc_id"), "doc_id")  # a text that meets no other is not shuffled
+    tokens = written(_tokens(some.join(owner, F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     head = met.join(about.select("node", "degree"), "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("h")).select("sig", F.col("h.node").alias("head"))
