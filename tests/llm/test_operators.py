@@ -271,3 +271,12 @@ def test_pipeline(spark, sf):
             assert old.keys() == new.keys() and "dd93acb406f036cedd" not in new[50_000 + len(ODD)]
     assert cp.STAGES[-1][1](spark, kept, sf).where("round_trip").count() == kept.count()
     assert cp.run(spark, sf).count() > 0
+
+
+def test_ngram_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64) * np.uint64(2)]))
+        bits = sum(int(x).bit_count() for x in (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64))
+        assert 0 < bits <= len(np.setxor1d(a, b)) and not (ngram_join.parities(a) ^ ngram_join.parities(a)).any()

@@ -20,6 +20,7 @@ from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
+CELL_BITS = 10  # 2^10 cells, whose parities are 128 bytes of a set
 
 
 def shingle_set(text: str | None, number: int, powers: Powers) -> np.ndarray:
@@ -92,12 +93,21 @@ def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) or 1 if len(hashes) else 0
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles is in each of 2^CELL_BITS cells of the order, as bits of 64-bit words.
+
+    Two sets differ in at least as many shingles as their words differ in bits, which rules a pair out exactly.
+    """
+    odd = np.bincount((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, number: int, least: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sigs) for every row; a batch's repeated set has its signatures once."""
+    """(doc_id, n_shingles, node, sigs, odd) for every row; a batch's repeated set has its signatures and parities once."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         powers, cut, seen = Powers(), Fragments(least), set()
-        sizes, nodes, sigs, counts = [], [], [np.zeros(0, np.uint64)], []
+        sizes, nodes, sigs, counts, odd, odds = [], [], [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], []
         for text in batch.column("text").to_pylist():
             s = shingle_set(text, number, powers)
             node = _set_id(s)
@@ -107,10 +117,12 @@ def _sets(docs: DataFrame, number: int, least: int) -> DataFrame:
             if new:
                 seen.add(node)
                 sigs.append(cut.signatures(s))
+                odd.append(parities(s))
             counts.append(len(sigs[-1]) if new else 0)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "sigs": lengths_to_list(np.concatenate(sigs).view(np.int64), counts, pa.int64())}
+            odds.append(len(odd[-1]) if new else 0)
+        return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "sigs": lengths_to_list(np.concatenate(sigs).view(np.int64), counts, pa.int64()), "odd": lengths_to_list(np.concatenate(odd), odds, pa.int64())}
 
-    return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, sigs array<bigint>")
+    return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, sigs array<bigint>, odd array<bigint>")
 
 
 def _tokens(docs: DataFrame, number: int) -> DataFrame:
@@ -130,9 +142,13 @@ def _tokens(docs: DataFrame, number: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """(a, b, shared, united) of those pairs whose sizes allow a link; overlaps are counted by fragment and summed."""
+    """(a, b, shared, united) of pairs whose sizes and parities allow a link; overlaps are counted by fragment and summed."""
     na, nb = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    oa, ob = (sizes.select(F.col("node").alias(c), F.col("odd").alias(f"o{c}")) for c in "ab")
     near = pairs.join(na, "a").join(nb, "b").where(100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = near.join(oa, "a").join(ob, "b").where(differ * (100 + least) <= (100 - least) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    near = written(near, "near")
     ta, tb = (tokens.select(F.col("node").alias(c), "part", F.col("hashes").alias(f"h{c}")) for c in "ab")
     counted = near.join(ta, "a").join(tb, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c"))
     each = F.expr(f"sum(c) * {OVERLAP_PARTS} div count(*)")  # repeated rows repeat every part of a set alike
@@ -178,14 +194,14 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     signed = written(_sets(docs, number, least), "sets")
-    sets = signed.drop("sigs")
-    own = F.first(F.when(F.size("sigs") > 0, F.col("sigs")), True)  # rows of a node have equal signatures or none
-    nodes = written(signed.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), own.alias("sigs")), "nodes")
+    sets = signed.drop("sigs", "odd")
+    own = [F.first(F.when(F.size(c) > 0, F.col(c)), True).alias(c) for c in ("sigs", "odd")]  # equal ones, or none, in all rows of a node
+    nodes = written(signed.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *own), "nodes")
     postings = nodes.select(F.explode("sigs").alias("sig"), "node")
     shared = written(postings.groupBy("sig").count().where("count > 1"), "shared")  # written: a plain join, whose skew can be split
     met = written(postings.join(shared, "sig"), "buckets")
     degree = met.groupBy("node").agg(F.sum("count").alias("degree"))
-    about = written(degree.join(nodes.drop("sigs"), "node"), "about")  # node, degree, doc_id, n
+    about = written(degree.join(nodes.drop("sigs"), "node"), "about")  # node, degree, doc_id, n, odd
 
     owner = about.select(F.col("doc_id").alias("owner"), "node")
     some = probably_in(docs, about.select("doc_id"), "doc_id")  # a text that meets no other is not shuffled
