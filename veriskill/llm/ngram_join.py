@@ -143,11 +143,13 @@ def _tokens(docs: DataFrame, number: int) -> DataFrame:
 
 def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     """(a, b, shared, united) of pairs whose sizes and parities allow a link; overlaps are counted by fragment and summed."""
-    na, nb = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    oa, ob = (sizes.select(F.col("node").alias(c), F.col("odd").alias(f"o{c}")) for c in "ab")
-    near = pairs.join(na, "a").join(nb, "b").where(100 * F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = near.join(oa, "a").join(ob, "b").where(differ * (100 + least) <= (100 - least) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    folded = F.expr("transform(sequence(0, 3), i -> odd[i] ^ odd[i + 4] ^ odd[i + 8] ^ odd[i + 12])")  # of cells put together
+    near = pairs
+    for odd in (folded, F.col("odd")):  # 32 bytes of all pairs, 128 of those that these leave
+        oa, ob = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), odd.alias(f"o{c}")) for c in "ab")
+        differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        able = (100 * F.least("na", "nb") >= least * F.greatest("na", "nb")) & (differ * (100 + least) <= (100 - least) * (F.col("na") + F.col("nb")))
+        near = near.select("a", "b").join(oa, "a").join(ob, "b").where(able).select("a", "b", "na", "nb")
     near = written(near, "near")
     ta, tb = (tokens.select(F.col("node").alias(c), "part", F.col("hashes").alias(f"h{c}")) for c in "ab")
     counted = near.join(ta, "a").join(tb, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c"))
