@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, similarity 0.8) the one with the least doc_id stays."""
+    """Of each group of linked documents (five-word shingles, similarity 0.8) the one with the least doc_id stays.
+
+    Of rows with the same doc_id one stays; rows without a doc_id go.
+    """
     joined = ngram_join.jaccard_join(docs, number=5, least=80)
     first = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
