@@ -23,13 +23,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, similarity 0.8) the one with the least doc_id stays.
+    """Of each group of linked documents (five-word shingles, similarity 0.8) the row with the least doc_id stays.
 
-    Of rows with the same doc_id one stays; rows without a doc_id go.
+    Rows are told apart by a key of their own, so that a doc_id may be null or repeated: null ids come last, the key
+    decides among equal ones. Rows without words are linked with none and stay.
     """
-    joined = ngram_join.jaccard_join(docs, number=5, least=80)
-    first = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    keyed = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "keyed")  # written: keys stay as they are
+    joined = ngram_join.jaccard_join(keyed, number=5, least=80, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = joined.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
+    return keyed.join(first, "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,3 +280,18 @@ def test_ngram_parities_bound_the_difference():
         b = np.unique(np.concatenate([a[: len(a) // 2], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64) * np.uint64(2)]))
         bits = sum(int(x).bit_count() for x in (ngram_join.parities(a) ^ ngram_join.parities(b)).view(np.uint64))
         assert 0 < bits <= len(np.setxor1d(a, b)) and not (ngram_join.parities(a) ^ ngram_join.parities(a)).any()
+
+
+def test_pipeline_join_decides_by_row(spark):
+    """Null and repeated doc_ids: no text that differs from all others goes, and of copies the least id stays."""
+    import corpus_pipeline as cp
+
+    word = random.Random(7)
+    text = lambda: " ".join("".join(word.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, ""), (None, None), (None, None), (7, c), (7, d), (7, f + " near"), (3, f), (None, d), (9, e), (9, e), (None, e), (5, " "), (5, " ")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = cp.drop_near_copies(spark, df.repartition(3), "")
+    assert got.columns == df.columns
+    want = [(None, a), (None, b), (None, ""), (None, None), (None, None), (7, c), (7, d), (3, f), (9, e), (5, " "), (5, " ")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
