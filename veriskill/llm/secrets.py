@@ -12,8 +12,10 @@ from veriskill.llm.common import written
 
 #: A candidate: a cloud access key, the value given to a secret-like name, or a long unbroken run with a digit.
 NAMED = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
-CANDIDATE = rf"(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![0-9A-Z])|(?i:(?<![A-Za-z]){NAMED}\s?[=:]\s?[\"']?)[^\s\"',;]{{8,}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{20,}}"
+GIVEN = rf"{NAMED}[\"']?\s*[=:]"  # a name, the quote that closes it if any, and the sign
+CANDIDATE = rf"(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![0-9A-Z])|(?i:(?<![A-Za-z]){GIVEN}\s?[\"']?)[^\s\"',;]{{8,}}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{20,}}"
 NEAR = 32  # characters of neighbouring text
+SHORTEST = 12  # characters of the shortest candidate: pwd= and eight more
 MASK = "[SECRET]"
 
 #: Common words (English, German, French, Spanish) by which dictionary coverage is measured.
@@ -26,9 +28,14 @@ def _share(value: Column, drop: str) -> Column:
     return 1.0 - F.length(F.regexp_replace(value, drop, "")) / F.greatest(F.length(value), F.lit(1))
 
 
+def bare_value(match: Column) -> Column:
+    """A candidate without the name that it is given to."""
+    return F.regexp_replace(match, rf"^(?i:{GIVEN}\s?[\"']?)", "")
+
+
 def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
     """Adds the columns of `FEATURES` to rows of (match, before, path)."""
-    value = F.regexp_replace(F.col("match"), rf"^(?i:{NAMED}\s?[=:]\s?[\"']?)", "")
+    value = bare_value(F.col("match"))
     classes = F.translate(value, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
     words = "(?i:" + "|".join(w for w in dictionary if len(w) > 2) + ")"
     path = F.coalesce(F.col("path"), F.lit(""))
@@ -43,7 +50,7 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "covered": _share(value, words),
         "hex_only": flag(value.rlike("^[0-9a-f]+$")),
         "key_prefix": flag(value.rlike("^(AKIA|ghp_|sk-|xox|eyJ)")),
-        "named": flag(F.col("match").rlike(rf"^(?i:{NAMED})\s?[=:]")),
+        "named": flag(F.col("match").rlike(rf"^(?i:{GIVEN})")),
         "near_name": flag(F.col("before").rlike(rf"(?i:{NAMED})\W*$")),
         "near_commit": flag(F.col("before").rlike(r"(?i:commit|sha|rev|revision|checksum|md5|etag|uuid|id|isbn|build)\W*$")),
         "path_trial": flag(path.rlike("(?i:test|example|sample|mock|fixture|doc)")),
@@ -94,17 +101,27 @@ def fit_forest(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int =
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
-    """key, match, before, path for each different candidate of each row that has one."""
-    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)))
-    rows = docs.where(F.col(text).rlike("AKIA|[0-9]|(?i:" + NAMED + ")")).select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(path) if path in docs.columns else F.lit(None).cast("string")).alias("path"), F.explode(found).alias("match"))
-    at = F.instr(F.col("text"), F.col("match"))
-    return rows.select("key", "match", F.substr("text", F.greatest(F.lit(1), at - NEAR), F.least(F.lit(NEAR), at - 1)).alias("before"), "path")
+    """key, match, before, path for each occurrence of a candidate in each row; those alike in match and before once.
+
+    The text before an occurrence is put together from the matches and the pieces between them: as many matches back
+    as hold `NEAR` characters, so that the work is in proportion to the occurrences.
+    """
+    rows = docs.where(F.col(text).rlike("AKIA|[0-9]|(?i:" + NAMED + ")")).select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(path) if path in docs.columns else F.lit(None).cast("string")).alias("path"), F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    rows = rows.where(F.size("found") > 0).withColumn("between", F.split("text", CANDIDATE)).drop("text")
+
+    def one(match: Column, k: Column) -> Column:
+        back = -(-NEAR // SHORTEST)
+        parts = [F.coalesce(F.get(c, k - j), F.lit("")) for j in range(back, 0, -1) for c in ("between", "found")]
+        return F.struct(match.alias("match"), F.right(F.concat(*parts, F.get("between", k)), F.lit(NEAR)).alias("before"))
+
+    return rows.select("key", "path", F.explode(F.array_distinct(F.transform("found", one))).alias("o")).select("key", "o.match", "o.before", "path")
 
 
 def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """`docs` with n_candidates, secrets (sorted confirmed values) and redacted (text with each of them masked).
 
-    Candidates of different rows with the same key are judged together. Null and empty texts have none, and stay as
+    A value is confirmed in a document if any of its occurrences is, with a name or without. Candidates of different
+    rows with the same key are judged together. Null and empty texts have none, and stay as
     they are. Repeated rows are all kept. Columns of `docs` named as those added are replaced; `path` may be missing.
     Candidates are a small part of the text; the confirmed ones are gathered by document, never by value, so that a
     secret that many documents hold meets nowhere.
@@ -112,7 +129,10 @@ def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, text:
     base = docs.drop(*({"n_candidates", "secrets", "redacted"} & set(docs.columns)))
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(candidates(docs, text, path, key))))
     keep = vector_to_array("probability")[1] >= 0.5
-    per = scored.groupBy("key").agg(F.countDistinct("match").alias("__n"), F.sort_array(F.collect_set(F.when(keep, F.col("match")))).alias("__s"))
+    scored = scored.select("key", "match", bare_value(F.col("match")).alias("value"), keep.alias("keep"))
+    per = scored.groupBy("key").agg(F.collect_set(F.struct("match", "value")).alias("__all"), F.collect_set(F.when(F.col("keep"), F.col("value"))).alias("__sure"))
+    sure = F.filter("__all", lambda x: F.array_contains(F.col("__sure"), x["value"]))
+    per = per.select("key", F.size("__all").alias("__n"), F.sort_array(F.transform(sure, lambda x: x["match"])).alias("__s"))
     out = base.join(per.withColumnRenamed("key", "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
     secrets = F.coalesce("__s", F.array().cast("array<string>"))
     longest_first = F.array_sort(secrets, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
