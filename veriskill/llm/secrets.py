@@ -120,23 +120,25 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "source", key: s
 def scan_secrets(docs: DataFrame, model: RandomForestClassificationModel, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """`docs` with n_candidates, secrets (sorted confirmed values) and redacted (text with each of them masked).
 
-    A value is confirmed in a document if any of its occurrences is, with a name or without. Candidates of different
-    rows with the same key are judged together. Null and empty texts have none, and stay as
-    they are. Repeated rows are all kept. Columns of `docs` named as those added are replaced; `path` may be missing.
-    Candidates are a small part of the text; the confirmed ones are gathered by document, never by value, so that a
-    secret that many documents hold meets nowhere.
+    A value is confirmed in a document if any of its occurrences is, with a name or without. Null and empty texts
+    have none, and stay as they are. Repeated rows are all kept. Columns of `docs` named as those added are replaced;
+    `path` may be missing. Candidates are a small part of the text; they are gathered by a 128-bit hash of key, path and
+    text, so that a row has its own ones only, rows without a key are spread, and a secret that many documents hold
+    meets nowhere.
     """
     base = docs.drop(*({"n_candidates", "secrets", "redacted"} & set(docs.columns)))
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(candidates(docs, text, path, key))))
+    own = [F.col(key), F.col(key).isNull(), *([F.col(path)] if path in docs.columns else []), F.col(text)]
+    base = base.withColumn("__row", F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b")))
+    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(candidates(base, text, path, "__row"))))
     keep = vector_to_array("probability")[1] >= 0.5
     scored = scored.select("key", "match", bare_value(F.col("match")).alias("value"), keep.alias("keep"))
     per = scored.groupBy("key").agg(F.collect_set(F.struct("match", "value")).alias("__all"), F.collect_set(F.when(F.col("keep"), F.col("value"))).alias("__sure"))
     sure = F.filter("__all", lambda x: F.array_contains(F.col("__sure"), x["value"]))
     per = per.select("key", F.size("__all").alias("__n"), F.sort_array(F.transform(sure, lambda x: x["match"])).alias("__s"))
-    out = base.join(per.withColumnRenamed("key", "__key"), F.col(key).eqNullSafe(F.col("__key")), "left")
+    out = base.join(per.withColumnRenamed("key", "__row"), "__row", "left")
     secrets = F.coalesce("__s", F.array().cast("array<string>"))
     longest_first = F.array_sort(secrets, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return out.select(*base.columns, F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_candidates"), secrets.alias("secrets"), F.aggregate(longest_first, F.col(text), lambda t, s: F.replace(t, s, F.lit(MASK))).alias("redacted"))
+    return out.select(*(c for c in base.columns if c != "__row"), F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_candidates"), secrets.alias("secrets"), F.aggregate(longest_first, F.col(text), lambda t, s: F.replace(t, s, F.lit(MASK))).alias("redacted"))
 
 
 def default_model(spark: SparkSession) -> RandomForestClassificationModel:
