@@ -326,3 +326,25 @@ def test_secrets_of_rows_with_one_id(spark):
     want = {texts[0]: ["password=" + values[0]], texts[1]: [values[1]], texts[2]: [], texts[3]: ["password=" + values[2]]}
     out = got.collect()
     assert len(out) == len(rows) and all((r.n_candidates, r.secrets) == (len(want[r.text]), want[r.text]) for r in out), out
+
+
+def test_token_store_misses_lost_recipes(spark, tmp_path, monkeypatch):
+    """A lost recipe leaves its whole part unverified, a lost part a row of its own."""
+    import public_tokenizers
+
+    monkeypatch.setattr(token_store, "BLOCK", 4, raising=False)
+    store, path = tmp_path / "store", public_tokenizers.path("byte_bpe_50k.json")
+    token_store.write_store(frame(spark, [f"text number {k} of many" for k in range(60)]), path, str(store))
+    recipes = spark.read.parquet(str(store / "recipes")).collect()
+    by_part = {p: sorted((r.start, bytes(r.root)) for r in recipes if r.part == p) for p in {r.part for r in recipes}}
+    listed = {r.part: (r.documents, bytes(r.root)) for r in spark.read.parquet(str(store / "manifest")).collect()}
+    assert len(by_part) > 2 and listed == {p: (len(v), token_store.merkle([x for _, x in v])) for p, v in by_part.items()}
+    assert all(r.verified for r in token_store.read_store(spark, str(store)).collect())
+    home = {r.doc_id: r.part for r in recipes}
+    gone = home[59]
+    spark.read.parquet(str(store / "recipes")).where(f"part <> {gone} AND doc_id <> 0").write.parquet(str(tmp_path / "fewer"))
+    (store / "recipes").rename(tmp_path / "old")
+    (tmp_path / "fewer").rename(store / "recipes")
+    got = token_store.read_store(spark, str(store)).collect()
+    want = {(d, p != home[0]) for d, p in home.items() if d != 0 and p != gone} | {(None, False)}
+    assert {(r.doc_id, r.verified) for r in got} == want and len(got) == len(want)

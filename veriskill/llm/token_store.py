@@ -3,8 +3,8 @@
 Layout of a store folder, all Parquet:
   parts/kind=chunk   key (SHA-256 of the ids), n, ids (little-endian unsigned integers of `WIDTH` bytes), once each
   parts/kind=doc     key, doc_id, n, chunks (SHA-256 of each chunk, in order), root (Merkle root of those)
-  recipes            doc_id, start, n_tokens, chunks, root, in ascending doc_id order, a range of ids to a file
-  manifest           file range, documents, ids, Merkle root over the roots of its documents
+  recipes            part, place in it, doc_id, start, n_tokens, chunks, root, in ascending doc_id order by part
+  manifest           part, documents, ids, Merkle root over the roots of its documents
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ END = 2
 WIDTH = 2  # bytes of an id in a chunk; the vocabulary has fewer than 2^16
 SPAN, MASK, LEAST, MOST = 16, 255, 32, 4096  # rolling window, cut where hash & MASK == 0, chunk lengths in ids
 PARTS = "key binary, doc_id {}, n bigint, ids binary, chunks array<binary>, root binary, kind string"
+BLOCK = 4096  # documents whose roots are put together at once; a power of two, so that the tree is that of all of a part
+MANIFEST = "part int, documents bigint, ids bigint, root binary"
 CACHE = 500_000  # stretches whose ids a task keeps
 
 
@@ -141,6 +143,19 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else hashlib.sha256(b"").digest()
 
 
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """The rows of `MANIFEST` for `recipes`: trees over blocks of documents, then one over the blocks of each part."""
+
+    def root(batch: pa.RecordBatch) -> dict[str, object]:
+        return {c: batch.column(c) for c in batch.schema.names if c != "leaves"} | {"root": [merkle([x["root"] for x in v]) for v in batch.column("leaves").to_pylist()]}
+
+    leaves = lambda c: F.array_sort(F.collect_list(F.struct(c, "root"))).alias("leaves")
+    blocks = recipes.groupBy("part", F.expr(f"place div {BLOCK}").alias("block")).agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), leaves("place"))
+    blocks = arrow_stage(blocks, root, "part int, block bigint, documents bigint, ids bigint, root binary")
+    parts = blocks.groupBy("part").agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"), leaves("block"))
+    return arrow_stage(parts, root, MANIFEST)
+
+
 def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes every row of `docs` (null: empty), adds END, and writes the store to `folder`.
 
@@ -185,11 +200,12 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
     ranges = spark.read.schema(ranged.schema).parquet(f"{folder}/ranges")
     sums = ranges.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file: at most 4,096
     before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key")) - F.col("n_tokens")
-    recipes = ranges.withColumn("within", within).join(F.broadcast(before), "part").select("part", "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "chunks", "root")
+    upto = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key")
+    placed = ranges.withColumns({"within": F.sum("n_tokens").over(upto) - F.col("n_tokens"), "place": F.row_number().over(upto) - 1})
+    recipes = placed.join(F.broadcast(before), "part").select("part", "place", "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "chunks", "root")
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     back = spark.read.schema(recipes.schema).parquet(f"{folder}/recipes")
-    back.groupBy("part").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("ids"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("root").alias("root")))), lambda x: x["root"])), 256).alias("root")).write.parquet(f"{folder}/manifest")
+    manifest_of(back).write.parquet(f"{folder}/manifest")
 
 
 _POLY = np.uint64(0xEDB88320)
@@ -224,7 +240,9 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     Every chunk file is read: its SHA-256 must be its key, and the CRC-32 of its ids as 32-bit integers is taken.
     Recipes then fetch (CRC, length) by chunk hash, in place of the ids, and a document's CRC is put together from
-    those of its chunks. verified: all chunks were found intact, and give the recipe's length and Merkle root.
+    those of its chunks. verified: all chunks were found intact, and give the recipe's length and Merkle root, and
+    the recipes of its part give the manifest's documents, ids and root. A part of the manifest without any recipe gives
+    a row of its own, unverified, with its ids as n_tokens and nothing else.
     """
 
     def look(batch: pa.RecordBatch) -> dict[str, object]:
@@ -237,8 +255,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     chunks = arrow_stage(_parts(spark, folder).where("kind = 'chunk'").select("key", "ids", "n"), look, "chunk binary, crc bigint, n bigint, good boolean")
     recipes = spark.read.parquet(f"{folder}/recipes")
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    pieces = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "chunk")).join(chunks, "chunk", "left")
-    whole = pieces.groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk", "crc", "n", "good"))).alias("p"))
+    pieces = recipes.select("part", "doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("pos", "chunk")).join(chunks, "chunk", "left")
+    whole = pieces.groupBy("part", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk", "crc", "n", "good"))).alias("p"))
 
     def join(batch: pa.RecordBatch) -> dict[str, object]:
         crcs, tails, owner, fine = [], [], [], []
@@ -252,9 +270,15 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
             fine.append(left == 0 and all(x["good"] for x in p) and merkle([x["chunk"] for x in p]) == root)
         out = np.zeros(batch.num_rows, np.uint64)
         np.bitwise_xor.at(out, np.array(owner, np.int64), join_crcs(np.array(crcs, np.uint64), np.array(tails, np.int64)))
-        return {c: batch.column(c) for c in ("doc_id", "start", "n_tokens")} | {"ids_crc32": out.astype(np.int64), "verified": fine}
-
-    return arrow_stage(whole, join, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
+        return {c: batch.column(c) for c in ("part", "doc_id", "start", "n_tokens")} | {"ids_crc32": out.astype(np.int64), "verified": fine}
+
+    out = arrow_stage(whole, join, f"part int, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
+    listed = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    found = manifest_of(recipes)
+    same = found.join(listed, ["part", "documents", "ids", "root"], "left_semi").select("part", F.lit(True).alias("same"))  # at most 4,096 rows
+    lost = listed.join(found, "part", "left_anti").select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("start"), F.col("ids").alias("n_tokens"), F.lit(None).cast("bigint").alias("ids_crc32"), F.lit(False).alias("verified"))
+    out = out.join(F.broadcast(same), "part", "left").withColumn("verified", F.col("verified") & F.coalesce("same", F.lit(False)))
+    return out.drop("part", "same").unionByName(lost)
 
 
 def restore(spark: SparkSession, folder: str) -> DataFrame:
