@@ -82,9 +82,9 @@ def shingles(text, n=3):
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def jaccard(rows, least=90):
+def jaccard(rows, least=90, number=3):
     """[(doc_id, text)] -> {doc_id: (n, component)}."""
-    sets = [(d, shingles(t)) for d, t in rows]
+    sets = [(d, shingles(t, number)) for d, t in rows]
     top = {d: d for d, _ in sets}
 
     def root(x):

@@ -1,9 +1,13 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-The global order of shingles is that of their 64-bit hashes. It is cut into fragments twice. Candidates: with more
-fragments than two linked sets can differ in elements, at least one fragment is equal in both, so equal fragments find
-every linked pair. Verification: the order is cut into a few fragments, partial overlaps are counted in each of them
-separately, and summed for each pair.
+The global order of shingles is by how many sets hold them, the rarest first, ties by their 64-bit hashes. Two linked sets
+have a shingle in common among the first few of each, so equal shingles of these prefixes find every linked pair; as most
+shingles stand in one set only and come first, most prefixes meet nothing. Verification: the shingles are cut into a few
+fragments by hash, partial overlaps are counted in each of them separately, and summed for each pair.
+
+Counting all shingles would shuffle the whole corpus several times. A set of which more shingles stand nowhere else than
+a linked set may lack is linked with none. So a fixed share of the hash range is counted first, which most sets do not
+pass, and only the sets that do are ordered and joined.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
+GATE = 1.5  # the share of the hash range that is counted first, as a multiple of the share in which linked sets may differ
 CELL_BITS = 10  # 2^10 cells, whose parities are 128 bytes of a set
 
 
@@ -38,59 +43,12 @@ def shingle_set(text: str | None, number: int, powers: Powers) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-class Fragments:
-    """How many fragments a set of n shingles is cut into, and their signatures.
-
-    Sizes fall into classes, each up to 1 / least times as wide as the one before, so that linked sets are in the same
-    or neighbouring classes. Sets of a class and the next differ in at most d shingles; they are cut into more than d
-    fragments, and some more, for fragments may be empty: a set with more empty ones than that spare signs those as
-    well. Counts are rounded up to a coarse grid, on which neighbouring classes mostly agree.
-    """
-
-    def __init__(self, least: int, top: int = 1 << 40):
-        self.bounds, self.plan, self.known = [1], [], {}
-        while self.bounds[-1] < top:
-            self.bounds.append(self.bounds[-1] * 100 // least + 1)
-        grid, g = [1], 1
-        while g < top:
-            g = max(g + 1, g * 5 // 4)
-            grid.append(g)
-        for k in range(len(self.bounds) - 1):
-            x = self.bounds[k + 1] - 1
-            both = x + x * 100 // least
-            differ = both * (100 - least) // (100 + least)
-            spare = 0 if not differ else 2 + differ // 40
-            need = differ + 1 + spare
-            self.plan.append((next(v for v in grid if v >= need), spare))
-
-    def signatures(self, hashes: np.ndarray) -> np.ndarray:
-        n = len(hashes)
-        if not n:
-            return np.zeros(0, np.uint64)
-        k = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        least_spare: dict[int, int] = {}
-        for count, spare in {self.plan[k], self.plan[max(0, k - 1)]}:
-            least_spare[count] = min(spare, least_spare.get(count, spare))
-        out = []
-        running = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * np.uint64(0x9E3779B97F4A7C15), out=running[1:])
-        for count, spare in least_spare.items():
-            cut = np.concatenate([[0], np.searchsorted(hashes, self.edges(count)), [n]])
-            filled = np.diff(cut)
-            use = np.flatnonzero(filled) if count - np.count_nonzero(filled) <= spare else np.arange(count)
-            sums = running[cut[use + 1]] - running[cut[use]] + filled[use].astype(np.uint64)
-            out.append(mix(mix(sums) + np.uint64(count * 0x2545F4914F6CDD1D % (1 << 64)) + use.astype(np.uint64)))
-        return np.concatenate(out)
-
-    def edges(self, count: int) -> np.ndarray:
-        if count not in self.known:
-            self.known[count] = np.array([(k << 64) // count for k in range(1, count)], np.uint64)
-        return self.known[count]
-
-
-def _set_id(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of the set; 0 only for the empty one."""
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) or 1 if len(hashes) else 0
+def _set_id(hashes: np.ndarray) -> tuple[int, int]:
+    """A signed 128-bit name of the set; zeros only for the empty one."""
+    if not len(hashes):
+        return 0, 0
+    x = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63) or 1
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -102,43 +60,65 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _sets(docs: DataFrame, number: int, least: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sigs, odd) for every row; a batch's repeated set has its signatures and parities once."""
+def _sets(docs: DataFrame, number: int) -> DataFrame:
+    """(doc_id, t, n_shingles, h1, h2) for every row: the size and name of its set, zeros without words."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        powers, cut, seen = Powers(), Fragments(least), set()
-        sizes, nodes, sigs, counts, odd, odds = [], [], [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)], []
+        powers = Powers()
+        sets = [shingle_set(t, number, powers) for t in batch.column("text").to_pylist()]
+        h1, h2 = zip(*map(_set_id, sets))
+        return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": [len(s) for s in sets], "h1": h1, "h2": h2}
+
+    return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, n_shingles bigint, h1 bigint, h2 bigint")
+
+
+def _lone_shingles(docs: DataFrame, number: int, share: float) -> DataFrame:
+    """(h1, lone): how many shingles of each set, of the first `share` of the hash range, stand in no other set.
+
+    Partial aggregates only: of a shingle that a third of all sets hold, each task sends one row.
+    """
+    bound = np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        powers, seen, names, parts = Powers(), set(), [], [np.zeros(0, np.uint64)]
         for text in batch.column("text").to_pylist():
             s = shingle_set(text, number, powers)
-            node = _set_id(s)
-            sizes.append(len(s))
-            nodes.append(node)
-            new = node and node not in seen
-            if new:
-                seen.add(node)
-                sigs.append(cut.signatures(s))
-                odd.append(parities(s))
-            counts.append(len(sigs[-1]) if new else 0)
-            odds.append(len(odd[-1]) if new else 0)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "sigs": lengths_to_list(np.concatenate(sigs).view(np.int64), counts, pa.int64()), "odd": lengths_to_list(np.concatenate(odd), odds, pa.int64())}
+            name = _set_id(s)
+            if len(s) and name not in seen:
+                seen.add(name)
+                names.append(name[0])
+                parts.append(s[: np.searchsorted(s, bound)])
+        return {"h1": names, "tokens": lengths_to_list(np.concatenate(parts).view(np.int64), [len(p) for p in parts[1:]], pa.int64())}
 
-    return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, sigs array<bigint>, odd array<bigint>")
+    posted = arrow_stage(docs, each, "h1 bigint, tokens array<bigint>").select("h1", F.explode("tokens").alias("token"))
+    return posted.groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("other")).where("h1 = other").groupBy("h1").agg(F.count("*").alias("lone"))
 
 
 def _tokens(docs: DataFrame, number: int) -> DataFrame:
-    """(node, part, hashes): each set's shingles in OVERLAP_PARTS fragments."""
+    """(node, part, hashes, odd): each set's shingles in OVERLAP_PARTS fragments; the first one bears its parities."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             powers, rows = Powers(), []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+            for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2", "text"))):
                 s = shingle_set(text, number, powers)
-                cut = np.searchsorted(s, [(k << 64) // OVERLAP_PARTS for k in range(1, OVERLAP_PARTS)])
-                if _set_id(s) == node:  # another row may bear the same doc_id
-                    rows += [(node, k, x.view(np.int64)) for k, x in enumerate(np.split(s, cut))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["node", "part", "hashes"])
+                cut = np.searchsorted(s, np.array([(k << 64) // OVERLAP_PARTS for k in range(1, OVERLAP_PARTS)], np.uint64))
+                if _set_id(s) == (h1, h2):  # another text may have the same hash
+                    rows += [(node, k, x.view(np.int64), None if k else parities(s)) for k, x in enumerate(np.split(s, cut))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "part", "hashes", "odd"])
 
-    return docs.select("node", "text").mapInArrow(stage, "node bigint, part int, hashes array<bigint>")
+    found = docs.select("node", "h1", "h2", "text").mapInArrow(stage, "node bigint, part int, hashes array<bigint>, odd array<bigint>")
+    return found.dropDuplicates(["node", "part"])  # rows that are alike in id and text
+
+
+def _prefixes(tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+    """(sig, node, count): of each set the shingles of its prefix in the global order which other sets hold as well."""
+    each = tokens.select("node", F.explode("hashes").alias("sig"))
+    often = written(each.groupBy("sig").count().where("count > 1"), "frequent")  # written: a plain join, whose skew can be split
+    mine = Window.partitionBy("node")
+    placed = each.join(often, "sig").withColumns({"place": F.row_number().over(mine.orderBy("count", "sig")), "met": F.count("*").over(mine)}).join(sizes.select("node", "n"), "node")
+    lone = F.col("n") - F.col("met")  # these come first
+    return placed.where(lone + F.col("place") <= F.col("n") - F.ceil(least * F.col("n") / 100) + 1).select("sig", "node", "count")
 
 
 def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
@@ -153,8 +133,7 @@ def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int)
     near = written(near, "near")
     ta, tb = (tokens.select(F.col("node").alias(c), "part", F.col("hashes").alias(f"h{c}")) for c in "ab")
     counted = near.join(ta, "a").join(tb, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c"))
-    each = F.expr(f"sum(c) * {OVERLAP_PARTS} div count(*)")  # repeated rows repeat every part of a set alike
-    both = counted.groupBy("a", "b", "na", "nb").agg(each.alias("shared"))
+    both = counted.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("shared"))
     return both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("united"))
 
 
@@ -182,32 +161,33 @@ def _apart(star: DataFrame, label: DataFrame, tokens: DataFrame, sizes: DataFram
 def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable over links) for every row of `docs`.
 
-    Rows with equal sets are one node. Within a bucket of equal fragments every node is compared with one head only,
-    the node that meets most others over all its buckets, which among near copies is their common original. Where a
-    node is not linked with its head, any set that it is linked with and that has the same head differs from the head
-    in some of the same shingles (two sets that differ from it in disjoint shingles are as far apart as both
-    differences together). So the remaining candidates come from an equi-join over these few differing shingles, the
-    rarest first and no more of them than the least common number leaves. A group of copies thus costs pairs in
-    proportion to its size, and no link that could join two components is left out.
+    Rows with equal sets are one node. Within a bucket of sets that have a shingle of their prefixes in common, every
+    node is compared with one head only, the node that meets most others over all its buckets, which among near copies
+    is their common original. Where a node is not linked with its head, any set that it is linked with and that has the
+    same head differs from the head in some of the same shingles (two sets that differ from it in disjoint shingles are
+    as far apart as both differences together). So the remaining candidates come from an equi-join over these few
+    differing shingles, the rarest first and no more of them than the least common number leaves. A group of copies
+    thus costs pairs in proportion to its size, and no link that could join two components is left out.
 
     Null, empty and wordless texts have no shingles and stay alone, each row under its own doc_id. Fewer words than
     `number` make one shingle of all. Repeated rows are all kept; a null doc_id is least only in a component of its
     own kind. Other columns are dropped; an empty table gives an empty frame.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = written(_sets(docs, number, least), "sets")
-    sets = signed.drop("sigs", "odd")
-    own = [F.first(F.when(F.size(c) > 0, F.col(c)), True).alias(c) for c in ("sigs", "odd")]  # equal ones, or none, in all rows of a node
-    nodes = written(signed.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *own), "nodes")
-    postings = nodes.select(F.explode("sigs").alias("sig"), "node")
-    shared = written(postings.groupBy("sig").count().where("count > 1"), "shared")  # written: a plain join, whose skew can be split
-    met = written(postings.join(shared, "sig"), "buckets")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("t"))
+    sets = written(_sets(docs, number), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("first")  # of the rows of a node, that of the least id
+    nodes = written(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.max("n_shingles").alias("n"), first).select("h1", "h2", "n", "first.doc_id", "first.t"), "nodes")
+    lone = _lone_shingles(docs.select("text"), number, min(1.0, GATE * (100 - least) / 100))
+    passed = nodes.join(lone, "h1", "left").where(100 * F.coalesce("lone", F.lit(0)) <= (100 - least) * F.col("n"))
+    passed = written(passed.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "doc_id", "t"), "passed")  # written: numbers stay as they are
+
+    near = probably_in(docs, passed.select("t"), "t")  # most texts that are not asked for are not shuffled
+    asked = passed.select("node", "h1", "h2", F.col("doc_id").alias("owner"), F.col("t").alias("of"))
+    tokens = written(_tokens(near.join(asked, (F.col("t") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
+    met = written(_prefixes(tokens, passed, least), "buckets")
     degree = met.groupBy("node").agg(F.sum("count").alias("degree"))
-    about = written(degree.join(nodes.drop("sigs"), "node"), "about")  # node, degree, doc_id, n, odd
-
-    owner = about.select(F.col("doc_id").alias("owner"), "node")
-    some = probably_in(docs, about.select("doc_id"), "doc_id")  # a text that meets no other is not shuffled
-    tokens = written(_tokens(some.join(owner, F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
+    about = degree.join(passed.select("node", "doc_id", "n"), "node").join(tokens.where("part = 0").select("node", "odd"), "node")
+    about = written(about, "about")  # node, degree, doc_id, n, odd
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     head = met.join(about.select("node", "degree"), "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("h")).select("sig", F.col("h.node").alias("head"))
@@ -224,7 +204,8 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     links = links.unionByName(compared(_apart(star, label, tokens, about, least)))
     label = labels(links)
 
-    label = written(nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), "classes")
+    label = written(passed.join(label, "node").select("h1", "h2", "doc_id", "comp"), "classes")
     least_id = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    placed = label.join(least_id, "comp").select("node", "component_id")
-    return sets.join(placed, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = label.join(least_id, "comp").select("h1", "h2", "component_id")
+    placed = written(nodes.join(linked, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component_id", "doc_id").alias("component_id")), "placed")
+    return sets.join(placed, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
