@@ -57,6 +57,11 @@ def test_metric_edges(spark):
     assert flat.ssr_agg is None
     none = A.region_hours(pairs(spark, [(1, 1, 1)]), limit).first()
     assert none.fss == 1.0 and none.csi is None
+    missing = A.point_summary(pairs(spark, [(5, 1, 5)]), limit, spark.createDataFrame([("AIFS",), ("GEFS",)], "model_name string")).orderBy("model_name").collect()
+    assert [(r.model_name, r.hits, r.csi) for r in missing] == [("AIFS", 1, 1.0), ("GEFS", None, None)]
+    half = M.score(pairs(spark, [(1.00005, 1, 1), (1.00005, 1, 1)]), ["bias", "mae"], limit).first()
+    assert (half.bias, half.mae) == (0.0, 0.0) or half.bias == half.mae  # halves go to the even digit
+    assert set(M.SPATIAL) == set(M.METRICS) | {"ssr", "correlation"} and set(A.EDGES) == set(M.SPATIAL) - {"correlation"}
     assert A.compare_summary(A.compare_hours(pairs(spark, [(1, 1, 2), (2, 1, 3)]).withColumns({"mean_value": F.lit(1.0), "std_dev": F.lit(1.0), "n_obs": F.lit(1)}))).first().correlation is None
 
 
@@ -76,6 +81,8 @@ def test_window_join(spark):
     obs = spark.sql("SELECT timestampadd(HOUR, h, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS obs_time, 25.0D AS latitude, -85.0D AS longitude, v AS value FROM VALUES (3, 100.0D), (4, 1.0D), (6, 2.0D), (6, 4.0D), (12, 7.0D) AS t(h, v)")
     got = {r.forecast_hour: (r.mean_rate, r.obs_rate, r.n_obs) for r in J.window_pairs(fc, obs, E.accum_hours(F.col("model_name"))).collect()}
     assert got == {6: (2.0, 2.0, 2), 12: (2.0, 7.0, 1)}
+    twice = J.window_pairs(fc.unionByName(fc), obs, E.accum_hours(F.col("model_name"))).where("forecast_hour = 6").collect()
+    assert [(r.obs_rate, r.n_obs) for r in twice] == [(2.0, 2)] * 2  # repeated forecast rows stay rows of their own
     plan = J.window_pairs(fc, obs, E.accum_hours(F.col("model_name")))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -112,6 +119,23 @@ def test_streamline_follows_a_steady_wind():
     assert len(G.trace(np.full((5, 5), 0.1), np.zeros((5, 5)), 8.0, 8.0, 8.0)) == 1
 
 
+def test_streamlines_by_tiles(spark):
+    """Lines of tiles are those traced over the whole grid at once, over a wind that turns and dies in places."""
+    wind = spark.range(60 * 90).select((25 + F.expr("id div 90") * 0.25).alias("latitude"), (-85 + (F.col("id") % 90) * 0.25).alias("longitude"), (F.sin(F.col("id") * 0.01) * 3).alias("u"), F.cos(F.col("id") * 0.003).alias("v"))
+    rows = wind.collect()
+    u, v = (np.array([r[c] for r in rows]).reshape(60, 90) for c in "uv")
+    want = {}
+    for y in np.arange(14.0, 59 * 8.0, 28.0):
+        for x in np.arange(14.0, 89 * 8.0, 28.0):
+            line = G.trace(u, v, y, x, 8.0)
+            if len(line) >= 3:
+                want[y, x] = (len(line), [tuple(p) for p in G.along(line)])
+    for tile in (8, 64):
+        got = {(r.seed_y, r.seed_x): (r.n_points, [(d.y, d.x) for d in r.dots]) for r in G.streamlines(wind, tile=tile).collect()}
+        assert got == want and len(want) > 100
+    assert G.streamlines(wind.limit(0)).count() == 0 and G.resample(wind.limit(0)).count() == 0
+
+
 def test_tokens():
     assert E.checked_token("wind_u_10m")
     for bad in ("", "a b", "x;--", "a" * 41):

@@ -136,7 +136,7 @@ def square_size(share: Column, width: float = 1.0, height: float = 1.0) -> Colum
     return share * (min(width, height) * 0.92)
 
 
-#: Colours of the sequential maps.
+#: Colours of the sequential and diverging maps.
 COLORMAPS = {
     "Default": ("#FFFFCC", "#C8F0C8", "#A0E6E6", "#70C8D2", "#5098C8", "#3264AA", "#001E6E", "#000050"),
     "Viridis": ("#440154", "#414487", "#2a788e", "#22a884", "#7ad151", "#fde725"),
@@ -145,6 +145,8 @@ COLORMAPS = {
     "Turbo": ("#30123b", "#4662d7", "#36a9e1", "#13eb6b", "#a7fc3c", "#faba39", "#e8443a"),
     "Cool": ("#00ffff", "#00d4ff", "#00aaff", "#0080ff", "#0055ff", "#002bff", "#0000ff"),
     "Warm": ("#ffff00", "#ffdd00", "#ffbb00", "#ff9900", "#ff7700", "#ff5500", "#ff0000"),
+    "RdYlBu": ("#a50026", "#d73027", "#f46d43", "#fdae61", "#fee090", "#ffffbf", "#e0f3f8", "#abd9e9", "#74add1", "#4575b4", "#313695"),
+    "Spectral": ("#9e0142", "#d53e4f", "#f46d43", "#fdae61", "#fee08b", "#ffffbf", "#e6f598", "#abdda4", "#66c2a5", "#3288bd", "#5e4fa2"),
 }
 
 
@@ -169,9 +171,9 @@ def muted_colour(value: Column, spread: Column, vsup: bool = False, name: str =
     return [half_up(c + (185 - c) * (spread * strength * 0.80)) for c in colormap(at, name)]
 
 
-def tier(x: Column, edges: list[tuple[str, float, str]], last: str) -> Column:
-    """Name of the first tier whose edge (`<` or `<=`, limit, name) holds; null stays null."""
+def tier(x: Column, edges: list[tuple[str, float, str | int]], last: str | int) -> Column:
+    """Name of the first tier whose edge (`<`, `<=` or `>=`, limit, name) holds; null stays null."""
     out = F.lit(last)
     for sign, limit, name in reversed(edges):
-        out = F.when(x < limit if sign == "<" else x <= limit, name).otherwise(out)
+        out = F.when({"<": x < limit, "<=": x <= limit, ">=": x >= limit}[sign], F.lit(name)).otherwise(out)
     return F.when(x.isNotNull(), out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriskill.functions import exprs as E
+from veriskill.scratch import written
 
 
 def near(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
@@ -26,12 +27,34 @@ def near(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     return both.withColumn("d2", d2).where(F.col("d2") < radius * radius).drop("__y", "__x")
 
 
+class Box(NamedTuple):
+    """A regular grid: its south-west corner, the nodes along each axis, and the step between them."""
+
+    south: float
+    west: float
+    rows: int
+    columns: int
+    step: float
+
+
+def box_of(points: DataFrame, step: float) -> Box | None:
+    """The grid inside the points' box, from its four corners; None without points."""
+    corner = points.agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e")).first()
+    count = lambda a, b: int((b - a) / step + 1e-9) + 1
+    return None if corner.s is None else Box(corner.s, corner.w, count(corner.s, corner.n), count(corner.w, corner.e), step)
+
+
 def target_grid(points: DataFrame, step: float) -> DataFrame:
-    """Nodes (ty, tx) of a regular grid inside the points' box; made from its four corners."""
-    corner = points.agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e")).where("s IS NOT NULL")
-    count = lambda a, b: F.floor((F.col(b) - F.col(a)) / step + 1e-9).cast("int")
-    rows = corner.withColumn("i", F.explode(F.sequence(F.lit(0), count("s", "n")))).withColumn("j", F.explode(F.sequence(F.lit(0), count("w", "e"))))
-    return rows.select((F.col("s") + F.col("i") * step).alias("ty"), (F.col("w") + F.col("j") * step).alias("tx"))
+    """Nodes (ty, tx) of a regular grid inside the points' box; all tasks make their share of them."""
+    return nodes_of(points, box_of(points, step)).select("ty", "tx")
+
+
+def nodes_of(points: DataFrame, box: Box | None) -> DataFrame:
+    """Row, column, ty and tx of every node of `box`."""
+    n = box.rows * box.columns if box else 0
+    south, west, _, columns, step = box or Box(0.0, 0.0, 0, 1, 1.0)
+    at = points.sparkSession.range(n).select((F.expr(f"id div {columns}")).alias("row"), (F.col("id") % columns).alias("column"))
+    return at.select("row", "column", (F.lit(south) + F.col("row") * step).alias("ty"), (F.lit(west) + F.col("column") * step).alias("tx"))
 
 
 def idw(points: DataFrame, radius: float = 0.75, step: float = 0.25, unit: float = 0.02) -> DataFrame:
@@ -77,27 +100,37 @@ def arrows(wind: DataFrame, spacing: float = 0.5, reach: float = 0.75) -> DataFr
     return nearest.where((F.col("p.u") != 0) & (speed >= 0.5)).select("ty", "tx", F.round(F.atan2("p.v", "p.u"), 6).alias("angle"), F.round(F.least(speed * 3, F.lit(32.0)), 6).alias("length"))
 
 
-def resample(wind: DataFrame, step: float = 0.25, ring: float = 1.0) -> DataFrame:
+def resample(wind: DataFrame, step: float = 0.25, ring: float = 1.0, box: Box | None = None) -> DataFrame:
     """u and v of the nearest vector of each node, however far: within `ring` first, in a doubled ring for the rest.
 
-    Each round is a bucketed equi-join over the nodes that are still open; rounds end when none is.
+    Each round is a bucketed equi-join over the nodes that are still open; what it found and what it left are written,
+    so that no round plans the earlier ones again. Rounds end when no node is open. Without vectors there is no row.
     """
-    done, open_ = None, target_grid(wind, step)
-    while open_.limit(1).count() and wind.limit(1).count():
+    done, open_ = [], nodes_of(wind, box or box_of(wind, step)).select("ty", "tx")
+    while open_.limit(1).count():
         got = near(open_, wind, ring).groupBy("ty", "tx").agg(F.min(F.struct("d2", "latitude", "longitude", "u", "v")).alias("p")).select("ty", "tx", "p.u", "p.v")
-        done = got if done is None else done.unionByName(got)
-        open_ = open_.join(got, ["ty", "tx"], "left_anti")
+        done.append(written(got, "resampled"))
+        open_ = written(open_.join(done[-1], ["ty", "tx"], "left_anti"), "open")
         ring *= 2
-    return done if done is not None else open_.select("ty", "tx", F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
+    out = done[0] if done else open_.select("ty", "tx", F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+STEPS, LENGTH = 120, 3.0  # of a traced line
 
 
-def trace(u: np.ndarray, v: np.ndarray, y0: float, x0: float, unit: float, steps: int = 120, length: float = 3.0) -> list[tuple[float, float]]:
-    """A line through a wind grid (rows by y, `unit` apart), in unit steps; ends at calm or at the edge."""
-    rows, cols = u.shape
+def trace(u: np.ndarray, v: np.ndarray, y0: float, x0: float, unit: float, steps: int = STEPS, length: float = LENGTH, corner: tuple[int, int] = (0, 0), shape: tuple[int, int] | None = None) -> list[tuple[float, float]]:
+    """A line through a wind grid (rows by y, `unit` apart), in unit steps; ends at calm or at the edge.
+
+    `u` and `v` may be a part of a grid of `shape`, whose first node is `corner`; it must hold all that a line reaches.
+    """
+    rows, cols = shape or u.shape
     top, right = (rows - 1) * unit, (cols - 1) * unit
     line, y, x = [(y0, x0)], y0, x0
     for _ in range(steps):
-        r, c = int(y / unit + 0.5), int(x / unit + 0.5)
+        r, c = int(y / unit + 0.5) - corner[0], int(x / unit + 0.5) - corner[1]
         a, b = u[r, c], v[r, c]
         speed = (a * a + b * b) ** 0.5
         if not speed >= 0.3:
@@ -120,34 +153,40 @@ def along(line: list[tuple[float, float]], every: float = 40.0, least: float = 1
     return list(zip(np.interp(where, at, p[:, 0]).tolist(), np.interp(where, at, p[:, 1]).tolist()))
 
 
-def streamlines(wind: DataFrame, step: float = 0.25, unit: float = 8.0, seed_every: float = 28.0, max_nodes: int = 4_000_000) -> DataFrame:
+def streamlines(wind: DataFrame, step: float = 0.25, unit: float = 8.0, seed_every: float = 28.0, tile: int = 64) -> DataFrame:
     """seed_y, seed_x, n_points, length, dots of each traced line of three points or more.
 
-    Tracing is sequential along a line and needs the wind around it, so the resampled grid goes to the tasks as one
-    array; it must have at most `max_nodes` nodes, else ValueError. Seeds are spread over tasks.
+    Tracing is sequential along a line and needs the wind around it, but a line reaches no further than its steps are
+    long. So seeds are grouped by tiles of `tile` nodes each way, and every tile gets its nodes and those of a margin
+    that wide: a group's size does not hang on the grid's. Nodes without wind are calm. Without vectors there is no line.
     """
-    grid = resample(wind, step).groupBy().agg(F.count("*").alias("n")).first().n
-    if grid > max_nodes:
-        raise ValueError(f"{grid} grid nodes; coarsen the step")
-    rows = resample(wind, step).toPandas()
-    spark = wind.sparkSession
-    ys, xs = np.sort(rows.ty.unique()), np.sort(rows.tx.unique())
-    u, v = (rows.pivot(index="ty", columns="tx", values=c).reindex(index=ys, columns=xs).fillna(0.0).to_numpy() for c in "uv")
-    shared = spark.sparkContext.broadcast((u, v))
-    top, right = (len(ys) - 1) * unit, (len(xs) - 1) * unit
-    count = lambda size: int(max(0, np.ceil((size - seed_every / 2) / seed_every)))
-    seeds = spark.range(count(top) * count(right)).select((F.floor(F.col("id") / max(1, count(right))) * seed_every + seed_every / 2).alias("y"), (F.col("id") % max(1, count(right)) * seed_every + seed_every / 2).alias("x"))
-
-    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for y, x in zip(f.y, f.x):
-                line = trace(*shared.value, y, x, unit)
-                if len(line) >= 3:
-                    out.append((y, x, len(line), 3.0 * (len(line) - 1), [{"y": a, "x": b} for a, b in along(line)]))
-            yield pd.DataFrame(out, columns=["seed_y", "seed_x", "n_points", "length", "dots"])
-
-    return seeds.mapInPandas(lines, "seed_y double, seed_x double, n_points int, length double, dots array<struct<y:double,x:double>>")
+    box = box_of(wind, step)
+    rows, columns = (box.rows, box.columns) if box else (0, 0)
+    margin = int(STEPS * LENGTH / unit) + 2
+    count = lambda n: int(max(0, np.ceil(((n - 1) * unit - seed_every / 2) / seed_every)))
+    down, across = count(rows), count(columns)
+    tile_of = lambda c: F.floor(F.floor(F.col(c) / unit + 0.5) / tile)
+    seeds = wind.sparkSession.range(down * across).select((F.floor(F.col("id") / max(1, across)) * seed_every + seed_every / 2).alias("y"), (F.col("id") % max(1, across) * seed_every + seed_every / 2).alias("x"))
+    seeds = seeds.withColumns({"ky": tile_of("y"), "kx": tile_of("x")})
+    south, west = (box.south, box.west) if box else (0.0, 0.0)
+    nodes = resample(wind, step, box=box).select(F.round((F.col("ty") - south) / step).cast("int").alias("i"), F.round((F.col("tx") - west) / step).cast("int").alias("j"), "u", "v")
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile)))
+    nodes = nodes.withColumn("ky", tiles("i")).withColumn("kx", tiles("j"))
+
+    def lines(key: tuple, here: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        first = max(0, key[0] * tile - margin), max(0, key[1] * tile - margin)
+        size = tuple(min(n, (k + 1) * tile + margin + 1) - f for n, k, f in zip((rows, columns), key, first))
+        u, v = np.zeros(size), np.zeros(size)
+        i, j = around.i.to_numpy() - first[0], around.j.to_numpy() - first[1]
+        u[i, j], v[i, j] = around.u, around.v
+        out = []
+        for y, x in zip(here.y, here.x):
+            line = trace(u, v, y, x, unit, corner=first, shape=(rows, columns))
+            if len(line) >= 3:
+                out.append((y, x, len(line), LENGTH * (len(line) - 1), [{"y": a, "x": b} for a, b in along(line)]))
+        return pd.DataFrame(out, columns=["seed_y", "seed_x", "n_points", "length", "dots"])
+
+    return seeds.groupBy("ky", "kx").cogroup(nodes.groupBy("ky", "kx")).applyInPandas(lines, "seed_y double, seed_x double, n_points int, length double, dots array<struct<y:double,x:double>>")
 
 
 def regrid(points: DataFrame, keys: list[str], value: str = "value", per_degree: int = 2) -> DataFrame:

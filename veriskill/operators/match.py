@@ -69,19 +69,20 @@ def snapped_pairs(stats: DataFrame, observed: DataFrame, obs: str, per_degree: i
 def window_pairs(forecast: DataFrame, observed: DataFrame, accum: Column, keys: tuple[str, ...] = ("latitude", "longitude"), divide: Column | None = None) -> DataFrame:
     """`forecast` rows with mean_rate, std_rate, obs_rate and n_obs: hourly observations of (valid - accum, valid].
 
-    `forecast` has initialization_time, mean_value and std_dev; `observed` has obs_time, value and the keys. Each
-    forecast row is exploded into its few hours, so that the window becomes an equi-join; at least one hour must be
-    there. Coordinates join by integer cell keys of a hundredth of a degree.
+    `forecast` has initialization_time, mean_value and std_dev; `observed` has obs_time, value and the keys. The
+    different windows of the forecasts are exploded into their few hours, so that a window becomes an equi-join and a
+    sum, and come back to the forecast rows by (cell, end, length): each row stays a row, repeated ones too. At least
+    one hour must be there. Coordinates join by integer cell keys of a hundredth of a degree.
     """
     fine = {f"__{k}": E.cell(F.col(k), 100) for k in keys}
     hourly = observed.withColumns(fine).groupBy("obs_time", *fine).agg(F.avg("value").alias("__o"))
-    rows = forecast.where("mean_value IS NOT NULL AND std_dev IS NOT NULL").withColumns(fine).withColumn("__accum", accum.cast("int"))
+    rows = forecast.where("mean_value IS NOT NULL AND std_dev IS NOT NULL").withColumns(fine).withColumns({"__accum": accum.cast("int"), "__end": E.valid_time("initialization_time", "forecast_hour")})
+    window = ["__end", "__accum", *fine]
+    hours = rows.select(*window).distinct().withColumn("__back", F.explode(F.sequence(F.lit(0), F.col("__accum") - 1))).withColumn("obs_time", F.expr("timestampadd(HOUR, -__back, __end)"))
+    met = hours.join(hourly, ["obs_time", *fine]).groupBy(*window).agg(F.avg("__o").alias("obs_rate"), F.count("*").alias("n_obs"))
     by = divide if divide is not None else F.col("__accum")
     rows = rows.withColumns({"mean_rate": F.col("mean_value") / by, "std_rate": F.col("std_dev") / by})
-    hours = rows.withColumn("__back", F.explode(F.sequence(F.lit(0), F.col("__accum") - 1))).withColumn("obs_time", F.expr("timestampadd(HOUR, forecast_hour - __back, initialization_time)"))
-    met = hours.join(hourly, ["obs_time", *fine])
-    same = [c for c in forecast.columns] + ["mean_rate", "std_rate"]
-    return met.groupBy(*same).agg(F.avg("__o").alias("obs_rate"), F.count("*").alias("n_obs"))
+    return rows.join(met, window).select(*forecast.columns, "mean_rate", "std_rate", "obs_rate", "n_obs")
 
 
 def with_default(mean: DataFrame, std: DataFrame, keys: list[str]) -> DataFrame:

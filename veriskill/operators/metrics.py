@@ -1,13 +1,15 @@
 """Verification metrics: named lists of aggregate columns with a guard, all computable in one aggregate over pairs.
 
-Pairs have mean_rate (m), std_rate (s) and obs_rate (o). `METRICS` is the extension point: a metric is registered by
-adding an entry.
+Pairs have mean_rate (m), std_rate (s) and obs_rate (o). Two registries are the extension points: `METRICS` holds the
+aggregates over window pairs, `SPATIAL` every spatial metric by name, whatever pairs it is taken from. Results are
+rounded at their edges, halves to even.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +72,7 @@ METRICS: dict[str, Metric] = {
 
 def score(pairs: DataFrame, names: list[str], limit: float, by: tuple[str, ...] = ("model_name", "latitude", "longitude")) -> DataFrame:
     """All of `names` for each group in one aggregate; null where a metric's guard does not hold."""
-    return pairs.groupBy(*by).agg(*(F.when(METRICS[n].guard(limit), F.round(METRICS[n].value(limit), METRICS[n].places)).alias(n) for n in names))
+    return pairs.groupBy(*by).agg(*(F.when(METRICS[n].guard(limit), F.bround(METRICS[n].value(limit), METRICS[n].places)).alias(n) for n in names))
 
 
 def spatial(pairs: DataFrame, name: str, limit: float) -> DataFrame:
@@ -89,36 +91,74 @@ def pearson(x: str, y: str) -> Column:
 def single_hour_ssr(pairs: DataFrame, hour: int) -> DataFrame:
     """std^2 / error^2 of snapped pairs at one lead hour, raw units; cells without error go."""
     err = (F.col("mean_value") - F.col("obs")) * (F.col("mean_value") - F.col("obs"))
-    return pairs.where(F.col("forecast_hour") == hour).withColumn("e2", err).where(F.col("e2") > E.NEAR_ZERO).select("model_name", "latitude", "longitude", F.round(F.col("std_dev") * F.col("std_dev") / F.col("e2"), 4).alias("value"))
+    return pairs.where(F.col("forecast_hour") == hour).withColumn("e2", err).where(F.col("e2") > E.NEAR_ZERO).select("model_name", "latitude", "longitude", F.bround(F.col("std_dev") * F.col("std_dev") / F.col("e2"), 4).alias("value"))
 
 
-def spread_error_correlation(pairs: DataFrame) -> DataFrame:
-    """Correlation of spread and absolute error over the fixed lead hours, for each snapped cell."""
+def spread_error_correlation(pairs: DataFrame, hours: DataFrame | None = None) -> DataFrame:
+    """Correlation of spread and absolute error over the fixed lead hours, for each snapped cell.
+
+    With `hours` (model_name, forecast_hour that have both forecasts and observations), n_hours counts a model's.
+    """
     rows = pairs.where(F.col("forecast_hour").isin(*E.CORRELATION_HOURS)).withColumn("err", F.abs(F.col("mean_value") - F.col("obs")))
     place = F.min_by(F.struct("latitude", "longitude"), "forecast_hour")
-    return rows.groupBy("model_name", "cy", "cx").agg(place.alias("p"), F.round(pearson("std_dev", "err"), 4).alias("value")).where("value IS NOT NULL").select("model_name", "p.latitude", "p.longitude", "value")
+    out = rows.groupBy("model_name", "cy", "cx").agg(place.alias("p"), F.bround(pearson("std_dev", "err"), 4).alias("value")).where("value IS NOT NULL").select("model_name", "p.latitude", "p.longitude", "value")
+    if hours is None:
+        return out
+    counted = hours.where(F.col("forecast_hour").isin(*E.CORRELATION_HOURS)).groupBy("model_name").agg(F.count_distinct("forecast_hour").alias("n_hours"))
+    return out.join(F.broadcast(counted), "model_name", "left")  # a row for each model
+
+
+class Inputs(NamedTuple):
+    """What spatial metrics are taken from: window pairs, snapped pairs, a threshold and a lead hour."""
+
+    window: DataFrame
+    snapped: DataFrame
+    limit: float
+    hour: int
+
+
+#: Every spatial metric by name: (model_name, latitude, longitude, value) of its cells.
+SPATIAL: dict[str, Callable[[Inputs], DataFrame]] = {
+    "ssr": lambda x: single_hour_ssr(x.snapped, x.hour),
+    "correlation": lambda x: spread_error_correlation(x.snapped),
+    **{name: lambda x, name=name: spatial(x.window, name, x.limit) for name in METRICS},
+}
+
+
+def counts(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFrame:
+    """Sums for each group, from which `scored` makes scores; those of several groups may be added up."""
+    event = lambda c: F.sum((F.col(c) > limit).cast("long"))
+    return pairs.groupBy(*by).agg(F.count("*").alias("n_pts"), hits(limit).alias("hits"), misses(limit).alias("misses"), false_alarms(limit).alias("false_alarms"), correct_negatives(limit).alias("correct_neg"), F.sum(brier_term(limit)).alias("brier_sum"), event("mean_rate").alias("f_sum"), event("obs_rate").alias("o_sum"))
+
+
+SUMS = ("n_pts", "hits", "misses", "false_alarms", "correct_neg", "brier_sum", "f_sum", "o_sum")
+
+
+def scored(sums: DataFrame) -> DataFrame:
+    """Counts, ratios, Brier score, event shares and whole-domain fractions skill of the groups of `counts`."""
+    out = sums.withColumns({"brier_score": F.bround(F.col("brier_sum") / F.col("n_pts"), 6), "f": F.col("f_sum") / F.col("n_pts"), "o": F.col("o_sum") / F.col("n_pts")})
+    out = with_ratios(out).withColumn("fss", fractions_skill("f", "o"))
+    return out.withColumn("fcst_frac", F.bround("f", 4)).withColumn("obs_frac", F.bround("o", 4)).drop("f", "o", "brier_sum", "f_sum", "o_sum")
 
 
 def contingency(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFrame:
     """Counts, ratios, Brier score, event shares and whole-domain fractions skill for each group."""
-    share = lambda c: F.avg((F.col(c) > limit).cast("double"))
-    out = pairs.groupBy(*by).agg(F.count("*").alias("n_pts"), hits(limit).alias("hits"), misses(limit).alias("misses"), false_alarms(limit).alias("false_alarms"), correct_negatives(limit).alias("correct_neg"), F.round(F.avg(brier_term(limit)), 6).alias("brier_score"), share("mean_rate").alias("f"), share("obs_rate").alias("o"))
-    return with_ratios(out).withColumn("fss", fractions_skill("f", "o")).withColumn("fcst_frac", F.round("f", 4)).withColumn("obs_frac", F.round("o", 4)).drop("f", "o")
+    return scored(counts(pairs, limit, by))
 
 
 def fractions_skill(f: str, o: str) -> Column:
     f, o = F.col(f), F.col(o)
     low = (f * f + o * o) * 0.5
-    return F.when(low <= E.NEAR_ZERO, 1.0).otherwise(F.round(1 - F.try_divide((f - o) * (f - o), low), 4))
+    return F.when(low <= E.NEAR_ZERO, 1.0).otherwise(F.bround(1 - F.try_divide((f - o) * (f - o), low), 4))
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
     h, m, fa = F.col("hits"), F.col("misses"), F.col("false_alarms")
-    return counts.withColumns({"csi": F.round(ratio(h, h + m + fa), 4), "pod": F.round(ratio(h, h + m), 4), "far": F.round(ratio(fa, h + fa), 4), "fbi": F.round(ratio(h + fa, h + m), 4)})
+    return counts.withColumns({"csi": F.bround(ratio(h, h + m + fa), 4), "pod": F.bround(ratio(h, h + m), 4), "far": F.bround(ratio(fa, h + fa), 4), "fbi": F.bround(ratio(h + fa, h + m), 4)})
 
 
 def composite(csi: str = "csi", pod: str = "pod", far: str = "far", fss: str | None = None) -> Column:
     """Weighted confidence of rounded ratios; null where any is null."""
     if fss is None:
-        return F.round((0.40 * F.col(csi) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far))) / 0.70, 4)
-    return F.round(0.40 * F.col(csi) + 0.30 * F.col(fss) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far)), 4)
+        return F.bround((0.40 * F.col(csi) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far))) / 0.70, 4)
+    return F.bround(0.40 * F.col(csi) + 0.30 * F.col(fss) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far)), 4)

@@ -14,13 +14,14 @@ from veriskill.operators import grid as G
 from veriskill.operators import match as J
 from veriskill.operators import metrics as M
 from veriskill.plans import canonical as C
+from veriskill.scratch import scratch_path
 from veriskill.sources import gridfiles as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODELS3 = ["AIFS", "GEFS", "UKMO"]
-BOX = (25.0, 26.0, -85.0, -84.0)
+BOX = (25.0, 45.0, -85.0, -65.0)  # the domain's default, which holds all cells
 POINT, RADIUS = (25.5, -84.5), 0.5
 LIMIT = E.threshold("precipitation")
 POLYGON = [(24.9, -85.2), (26.2, -85.1), (25.4, -83.8)]
@@ -56,7 +57,7 @@ class Frames:
 
     def observations(self, variable: str = "precipitation") -> DataFrame:
         column = "precipitation" if variable == "precipitation" else "wind_speed"
-        return self.observed.groupBy("obs_time", "latitude", "longitude").agg(F.round(F.avg(column), 10).alias("value"))
+        return self.observed.groupBy("obs_time", "latitude", "longitude").agg(F.bround(F.avg(column), 10).alias("value"))
 
     def pairs(self, variable_id: int = 1, variable: str = "precipitation", divide: bool = True) -> DataFrame:
         """Window pairs in the box, all lead hours."""
@@ -75,7 +76,7 @@ def _pairs_sql(variable_id: int = 1, obs: str = "p", divide: str = "l.accum_h")
     return f"""{C.SQL}, {_LATEST},
 fc AS (SELECT l.model_name, l.accum_h, l.initialization_time, s.forecast_hour, s.latitude, s.longitude, s.mean_value, s.std_dev, s.mean_value / {divide} AS m, s.std_dev / {divide} AS s
   FROM ensemble_statistics s JOIN latest l USING (run_id) WHERE s.variable_id = {variable_id} AND s.mean_value IS NOT NULL AND s.std_dev IS NOT NULL AND s.latitude BETWEEN {BOX[0]} AND {BOX[1]} AND s.longitude BETWEEN {BOX[2]} AND {BOX[3]}),
-pairs AS (SELECT f.model_name, f.forecast_hour, f.latitude, f.longitude, f.mean_value, f.std_dev, f.m, f.s, avg(o.{obs}) AS o, count(*) AS n_obs
+pairs AS (SELECT f.model_name, f.accum_h, f.forecast_hour, f.latitude, f.longitude, f.mean_value, f.std_dev, f.m, f.s, avg(o.{obs}) AS o, count(*) AS n_obs
   FROM fc f JOIN obs_mean o ON o.latitude = f.latitude AND o.longitude = f.longitude AND o.obs_time <= f.initialization_time + f.forecast_hour * INTERVAL 1 HOUR AND o.obs_time > f.initialization_time + (f.forecast_hour - f.accum_h) * INTERVAL 1 HOUR GROUP BY ALL)"""
 
 
@@ -83,28 +84,34 @@ def query(name: str, sql: str | None = None, six: tuple[str, ...] = ()):
     """Registers a query; the columns `six`, raw means otherwise, are rounded to six places on both sides."""
 
     def add(f: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Frames(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in six})
+        QUERIES[name] = lambda spark, sf_dir: f(Frames(spark, sf_dir)).withColumns({c: F.bround(c, 6) for c in six})
         if sql is not None:
-            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in six)}) FROM ({sql})" if six else sql
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'round_even({c}, 6) AS {c}' for c in six)}) FROM ({sql})" if six else sql
         return f
 
     return add
 
 
+#: The standard normal law of the twins, by its power series; the library's own form is a rational one.
+_DENSITY = "exp(-({0})*({0})/2) / sqrt(2 * pi())"
+_LAW = f"CASE WHEN ({{0}}) > 12 THEN 1e0 WHEN ({{0}}) < -12 THEN 0e0 WHEN ({{0}}) = 0 THEN 0.5e0 ELSE 0.5e0 + sign({{0}}) * {_DENSITY} * list_sum(list_transform(range(0, 320), lambda k: exp((2 * k + 1) * ln(abs({{0}})) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END"
+_Z = "(o - m) / nullif(s, 0)"
+_CRPS = f"(CASE WHEN s <= 1e-10 THEN abs(m - o) ELSE s * ({_Z} * (2 * ({_LAW.format(_Z)}) - 1) + 2 * {_DENSITY.format(_Z)} - 1 / sqrt(pi())) END)"
+
 _T = f"{LIMIT!r}::DOUBLE"
 _H, _MI, _FA, _CN = (f"count(*) FILTER (WHERE m {a} {_T} AND o {b} {_T})" for a, b in ((">", ">"), ("<=", ">"), (">", "<="), ("<=", "<=")))
-_P = E.event_probability_sql("m", "s", f"{LIMIT!r}E0")
+_P = f"(CASE WHEN s <= 1e-10 THEN CASE WHEN m > {_T} THEN 1e0 ELSE 0e0 END ELSE {_LAW.format(f'((m - {_T}) / nullif(s, 0))')} END)"
 _BRIER = f"avg(({_P} - CASE WHEN o > {_T} THEN 1e0 ELSE 0e0 END) ** 2)"
 _SPATIAL = {
-    "ssr_agg": ("round(avg(s*s) / avg((m-o)*(m-o)), 4)", "count(*) >= 2 AND avg((m-o)*(m-o)) > 1e-10"),
-    "bias": ("round(avg(m-o), 4)", "count(*) >= 1"),
-    "mae": ("round(avg(abs(m-o)), 4)", "count(*) >= 1"),
-    "rmse": ("round(sqrt(avg((m-o)*(m-o))), 4)", "count(*) >= 1"),
-    "crps": (f"round(avg({E.crps_sql('m', 's', 'o')}), 4)", "count(*) >= 1"),
-    "csi": (f"round({_H} / ({_H} + {_MI} + {_FA}), 4)", f"{_H} + {_MI} + {_FA} > 0"),
-    "pod": (f"round({_H} / ({_H} + {_MI}), 4)", f"{_H} + {_MI} > 0"),
-    "far": (f"round({_FA} / ({_H} + {_FA}), 4)", f"{_H} + {_FA} > 0"),
-    "brier": (f"round({_BRIER}, 6)", "count(*) >= 1"),
+    "ssr_agg": ("round_even(avg(s*s) / avg((m-o)*(m-o)), 4)", "count(*) >= 2 AND avg((m-o)*(m-o)) > 1e-10"),
+    "bias": ("round_even(avg(m-o), 4)", "count(*) >= 1"),
+    "mae": ("round_even(avg(abs(m-o)), 4)", "count(*) >= 1"),
+    "rmse": ("round_even(sqrt(avg((m-o)*(m-o))), 4)", "count(*) >= 1"),
+    "crps": (f"round_even(avg(greatest({_CRPS}, 0)), 4)", "count(*) >= 1"),
+    "csi": (f"round_even({_H} / ({_H} + {_MI} + {_FA}), 4)", f"{_H} + {_MI} + {_FA} > 0"),
+    "pod": (f"round_even({_H} / ({_H} + {_MI}), 4)", f"{_H} + {_MI} > 0"),
+    "far": (f"round_even({_FA} / ({_H} + {_FA}), 4)", f"{_H} + {_FA} > 0"),
+    "brier": (f"round_even({_BRIER}, 6)", "count(*) >= 1"),
 }
 for _k, (_name, (_value, _guard)) in zip(("02", "04", "05", "06", "07", "08", "09", "10", "11"), _SPATIAL.items()):
     query(f"met{_k}_{_name}", f"{_pairs_sql()} SELECT model_name, latitude, longitude, {_value} AS value FROM pairs GROUP BY ALL HAVING {_guard}")(lambda f, n=_name: M.spatial(f.pairs(), n, LIMIT))
@@ -180,9 +187,9 @@ def _hours(f: Frames) -> DataFrame:
     return f.data.where(F.col("forecast_hour").between(12, 48)).groupBy("run_id", "forecast_hour").agg(F.count("*").alias("n_rows"))
 
 
-@query("flt03_radius", f"{C.SQL} SELECT * REPLACE (round(value, 6) AS value) FROM forecast_data WHERE abs(latitude - 25.4) <= 0.3 AND abs(longitude + 84.6) <= 0.3 AND variable_id = 1")
+@query("flt03_radius", f"{C.SQL} SELECT * REPLACE (round_even(value, 6) AS value) FROM forecast_data WHERE abs(latitude - 25.4) <= 0.3 AND abs(longitude + 84.6) <= 0.3 AND variable_id = 1")
 def _radius(f: Frames) -> DataFrame:
-    return f.data.where(J.in_radius(F.col("latitude"), F.col("longitude"), 25.4, -84.6, 0.3) & (F.col("variable_id") == 1)).withColumn("value", F.round("value", 6))
+    return f.data.where(J.in_radius(F.col("latitude"), F.col("longitude"), 25.4, -84.6, 0.3) & (F.col("variable_id") == 1)).withColumn("value", F.bround("value", 6))
 
 
 @query("flt04_null_filters", f"{C.SQL} SELECT run_id, count(*) AS n_rows, count(*) FILTER (WHERE std_dev IS NOT NULL) AS n_std FROM ensemble_statistics WHERE mean_value IS NOT NULL GROUP BY ALL")
@@ -227,18 +234,18 @@ def wind_field(f: Frames) -> DataFrame:
     return J.wind_components(f.stats, _FIELD, value="mean_value")
 
 
-@query("fn02_wind_speed_direction", f"{C.SQL}, {_WIND} SELECT run_id, forecast_hour, latitude, longitude, round(sqrt(u*u+v*v), 2) AS speed, round((degrees(atan2(u, v)) + 180) % 360, 1) AS direction FROM wind WHERE forecast_hour = 24")
+@query("fn02_wind_speed_direction", f"{C.SQL}, {_WIND} SELECT run_id, forecast_hour, latitude, longitude, round_even(sqrt(u*u+v*v), 2) AS speed, round_even((degrees(atan2(u, v)) + 180) % 360, 1) AS direction FROM wind")
 def _speed(f: Frames) -> DataFrame:
-    return wind_field(f).where("forecast_hour = 24").select(*_FIELD, F.round(E.wind_speed(F.col("u"), F.col("v")), 2).alias("speed"), F.round(E.wind_direction(F.col("u"), F.col("v")), 1).alias("direction"))
+    return wind_field(f).select(*_FIELD, F.bround(E.wind_speed(F.col("u"), F.col("v")), 2).alias("speed"), F.bround(E.wind_direction(F.col("u"), F.col("v")), 1).alias("direction"))
 
 
-@query("fn04_unit_rate", f"{C.SQL} SELECT model_name, forecast_hour, latitude, longitude, round(mean_value / accum_h, 7) AS rate FROM regridded_forecast JOIN models USING (model_name) WHERE variable_name = 'precipitation'")
+@query("fn04_unit_rate", f"{C.SQL} SELECT model_name, forecast_hour, latitude, longitude, round_even(mean_value / accum_h, 7) AS rate FROM regridded_forecast JOIN models USING (model_name) WHERE variable_name = 'precipitation'")
 def _rate(f: Frames) -> DataFrame:
     rows = C.regridded_forecast(f.spark, f.stats).where("variable_name = 'precipitation'")
-    return rows.select("model_name", "forecast_hour", "latitude", "longitude", F.round(F.col("mean_value") / E.accum_hours(F.col("model_name")), 7).alias("rate"))
+    return rows.select("model_name", "forecast_hour", "latitude", "longitude", F.bround(F.col("mean_value") / E.accum_hours(F.col("model_name")), 7).alias("rate"))
 
 
-@query("fn05_threshold", "SELECT * FROM (VALUES ('precipitation', round(25e0 / 6, 6)), ('wind', 10e0)) t(variable, threshold)")
+@query("fn05_threshold", "SELECT * FROM (VALUES ('precipitation', round_even(25e0 / 6, 6)), ('wind', 10e0)) t(variable, threshold)")
 def _threshold(f: Frames) -> DataFrame:
     return f.spark.createDataFrame([(v, round(E.threshold(v), 6)) for v in ("precipitation", "wind")], "variable string, threshold double")
 
@@ -253,14 +260,14 @@ def _cells(f: Frames) -> DataFrame:
     return f.spark.read.parquet(f"{f.sf}/supplier.parquet").select("s_suppkey", E.cell(F.col("s_acctbal") / 1000, 4).alias("quarter"), E.cell(F.col("s_acctbal") / 1000, 2).alias("half"))
 
 
-@query("fn09_normal_law", f"SELECT s_suppkey, round({E.normal_cdf_sql('s_acctbal/1500')}, 10) AS cdf, round({E.normal_pdf_sql('s_acctbal/1500')}, 10) AS pdf FROM supplier")
+@query("fn09_normal_law", f"SELECT s_suppkey, round_even({_LAW.format('(s_acctbal/1500)')}, 10) AS cdf, round_even({_DENSITY.format('(s_acctbal/1500)')}, 10) AS pdf FROM supplier")
 def _normal(f: Frames) -> DataFrame:
-    return f.spark.read.parquet(f"{f.sf}/supplier.parquet").select("s_suppkey", F.round(F.expr(E.normal_cdf_sql("s_acctbal/1500")), 10).alias("cdf"), F.round(F.expr(E.normal_pdf_sql("s_acctbal/1500")), 10).alias("pdf"))
+    return f.spark.read.parquet(f"{f.sf}/supplier.parquet").select("s_suppkey", F.bround(F.expr(E.normal_cdf_sql("s_acctbal/1500")), 10).alias("cdf"), F.bround(F.expr(E.normal_pdf_sql("s_acctbal/1500")), 10).alias("pdf"))
 
 
-@query("fn10_event_probability", f"{_pairs_sql()} SELECT model_name, forecast_hour, latitude, longitude, round({_P}, 6) AS p FROM pairs")
+@query("fn10_event_probability", f"{_pairs_sql()} SELECT model_name, forecast_hour, latitude, longitude, round_even({_P}, 6) AS p FROM pairs")
 def _probability(f: Frames) -> DataFrame:
-    return f.pairs().select("model_name", "forecast_hour", "latitude", "longitude", F.round(F.expr(E.event_probability_sql("mean_rate", "std_rate", f"{LIMIT!r}E0")), 6).alias("p"))
+    return f.pairs().select("model_name", "forecast_hour", "latitude", "longitude", F.bround(F.expr(E.event_probability_sql("mean_rate", "std_rate", f"{LIMIT!r}E0")), 6).alias("p"))
 
 
 @query("fn11_date_label", f"{C.SQL} SELECT DISTINCT forecast_hour, strftime(TIMESTAMP '2025-09-08' + forecast_hour * INTERVAL 1 HOUR, '%a, %-m/%-d') AS label FROM forecast_data")
@@ -269,10 +276,10 @@ def _label(f: Frames) -> DataFrame:
     return f.data.select("forecast_hour").distinct().select("forecast_hour", F.date_format(at, "E, M/d").alias("label"))
 
 
-@query("fn12_cone", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, round(greatest(0, mean_value - std_dev), 9) AS lower1, round(mean_value + std_dev, 9) AS upper1, round(greatest(0, mean_value - 2 * std_dev), 9) AS lower2, round(mean_value + 2 * std_dev, 9) AS upper2 FROM ensemble_statistics WHERE variable_id = 1 AND std_dev IS NOT NULL")
+@query("fn12_cone", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, round_even(greatest(0, mean_value - std_dev), 7) AS lower1, round_even(mean_value + std_dev, 7) AS upper1, round_even(greatest(0, mean_value - 2 * std_dev), 7) AS lower2, round_even(mean_value + 2 * std_dev, 7) AS upper2 FROM ensemble_statistics WHERE variable_id = 1 AND std_dev IS NOT NULL")
 def _cone(f: Frames) -> DataFrame:
     rows = f.stats.where("variable_id = 1 AND std_dev IS NOT NULL")
-    return rows.select(*_FIELD, *(F.round(c, 9).alias(n) for n, c in E.cone(F.col("mean_value"), F.col("std_dev")).items()))
+    return rows.select(*_FIELD, *(F.bround(c, 7).alias(n) for n, c in E.cone(F.col("mean_value"), F.col("std_dev")).items()))
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------
@@ -291,9 +298,9 @@ def member_wind(f: Frames) -> DataFrame:
     return both.withColumn("speed", E.wind_speed(F.col("u"), F.col("v")))
 
 
-@query("jn02_wind_members", f"{C.SQL}, {_MEMBER_WIND} SELECT run_id, forecast_hour, ensemble_member, latitude, longitude, round(speed, 4) AS speed FROM mw WHERE forecast_hour = 12")
+@query("jn02_wind_members", f"{C.SQL}, {_MEMBER_WIND} SELECT run_id, forecast_hour, ensemble_member, latitude, longitude, round_even(speed, 4) AS speed FROM mw")
 def _wind_members(f: Frames) -> DataFrame:
-    return member_wind(f).where("forecast_hour = 12").select("run_id", "forecast_hour", "ensemble_member", "latitude", "longitude", F.round("speed", 4).alias("speed"))
+    return member_wind(f).select("run_id", "forecast_hour", "ensemble_member", "latitude", "longitude", F.bround("speed", 4).alias("speed"))
 
 
 @query("jn03_runs_models", f"{C.SQL} SELECT run_id, model_name, ensemble_count, initialization_time FROM forecast_runs JOIN models USING (model_id)")
@@ -301,9 +308,9 @@ def _runs_models(f: Frames) -> DataFrame:
     return f.runs.join(F.broadcast(f.models), "model_id").select("run_id", "model_name", "ensemble_count", "initialization_time")
 
 
-@query("jn04_latest_forecast", f"{C.SQL}, {_LATEST} SELECT rf.model_name, rf.forecast_hour, rf.latitude, rf.longitude, rf.mean_value, rf.std_dev, l.initialization_time FROM regridded_forecast rf JOIN models USING (model_name) JOIN latest l ON l.model_name = rf.model_name WHERE variable_name = 'precipitation' AND forecast_hour <= 24", six=('mean_value', 'std_dev'))
+@query("jn04_latest_forecast", f"{C.SQL}, {_LATEST} SELECT rf.model_name, rf.forecast_hour, rf.latitude, rf.longitude, rf.mean_value, rf.std_dev, l.initialization_time FROM regridded_forecast rf JOIN models USING (model_name) JOIN latest l ON l.model_name = rf.model_name WHERE variable_name = 'precipitation'", six=('mean_value', 'std_dev'))
 def _latest_forecast(f: Frames) -> DataFrame:
-    rows = C.regridded_forecast(f.spark, f.stats).where("variable_name = 'precipitation' AND forecast_hour <= 24")
+    rows = C.regridded_forecast(f.spark, f.stats).where("variable_name = 'precipitation'")
     return rows.join(f.latest.select("model_name", "initialization_time"), "model_name").select("model_name", "forecast_hour", "latitude", "longitude", "mean_value", "std_dev", "initialization_time")
 
 
@@ -314,7 +321,7 @@ def _verified(f: Frames) -> DataFrame:
 
 
 _SNAP = f"""{C.SQL}, {_LATEST},
-seen AS (SELECT obs_time, CAST(round_even(latitude * 4, 0) AS INTEGER) AS cy, CAST(round_even(longitude * 4, 0) AS INTEGER) AS cx, round(avg(precipitation), 10) AS obs FROM observation_data WHERE precipitation IS NOT NULL GROUP BY ALL),
+seen AS (SELECT obs_time, CAST(round_even(latitude * 4, 0) AS INTEGER) AS cy, CAST(round_even(longitude * 4, 0) AS INTEGER) AS cx, round_even(avg(precipitation), 10) AS obs FROM observation_data WHERE precipitation IS NOT NULL GROUP BY ALL),
 snap AS (SELECT l.model_name, s.forecast_hour, s.latitude, s.longitude, s.mean_value, s.std_dev, o.obs FROM ensemble_statistics s JOIN latest l USING (run_id) JOIN seen o ON o.obs_time = l.initialization_time + s.forecast_hour * INTERVAL 1 HOUR AND o.cy = round_even(s.latitude * 4, 0) AND o.cx = round_even(s.longitude * 4, 0) WHERE s.variable_id = 1 AND s.std_dev IS NOT NULL)"""
 
 
@@ -327,9 +334,9 @@ def _snapped(f: Frames) -> DataFrame:
     return snapped(f).drop("cy", "cx")
 
 
-@query("jn07_window_pairs", f"{_pairs_sql()} SELECT model_name, forecast_hour, latitude, longitude, round(m, 7) AS mean_rate, round(s, 7) AS std_rate, round(o, 7) AS obs_rate, n_obs FROM pairs")
+@query("jn07_window_pairs", f"{_pairs_sql()} SELECT model_name, forecast_hour, latitude, longitude, round_even(m, 7) AS mean_rate, round_even(s, 7) AS std_rate, round_even(o, 7) AS obs_rate, n_obs FROM pairs")
 def _pairs(f: Frames) -> DataFrame:
-    return f.pairs().select("model_name", "forecast_hour", "latitude", "longitude", *(F.round(c, 7).alias(c) for c in ("mean_rate", "std_rate", "obs_rate")), "n_obs")
+    return f.pairs().select("model_name", "forecast_hour", "latitude", "longitude", *(F.bround(c, 7).alias(c) for c in ("mean_rate", "std_rate", "obs_rate")), "n_obs")
 
 
 @query("jn09_left_default", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, mean_value, coalesce(std_dev, 0) AS std_dev FROM ensemble_statistics WHERE variable_id = 1", six=('mean_value', 'std_dev'))
@@ -340,7 +347,7 @@ def _left(f: Frames) -> DataFrame:
 
 # -- aggregates ------------------------------------------------------------------------------------------------------
 
-_SERIES = "round(coalesce(avg(x), 0), 7) AS mean, round(coalesce(stddev_samp(x), 0), 7) AS std, round(coalesce(min(x), 0), 7) AS min, round(coalesce(max(x), 0), 7) AS max, " + ", ".join(f"round(coalesce(quantile_cont(x, {q}), 0), 7) AS p{round(q * 100)}" for q in A.PERCENTILES)
+_SERIES = "round_even(coalesce(avg(x), 0), 7) AS mean, round_even(coalesce(stddev_samp(x), 0), 7) AS std, round_even(coalesce(min(x), 0), 7) AS min, round_even(coalesce(max(x), 0), 7) AS max, " + ", ".join(f"round_even(coalesce(quantile_cont(x, {q}), 0), 7) AS p{round(q * 100)}" for q in A.PERCENTILES)
 _NEAR = f"abs(latitude - {POINT[0]}) <= {RADIUS} AND abs(longitude - {POINT[1]}) <= {RADIUS}"
 
 
@@ -363,27 +370,27 @@ def _obs_cells(f: Frames) -> DataFrame:
     return f.observations()
 
 
-@query("agg04_obs_time_mean", f"{C.SQL} SELECT obs_time, round(avg(p), 6) AS value FROM obs_mean WHERE abs(latitude - 25.5) <= 0.26 AND abs(longitude + 84.5) <= 0.26 GROUP BY ALL")
+@query("agg04_obs_time_mean", f"{C.SQL} SELECT obs_time, round_even(avg(p), 6) AS value FROM obs_mean WHERE abs(latitude - 25.5) <= 0.26 AND abs(longitude + 84.5) <= 0.26 GROUP BY ALL")
 def _obs_times(f: Frames) -> DataFrame:
-    return f.point(f.observations()).groupBy("obs_time").agg(F.round(F.avg("value"), 6).alias("value"))
+    return f.point(f.observations()).groupBy("obs_time").agg(F.bround(F.avg("value"), 6).alias("value"))
 
 
 def point_obs(f: Frames, column: str = "precipitation") -> DataFrame:
-    return at_point(f.observed).where(F.col(column).isNotNull()).groupBy("obs_time").agg(F.round(F.avg(column), 10).alias("obs"))
+    return at_point(f.observed).where(F.col(column).isNotNull()).groupBy("obs_time").agg(F.bround(F.avg(column), 10).alias("obs"))
 
 
-@query("agg05_obs_point_mean", f"{C.SQL} SELECT obs_time, round(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL", six=('obs',))
+@query("agg05_obs_point_mean", f"{C.SQL} SELECT obs_time, round_even(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL", six=('obs',))
 def _obs_point(f: Frames) -> DataFrame:
     return point_obs(f)
 
 
-@query("agg06_spread", f"{C.SQL}, {_LATEST} SELECT model_name, forecast_hour, round(var_pop(value / accum_h), 6) AS variance, round(stddev_pop(value / accum_h), 6) AS spread, round(avg(value / accum_h), 6) AS mean, count(*) AS n_members FROM forecast_data JOIN latest USING (run_id) WHERE variable_id = 1 AND {_NEAR} GROUP BY ALL")
+@query("agg06_spread", f"{C.SQL}, {_LATEST} SELECT model_name, forecast_hour, round_even(var_pop(value / accum_h), 6) AS variance, round_even(stddev_pop(value / accum_h), 6) AS spread, round_even(avg(value / accum_h), 6) AS mean, count(*) AS n_members FROM forecast_data JOIN latest USING (run_id) WHERE variable_id = 1 AND {_NEAR} GROUP BY ALL")
 def _spread(f: Frames) -> DataFrame:
     x = F.col("value") / E.accum_hours(F.col("model_name"))
-    return at_point(f.timed(1, f.data)).groupBy("model_name", "forecast_hour").agg(F.round(F.var_pop(x), 6).alias("variance"), F.round(F.stddev_pop(x), 6).alias("spread"), F.round(F.avg(x), 6).alias("mean"), F.count("*").alias("n_members"))
+    return at_point(f.timed(1, f.data)).groupBy("model_name", "forecast_hour").agg(F.bround(F.var_pop(x), 6).alias("variance"), F.bround(F.stddev_pop(x), 6).alias("spread"), F.bround(F.avg(x), 6).alias("mean"), F.count("*").alias("n_members"))
 
 
-_DIS = f"{C.SQL}, dis AS (SELECT forecast_hour, latitude, longitude, round(stddev_samp(mean_value), 4) AS disagreement, round(avg(mean_value), 4) AS avg_mean, count(DISTINCT model_name) AS n_models FROM regridded_forecast WHERE variable_name = 'precipitation' AND mean_value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT model_name) >= 2)"
+_DIS = f"{C.SQL}, dis AS (SELECT forecast_hour, latitude, longitude, round_even(stddev_samp(mean_value), 4) AS disagreement, round_even(avg(mean_value), 4) AS avg_mean, count(DISTINCT model_name) AS n_models FROM regridded_forecast WHERE variable_name = 'precipitation' AND mean_value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT model_name) >= 2)"
 
 
 def model_disagreement(f: Frames) -> DataFrame:
@@ -400,7 +407,7 @@ def _disagreement_max(f: Frames) -> DataFrame:
     return model_disagreement(f).agg(F.max("n_models").alias("max_models"), F.max("disagreement").alias("max_disagreement"), F.count("*").alias("n_points"))
 
 
-@query("agg09_field_range", f"{C.SQL} SELECT round(coalesce(min(mean_value) FILTER (WHERE mean_value > 0), 0.01), 6) AS min, round(CASE WHEN coalesce(max(mean_value), 0) <= 0 THEN 100 ELSE max(mean_value) END, 6) AS max, round(avg(mean_value), 4) AS mean, count(*) AS count FROM ensemble_statistics WHERE variable_id = 1 AND run_id = 1 AND forecast_hour = 12 AND mean_value IS NOT NULL")
+@query("agg09_field_range", f"{C.SQL} SELECT round_even(coalesce(min(mean_value) FILTER (WHERE mean_value > 0), 0.01), 6) AS min, round_even(CASE WHEN coalesce(max(mean_value), 0) <= 0 THEN 100 ELSE max(mean_value) END, 6) AS max, round_even(avg(mean_value), 4) AS mean, count(*) AS count FROM ensemble_statistics WHERE variable_id = 1 AND run_id = 1 AND forecast_hour = 12 AND mean_value IS NOT NULL")
 def _range(f: Frames) -> DataFrame:
     return A.field_range(member_field(f, "mean"))
 
@@ -415,9 +422,9 @@ def field_shares(f: Frames) -> DataFrame:
     return field.join(F.broadcast(top)).select("latitude", "longitude", F.least(F.col("mean_value") / F.col("mm"), F.lit(1.0)).alias("v"), F.least(F.col("std_dev") / F.col("ms"), F.lit(1.0)).alias("s"))
 
 
-@query("agg10_field_shares", f"{_NORM} SELECT latitude, longitude, round(v, 6) AS v, round(s, 6) AS s FROM norm")
+@query("agg10_field_shares", f"{_NORM} SELECT latitude, longitude, round_even(v, 6) AS v, round_even(s, 6) AS s FROM norm")
 def _shares(f: Frames) -> DataFrame:
-    return field_shares(f).select("latitude", "longitude", F.round("v", 6).alias("v"), F.round("s", 6).alias("s"))
+    return field_shares(f).select("latitude", "longitude", F.bround("v", 6).alias("v"), F.bround("s", 6).alias("s"))
 
 
 @query("agg11_ensemble_statistics", f"{C.SQL} SELECT * FROM ensemble_statistics", six=('mean_value', 'std_dev', 'min_value', 'max_value', 'percentile_25', 'percentile_50', 'percentile_75'))
@@ -428,24 +435,46 @@ def _statistics(f: Frames) -> DataFrame:
 # -- point metrics ---------------------------------------------------------------------------------------------------
 
 
-@query("met01_ssr", f"{_SNAP} SELECT model_name, latitude, longitude, round(std_dev * std_dev / ((mean_value - obs) * (mean_value - obs)), 4) AS value FROM snap WHERE forecast_hour = 6 AND (mean_value - obs) * (mean_value - obs) > 1e-10")
+@query("met01_ssr", f"{_SNAP} SELECT model_name, latitude, longitude, round_even(std_dev * std_dev / ((mean_value - obs) * (mean_value - obs)), 4) AS value FROM snap WHERE forecast_hour = 6 AND (mean_value - obs) * (mean_value - obs) > 1e-10")
 def _ssr(f: Frames) -> DataFrame:
     return M.single_hour_ssr(snapped(f), 6)
 
 
 def _pearson_sql(x: str, y: str) -> str:
     low = f"sqrt(var_pop({x}) * count(*) * var_pop({y}) * count(*))"
-    return f"round(CASE WHEN count(*) >= 2 AND {low} > 1e-10 THEN covar_pop({x}, {y}) * count(*) / {low} END, 4)"
+    return f"round_even(CASE WHEN count(*) >= 2 AND {low} > 1e-10 THEN covar_pop({x}, {y}) * count(*) / {low} END, 4)"
+
+
+_CORR = f"c AS (SELECT model_name, latitude, longitude, {_pearson_sql('std_dev', 'abs(mean_value - obs)')} AS value FROM snap WHERE forecast_hour IN {E.CORRELATION_HOURS} GROUP BY ALL)"
 
 
-@query("met03_correlation", f"{_SNAP}, c AS (SELECT model_name, latitude, longitude, {_pearson_sql('std_dev', 'abs(mean_value - obs)')} AS value FROM snap WHERE forecast_hour IN {E.CORRELATION_HOURS} GROUP BY ALL) SELECT * FROM c WHERE value IS NOT NULL")
+@query("met03_correlation", f"{_SNAP}, {_CORR}, nh AS (SELECT model_name, count(DISTINCT forecast_hour) AS n_hours FROM ensemble_statistics s JOIN latest l USING (run_id) WHERE variable_id = 1 AND std_dev IS NOT NULL AND forecast_hour IN {E.CORRELATION_HOURS} AND l.initialization_time + s.forecast_hour * INTERVAL 1 HOUR IN (SELECT obs_time FROM seen) GROUP BY ALL) SELECT c.*, n_hours FROM c LEFT JOIN nh USING (model_name) WHERE value IS NOT NULL")
 def _correlation(f: Frames) -> DataFrame:
-    return M.spread_error_correlation(snapped(f))
+    timed = f.timed(1).where("std_dev IS NOT NULL").select("model_name", "forecast_hour", E.valid_time("initialization_time", "forecast_hour").alias("obs_time")).distinct()
+    verified = timed.join(f.observed.where("precipitation IS NOT NULL").select("obs_time").distinct(), "obs_time", "left_semi")
+    return M.spread_error_correlation(snapped(f), verified)
+
+
+_REGISTRY = " UNION ALL ".join(
+    [f"SELECT 'ssr' AS metric, model_name, latitude, longitude, {{0}}(std_dev * std_dev / ((mean_value - obs) * (mean_value - obs)), 4) AS value FROM snap WHERE forecast_hour = 6 AND (mean_value - obs) * (mean_value - obs) > 1e-10", "SELECT 'correlation', * FROM c WHERE value IS NOT NULL"]
+    + [f"SELECT '{n}', model_name, latitude, longitude, {v} FROM pairs GROUP BY ALL HAVING {g}" for n, (v, g) in _SPATIAL.items()]
+).replace("{0}", "round_even")
+
 
+@query("met00_registry", _pairs_sql().replace(f"{C.SQL}, {_LATEST}", _SNAP) + f", {_CORR} {_REGISTRY}")
+def _registry(f: Frames) -> DataFrame:
+    """Every registered spatial metric, called by its name."""
+    given = M.Inputs(f.pairs(), snapped(f), LIMIT, 6)
+    out = None
+    for name, metric in M.SPATIAL.items():
+        rows = metric(given).select(F.lit(name).alias("metric"), "model_name", "latitude", "longitude", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-_SKILL = f"""{C.SQL}, {_LATEST}, po AS (SELECT obs_time, round(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL),
+
+_SKILL = f"""{C.SQL}, {_LATEST}, po AS (SELECT obs_time, round_even(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL),
 sp AS (SELECT model_name, forecast_hour, initialization_time + forecast_hour * INTERVAL 1 HOUR AS obs_time, avg(value / accum_h) AS m, var_pop(value / accum_h) AS v, count(*) AS n_members FROM forecast_data JOIN latest USING (run_id) WHERE variable_id = 1 AND {_NEAR} AND ensemble_member IS NOT NULL GROUP BY ALL),
-sk AS (SELECT model_name, forecast_hour, round(sqrt(v), 4) AS spread, round(abs(m - obs), 4) AS error, CASE WHEN (m - obs) * (m - obs) > 1e-10 THEN round(v / (abs(m - obs) * abs(m - obs)), 4) END AS ssr, round(m, 4) AS ens_mean, round(obs, 4) AS obs, n_members FROM sp JOIN po USING (obs_time))"""
+sk AS (SELECT model_name, forecast_hour, round_even(sqrt(v), 4) AS spread, round_even(abs(m - obs), 4) AS error, CASE WHEN (m - obs) * (m - obs) > 1e-10 THEN round_even(v / (abs(m - obs) * abs(m - obs)), 4) END AS ssr, round_even(m, 4) AS ens_mean, round_even(obs, 4) AS obs, n_members FROM sp JOIN po USING (obs_time))"""
 
 
 def skill_hours(f: Frames) -> DataFrame:
@@ -458,16 +487,16 @@ def _skill(f: Frames) -> DataFrame:
     return skill_hours(f)
 
 
-@query("met12_spread_skill_summary", f"{_SKILL} SELECT model_name, {_pearson_sql('spread', 'error')} AS correlation, round(avg(ssr), 4) AS mean_ssr, count(*) AS n_cases FROM sk GROUP BY ALL")
+@query("met12_spread_skill_summary", f"{_SKILL} SELECT model_name, {_pearson_sql('spread', 'error')} AS correlation, round_even(avg(ssr), 4) AS mean_ssr, count(*) AS n_cases FROM sk GROUP BY ALL")
 def _skill_summary(f: Frames) -> DataFrame:
     return A.spread_skill_summary(skill_hours(f))
 
 
-QUERIES["agg12_mean_ssr"], ORACLES["agg12_mean_ssr"] = (lambda s, d: A.spread_skill_summary(skill_hours(Frames(s, d))).select("model_name", "mean_ssr")), f"{_SKILL} SELECT model_name, round(avg(ssr), 4) AS mean_ssr FROM sk GROUP BY ALL"
+QUERIES["agg12_mean_ssr"], ORACLES["agg12_mean_ssr"] = (lambda s, d: A.spread_skill_summary(skill_hours(Frames(s, d))).select("model_name", "mean_ssr")), f"{_SKILL} SELECT model_name, round_even(avg(ssr), 4) AS mean_ssr FROM sk GROUP BY ALL"
 
 _AT = "abs(latitude - 25.5) <= 0.26 AND abs(longitude + 84.5) <= 0.26"
-_CH = f"""{_pairs_sql()}, ch AS (SELECT model_name, forecast_hour, latitude, longitude, CASE WHEN (m-o)*(m-o) > 1e-10 THEN round(s*s/((m-o)*(m-o)), 6) END AS ssr, round({E.crps_sql('m', 's', 'o', clamp=False)}, 6) AS crps,
-round(m-o, 4) AS bias, round(abs(m-o), 4) AS mae, round(abs(m-o), 4) AS rmse, round(s, 4) AS spread, round(m, 4) AS mean_val, round(o, 4) AS obs, round(mean_value, 4) AS raw_mean, round(std_dev, 4) AS raw_std, n_obs AS n_obs_in_window FROM pairs WHERE {_AT})"""
+_CH = f"""{_pairs_sql()}, ch AS (SELECT model_name, forecast_hour, latitude, longitude, accum_h, CASE WHEN (m-o)*(m-o) > 1e-10 THEN round_even(s*s/((m-o)*(m-o)), 4) END AS ssr, round_even({_CRPS}, 6) AS crps,
+round_even(m-o, 4) AS bias, round_even(abs(m-o), 4) AS mae, round_even(abs(m-o), 4) AS rmse, round_even(s, 4) AS spread, round_even(m, 4) AS mean_val, round_even(o, 4) AS obs, round_even(mean_value, 4) AS raw_mean, round_even(std_dev, 4) AS raw_std, n_obs AS n_obs_in_window FROM pairs WHERE {_AT})"""
 
 
 @query("met13_compare_hours", f"{_CH} SELECT * FROM ch")
@@ -481,33 +510,33 @@ def _compare_wind(f: Frames) -> DataFrame:
     return A.compare_hours(f.point(f.pairs(3, "wind")))
 
 
-@query("met14_compare_summary", f"{_CH} SELECT model_name, round(avg(ssr), 4) AS mean_ssr, {_pearson_sql('spread', 'mae')} AS correlation, round(avg(crps), 4) AS mean_crps, round(avg(bias), 4) AS bias, round(avg(mae), 4) AS mae, round(sqrt(avg(rmse*rmse)), 4) AS rmse, count(DISTINCT forecast_hour) AS n_hours FROM ch GROUP BY ALL")
+@query("met14_compare_summary", f"{_CH} SELECT model_name, round_even(avg(ssr), 4) AS mean_ssr, {_pearson_sql('spread', 'mae')} AS correlation, round_even(avg(crps), 4) AS mean_crps, round_even(avg(bias), 4) AS bias, round_even(avg(mae), 4) AS mae, round_even(sqrt(avg(rmse*rmse)), 4) AS rmse, count(DISTINCT forecast_hour) AS n_hours, (SELECT string_agg(h, ',' ORDER BY h) FROM (SELECT DISTINCT forecast_hour AS h FROM ch)) AS obs_hours FROM ch GROUP BY ALL")
 def _compare_summary(f: Frames) -> DataFrame:
-    return A.compare_summary(A.compare_hours(f.point(f.pairs())))
+    return A.compare_summary(A.compare_hours(f.point(f.pairs()))).withColumn("obs_hours", F.concat_ws(",", F.transform("obs_hours", lambda h: h.cast("string"))))
 
 
-@query("met15_point_events", f"{_pairs_sql()} SELECT model_name, forecast_hour, latitude, longitude, m > {_T} AS is_fcst, o > {_T} AS is_obs, round({_P}, 4) AS p_event, round(m, 4) AS mean_rate, round(o, 4) AS obs_rate FROM pairs WHERE {_AT}")
+@query("met15_point_events", f"{_pairs_sql()} SELECT model_name, forecast_hour, latitude, longitude, m > {_T} AS is_fcst, o > {_T} AS is_obs, round_even({_P}, 4) AS p_event, round_even(m, 4) AS mean_rate, round_even(o, 4) AS obs_rate FROM pairs WHERE {_AT}")
 def _events(f: Frames) -> DataFrame:
     return A.point_events(f.point(f.pairs()), LIMIT)
 
 
 def _ratios_sql(inner: str) -> str:
-    return f"SELECT *, CASE WHEN hits+misses+false_alarms > 0 THEN round(hits/(hits+misses+false_alarms), 4) END AS csi, CASE WHEN hits+misses > 0 THEN round(hits/(hits+misses), 4) END AS pod, CASE WHEN hits+false_alarms > 0 THEN round(false_alarms/(hits+false_alarms), 4) END AS far, CASE WHEN hits+misses > 0 THEN round((hits+false_alarms)/(hits+misses), 4) END AS fbi FROM ({inner})"
+    return f"SELECT *, CASE WHEN hits+misses+false_alarms > 0 THEN round_even(hits/(hits+misses+false_alarms), 4) END AS csi, CASE WHEN hits+misses > 0 THEN round_even(hits/(hits+misses), 4) END AS pod, CASE WHEN hits+false_alarms > 0 THEN round_even(false_alarms/(hits+false_alarms), 4) END AS far, CASE WHEN hits+misses > 0 THEN round_even((hits+false_alarms)/(hits+misses), 4) END AS fbi FROM ({inner})"
 
 
-_COUNTS = f"count(*) AS n_pts, {_H} AS hits, {_MI} AS misses, {_FA} AS false_alarms, {_CN} AS correct_neg, round({_BRIER}, 6) AS brier_score, avg(CASE WHEN m > {_T} THEN 1e0 ELSE 0e0 END) AS f, avg(CASE WHEN o > {_T} THEN 1e0 ELSE 0e0 END) AS ob"
-_COMP = "round((0.40e0 * csi + 0.20e0 * pod + 0.10e0 * (1 - far)) / 0.70e0, 4)"
+_COUNTS = f"count(*) AS n_pts, {_H} AS hits, {_MI} AS misses, {_FA} AS false_alarms, {_CN} AS correct_neg, round_even({_BRIER}, 6) AS brier_score, avg(CASE WHEN m > {_T} THEN 1e0 ELSE 0e0 END) AS f, avg(CASE WHEN o > {_T} THEN 1e0 ELSE 0e0 END) AS ob"
+_COMP = "round_even((0.40e0 * csi + 0.20e0 * pod + 0.10e0 * (1 - far)) / 0.70e0, 4)"
 
 
-@query("met16_point_summary", f"{_pairs_sql()}, ps AS ({_ratios_sql(f'SELECT model_name, {_COUNTS} FROM pairs WHERE {_AT} GROUP BY ALL')}) SELECT * EXCLUDE (n_pts, f, ob), {_COMP} AS composite FROM ps")
+@query("met16_point_summary", f"{_pairs_sql()}, ps AS ({_ratios_sql(f'SELECT model_name, {_COUNTS} FROM pairs WHERE {_AT} GROUP BY ALL')}) SELECT model_name, p.* EXCLUDE (model_name) FROM (SELECT model_name FROM models WHERE model_id IN (SELECT model_id FROM forecast_runs) OR model_name = 'SPARE') LEFT JOIN (SELECT * EXCLUDE (n_pts, f, ob), {_COMP} AS composite FROM ps) p USING (model_name)")
 def _point_summary(f: Frames) -> DataFrame:
-    return A.point_summary(f.point(f.pairs()), LIMIT)
+    return A.point_summary(f.point(f.pairs()), LIMIT, f.models)
 
 
 QUERIES["met17_point_composite"] = lambda s, d: A.point_summary(Frames(s, d).point(Frames(s, d).pairs()), LIMIT).select("model_name", "composite")
 ORACLES["met17_point_composite"] = f"{_pairs_sql()}, ps AS ({_ratios_sql(f'SELECT model_name, {_COUNTS} FROM pairs WHERE {_AT} GROUP BY ALL')}) SELECT model_name, {_COMP} AS composite FROM ps"
 
-_RH = f"{_pairs_sql()}, rh AS (SELECT * EXCLUDE (f, ob), CASE WHEN (f*f+ob*ob)*0.5e0 <= 1e-10 THEN 1 ELSE round(1 - (f-ob)*(f-ob)/((f*f+ob*ob)*0.5e0), 4) END AS fss, round(f, 4) AS fcst_frac, round(ob, 4) AS obs_frac FROM ({_ratios_sql(f'SELECT model_name, forecast_hour, {_COUNTS} FROM pairs GROUP BY ALL')}))"
+_RH = f"{_pairs_sql()}, rh AS (SELECT * EXCLUDE (f, ob), CASE WHEN (f*f+ob*ob)*0.5e0 <= 1e-10 THEN 1 ELSE round_even(1 - (f-ob)*(f-ob)/((f*f+ob*ob)*0.5e0), 4) END AS fss, round_even(f, 4) AS fcst_frac, round_even(ob, 4) AS obs_frac FROM ({_ratios_sql(f'SELECT model_name, forecast_hour, {_COUNTS} FROM pairs GROUP BY ALL')}))"
 
 
 @query("met18_region_hours", f"{_RH} SELECT * FROM rh")
@@ -516,7 +545,7 @@ def _region_hours(f: Frames) -> DataFrame:
 
 
 QUERIES["met19_fss"], ORACLES["met19_fss"] = (lambda s, d: A.region_hours(Frames(s, d).pairs(), LIMIT).select("model_name", "forecast_hour", "fss")), f"{_RH} SELECT model_name, forecast_hour, fss FROM rh"
-_RS = f"{_RH}, pooled AS ({_ratios_sql(f'SELECT model_name, {_COUNTS} FROM pairs GROUP BY ALL')}), cells AS (SELECT model_name, count(*) AS n_grid_pts FROM (SELECT DISTINCT model_name, latitude, longitude FROM ensemble_statistics JOIN latest USING (run_id) WHERE variable_id = 1 AND latitude BETWEEN 25 AND 26 AND longitude BETWEEN -85 AND -84) GROUP BY ALL), sk AS (SELECT model_name, round(avg(fss), 4) AS fss FROM rh GROUP BY ALL), rs AS (SELECT * EXCLUDE (f, ob), CASE WHEN fss IS NULL THEN {_COMP} ELSE round(0.40e0 * csi + 0.30e0 * fss + 0.20e0 * pod + 0.10e0 * (1 - far), 4) END AS composite FROM cells LEFT JOIN pooled USING (model_name) LEFT JOIN sk USING (model_name))"
+_RS = f"{_RH}, pooled AS ({_ratios_sql(f'SELECT model_name, {_COUNTS} FROM pairs GROUP BY ALL')}), cells AS (SELECT model_name, count(*) AS n_grid_pts FROM (SELECT DISTINCT model_name, latitude, longitude FROM ensemble_statistics JOIN latest USING (run_id) WHERE variable_id = 1 AND latitude BETWEEN {BOX[0]} AND {BOX[1]} AND longitude BETWEEN {BOX[2]} AND {BOX[3]}) GROUP BY ALL), sk AS (SELECT model_name, round_even(avg(fss), 4) AS fss FROM rh GROUP BY ALL), rs AS (SELECT * EXCLUDE (f, ob), CASE WHEN fss IS NULL THEN {_COMP} ELSE round_even(0.40e0 * csi + 0.30e0 * fss + 0.20e0 * pod + 0.10e0 * (1 - far), 4) END AS composite FROM cells LEFT JOIN pooled USING (model_name) LEFT JOIN sk USING (model_name))"
 
 
 def region(f: Frames) -> DataFrame:
@@ -534,7 +563,7 @@ def _region_composite(f: Frames) -> DataFrame:
     return region(f).select("model_name", "composite")
 
 
-@query("met22_cumulative", f"{_RH}, cu AS (SELECT model_name, forecast_hour, sum(hits) OVER w AS h, sum(misses) OVER w AS m, sum(false_alarms) OVER w AS fa FROM rh WINDOW w AS (PARTITION BY model_name ORDER BY forecast_hour)) SELECT model_name, forecast_hour, CASE WHEN h+m+fa > 0 THEN round(h/(h+m+fa), 3) END AS csi, CASE WHEN h+m > 0 THEN round(h/(h+m), 3) END AS pod, CASE WHEN h+fa > 0 THEN round(fa/(h+fa), 3) END AS far FROM cu")
+@query("met22_cumulative", f"{_RH}, cu AS (SELECT model_name, forecast_hour, sum(hits) OVER w AS h, sum(misses) OVER w AS m, sum(false_alarms) OVER w AS fa FROM rh WINDOW w AS (PARTITION BY model_name ORDER BY forecast_hour)) SELECT model_name, forecast_hour, CASE WHEN h+m+fa > 0 THEN round_even(h/(h+m+fa), 3) END AS csi, CASE WHEN h+m > 0 THEN round_even(h/(h+m), 3) END AS pod, CASE WHEN h+fa > 0 THEN round_even(fa/(h+fa), 3) END AS far FROM cu")
 def _cumulative(f: Frames) -> DataFrame:
     return A.cumulative_ratios(A.region_hours(f.pairs(), LIMIT))
 
@@ -549,6 +578,16 @@ def _tiers(f: Frames) -> DataFrame:
     return skill_hours(f).select("model_name", "forecast_hour", E.tier(F.col("ssr"), *A.TIERS["ssr"]).alias("tier"))
 
 
+def _tier_sql(name: str) -> str:
+    edges = A.EDGES[name]
+    return f"SELECT model_name, latitude, longitude, '{name}' AS metric, CAST({name} AS DOUBLE) AS value, CASE " + " ".join(f"WHEN {name} {sign} {edge} THEN {k + 1}" for k, (sign, edge) in enumerate(edges)) + f" ELSE {len(edges) + 1} END AS tier FROM sc WHERE {name} IS NOT NULL"
+
+
+@query("met24_metric_tiers", f"{_pairs_sql()}, sc AS (SELECT model_name, latitude, longitude, " + ", ".join(f"CASE WHEN {g} THEN {v} END AS {n}" for n, (v, g) in _SPATIAL.items()) + " FROM pairs GROUP BY ALL) " + " UNION ALL ".join(map(_tier_sql, _SPATIAL)))
+def _metric_tiers(f: Frames) -> DataFrame:
+    return A.with_tiers(M.score(f.pairs(), list(M.METRICS), LIMIT), list(M.METRICS))
+
+
 # -- grids and reshaping ---------------------------------------------------------------------------------------------
 
 _POINTS = f"{C.SQL}, pts AS (SELECT latitude, longitude, mean_value AS value FROM ensemble_statistics WHERE run_id = 1 AND variable_id = 1 AND forecast_hour = 12)"
@@ -561,15 +600,15 @@ def points(f: Frames) -> DataFrame:
 _NODES = "box AS (SELECT min(latitude) s, max(latitude) n, min(longitude) w, max(longitude) e FROM {0}), nodes AS (SELECT s + i * {1} AS ty, w + j * {1} AS tx FROM box, range(1000) a(i), range(1000) b(j) WHERE i <= floor((n - s) / {1} + 1e-9) AND j <= floor((e - w) / {1} + 1e-9))"
 
 
-@query("grd01_idw", f"{_POINTS}, {_NODES.format('pts', '0.25e0')}, near AS (SELECT ty, tx, value, ((latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx)) AS d FROM nodes, pts WHERE (latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx) < 0.5625), w AS (SELECT ty, tx, value, CASE WHEN d / 0.0004e0 < 1 THEN 1 ELSE 1 / ((d / 0.0004e0) * (d / 0.0004e0)) END AS w FROM near) SELECT ty, tx, round(greatest(sum(w * value) / sum(w), 0), 6) AS value FROM w GROUP BY ALL")
+@query("grd01_idw", f"{_POINTS}, {_NODES.format('pts', '0.25e0')}, near AS (SELECT ty, tx, value, ((latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx)) AS d FROM nodes, pts WHERE (latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx) < 0.5625), w AS (SELECT ty, tx, value, CASE WHEN d / 0.0004e0 < 1 THEN 1 ELSE 1 / ((d / 0.0004e0) * (d / 0.0004e0)) END AS w FROM near) SELECT ty, tx, round_even(greatest(sum(w * value) / sum(w), 0), 6) AS value FROM w GROUP BY ALL")
 def _idw(f: Frames) -> DataFrame:
-    return G.idw(points(f)).withColumn("value", F.round("value", 6))
+    return G.idw(points(f)).withColumn("value", F.bround("value", 6))
 
 
 @query("grd02_bucketed", f"{_POINTS}, t AS (SELECT max(value) AS top FROM pts) SELECT latitude, longitude, round(CASE WHEN top > 0 AND least(value / top, 1) >= 0.01 THEN (floor(least(least(value / top, 1), 0.9999) * 6) + 0.5) / 6 * top ELSE value END, 6) AS value FROM pts, t")
 def _bucketed(f: Frames) -> DataFrame:
     p = points(f)
-    return p.join(F.broadcast(p.agg(F.max("value").alias("top")))).select("latitude", "longitude", F.round(E.bucketed_value(F.col("value"), F.col("top"), 6), 6).alias("value"))
+    return p.join(F.broadcast(p.agg(F.max("value").alias("top")))).select("latitude", "longitude", F.bround(E.bucketed_value(F.col("value"), F.col("top"), 6), 6).alias("value"))
 
 
 @query("grd03_dense", f"{_POINTS}, k AS (SELECT CAST(latitude * 2 AS INTEGER) AS cy, CAST(longitude * 2 AS INTEGER) AS cx, value FROM pts) SELECT cy / 2 AS latitude, cx / 2 AS longitude, value, cy / 2 - 0.25 AS south, cy / 2 + 0.25 AS north, cx / 2 - 0.25 AS west, cx / 2 + 0.25 AS east FROM (SELECT DISTINCT cy FROM k) CROSS JOIN (SELECT DISTINCT cx FROM k) LEFT JOIN k USING (cy, cx)", six=('value',))
@@ -598,14 +637,14 @@ def _nearest(step: str, reach: str = "1e9") -> str:
     return f"{_NODES.format('w1', step)}, nn AS (SELECT * FROM (SELECT ty, tx, u, v, row_number() OVER (PARTITION BY ty, tx ORDER BY (latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx), latitude, longitude) AS k FROM nodes, w1 WHERE (latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx) < {reach}) WHERE k = 1)"
 
 
-@query("grd06_arrows", f"{_W1}, {_nearest('0.5e0', '0.5625')} SELECT ty, tx, round(atan2(v, u), 6) AS angle, round(least(sqrt(u*u+v*v) * 3, 32), 6) AS length FROM nn WHERE u <> 0 AND sqrt(u*u+v*v) >= 0.5")
+@query("grd06_arrows", f"{_W1}, {_nearest('0.5e0', '0.5625')} SELECT ty, tx, round_even(atan2(v, u), 6) AS angle, round_even(least(sqrt(u*u+v*v) * 3, 32), 6) AS length FROM nn WHERE u <> 0 AND sqrt(u*u+v*v) >= 0.5")
 def _arrows(f: Frames) -> DataFrame:
     return G.arrows(one_wind(f))
 
 
-@query("grd07_resample", f"{_W1}, {_nearest('0.2e0')} SELECT round(ty, 6) AS ty, round(tx, 6) AS tx, u, v FROM nn", six=('u', 'v'))
+@query("grd07_resample", f"{_W1}, {_nearest('0.2e0')} SELECT round_even(ty, 6) AS ty, round_even(tx, 6) AS tx, u, v FROM nn", six=('u', 'v'))
 def _resample(f: Frames) -> DataFrame:
-    return G.resample(one_wind(f), 0.2).select(F.round("ty", 6).alias("ty"), F.round("tx", 6).alias("tx"), "u", "v")
+    return G.resample(one_wind(f), 0.2).select(F.bround("ty", 6).alias("ty"), F.bround("tx", 6).alias("tx"), "u", "v")
 
 
 @query("grd08_streamlines")
@@ -622,9 +661,9 @@ def _snap_sql(x: str, n: int) -> str:
     return f"(floor(least(greatest({x}, 0), 0.9999) * {n}) + 0.5) / {n}"
 
 
-@query("grd10_snap", f"{_NORM} SELECT latitude, longitude, round({_snap_sql('v', 5)}, 6) AS v, round({_snap_sql('1 - s', 5)}, 6) AS s FROM norm")
+@query("grd10_snap", f"{_NORM} SELECT latitude, longitude, round_even({_snap_sql('v', 5)}, 6) AS v, round_even({_snap_sql('1 - s', 5)}, 6) AS s FROM norm")
 def _snap(f: Frames) -> DataFrame:
-    return field_shares(f).select("latitude", "longitude", F.round(E.snap(F.col("v"), 5), 6).alias("v"), F.round(E.snap(1 - F.col("s"), 5), 6).alias("s"))
+    return field_shares(f).select("latitude", "longitude", F.bround(E.snap(F.col("v"), 5), 6).alias("v"), F.bround(E.snap(1 - F.col("s"), 5), 6).alias("s"))
 
 
 @query("grd11_vsup_levels", "SELECT * FROM (VALUES (1, '8,4,2,1'), (2, '2,1'), (5, '5,2,1'), (16, '16,8,4,2,1')) t(buckets, levels)")
@@ -632,10 +671,10 @@ def _levels(f: Frames) -> DataFrame:
     return f.spark.createDataFrame([(n, ",".join(map(str, E.vsup_levels(n)))) for n in (1, 2, 5, 16)], "buckets int, levels string")
 
 
-@query("grd12_vsup_snap", f"{_NORM}, r AS (SELECT *, least(floor(s * 4), 3)::INTEGER AS ring FROM norm) SELECT latitude, longitude, round((floor(least(greatest(v, 0), 0.9999) * [8, 4, 2, 1][ring + 1]) + 0.5) / [8, 4, 2, 1][ring + 1], 6) AS v, round((ring + 0.5) / 4, 6) AS s FROM r")
+@query("grd12_vsup_snap", f"{_NORM}, r AS (SELECT *, least(floor(s * 4), 3)::INTEGER AS ring FROM norm) SELECT latitude, longitude, round((floor(least(greatest(v, 0), 0.9999) * [8, 4, 2, 1][ring + 1]) + 0.5) / [8, 4, 2, 1][ring + 1], 6) AS v, round_even((ring + 0.5) / 4, 6) AS s FROM r")
 def _vsup(f: Frames) -> DataFrame:
     v, s = E.vsup_snap(F.col("v"), F.col("s"), 8)
-    return field_shares(f).select("latitude", "longitude", F.round(v, 6).alias("v"), F.round(s, 6).alias("s"))
+    return field_shares(f).select("latitude", "longitude", F.bround(v, 6).alias("v"), F.bround(s, 6).alias("s"))
 
 
 def _map_sql(at: str, name: str, k: int) -> str:
@@ -650,9 +689,9 @@ def _muted(f: Frames) -> DataFrame:
     return field_shares(f).select("latitude", "longitude", *(c.cast("bigint").alias(n) for c, n in zip(E.muted_colour(F.col("v"), F.col("s"), True, "Viridis"), "rgb")))
 
 
-@query("grd14_box_size", f"{_NORM} SELECT latitude, longitude, round(0.08 + sqrt(least(greatest(s, 0), 1)) * 0.32, 6) AS half FROM norm")
+@query("grd14_box_size", f"{_NORM} SELECT latitude, longitude, round_even(0.08 + sqrt(least(greatest(s, 0), 1)) * 0.32, 6) AS half FROM norm")
 def _box(f: Frames) -> DataFrame:
-    return field_shares(f).select("latitude", "longitude", F.round(E.box_half_size(F.col("s")), 6).alias("half"))
+    return field_shares(f).select("latitude", "longitude", F.bround(E.box_half_size(F.col("s")), 6).alias("half"))
 
 
 @query("grd15_colormap", f"{_NORM} SELECT latitude, longitude, " + ", ".join(f"CAST({_map_sql('v', 'Default', k)} AS BIGINT) AS {c}" for k, c in ((1, "r"), (3, "g"), (5, "b"))) + ", CAST(CASE WHEN v < 0.01 THEN 0 ELSE floor((0.5 + v * 0.3) * 255 + 0.5) END AS BIGINT) AS a FROM norm")
@@ -661,9 +700,13 @@ def _colormap(f: Frames) -> DataFrame:
     return field_shares(f).select("latitude", "longitude", *(c.cast("bigint").alias(n) for c, n in zip([*E.colormap(F.col("v")), alpha], "rgba")))
 
 
-@query("grd16_textures", f"{_NORM} SELECT latitude, longitude, round(greatest(1.5, 30 * (1 - s * 0.95)), 6) AS spacing, round(s * (10 * 0.92), 6) AS square FROM norm")
+for _name in ("RdYlBu", "Spectral"):
+    query(f"grd15_{_name.lower()}", f"{_NORM} SELECT latitude, longitude, " + ", ".join(f"CAST({_map_sql('v', _name, k)} AS BIGINT) AS {c}" for k, c in ((1, "r"), (3, "g"), (5, "b"))) + " FROM norm")(lambda f, name=_name: field_shares(f).select("latitude", "longitude", *(c.cast("bigint").alias(n) for c, n in zip(E.colormap(F.col("v"), name), "rgb"))))
+
+
+@query("grd16_textures", f"{_NORM} SELECT latitude, longitude, round_even(greatest(1.5, 30 * (1 - s * 0.95)), 6) AS spacing, round_even(s * (10 * 0.92), 6) AS square FROM norm")
 def _textures(f: Frames) -> DataFrame:
-    return field_shares(f).select("latitude", "longitude", F.round(E.line_spacing(F.col("s"), 12.0, 10.0), 6).alias("spacing"), F.round(E.square_size(F.col("s"), 12.0, 10.0), 6).alias("square"))
+    return field_shares(f).select("latitude", "longitude", F.bround(E.line_spacing(F.col("s"), 12.0, 10.0), 6).alias("spacing"), F.bround(E.square_size(F.col("s"), 12.0, 10.0), 6).alias("square"))
 
 
 _RF = f"{C.SQL}, rs AS (SELECT model_name, forecast_hour, latitude, longitude, mean_value, std_dev, mean_value / accum_h AS m, coalesce(std_dev, 0) / accum_h AS s FROM regridded_forecast JOIN models USING (model_name) WHERE variable_name = 'precipitation' AND {_AT} AND model_name IN ('AIFS', 'GEFS', 'UKMO'))"
@@ -673,41 +716,86 @@ def box_series(f: Frames) -> DataFrame:
     return f.point(C.regridded_forecast(f.spark, f.stats)).where((F.col("variable_name") == "precipitation") & F.col("model_name").isin(MODELS3)).select("model_name", "forecast_hour", "latitude", "longitude", "mean_value", "std_dev")
 
 
-@query("rsh01_series", f"{_RF} SELECT model_name, forecast_hour, latitude, longitude, round(mean_value, 4) AS mean, round(std_dev, 4) AS std FROM rs")
+@query("rsh01_series", f"{_RF} SELECT model_name, forecast_hour, latitude, longitude, round_even(mean_value, 4) AS mean, round_even(std_dev, 4) AS std FROM rs")
 def _box_series(f: Frames) -> DataFrame:
-    return box_series(f).select("model_name", "forecast_hour", "latitude", "longitude", F.round("mean_value", 4).alias("mean"), F.round("std_dev", 4).alias("std"))
+    return box_series(f).select("model_name", "forecast_hour", "latitude", "longitude", F.bround("mean_value", 4).alias("mean"), F.bround("std_dev", 4).alias("std"))
 
 
 _WIDE = {"mean": "m", "hi": "(mean_value + coalesce(std_dev, 0)) / accum_h", "lo": "greatest(0, (mean_value - coalesce(std_dev, 0)) / accum_h)", "raw_mean": "mean_value", "raw_std": "std_dev"}
 
 
-@query("rsh02_pivot", _RF.replace("mean_value / accum_h AS m", "accum_h, mean_value / accum_h AS m") + ", f1 AS (SELECT *, row_number() OVER (PARTITION BY model_name, forecast_hour ORDER BY latitude, longitude) AS k FROM rs) SELECT forecast_hour, " + ", ".join(f"round(max({x}) FILTER (WHERE model_name = '{m}'), 7) AS \"{m}_{n}\"" for m in MODELS3 for n, x in _WIDE.items()) + " FROM f1 WHERE k = 1 GROUP BY ALL")
+@query("rsh02_pivot", _RF.replace("mean_value / accum_h AS m", "accum_h, mean_value / accum_h AS m") + ", f1 AS (SELECT *, row_number() OVER (PARTITION BY model_name, forecast_hour ORDER BY latitude, longitude) AS k FROM rs) SELECT forecast_hour, " + ", ".join(f"round_even(max({x}) FILTER (WHERE model_name = '{m}'), 7) AS \"{m}_{n}\"" for m in MODELS3 for n, x in _WIDE.items()) + " FROM f1 WHERE k = 1 GROUP BY ALL")
 def _pivot(f: Frames) -> DataFrame:
     return A.merged_series(box_series(f), MODELS3, places=7)
 
 
-@query("rsh03_normalised", f"{_RF}, pk AS (SELECT model_name, CASE WHEN max(m + s) > 1e-9 THEN max(m + s) ELSE 1 END AS peak FROM (SELECT model_name, (mean_value + coalesce(std_dev, 0)) AS ms, m, s FROM rs) GROUP BY ALL) SELECT model_name, forecast_hour, latitude, longitude, round(m / peak, 6) AS share FROM rs JOIN pk USING (model_name)")
+@query("rsh03_normalised", f"{_RF}, pk AS (SELECT model_name, CASE WHEN max(m + s) > 1e-9 THEN max(m + s) ELSE 1 END AS peak FROM (SELECT model_name, (mean_value + coalesce(std_dev, 0)) AS ms, m, s FROM rs) GROUP BY ALL) SELECT model_name, forecast_hour, latitude, longitude, round_even(m / peak, 6) AS share FROM rs JOIN pk USING (model_name)")
 def _normalised(f: Frames) -> DataFrame:
     return A.normalised(box_series(f))
 
 
-@query("rsh04_scale_ratio", f"{_RF}, pk AS (SELECT model_name, max(m + s) AS peak FROM rs GROUP BY ALL) SELECT CASE WHEN count(*) < 2 THEN 1 ELSE round(max(peak) / min(peak), 4) END AS ratio, (CASE WHEN count(*) < 2 THEN 1 ELSE round(max(peak) / min(peak), 4) END) > 5 AS warn FROM pk WHERE peak > 0")
+@query("rsh04_scale_ratio", f"{_RF}, pk AS (SELECT model_name, max(m + s) AS peak FROM rs GROUP BY ALL) SELECT CASE WHEN count(*) < 2 THEN 1 ELSE round_even(max(peak) / min(peak), 4) END AS ratio, (CASE WHEN count(*) < 2 THEN 1 ELSE round_even(max(peak) / min(peak), 4) END) > 5 AS warn FROM pk WHERE peak > 0")
 def _scale(f: Frames) -> DataFrame:
     return A.scale_ratio(box_series(f))
 
 
+@query("rsh06_hour_union", f"{_CH} SELECT forecast_hour, count(DISTINCT model_name) AS n_models FROM ch GROUP BY ALL ORDER BY 1")
+def _hour_union(f: Frames) -> DataFrame:
+    return A.hour_union(A.compare_hours(f.point(f.pairs())))
+
+
 for _v in ("ssr", "crps"):
     query(f"rsh05_{_v}_by_hour", f"{_CH}, f1 AS (SELECT *, row_number() OVER (PARTITION BY model_name, forecast_hour ORDER BY latitude, longitude) AS k FROM ch) SELECT forecast_hour, " + ", ".join(f"max({_v}) FILTER (WHERE model_name = '{m}') AS \"{m}\"" for m in MODELS3) + " FROM f1 WHERE k = 1 GROUP BY ALL")(lambda f, v=_v: A.wide_by_hour(A.compare_hours(f.point(f.pairs())), v, MODELS3))
 
 
+def loaded(f: Frames) -> tuple[str, str, str]:
+    """Writes run 1's precipitation as grid files, one for each lead hour and member, mean and spread, and loads them.
+
+    The folders of the files, of forecast_data and of ensemble_statistics. Files are named by the writer, a task at a
+    time; a broken one, an empty one and one without a place are among them.
+    """
+    here = scratch_path(f.spark, "loader")
+    files, data, stats = (f"{here}/{n}" for n in ("files", "data", "stats"))
+    at = F.format_string("aifs-%03dh-x_", "forecast_hour")
+    members = f.data.where("run_id = 1 AND variable_id = 1").select(F.concat(at, F.format_string("member_%d.json", "ensemble_member")).alias("file"), "latitude", "longitude", "value")
+    fields = f.stats.where("run_id = 1 AND variable_id = 1")
+    pair = [fields.select(F.concat(at, F.lit(f"{n}.json")).alias("file"), "latitude", "longitude", F.col(c).alias("value")) for n, c in (("mean", "mean_value"), ("std", "std_dev"))]
+    S.write_grid_files(members.unionByName(pair[0]).unionByName(pair[1]), files)
+    S.write_texts(f.spark.createDataFrame([("bad.json", "{oops"), ("none.json", "[]"), ("placeless-6h-x_mean.json", '[{"lat": 25.0}]')], "file string, content string"), files)
+    S.load_folders(f.spark, {files: 1}, 1, data, stats)
+    return files, data, stats
+
+
+@query("src01_loaded_members", f"{C.SQL} SELECT run_id, variable_id, forecast_hour, ensemble_member, latitude, longitude, value FROM forecast_data WHERE run_id = 1 AND variable_id = 1", six=("value",))
+def _loaded_members(f: Frames) -> DataFrame:
+    return f.spark.read.parquet(loaded(f)[1])
+
+
+@query("src06_loaded_statistics", f"{C.SQL} SELECT run_id, variable_id, forecast_hour, latitude, longitude, mean_value, std_dev FROM ensemble_statistics WHERE run_id = 1 AND variable_id = 1", six=("mean_value", "std_dev"))
+def _loaded_statistics(f: Frames) -> DataFrame:
+    return f.spark.read.parquet(loaded(f)[2])
+
+
+@query("src03_file_report", f"{C.SQL} SELECT 'aifs-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x_member_' || ensemble_member || '.json' AS file, count(*) AS n_points, CAST(0 AS BIGINT) AS n_errors FROM forecast_data WHERE run_id = 1 AND variable_id = 1 GROUP BY ALL UNION ALL SELECT 'aifs-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x_' || k || '.json', count(*), CAST(0 AS BIGINT) FROM ensemble_statistics, (VALUES ('mean'), ('std')) t(k) WHERE run_id = 1 AND variable_id = 1 GROUP BY ALL UNION ALL SELECT * FROM (VALUES ('bad.json', 0, 1), ('none.json', 0, 0), ('placeless-6h-x_mean.json', 0, 1)) v")
+def _file_report(f: Frames) -> DataFrame:
+    return S.file_report(f.spark, loaded(f)[0])
+
+
+@query("src09_upserted_runs", f"{C.SQL}, new AS (SELECT DISTINCT model_id, initialization_time + d * INTERVAL 1 DAY AS initialization_time FROM forecast_runs, range(0, 2) r(d)), fresh AS (SELECT * FROM new ANTI JOIN forecast_runs USING (model_id, initialization_time)) SELECT run_id, model_id, initialization_time FROM forecast_runs UNION ALL SELECT (SELECT max(run_id) FROM forecast_runs) + row_number() OVER (ORDER BY model_id, initialization_time), model_id, initialization_time FROM fresh")
+def _upserted(f: Frames) -> DataFrame:
+    """Runs of each known start and a day after it: known pairs keep their id, repeated ones come once."""
+    new = f.runs.select("model_id", F.explode(F.array("initialization_time", F.expr("initialization_time + INTERVAL 1 DAY"))).alias("initialization_time"))
+    return S.upsert_runs(f.runs, new.unionByName(new))
+
+
 @query("snk03_json", f"{C.SQL} SELECT '{{\"variable_id\":' || variable_id || ',\"variable_name\":\"' || variable_name || '\",\"units\":\"' || units || '\"}}' AS json FROM variables")
 def _json(f: Frames) -> DataFrame:
     return S.to_json(f.variables)
 
 
-@query("rg01_regrid", f"{C.SQL} SELECT obs_time, CAST(round_even(latitude, 0) AS INTEGER) / 1 AS latitude, CAST(round_even(longitude, 0) AS INTEGER) / 1 AS longitude, round(avg(p), 6) AS value FROM obs_mean GROUP BY ALL")
+@query("rg01_regrid", f"{C.SQL} SELECT obs_time, CAST(round_even(latitude, 0) AS INTEGER) / 1 AS latitude, CAST(round_even(longitude, 0) AS INTEGER) / 1 AS longitude, round_even(avg(p), 6) AS value FROM obs_mean GROUP BY ALL")
 def _regrid(f: Frames) -> DataFrame:
-    return G.regrid(f.observations(), ["obs_time"], per_degree=1).withColumn("value", F.round("value", 6))
+    return G.regrid(f.observations(), ["obs_time"], per_degree=1).withColumn("value", F.bround("value", 6))
 
 
 @query("ext_neighbourhood_fss")
@@ -715,8 +803,8 @@ def _neighbourhood(f: Frames) -> DataFrame:
     return G.neighbourhood_skill(f.pairs(), LIMIT, 1)
 
 
-@query("ext_wind_speed_mode", f"{_pairs_sql(3, 'w', '1')}, {_WIND}, sp AS (SELECT l.model_name, w.forecast_hour, w.latitude, w.longitude, sqrt(w.u*w.u + w.v*w.v) AS speed FROM wind w JOIN latest l USING (run_id)) SELECT p.model_name, p.latitude, p.longitude, round(avg(sp.speed - p.o), 4) AS bias FROM pairs p JOIN sp USING (model_name, forecast_hour, latitude, longitude) GROUP BY ALL")
+@query("ext_wind_speed_mode", f"{_pairs_sql(3, 'w', '1')}, {_WIND}, sp AS (SELECT l.model_name, w.forecast_hour, w.latitude, w.longitude, sqrt(w.u*w.u + w.v*w.v) AS speed FROM wind w JOIN latest l USING (run_id)) SELECT p.model_name, p.latitude, p.longitude, round_even(avg(sp.speed - p.o), 4) AS bias FROM pairs p JOIN sp USING (model_name, forecast_hour, latitude, longitude) GROUP BY ALL")
 def _speed_mode(f: Frames) -> DataFrame:
     """Bias of wind speed, not of its eastward component, against observed speed (an extension)."""
     speed = wind_field(f).join(f.latest, "run_id").select("model_name", "forecast_hour", "latitude", "longitude", E.wind_speed(F.col("u"), F.col("v")).alias("speed"))
-    return f.pairs(3, "wind", divide=False).join(speed, ["model_name", "forecast_hour", "latitude", "longitude"]).groupBy("model_name", "latitude", "longitude").agg(F.round(F.avg(F.col("speed") - F.col("obs_rate")), 4).alias("bias"))
+    return f.pairs(3, "wind", divide=False).join(speed, ["model_name", "forecast_hour", "latitude", "longitude"]).groupBy("model_name", "latitude", "longitude").agg(F.bround(F.avg(F.col("speed") - F.col("obs_rate")), 4).alias("bias"))

@@ -17,12 +17,40 @@ def name_parts(name: Column) -> dict[str, Column]:
 
 
 def read_grid_files(spark: SparkSession, folder: str, run_id: int, variable_id: int) -> DataFrame:
-    """One distributed read of all files of a folder; files that are no JSON give no rows."""
+    """One distributed read of all files of a folder; files that are no JSON give no rows, see `file_report`."""
     raw = spark.read.schema(POINT).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder).select("*", F.col("_metadata.file_name").alias("file"))
     rows = raw.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(name_parts(F.col("file")))
     return rows.select(F.lit(run_id).alias("run_id"), F.lit(variable_id).alias("variable_id"), "forecast_hour", "ensemble_member", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "value", "kind")
 
 
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """Each row's content as a file of its own name in `folder`, through the cluster's file system; rows are few or small.
+
+    File names are data here, which Spark's writers do not allow; rows come to the driver one at a time.
+    """
+    spark = texts.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(conf)
+    for r in texts.toLocalIterator():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(top, r.file))
+        out.write(bytearray(r.content.encode()))
+        out.close()
+
+
+def write_grid_files(points: DataFrame, folder: str) -> None:
+    """Points (file, latitude, longitude, value) as grid files; a file holds one field, a bounded number of points."""
+    one = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "value")
+    write_texts(points.groupBy("file").agg(F.to_json(F.collect_list(one)).alias("content")), folder)
+
+
+def file_report(spark: SparkSession, folder: str) -> DataFrame:
+    """file, n_points, n_errors of each file: points read, and elements without a place; one error where it is no JSON."""
+    text = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("file"), F.from_json(F.col("content").cast("string"), f"array<struct<{POINT}>>").alias("points"))
+    placed = F.filter("points", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    return text.select("file", F.coalesce(F.size(placed), F.lit(0)).cast("bigint").alias("n_points"), F.coalesce(F.size("points") - F.size(placed), F.lit(1)).cast("bigint").alias("n_errors"))
+
+
 def route_members(points: DataFrame) -> DataFrame:
     """Rows of forecast_data: members, and deterministic fields with a null member."""
     return points.where(F.col("kind").isin("member", "deterministic")).drop("kind")
