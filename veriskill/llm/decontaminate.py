@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import ALNUM, arrow_stage
+from veriskill.llm.common import ALNUM, arrow_stage, written
 
 WINDOW = 13  # words of a phrase
 BLOCK = 4000  # benchmark items searched in one pass; further items take further passes over all rows
+BLOCK_BYTES = 16 << 20  # of their texts, at most, or one item
 SAMPLE = 8  # every so many-th text position of the index keeps its suffix position
 SHARE = 20  # contaminated where SHARE * hit words >= words
 
@@ -174,22 +176,21 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
 
     A phrase is `WINDOW` consecutive words of an item, or all of an item of fewer. Each Arrow batch of texts is one
     training shard with an index of its own, so a lost task is built again alone. The benchmark is a stated query set
-    that goes to the tasks in blocks of `block` items; each block is one narrow pass, and nothing is shuffled.
+    that goes to the tasks in blocks of `block` items and BLOCK_BYTES bytes, one in the driver at a time; each block is
+    one narrow pass, whose result is written where another follows, and nothing is shuffled.
 
     Null and empty texts have no words and no spans; null items are skipped; a null or empty item text gives no
     phrase; repeated rows are each answered; columns of `docs` named as those added are replaced.
     """
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id), F.col(item_text)).orderBy(item_id).toLocalIterator()
-    blocks: list[list[tuple[object, str | None]]] = [[]]
-    for r in items:
-        if len(blocks[-1]) == block:
-            blocks.append([])
-        blocks[-1].append((r[0], r[1]))
     spark = docs.sparkSession
     base = docs.drop(*({"n_words", "spans", "items"} & set(docs.columns)))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     out = base
-    for k, part in enumerate(blocks):
+    for k, part in enumerate(_blocks(items, block)):
+        if k:  # the passes before are written, and their phrases let go
+            out = written(out, "matched")
+            phrases.unpersist()
         phrases = spark.sparkContext.broadcast(Phrases.of(part))
 
         def each(batch: pa.RecordBatch, phrases=phrases, more: bool = k > 0) -> dict[str, object]:
@@ -205,6 +206,20 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     return out
 
 
+def _blocks(items: Iterator[Row], most: int) -> Iterator[list[tuple[object, str | None]]]:
+    """Items in blocks of at most `most` items and BLOCK_BYTES bytes; one empty block where there is none."""
+    block: list[tuple[object, str | None]] = []
+    held = 0
+    for r in items:
+        size = len((r[1] or "").encode())
+        if block and (len(block) == most or held + size > BLOCK_BYTES):
+            yield block
+            block, held = [], 0
+        block.append((r[0], r[1]))
+        held += size
+    yield block
+
+
 def contamination(matched: DataFrame) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated to the result of `match_benchmark`."""
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
