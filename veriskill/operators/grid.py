@@ -207,4 +207,4 @@ def neighbourhood_skill(pairs: DataFrame, limit: float, radius: int, per_degree:
     share = spread.groupBy("model_name", "forecast_hour", "cy", "cx").agg(F.avg((F.col("mean_rate") > limit).cast("double")).alias("f"), F.avg((F.col("obs_rate") > limit).cast("double")).alias("o"))
     met = own.join(share, ["model_name", "forecast_hour", "cy", "cx"])
     got = met.groupBy("model_name", "forecast_hour").agg(F.avg((F.col("f") - F.col("o")) * (F.col("f") - F.col("o"))).alias("mse"), F.avg(F.col("f") * F.col("f") + F.col("o") * F.col("o")).alias("ref"))
-    return got.select("model_name", "forecast_hour", F.when(F.col("ref") <= E.NEAR_ZERO, 1.0).otherwise(F.round(1 - F.try_divide(F.col("mse"), F.col("ref")), 4)).alias("fss"))
+    return got.select("model_name", "forecast_hour", F.when(F.col("ref") <= E.NEAR_ZERO, 1.0).otherwise(F.bround(1 - F.try_divide(F.col("mse"), F.col("ref")), 4)).alias("fss"))

@@ -276,10 +276,10 @@ def _label(f: Frames) -> DataFrame:
     return f.data.select("forecast_hour").distinct().select("forecast_hour", F.date_format(at, "E, M/d").alias("label"))
 
 
-@query("fn12_cone", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, round_even(greatest(0, mean_value - std_dev), 7) AS lower1, round_even(mean_value + std_dev, 7) AS upper1, round_even(greatest(0, mean_value - 2 * std_dev), 7) AS lower2, round_even(mean_value + 2 * std_dev, 7) AS upper2 FROM ensemble_statistics WHERE variable_id = 1 AND std_dev IS NOT NULL")
+@query("fn12_cone", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, round(greatest(0, mean_value - std_dev), 9) AS lower1, round(mean_value + std_dev, 9) AS upper1, round(greatest(0, mean_value - 2 * std_dev), 9) AS lower2, round(mean_value + 2 * std_dev, 9) AS upper2 FROM ensemble_statistics WHERE variable_id = 1 AND std_dev IS NOT NULL")
 def _cone(f: Frames) -> DataFrame:
     rows = f.stats.where("variable_id = 1 AND std_dev IS NOT NULL")
-    return rows.select(*_FIELD, *(F.bround(c, 7).alias(n) for n, c in E.cone(F.col("mean_value"), F.col("std_dev")).items()))
+    return rows.select(*_FIELD, *(F.round(c, 9).alias(n) for n, c in E.cone(F.col("mean_value"), F.col("std_dev")).items()))
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------
@@ -798,7 +798,9 @@ def _regrid(f: Frames) -> DataFrame:
     return G.regrid(f.observations(), ["obs_time"], per_degree=1).withColumn("value", F.bround("value", 6))
 
 
-@query("ext_neighbourhood_fss")
+@query("ext_neighbourhood_fss", f"""{_pairs_sql()}, k AS (SELECT model_name, forecast_hour, CAST(round_even(latitude * 2, 0) AS INTEGER) AS cy, CAST(round_even(longitude * 2, 0) AS INTEGER) AS cx, CASE WHEN m > {_T} THEN 1e0 ELSE 0e0 END AS f, CASE WHEN o > {_T} THEN 1e0 ELSE 0e0 END AS ob FROM pairs),
+sh AS (SELECT w.model_name, w.forecast_hour, w.cy, w.cx, avg(k.f) AS f, avg(k.ob) AS ob FROM (SELECT DISTINCT model_name, forecast_hour, cy, cx FROM k) w JOIN k ON k.model_name = w.model_name AND k.forecast_hour = w.forecast_hour AND abs(k.cy - w.cy) <= 1 AND abs(k.cx - w.cx) <= 1 GROUP BY ALL)
+SELECT model_name, forecast_hour, CASE WHEN avg(f*f + ob*ob) <= 1e-10 THEN 1 ELSE round_even(1 - avg((f-ob)*(f-ob)) / avg(f*f + ob*ob), 4) END AS fss FROM sh GROUP BY ALL""")
 def _neighbourhood(f: Frames) -> DataFrame:
     return G.neighbourhood_skill(f.pairs(), LIMIT, 1)
 
