@@ -10,17 +10,17 @@ Layout of a store folder, all Parquet:
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import arrow_stage, mix, shared_dir
+from veriskill.llm.common import arrow_stage, scratch_path
 
 END = 2
 WIDTH = 2  # bytes of an id in a chunk; the vocabulary has fewer than 2^16
@@ -28,7 +28,9 @@ SPAN, MASK, LEAST, MOST = 16, 255, 32, 4096  # rolling window, cut where hash &
 PARTS = "key binary, doc_id {}, n bigint, ids binary, chunks array<binary>, root binary, kind string"
 BLOCK = 4096  # documents whose roots are put together at once; a power of two, so that the tree is that of all of a part
 MANIFEST = "part int, documents bigint, ids bigint, root binary"
-CACHE = 500_000  # stretches whose ids a task keeps
+CLOSING = ".,;:!?*$#%&|<>)]}"  # marks that make one pre-token after letters
+CACHE = 1_000_000  # words whose ids a worker process keeps
+SLAB = 8 << 20  # bytes of texts that are encoded together, or one text
 
 
 def _byte_letters() -> dict[int, int]:
@@ -38,15 +40,16 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
-#: A space beside other white space, or the mark at which texts are split.
-BESIDE = re.compile(r" \s|\s |\x01")
+#: Texts that are not cut at spaces: white space beside a space, at an end, or anything that the library may treat apart.
+BESIDE = r"[\s\pZ\x0b\x1c-\x1f\x85] | [\s\pZ\x0b\x1c-\x1f\x85]|^[\s\pZ\x0b\x1c-\x1f\x85]|[\s\pZ\x0b\x1c-\x1f\x85]$"
 
 
 class WordCachedTokenizer:
-    """encode(text) of a byte-level BPE tokenizer, stretch by stretch; each different stretch is encoded once.
+    """Ids of texts from a byte-level BPE tokenizer, word by word; each different word is encoded once.
 
-    A pre-token begins at every space that has no white space beside it, so such texts are cut there; other texts are
-    cut into pre-tokens. A new stretch is cut into pre-tokens, which the tokenizer's model encodes one by one.
+    A pre-token begins at every space that has no white space beside it, so most texts are cut there by Arrow, and the
+    different words of a batch are looked up. New words, and texts with other white space, are cut into pre-tokens, which
+    the tokenizer's model encodes one by one; texts with a special token's name go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -58,81 +61,122 @@ class WordCachedTokenizer:
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        vocab = self.tokenizer.get_vocab()
+        if max(vocab.values()) >= 1 << (8 * WIDTH):
+            raise ValueError(f"{path}: an id does not go into {WIDTH} bytes")
+        self.two = [k.to_bytes(WIDTH, "little") for k in range(max(vocab.values()) + 1)]
+        self.end = self.two[END]
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[str, int] = {}  # stretch -> its place in the pool
-        self.tokens: dict[str, list[int]] = {}  # pre-token -> its ids
-        self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def stretches(self, text: str | None) -> list[str]:
-        if not text or any(s in text for s in self.special):
-            return []
-        if BESIDE.search(text) or text[0] == " " or text[-1] == " ":
-            return self.find(text)
-        return text.replace(" ", "\x01 ").split("\x01")
-
-    def encode_token(self, token: str) -> list[int]:
+        self.first: dict[str, bytes] = {}  # word at a text's start -> its ids
+        self.later: dict[str, bytes] = {}  # word after a space
+        self.tokens: dict[str, bytes] = {}  # pre-token
+
+    def encode_token(self, token: str) -> bytes:
         plain = token.replace(" ", "\u0120") if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(self.letters)
-        got = self.tokens[token] = [t.id for t in self.tokenizer.model.tokenize(plain)]
+        two = self.two
+        got = self.tokens[token] = b"".join([two[t.id] for t in self.tokenizer.model.tokenize(plain)])
         return got
 
-    def learn(self, words: list[str]) -> None:
-        known, find, encode = self.tokens, self.find, self.encode_token
-        ids: list[list[int]] = []
-        for w in words:
-            own: list[int] = []
-            for t in find(w):
-                own += known.get(t) or encode(t)
-            ids.append(own)
-        self.memo.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.pool = np.concatenate([self.pool, np.fromiter((x for i in ids for x in i), np.uint32)])
-        self.size = np.concatenate([self.size, np.fromiter(map(len, ids), np.int64, len(ids))])
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [self.stretches(t) for t in texts]
-        new = set().union(*parts) - self.memo.keys()
-        if len(self.memo) + len(new) > CACHE:
+    def word(self, text: str) -> bytes:
+        """Ids of a word, with the space before it if any: of its pre-tokens, most often letters and what closes them."""
+        known, encode = self.tokens, self.encode_token
+        core = text.rstrip(CLOSING)
+        if core.lstrip(" ").isalpha():
+            own = known.get(core) or encode(core)
+            if len(core) == len(text):
+                return own
+            tail = text[len(core) :]
+            return own + (known.get(tail) or encode(tail))
+        return b"".join([known.get(t) or encode(t) for t in self.find(text)])
+
+    def values(self, memo: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
+        """Ids of each of `words` with `before` (a space or nothing) in front of it."""
+        found = list(map(memo.get, words))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = memo[words[k]] = self.word(before + words[k])
+        return found
+
+    def plain(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that are cut at their spaces."""
+        cut = pc.split_pattern(texts, " ")
+        ends = (cut.offsets.to_numpy() - cut.offsets[0].as_py()).tolist()
+        words = cut.flatten().dictionary_encode()
+        different, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().tolist()  # faster than to_pylist
+        ids = self.values(self.later, different, " ").__getitem__
+        heads = self.values(self.first, [different[at[a]] for a in ends[:-1]], "")
+        return [b"".join([head, *map(ids, at[a + 1 : b]), self.end]) for head, a, b in zip(heads, ends, ends[1:])]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: empty), END after them."""
+        if len(self.later) + len(self.tokens) > CACHE:
             self.forget()
-            new = set().union(*parts)
-        self.learn(list(new))
-        get = self.memo.__getitem__
-        word = np.fromiter((k for p in parts for k in map(get, p)), np.int64, sum(map(len, parts)))
-        n = self.size[word]
-        begin = (np.cumsum(self.size) - self.size)[word]
-        flat = self.pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])].tolist()
-        end = np.array([END], np.uint32)
-        out = [np.concatenate([flat[a:b], end]) for a, b in zip(ends, ends[1:])]
-        for k, t in enumerate(texts):
-            if t and not parts[k]:  # holds the text of a special token
-                out[k] = np.array([*self.tokenizer.encode(t, add_special_tokens=False).ids, END], np.uint32)
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring_regex(texts, BESIDE), pc.equal(texts, ""))
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, name))
+        odd = odd.to_numpy(zero_copy_only=False)
+        rest = iter(self.plain(texts.filter(pa.array(~odd))) if not odd.all() else ())
+        out, two, known = [], self.two, self.tokens
+        for text in _only(texts, odd):
+            if text is None:
+                ids = next(rest)
+            elif any(x in text for x in self.special):
+                ids = b"".join([two[k] for k in self.tokenizer.encode(text, add_special_tokens=False).ids]) + self.end
+            else:
+                ids = b"".join([known.get(t) or self.encode_token(t) for t in self.find(text)]) + self.end
+            out.append(np.frombuffer(ids, f"<u{WIDTH}"))
         return out
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: after each window of SPAN ids whose hash has MASK's bits clear."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    values = mix(ids.astype(np.uint64) + np.uint64(1))
-    rolled = values.copy()
+def _only(texts: pa.Array, odd: np.ndarray) -> Iterator[str | None]:
+    """The texts where `odd`, and None elsewhere."""
+    some = iter(texts.filter(pa.array(odd)).to_pylist())
+    return (next(some) if o else None for o in odd.tolist())
+
+
+_CODERS: dict[str, WordCachedTokenizer] = {}
+
+
+def coder_of(path: str) -> WordCachedTokenizer:
+    """One coder for each worker process, which keeps the words it has met from task to task, up to CACHE."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCachedTokenizer(path)
+    return _CODERS[path]
+
+
+def cut_points(texts: list[np.ndarray]) -> list[list[int]]:
+    """For each id stream the ends of its chunks: after each window of SPAN ids whose hash has MASK's bits clear."""
+    bounds = np.cumsum([0, *map(len, texts)])
+    rolled = np.concatenate(texts).astype(np.uint32) if texts else np.zeros(0, np.uint32)
+    rolled = (rolled + np.uint32(1)) * np.uint32(0x9E3779B1)
     width = 1
-    while width < SPAN:  # rolled[i] is a hash of ids[i : i + width], by doubling
-        rolled = mix(rolled[: len(rolled) - width] * np.uint64(3) + rolled[width:])
+    while width < SPAN and width < len(rolled):  # rolled[i] is a hash of ids[i : i + width], by doubling
+        rolled = rolled[: len(rolled) - width] * np.uint32(0x85EBCA6B) + rolled[width:]
+        rolled ^= rolled >> np.uint32(15)
         width *= 2
-    ends, last = [], 0
-    for at in (np.flatnonzero(rolled & np.uint64(MASK) == 0) + SPAN).tolist():
-        while at - last > MOST:
+    marks = np.flatnonzero(rolled & np.uint32(MASK) == 0)
+    own = np.searchsorted(bounds, marks, side="right") - 1
+    inside = marks + SPAN < bounds[own + 1]
+    marks, own = (marks - bounds[own] + SPAN)[inside], own[inside]
+    parts = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    marks = marks.tolist()
+    out = []
+    for k, n in enumerate(np.diff(bounds).tolist()):
+        ends, last = [], 0
+        for at in marks[parts[k] : parts[k + 1]] if n > LEAST else ():
+            while at - last > MOST:
+                last += MOST
+                ends.append(last)
+            if at - last >= LEAST:
+                ends.append(at)
+                last = at
+        while n - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST and at < n:
-            ends.append(at)
-            last = at
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return [*ends, n]
+        out.append([*ends, n])
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -166,15 +210,22 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, row, part = WordCachedTokenizer(tokenizer), 0, TaskContext.get().partitionId()
+        coder, row, part = coder_of(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 1000):
+            ids_all, texts_all = batch.column(0), batch.column(1)
+            cuts, held = [0], 0
+            for k, n in enumerate(pc.fill_null(pc.binary_length(texts_all), 0).to_pylist()):
+                if held and held + n > SLAB:
+                    cuts.append(k)
+                    held = 0
+                held += n
+            for at, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
                 fresh: dict[bytes, tuple[int, bytes]] = {}
-                keys, ids_, ns, chunks, roots = [], batch.column(0).slice(at, 1000), [], [], []
-                for ids in coder.encode_all(texts[at : at + 1000]):
-                    raw, own, last = ids.astype("<u2").tobytes(), [], 0
-                    for end in cut_points(ids):
+                keys, ids_, ns, chunks, roots = [], ids_all.slice(at, stop - at), [], [], []
+                coded = coder.encode_all(texts_all.slice(at, stop - at))
+                for ids, ends in zip(coded, cut_points(coded)):
+                    raw, own, last = ids.tobytes(), [], 0
+                    for end in ends:
                         piece = raw[last * WIDTH : end * WIDTH]
                         digest = hashlib.sha256(piece).digest()
                         fresh.setdefault(digest, (end - last, piece))
@@ -295,6 +346,4 @@ def restore(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_folder(spark: SparkSession) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    return scratch_path(spark, "store")
