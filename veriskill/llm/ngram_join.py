@@ -24,7 +24,7 @@ from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
-GATE = 1.5  # the share of the hash range that is counted first, as a multiple of the share in which linked sets may differ
+GATE = 0.12  # by so much the share of the hash range that is counted first is more than that in which linked sets may differ
 CELL_BITS = 10  # 2^10 cells, whose parities are 128 bytes of a set
 
 
@@ -140,6 +140,7 @@ def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int)
 def _apart(star: DataFrame, label: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of nodes with one head, in different components, that may be linked; one at least not with the head."""
     of = star.join(label, "node").join(label.select(F.col("node").alias("head"), F.col("comp").alias("head_comp")), "head").withColumn("out", F.col("comp") != F.col("head_comp"))
+    of = written(of, "members")  # written: a plain join, whose skew can be split; a head may have very many members
     live = written(of.where("out").select("head").distinct(), "heads")
     of = of.join(live, "head").join(sizes.select("node", "n"), "node").select("head", "node", "comp", "out", "n")
     own, base = tokens.select("node", "part", F.col("hashes").alias("own")), tokens.select(F.col("node").alias("head"), "part", F.col("hashes").alias("base"))
@@ -177,7 +178,7 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
     sets = written(_sets(docs, number), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("first")  # of the rows of a node, that of the least id
     nodes = written(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.max("n_shingles").alias("n"), first).select("h1", "h2", "n", "first.doc_id", "first.t"), "nodes")
-    lone = _lone_shingles(docs.select("text"), number, min(1.0, GATE * (100 - least) / 100))
+    lone = _lone_shingles(docs.select("text"), number, min(1.0, GATE + (100 - least) / 100))
     passed = nodes.join(lone, "h1", "left").where(100 * F.coalesce("lone", F.lit(0)) <= (100 - least) * F.col("n"))
     passed = written(passed.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "n", "doc_id", "t"), "passed")  # written: numbers stay as they are
 
