@@ -75,6 +75,18 @@ rules(rule, verdict, rhost, rpath) AS (VALUES ('net/', 'block', 'net', '/'), ('e
 m AS (SELECT page_id, host, path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
       FROM p LEFT JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m""",
+    "op2_sharding": r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS crcs),
+b AS (SELECT doc_id, coalesce(text, '') AS x, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: 16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1) AS bytes FROM documents),
+d AS (SELECT doc_id, CAST(len(bytes) + 1 AS BIGINT) AS size, sha256(x) AS key, CAST(CASE WHEN len(bytes) = 0 THEN 0 ELSE xor(list_reduce(bytes, lambda a, y: xor(a >> 8, crcs[(xor(a, y) & 255) + 1]), 4294967295), 4294967295) END AS BIGINT) AS text_crc32 FROM b, tab),
+g AS (SELECT key, bytes, CAST(sum(bytes) OVER (ORDER BY key) AS BIGINT) AS upto FROM (SELECT key, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY key)),
+lim AS (SELECT list(upto ORDER BY upto) AS ups, max(upto) AS total, greatest(max(bytes), (max(upto) + 7) // 8) AS low, max(bytes) + (max(upto) + 7) // 8 AS high FROM g),
+bs(low, high) AS (SELECT low, high FROM lim UNION ALL
+  SELECT CASE WHEN fits THEN low ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE high END FROM (SELECT low, high, mid, total - list_reduce(range(7), lambda e, k: coalesce(list_max(list_filter(ups, lambda u: u <= e + mid)), e), CAST(0 AS BIGINT)) <= mid AS fits
+    FROM (SELECT bs.low, bs.high, (bs.low + bs.high) // 2 AS mid, ups, total FROM bs, lim WHERE bs.low < bs.high))),
+cuts(k, e) AS (SELECT 0, CAST(0 AS BIGINT) UNION ALL SELECT k + 1, coalesce(list_max(list_filter(ups, lambda u: u <= e + cap)), e) FROM cuts, lim, (SELECT min(high) AS cap FROM bs WHERE low >= high) WHERE k < 7),
+p AS (SELECT d.*, (SELECT CAST(count(*) AS INTEGER) FROM cuts WHERE k > 0 AND g.upto > e) AS shard FROM d JOIN g USING (key))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, text_crc32)), 3, 2), doc_id, key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
     "op6_decontamination": r"""
 WITH it AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k:k+12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM it WHERE len(w) > 0)),

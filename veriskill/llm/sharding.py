@@ -76,7 +76,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     shard = F.lit(0)
     for key in cuts:
         shard = shard + (F.col("key") > key).cast("int")
-    placed = slim.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells)).cast("int"))
+    placed = slim.withColumn("shard", shard.cast("int")).withColumn("cell", (F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "text_crc32")), 1, 4), 16, 10).cast("int") % cells).cast("int"))
     counts = placed.groupBy("shard", "cell").count()
     before = counts.select("shard", "cell", (F.sum("count").over(Window.partitionBy("shard").orderBy("cell")) - F.col("count")).alias("before"))
     slot = F.col("before") + F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "key")) - 1
