@@ -1,17 +1,21 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Two transducers are composed. The lexicon transducer reads a token and writes its class: an insult (learned whole
-words and word beginnings, weighted by log odds), a threat, a target, a negation, reported speech, or none. The clause
-transducer reads these classes and ends in a state that names the matched pattern; each pattern has a weight of its
-own. A document's score comes from its matched clauses, not from single words.
+The lexicon transducer reads a token and writes its class: an insult (learned whole words and word beginnings, weighted by
+log odds), a threat, a target, a negation, reported speech, or none. Five small transducers read these classes: negation
+marks the insults and threats within a few tokens after it, reported speech those after the verb up to the end of the
+sentence, and one each keeps the insult, the threat and the target of a clause. They are composed into one machine, which
+writes the matched pattern at the end of a clause; each pattern has a learned weight. A document's score comes from its
+matched clauses, not from single words.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Hashable, Iterable
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +28,8 @@ SAMPLE_ROWS = 8_000
 STEMS = range(4, 8)  # lengths of learned word beginnings
 LEAST_DOCS, LEAST_ODDS = 5, 3.0
 TOKEN = re.compile(r"[^\W_]+|[.!?;:\n]")
-STOP = frozenset(".!?;:\n")
+MARKS = frozenset(".!?;:\n")
+SCOPE = 4  # tokens after a negation that it reaches
 
 # Closed classes of the grammar, English, German, French and Spanish.
 THREAT = frozenset("kill hurt destroy beat burn shoot stab hang töten umbringen schlagen tuer tuerai frapper brûler matar mataré golpear quemar".split())
@@ -32,28 +37,102 @@ TARGET = frozenset("you your yours u they them these those people du dich dir de
 NEGATION = frozenset("not no never none nobody isn aren don doesn nicht kein keine nie niemals ne pas jamais aucun ni nunca jamás ningún".split())
 REPORT = frozenset("said says wrote writes called quoted claimed reported sagte schrieb behauptete nannte dit écrit affirme dijo escribió afirmó llamó".split())
 
-#: Classes that the lexicon transducer writes.
-OTHER, INSULT, THREATEN, AIM, DENY, TELL = range(6)
+#: Classes that the lexicon transducer writes; COLON and STOP stand for punctuation.
+OTHER, INSULT, THREATEN, AIM, DENY, TELL, COLON, STOP = range(8)
+#: What negation and reported speech make of insults and threats.
+DENIED_INSULT, DENIED_THREAT, TOLD_INSULT, TOLD_THREAT = range(8, 12)
 #: Matched patterns of a clause: insult or threat, aimed or not, then weakened by negation or reported speech.
 PATTERNS = ("insult", "insult_aimed", "threat_aimed", "insult_denied", "insult_told", "threat_denied_or_told")
 
 
-def _clause_states() -> dict[tuple[int, int], int]:
-    """Transitions of the clause transducer; a state is the set of classes read so far, as bits."""
-    return {(state, c): state | (1 << c if c else 0) for state in range(64) for c in range(6)}
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic transducer: arcs lead from (state, symbol) to (state, what is written)."""
 
+    start: Hashable
+    arcs: dict[tuple[Hashable, int], tuple[Hashable, Hashable]]
 
-STEP = _clause_states()
+    @staticmethod
+    def of(start: Hashable, symbols: Iterable[int], step: Callable[[Hashable, int], tuple[Hashable, Hashable]]) -> Transducer:
+        """All states that can be reached from `start` over `symbols`."""
+        arcs, open_, symbols = {}, [start], tuple(symbols)
+        seen = {start}
+        while open_:
+            state = open_.pop()
+            for symbol in symbols:
+                arcs[state, symbol] = after, _ = step(state, symbol)
+                if after not in seen:
+                    seen.add(after)
+                    open_.append(after)
+        return Transducer(start, arcs)
 
+    def then(self, other: Transducer) -> Transducer:
+        """Composition: `other` reads what this one writes."""
 
-def pattern_of(state: int) -> int | None:
-    """What the clause transducer writes at the end of a clause: an index of `PATTERNS`, or None."""
-    has = lambda c: bool(state >> c & 1)
-    if has(INSULT):
-        return 3 if has(DENY) else 4 if has(TELL) else 1 if has(AIM) else 0
-    if has(THREATEN) and has(AIM):
-        return 5 if has(DENY) or has(TELL) else 2
-    return None
+        def step(state, symbol):
+            mine, written = self.arcs[state[0], symbol]
+            theirs, out = other.arcs[state[1], written]
+            return (mine, theirs), out
+
+        return Transducer.of((self.start, other.start), {s for _, s in self.arcs}, step)
+
+    def beside(self, other: Transducer) -> Transducer:
+        """Both read the same symbols; what they write is put together."""
+
+        def step(state, symbol):
+            (mine, out), (theirs, more) = self.arcs[state[0], symbol], other.arcs[state[1], symbol]
+            return (mine, theirs), (*(out if isinstance(out, tuple) else (out,)), more)
+
+        return Transducer.of((self.start, other.start), {s for _, s in self.arcs}, step)
+
+
+def _negation(left: int, symbol: int) -> tuple[int, int]:
+    if symbol == DENY:
+        return SCOPE, OTHER
+    if symbol in (STOP, COLON):
+        return 0, symbol
+    return max(0, left - 1), {INSULT: DENIED_INSULT, THREATEN: DENIED_THREAT}.get(symbol, symbol) if left else symbol
+
+
+def _report(told: bool, symbol: int) -> tuple[bool, int]:
+    if symbol == TELL:
+        return True, OTHER
+    return told and symbol != STOP, {INSULT: TOLD_INSULT, THREATEN: TOLD_THREAT}.get(symbol, symbol) if told else symbol
+
+
+def _keeper(kinds: tuple[int, ...]) -> Callable[[int, int], tuple[int, int]]:
+    """Keeps the strongest of `kinds` (the strongest last) in a clause, and writes it at its end: 0 for none."""
+    return lambda best, symbol: (0, best) if symbol in (STOP, COLON) else (max(best, kinds.index(symbol) + 1 if symbol in kinds else 0), 0)
+
+
+def _clause_machine() -> Transducer:
+    classes, marked = range(8), (OTHER, INSULT, THREATEN, AIM, COLON, STOP, DENIED_INSULT, DENIED_THREAT)
+    negation, report = Transducer.of(0, classes, _negation), Transducer.of(False, (*marked, TELL), _report)
+    read = (*marked, TOLD_INSULT, TOLD_THREAT)
+    insult, threat, target = (Transducer.of(0, read, _keeper(k)) for k in ((DENIED_INSULT, TOLD_INSULT, INSULT), (DENIED_THREAT, TOLD_THREAT, THREATEN), (AIM,)))
+    return negation.then(report).then(insult.beside(threat).beside(target))
+
+
+def pattern_of(found: tuple[int, int, int]) -> int:
+    """The index of the pattern of a clause with this insult, threat and target; -1 for none."""
+    insult, threat, target = found
+    if insult:
+        return (3, 4, 1 if target else 0)[insult - 1]
+    return -1 if not threat or not target else 2 if threat == 3 else 5
+
+
+def _tables(machine: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """Next state and written pattern by state number and class; the start is state 0."""
+    number = {machine.start: 0}
+    for state, _ in machine.arcs:
+        number.setdefault(state, len(number))
+    after, out = ([[0] * 8 for _ in number] for _ in range(2))
+    for (state, symbol), (to, found) in machine.arcs.items():
+        after[number[state]][symbol], out[number[state]][symbol] = number[to], pattern_of(found)
+    return after, out
+
+
+NEXT, WRITES = _tables(_clause_machine())
 
 
 @dataclass
@@ -64,7 +143,30 @@ class Grammar:
     bias: float = -2.0
 
     def __post_init__(self) -> None:
-        self.patterns = self.matcher()
+        self.forms = self.automaton()
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.stems, self.weights, self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.stems, self.weights, self.bias = state
+        self.forms = self.automaton()
+
+    def automaton(self) -> ahocorasick.Automaton:
+        """All insults and threats, each with its length and whether it is a whole token: one pass finds any of them."""
+        out = ahocorasick.Automaton()
+        for w in {*self.words, *THREAT, *self.stems}:
+            out.add_word(w, (len(w), w not in self.stems))
+        out.make_automaton()
+        return out
+
+    def may_match(self, lowered: str) -> bool:
+        """Whether an insult or a threat stands in the text as a token, or begins one."""
+        for last, (size, whole) in self.forms.iter(lowered):
+            before = last - size
+            if (before < 0 or not lowered[before].isalnum()) and not (whole and lowered[last + 1 : last + 2].isalnum()):
+                return True
+        return False
 
     def lexicon(self, token: str) -> tuple[int, float]:
         weight = self.words.get(token)
@@ -74,40 +176,32 @@ class Grammar:
             return INSULT, weight
         for kind, members in ((THREATEN, THREAT), (DENY, NEGATION), (TELL, REPORT), (AIM, TARGET)):
             if token in members:
-                return kind, 1.0
+                return kind, float(kind == THREATEN)
         return OTHER, 0.0
 
     def clauses(self, text: str | None, memo: dict[str, tuple[int, float]]) -> np.ndarray:
         """For each pattern, the summed weight of the clauses that match it."""
         out = np.zeros(len(PATTERNS))
         lowered = (text or "").lower()
-        if not any(w in lowered and p.search(lowered) for w, p in self.patterns):
+        if not self.may_match(lowered):
             return out  # a clause matches only where an insult or a threat stands in it
         state, weight = 0, 0.0
-        for token in TOKEN.findall(lowered):
-            if token in STOP:
-                if state and (p := pattern_of(state)) is not None:
+        for token in [*TOKEN.findall(lowered), "."]:
+            if token in MARKS:
+                symbol = COLON if token == ":" else STOP
+                if (p := WRITES[state][symbol]) >= 0:
                     out[p] += weight
-                state, weight = 0, 0.0
+                state, weight = NEXT[state][symbol], 0.0
                 continue
             got = memo.get(token)
             if got is None:
                 if len(memo) > 200_000:
                     memo.clear()
                 got = memo[token] = self.lexicon(token)
-            if got[0]:
-                state = STEP[state, got[0]]
-                if got[0] <= THREATEN:
-                    weight += got[1]
-        if state and (p := pattern_of(state)) is not None:
-            out[p] += weight
+            state = NEXT[state][got[0]]
+            weight += got[1]
         return out
 
-    def matcher(self) -> list[tuple[str, re.Pattern[str]]]:
-        """Each insult and threat with the pattern by which it stands as a token, or begins one."""
-        edge = "(?![^\\W_])"
-        return [(w, re.compile(f"(?<![^\\W_]){re.escape(w)}{end}")) for forms, end in ((self.words, edge), (THREAT, edge), (self.stems, "")) for w in sorted(forms)]
-
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(np.log1p(x) @ self.weights + self.bias, -30, 30)))
 
@@ -125,7 +219,7 @@ def _learn_lexicon(texts: DataFrame) -> Grammar:
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            words = {t for t in TOKEN.findall((text or "").lower()) if t not in STOP}
+            words = {t for t in TOKEN.findall((text or "").lower()) if t not in MARKS}
             seen[label].update(words)
             seen[label].update({t[:k] + "*" for t in words for k in STEMS if len(t) >= k})
         keys = list(seen[0] | seen[1])
@@ -184,14 +278,15 @@ def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), clauses (weight by pattern), for every row.
 
     Reads doc_id and text alone, the score only text; one narrow Arrow pass. Null and empty texts match no clause and
-    get the base score, under 0.5. Repeated rows are scored alike; an empty table gives an empty frame.
+    get the base score, under 0.5; a very long text is read whole, clause by clause. Repeated rows are scored alike; an
+    empty table gives an empty frame. Other columns are dropped, whatever their names.
     """
     out = _clause_stage(docs, grammar, "doc_id", docs.schema["doc_id"].dataType.simpleString())
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
 
 
 def keep_civil(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """Those rows of `docs`, with all their columns, whose score is under 0.5; one narrow Arrow pass."""
+    """Those rows of `docs`, with all their columns, whose score is under 0.5 (null and empty texts too); one narrow Arrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
