@@ -53,9 +53,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality.with_stats(table(spark, sf_dir, "documents"))
-    forest = quality.fit_forest(stats, table(spark, sf_dir, "labels"))
-    return quality.judge(stats, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept")
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit_forest(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(quality.with_stats(docs), forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
