@@ -1,12 +1,21 @@
-"""SentencePiece encoding and decoding: pieces are matched by a suffix array over the batch, then edges are relaxed."""
+"""SentencePiece encoding and decoding: pieces are matched by a suffix array over the batch, then edges are relaxed.
+
+The different words of a batch are laid one after the other and indexed by one suffix array; a binary search for every
+piece gives its range of occurrences. Written out and sorted by position, these are the edges of the batch's lattice: a
+position's edges stand together, a mask of their lengths finds one of them. The model is a BPE model, whose ids a
+shortest path does not give, so the relaxation takes each word's best edge in turn.
+"""
 
 from __future__ import annotations
 
 import heapq
 import re
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from veriskill.llm.common import arrow_stage
@@ -15,8 +24,9 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 BATCH_CHARS = 1_200_000  # of different words that one suffix array indexes
 LONG = 200  # longer words are relaxed by a queue of their own
-CACHE = 600_000  # different words whose ids a task keeps
-TEXTS = 2_000  # texts encoded together
+CUT = 4096  # characters from which a word is cut where no piece crosses
+CACHE = 200_000  # different words whose ids a worker process keeps
+SLAB = 4 << 20  # bytes of texts that are encoded together, or one text
 
 
 def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -42,6 +52,32 @@ def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
         bits = max(1, int(rank.max()).bit_length())
 
 
+@dataclass
+class Lattice:
+    """Edges sorted by position: where each position's begin, a mask of their lengths, and each edge's piece by rank."""
+
+    begin: np.ndarray
+    mask: np.ndarray
+    piece: np.ndarray
+
+    @staticmethod
+    def of(start: np.ndarray, size: np.ndarray, piece: np.ndarray, n: int) -> Lattice:
+        order = np.argsort(start * 64 + size)
+        begin = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=n))])
+        bits = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.uint64(1) << size[order].astype(np.uint64))])
+        return Lattice(begin, bits[begin[1:]] - bits[begin[:-1]], np.append(piece[order], 0).astype(np.int32))
+
+    def ranks(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rank + 1 of the piece at [at, at + size), 0 where none."""
+        mask, bit = self.mask[at], np.uint64(1) << size.astype(np.uint64)
+        place = self.begin[at] + np.bitwise_count(mask & (bit - np.uint64(1)))
+        return np.where(mask & bit != 0, self.piece[place].astype(np.int64) + 1, 0)
+
+    def rank(self, at: int, size: int) -> int:
+        mask = int(self.mask[at])
+        return int(self.piece[int(self.begin[at]) + (mask & ((1 << size) - 1)).bit_count()]) + 1 if mask >> size & 1 else 0
+
+
 class PieceModel:
     """Encodes as a BPE model of SentencePiece does: best-scored merge first, unknown characters as bytes."""
 
@@ -55,11 +91,14 @@ class PieceModel:
         self.ids = np.array(plain, np.int64)  # by rank, the best first
         self.pieces = [m.id_to_piece(i) for i in plain]
         self.depth = max(map(len, self.pieces))
+        if self.depth > 63:
+            raise ValueError(f"{path}: a piece of {self.depth} characters does not go into a mask of lengths")
         size = np.array([len(p) for p in self.pieces])
         self.chars = np.zeros((len(plain), self.depth), np.uint32)
         for k, p in enumerate(self.pieces):
             self.chars[k, : len(p)] = [ord(c) for c in p]
         self.sizes = size
+        self.joints = np.unique(np.array([ord(x) << 32 | ord(y) for p in self.pieces for x, y in zip(p, p[1:])], np.uint64))
         self.single = {p: int(i) for p, i in zip(self.pieces, plain) if len(p) == 1}
         self.byte = {b: m.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         raw = {i: m.id_to_piece(i).replace(SPACE, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
@@ -70,14 +109,12 @@ class PieceModel:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}  # word -> its place in the pool
-        self.pool: list[np.ndarray] = []
-        self.sizes_of: list[int] = []
+        self.pool, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def edges(self, seq: np.ndarray) -> np.ndarray:
-        """Rank + 1 of the piece at [start, start + length), 0 where none, by start * (depth + 1) + length.
+    def edges(self, seq: np.ndarray) -> Lattice:
+        """Every piece at every place of `seq`: its occurrences are a range of the suffix array.
 
-        Each piece's occurrences are a range of the suffix array, found by binary search for all pieces at once, one
-        symbol at a time; written out, the ranges are the lattice's edges, sorted by position.
+        The ranges are found by binary search for all pieces at once, one symbol at a time.
         """
         order = suffix_order(seq, self.depth)
         n, k = len(seq), len(self.pieces)
@@ -100,15 +137,11 @@ class PieceModel:
         count = np.maximum(high - low, 0)
         piece = np.repeat(np.arange(k), count)
         start = order[np.repeat(low, count) + np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)]
-        width = self.depth + 1
-        table = np.zeros((n + 1) * width, np.uint16)
-        by_place = np.argsort(start * width + self.sizes[piece])
-        table[(start * width + self.sizes[piece])[by_place]] = piece[by_place] + 1
-        return table
+        return Lattice.of(start, self.sizes[piece], piece, n)
 
-    def relax(self, table: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def relax(self, lattice: Lattice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols (start, length) after all merges, for words [start, end): each round takes every word's best edge."""
-        width, none = self.depth + 1, np.int64(1) << 62
+        none = np.int64(1) << 62
         word = np.repeat(np.arange(len(starts)), ends - starts)
         at = starts[word] + np.arange(len(word)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
         size = np.ones(len(at), np.int64)
@@ -117,7 +150,7 @@ class PieceModel:
             key = np.full(len(at), none)
             total = size[:-1] + size[1:]
             near = np.flatnonzero((word[:-1] == word[1:]) & (total <= self.depth))
-            rank = table[at[near] * width + total[near]].astype(np.int64)
+            rank = lattice.ranks(at[near], total[near])
             near, rank = near[rank > 0], rank[rank > 0]
             key[near] = (rank << 32) | near
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -133,14 +166,14 @@ class PieceModel:
         order = np.argsort(at)
         return at[order], size[order]
 
-    def relax_long(self, table: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    def relax_long(self, lattice: Lattice, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The same for one long word, by a queue of its edges."""
-        width, size, before = self.depth + 1, {p: 1 for p in range(start, end)}, {p: p - 1 for p in range(start, end)}
+        size, before = {p: 1 for p in range(start, end)}, {p: p - 1 for p in range(start, end)}
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(a: int) -> None:
             b = a + size[a]
-            if b < end and size[a] + size[b] <= self.depth and (r := int(table[a * width + size[a] + size[b]])):
+            if b < end and size[a] + size[b] <= self.depth and (r := lattice.rank(a, size[a] + size[b])):
                 heapq.heappush(heap, (r, a, size[a], size[b]))
 
         for p in range(start, end - 1):
@@ -160,83 +193,94 @@ class PieceModel:
         at = np.array(sorted(size), np.int64)
         return at, np.array([size[p] for p in at.tolist()], np.int64)
 
-    def encode_words(self, words: list[str]) -> None:
-        """Puts the ids of each of `words` into the memo."""
-        at = 0
-        while at < len(words):
+    def parts(self, word: str) -> list[str]:
+        """A word, or stretches of it that no piece crosses: around NUL, and where a long one holds no two joined characters."""
+        if len(word) < CUT and "\0" not in word:
+            return [word]
+        code = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        joined = code[:-1] << np.uint64(32) | code[1:]
+        at = np.minimum(np.searchsorted(self.joints, joined), len(self.joints) - 1)
+        cuts = (np.flatnonzero((self.joints[at] != joined) | (code[:-1] == 0) | (code[1:] == 0)) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of `words` one after the other, and how many each has."""
+        parts = [self.parts(w) for w in words]
+        flat = [x for p in parts for x in p]
+        ids, size, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while at < len(flat):
             chars, stop = 0, at
-            while stop < len(words) and (stop == at or chars + len(words[stop]) < BATCH_CHARS):
-                chars += len(words[stop]) + 1
+            while stop < len(flat) and (stop == at or chars + len(flat[stop]) < BATCH_CHARS):
+                chars += len(flat[stop]) + 1
                 stop += 1
-            part = words[at:stop]
-            joined = "\0".join(part) + "\0"
-            seq = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-            size = np.array([len(w) for w in part], np.int64)
-            starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
-            table = self.edges(seq)
-            long = np.flatnonzero(size > LONG)
-            short = np.flatnonzero(size <= LONG)
-            found = [self.relax(table, starts[short], starts[short] + size[short]), *(self.relax_long(table, int(starts[k]), int(starts[k] + size[k])) for k in long)]
-            where, length = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(where)
-            where, length = where[order], length[order]
-            rank = table[where * (self.depth + 1) + length].astype(np.int64)
-            ids = np.where(rank > 0, self.ids[np.maximum(rank - 1, 0)], -1)
-            bounds = np.concatenate([np.searchsorted(where, starts), [len(where)]])
-            ids = ids.astype(np.int32)
-            unknown = set((np.searchsorted(starts, where[ids < 0], side="right") - 1).tolist())
-            if unknown:
-                for k, w in enumerate(part):
-                    own = ids[bounds[k] : bounds[k + 1]]
-                    if k in unknown:
-                        own = np.array([y for x, p in zip(own.tolist(), where[bounds[k] : bounds[k + 1]].tolist()) for y in ([x] if x >= 0 else [self.byte[b] for b in joined[p].encode()])], np.int32)
-                    self.keep(w, own)
-            else:
-                first = len(self.sizes_of)
-                self.memo.update(zip(part, range(first, first + len(part))))
-                self.pool.append(ids)
-                self.sizes_of += np.diff(bounds).tolist()
+            i, n = self.encode_some(flat[at:stop])
+            ids.append(i)
+            size.append(n)
             at = stop
-
-    def keep(self, word: str, ids: np.ndarray) -> None:
-        self.memo[word] = len(self.sizes_of)
-        self.pool.append(ids)
-        self.sizes_of.append(len(ids))
-
-    def ids_of(self, word: str) -> np.ndarray:
-        k = self.memo[word]
-        flat = np.concatenate(self.pool)
-        start = sum(self.sizes_of[:k])
-        return flat[start : start + self.sizes_of[k]]
-
-    @staticmethod
-    def words(text: str | None) -> list[str]:
-        """Stretches that no merge crosses: each begins with its spaces, written as U+2581."""
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
-            return WORD.findall(SPACE + text.replace(" ", SPACE))
-        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each text has."""
-        parts = [self.words(t) for t in texts]
-        new = set().union(*parts) - self.memo.keys()
-        if len(self.memo) + len(new) > CACHE:
+        size = np.concatenate(size)
+        if len(flat) > len(words):
+            size = np.add.reduceat(size, np.cumsum([0, *map(len, parts[:-1])]))
+        return np.concatenate(ids), size
+
+    def encode_some(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that one suffix array indexes; of those with NUL there is NUL alone."""
+        joined = "\0".join(part) + "\0"
+        seq = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        size = np.array([len(w) for w in part], np.int64)
+        starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
+        lattice = self.edges(seq)
+        long = np.flatnonzero(size > LONG)
+        short = np.flatnonzero(size <= LONG)
+        found = [self.relax(lattice, starts[short], starts[short] + size[short]), *(self.relax_long(lattice, int(starts[k]), int(starts[k] + size[k])) for k in long)]
+        where, length = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(where)
+        where, length = where[order], length[order]
+        rank = lattice.ranks(where, length)
+        ids = np.where(rank > 0, self.ids[np.maximum(rank - 1, 0)], -1).astype(np.int32)
+        n = np.ones(len(ids), np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):  # characters that no piece has: their bytes
+            raw = [[self.byte[b] for b in joined[p].encode()] for p in where[unknown].tolist()]
+            n[unknown] = [len(r) for r in raw]
+            wide = np.repeat(ids, n)
+            wide[np.repeat(ids < 0, n)] = [b for r in raw for b in r]
+            ids = wide
+        word = np.searchsorted(starts, where, side="right") - 1
+        return ids, np.bincount(word, weights=n, minlength=len(part)).astype(np.int64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where each word, written without the U+2581 that it begins with, stands in the pool; new ones are encoded."""
+        found = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = list(dict.fromkeys(words[k] for k in missing.tolist()))
+            ids, size = self.encode_words([SPACE + w for w in new])
+            self.memo.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.pool, self.size = np.concatenate([self.pool, ids]), np.concatenate([self.size, size])
+            found[missing] = [self.memo[words[k]] for k in missing.tolist()]
+        return found
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has (null: none)."""
+        if len(self.memo) > CACHE:
             self.forget()
-            new = set().union(*parts)
-        nul = [w for w in new if "\0" in w]  # NUL parts the words of an index: such words go piece by piece
-        self.encode_words([*new.difference(nul), *({x for w in nul for x in w.split("\0") if x} - self.memo.keys() - new)])
-        for w in nul:
-            self.keep(w, np.concatenate([y for k, x in enumerate(w.split("\0")) for y in ([np.array([self.byte[0]], np.int32)] if k else []) + ([self.ids_of(x)] if x else [])]))
-        memo = self.memo
-        self.pool = [np.concatenate(self.pool)] if self.pool else []
-        flat, size = self.pool[0] if self.pool else np.zeros(0, np.int32), np.array(self.sizes_of, np.int64)
-        word = np.fromiter((memo[w] for part in parts for w in part), np.int64, sum(map(len, parts)))
-        n = size[word]
-        begin = (np.cumsum(size) - size)[word]
-        ids = flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])]
+        texts = pc.fill_null(texts, "")
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, f"  |^ | $|{SPACE}").to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts.filter(pa.array(~empty & ~odd)), " ")
+        words = cut.flatten().dictionary_encode()
+        plain = self.places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        count = np.zeros(len(texts), np.int64)
+        count[~empty & ~odd] = np.diff(cut.offsets.to_numpy())
+        rest = [[w[1:] for w in WORD.findall(SPACE + t.replace(" ", SPACE))] for t in texts.filter(pa.array(odd)).to_pylist()]
+        count[odd] = [len(r) for r in rest]
+        word = np.zeros(int(count.sum()), np.int64)
+        from_rest = np.repeat(odd, count)
+        word[~from_rest] = plain
+        word[from_rest] = self.places([w for r in rest for w in r])
+        n = self.size[word]
+        ids = self.pool[np.repeat((np.cumsum(self.size) - self.size)[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
         return ids, np.diff(ends)
 
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -247,27 +291,41 @@ class PieceModel:
         return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
+_MODELS: dict[str, PieceModel] = {}
+
+
+def model_of(path: str) -> PieceModel:
+    """One model for each worker process, which keeps the words it has met from task to task, up to CACHE."""
+    if path not in _MODELS:
+        _MODELS[path] = PieceModel(path)
+    return _MODELS[path]
+
+
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """`docs` with ids (array<int>), n_tokens and round_trip (the ids decode to the text).
 
-    Each text is decoded again from its ids by `decode_all`. Gives the ids that the sentencepiece library gives for the model. A batch's different words are put together and
-    indexed by one suffix array, so memory follows the batch; nothing is shuffled. Null and empty texts have no ids,
+    Each text is decoded again from its ids by `decode_all`. Gives the ids that the sentencepiece library gives for the
+    model. A batch's different words are put together and indexed by one suffix array, so memory follows the batch, and
+    a very long word is cut where no piece crosses; nothing is shuffled. Null and empty texts have no ids,
     and round_trip is true. The character U+2581 itself decodes to a space, as in the library, so a text that holds
     it has round_trip false. Repeated rows are all kept; columns of `docs` named as those added are replaced.
     """
     base = docs.drop(*({"ids", "n_tokens", "round_trip"} & set(docs.columns)))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    cache: list[PieceModel] = []
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        if not cache:
-            cache.append(PieceModel(model))
-        texts = batch.column(text).to_pylist()
+        coder, texts = model_of(model), batch.column(text)
+        cuts, held = [0], 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if held and held + n > SLAB:
+                cuts.append(k)
+                held = 0
+            held += n
         ids, counts, same = [], [], []
-        for at in range(0, len(texts), TEXTS):
-            some = texts[at : at + TEXTS]
-            flat, n = cache[0].encode_all(some)
-            same += [x == (t or "") for x, t in zip(cache[0].decode_all(flat, n), some)]
+        for at, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+            some = texts.slice(at, stop - at)
+            flat, n = coder.encode_all(some)
+            same += [x == (t or "") for x, t in zip(coder.decode_all(flat, n), some.to_pylist())]
             ids.append(flat)
             counts.append(n)
         n = np.concatenate(counts)
@@ -281,13 +339,10 @@ def decode_pieces(df: DataFrame, model: str, ids: str = "ids", out: str = "decod
     """`df` with the text that its column of ids decodes to; null ids give an empty text."""
     base = df.drop(*({out} & set(df.columns)))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    cache: list[PieceModel] = []
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        if not cache:
-            cache.append(PieceModel(model))
         lists = [x or [] for x in batch.column(ids).to_pylist()]
         flat = np.array([y for x in lists for y in x], np.int64)
-        return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {out: cache[0].decode_all(flat, np.array([len(x) for x in lists], np.int64))}
+        return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {out: model_of(model).decode_all(flat, np.array([len(x) for x in lists], np.int64))}
 
     return arrow_stage(base, each, f"{ddl}, {out} string")
