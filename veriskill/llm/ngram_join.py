@@ -60,14 +60,23 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The batch's texts, a few hundred at a time as Python strings."""
+    column = batch.column("text")
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def _sets(docs: DataFrame, number: int) -> DataFrame:
     """(doc_id, t, n_shingles, h1, h2) for every row: the size and name of its set, zeros without words."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        powers = Powers()
-        sets = [shingle_set(t, number, powers) for t in batch.column("text").to_pylist()]
-        h1, h2 = zip(*map(_set_id, sets))
-        return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": [len(s) for s in sets], "h1": h1, "h2": h2}
+        powers, rows = Powers(), []
+        for text in _texts(batch):
+            s = shingle_set(text, number, powers)
+            rows.append((len(s), *_set_id(s)))
+        n, h1, h2 = zip(*rows)
+        return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": n, "h1": h1, "h2": h2}
 
     return arrow_stage(docs, each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, n_shingles bigint, h1 bigint, h2 bigint")
 
@@ -81,13 +90,13 @@ def _lone_shingles(docs: DataFrame, number: int, share: float) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         powers, seen, names, parts = Powers(), set(), [], [np.zeros(0, np.uint64)]
-        for text in batch.column("text").to_pylist():
+        for text in _texts(batch):
             s = shingle_set(text, number, powers)
             name = _set_id(s)
             if len(s) and name not in seen:
                 seen.add(name)
                 names.append(name[0])
-                parts.append(s[: np.searchsorted(s, bound)])
+                parts.append(s[: np.searchsorted(s, bound)].copy())  # a copy: the rest of the set is let go
         return {"h1": names, "tokens": lengths_to_list(np.concatenate(parts).view(np.int64), [len(p) for p in parts[1:]], pa.int64())}
 
     posted = arrow_stage(docs, each, "h1 bigint, tokens array<bigint>").select("h1", F.explode("tokens").alias("token"))
