@@ -27,9 +27,9 @@ from veriskill.llm.common import Powers, arrow_stage, mix, probably_in, written
 
 WIDTH, GRAM = 400, 32
 SLICE = 1 << 18  # bytes of texts looked at together; longer texts are cut with an overlap
-BLOCK = 3 << 20  # bytes of suffix text that are sorted together
+BLOCK = 2 << 20  # bytes of suffix text that are sorted together
 STRIDE = 192  # widest range of distances from the anchor in one piece
-KINDS = 4096  # kinds of one bucket that are sorted together; a bucket of more is cut by a stride an eighth as wide
+KINDS = 256  # kinds of one bucket that are sorted together; a bucket of more is cut by a stride an eighth as wide
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)  # every difference modulo 16 is one of two elements of the cover
 STEP = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
 SEEN = "r1 bigint, r2 bigint, at bigint, starts int, lead int, key bigint, c1 bigint, c2 bigint"
