@@ -29,7 +29,7 @@ PARTS = "key binary, doc_id {}, n bigint, ids binary, chunks array<binary>, root
 BLOCK = 4096  # documents whose roots are put together at once; a power of two, so that the tree is that of all of a part
 MANIFEST = "part int, documents bigint, ids bigint, root binary"
 CLOSING = ".,;:!?*$#%&|<>)]}"  # marks that make one pre-token after letters
-CACHE = 1_000_000  # words whose ids a worker process keeps
+CACHE = 1_100_000  # words whose ids a worker process keeps
 SLAB = 8 << 20  # bytes of texts that are encoded together, or one text
 
 
@@ -74,28 +74,32 @@ class WordCachedTokenizer:
         self.tokens: dict[str, bytes] = {}  # pre-token
 
     def encode_token(self, token: str) -> bytes:
+        """Ids of a pre-token; spaces and bytes over 126 are written in the byte-level alphabet."""
         plain = token.replace(" ", "\u0120") if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(self.letters)
         two = self.two
-        got = self.tokens[token] = b"".join([two[t.id] for t in self.tokenizer.model.tokenize(plain)])
-        return got
+        return b"".join([two[t.id] for t in self.tokenizer.model.tokenize(plain)])
 
-    def word(self, text: str) -> bytes:
-        """Ids of a word, with the space before it if any: of its pre-tokens, most often letters and what closes them."""
-        known, encode = self.tokens, self.encode_token
-        core = text.rstrip(CLOSING)
-        if core.lstrip(" ").isalpha():
-            own = known.get(core) or encode(core)
-            if len(core) == len(text):
-                return own
-            tail = text[len(core) :]
-            return own + (known.get(tail) or encode(tail))
-        return b"".join([known.get(t) or encode(t) for t in self.find(text)])
+    def token(self, token: str) -> bytes:
+        got = self.tokens.get(token)
+        if got is None:
+            got = self.tokens[token] = self.encode_token(token)
+        return got
 
     def values(self, memo: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
-        """Ids of each of `words` with `before` (a space or nothing) in front of it."""
-        found = list(map(memo.get, words))
+        """Ids of each of `words` with `before` (a space or nothing) in front of it: most often letters and what closes them."""
+        found, encode, token = list(map(memo.get, words)), self.encode_token, self.token
         for k in [k for k, x in enumerate(found) if x is None]:
-            found[k] = memo[words[k]] = self.word(before + words[k])
+            word = words[k]
+            core = word.rstrip(CLOSING)
+            if core.isalpha():
+                own = memo.get(core)
+                if own is None:
+                    own = memo[core] = encode(before + core)
+                if len(core) < len(word):
+                    own = memo[word] = own + token(word[len(core) :])
+            else:
+                own = memo[word] = b"".join(map(token, self.find(before + word)))
+            found[k] = own
         return found
 
     def plain(self, texts: pa.Array) -> list[bytes]:
@@ -118,14 +122,14 @@ class WordCachedTokenizer:
             odd = pc.or_(odd, pc.match_substring(texts, name))
         odd = odd.to_numpy(zero_copy_only=False)
         rest = iter(self.plain(texts.filter(pa.array(~odd))) if not odd.all() else ())
-        out, two, known = [], self.two, self.tokens
+        out, two = [], self.two
         for text in _only(texts, odd):
             if text is None:
                 ids = next(rest)
             elif any(x in text for x in self.special):
                 ids = b"".join([two[k] for k in self.tokenizer.encode(text, add_special_tokens=False).ids]) + self.end
             else:
-                ids = b"".join([known.get(t) or self.encode_token(t) for t in self.find(text)]) + self.end
+                ids = b"".join(map(self.token, self.find(text))) + self.end
             out.append(np.frombuffer(ids, f"<u{WIDTH}"))
         return out
 
