@@ -114,3 +114,67 @@ def quality(text):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def toxic(text, grammar):
+    """Whether a grammar's score reaches 0.5, from a plain reading of each clause."""
+    import numpy as np
+
+    from veriskill.llm import toxicity as t
+
+    sums = dict.fromkeys(t.PATTERNS, 0.0)
+    told = False
+    for clause in re.findall(r"[^.!?;:\n]*[.!?;:\n]?", (text or "").lower() + "."):
+        if not clause:
+            continue
+        strength = {"insult": 0, "threat": 0}
+        aimed, weight, denied_until = False, 0.0, -1
+        for k, word in enumerate(re.findall(r"[^\W_]+", clause)):
+            weights = [grammar.words[word]] if word in grammar.words else [w for x, w in grammar.stems.items() if word.startswith(x)]
+            kind = "insult" if weights else "threat" if word in t.THREAT else None
+            if kind:
+                strength[kind] = max(strength[kind], 1 if k <= denied_until else 2 if told else 3)
+                weight += max(weights) if weights else 1.0
+            elif word in t.NEGATION:
+                denied_until = k + t.SCOPE
+            elif word in t.REPORT:
+                told = True
+            elif word in t.TARGET:
+                aimed = True
+        if strength["insult"]:
+            sums[("", "insult_denied", "insult_told", "insult_aimed" if aimed else "insult")[strength["insult"]]] += weight
+        elif strength["threat"] and aimed:
+            sums["threat_aimed" if strength["threat"] == 3 else "threat_denied_or_told"] += weight
+        if clause[-1] != ":":
+            told = False
+    x = sum(np.log1p(v) * w for v, w in zip(sums.values(), grammar.weights)) + grammar.bias
+    return 1 / (1 + np.exp(-x)) >= 0.5
+
+
+def secrets(spark, rows, model):
+    """[(key, text, path)] -> {key: (candidates, confirmed matches, masked text)}, a plain scan with the same forest."""
+    from pyspark.ml.linalg import Vectors
+
+    from veriskill.llm import secrets as s
+
+    found = defaultdict(list)
+    for key, text, path in rows:
+        for m in re.finditer(s.CANDIDATE, text or ""):
+            found[m[0], text[max(0, m.start() - s.NEAR) : m.start()], text[m.end() : m.end() + s.NEAR], path].append(key)
+    sure, held = defaultdict(set), defaultdict(set)
+    if found:
+        for r in s.with_features(spark.createDataFrame(list(found), "match string, before string, after string, path string")).collect():
+            value = re.sub(rf"^(?i:{s.GIVEN}\s?[\"']?)", "", r.match)
+            yes = model.predictProbability(Vectors.dense([r[c] for c in s.FEATURES]))[1] >= 0.5
+            for key in found[r.match, r.before, r.after, r.path]:
+                held[key].add((r.match, value))
+                if yes:
+                    sure[key].add(value)
+    out = {}
+    for key, text, _ in rows:
+        want = sorted(m for m, v in held[key] if v in sure[key])
+        masked = text
+        for m in sorted(want, key=lambda m: (-len(m), m)):
+            masked = masked.replace(m, s.MASK)
+        out[key] = (len(held[key]), want, masked)
+    return out

@@ -134,14 +134,15 @@ def test_repeats_of_sf01(spark):
     raws = [(d["doc_id"], (d["text"] or "").encode()) for d in docs]
     own = [[a.prefix(np.frombuffer(raw, np.uint8)) for a in POWERS] for _, raw in raws]
     windows = [np.stack([a.span(x, at := np.arange(max(0, len(raw) - 399)), at + 400) for a, x in zip(POWERS, p)], 1) for (_, raw), p in zip(raws, own)]
-    flat = np.ascontiguousarray(np.concatenate(windows)).view("V16").ravel().view([("a", "u8"), ("b", "u8")])
-    _, back, n = np.unique(flat, return_inverse=True, return_counts=True)
+    a, b = (np.concatenate([w[:, k] for w in windows]) for k in (0, 1))
+    order = np.argsort(a)
+    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    twice = np.zeros(len(a), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
     want, ends = {}, np.cumsum([len(w) for w in windows])
-    for (doc_id, raw), flags in zip(raws, np.split(n[back] > 1, ends[:-1])):
-        cover = np.zeros(len(raw) + 1, np.int64)
-        np.add.at(cover, np.flatnonzero(flags), 1)
-        np.add.at(cover, np.flatnonzero(flags) + 400, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+    for (doc_id, raw), flags in zip(raws, np.split(twice, ends[:-1])):
+        at = np.flatnonzero(flags)
+        gone = np.cumsum(np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + 400, minlength=len(raw) + 1))[: len(raw)] > 0
         want[doc_id] = (len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
     got = {r[0]: tuple(r[1:5]) for r in entries.op4_suffix_dedup(spark, sf).collect()}
     assert got == want and got[2062][1] == 1705
@@ -156,6 +157,8 @@ def test_toxicity(spark):
     assert len(rows) >= docs.count() + len(ODD)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(r.predicted == 0 for r in rows if r.doc_id < 0)
+    some = {r.doc_id: r.text for r in docs.where("doc_id % 4 = 0").collect()}
+    assert all(r.predicted == brute.toxic(some[r.doc_id], grammar) for r in rows if r.doc_id in some)
     out = [(r.toxic, r.predicted) for r in rows if r.held_out and r.toxic is not None]
     true = sum(t and p for t, p in out)
     assert true / sum(t for t, _ in out) >= 0.9 and true / sum(p for _, p in out) >= 0.9
@@ -296,34 +299,12 @@ def test_secrets_on_other_findings(spark):
 
 def test_secrets_brute_force(spark):
     """All rows of sf0.01, and odd ones, against a plain scan with the same forest."""
-    import re
-
-    from pyspark.ml.linalg import Vectors
-
     model = secrets.default_model(spark)
     _, rows = documents(spark, "/root/testdata/sf0.01")
     texts = [t for _, t in rows] + ODD + ["pwd=12345678 pwd=123456789", "token=abcdefgh1,token=abcdefgh1"]
-    df = frame(spark, texts)
-    found = {}
-    for d, t in enumerate(texts):
-        for m in re.finditer(secrets.CANDIDATE, t or ""):
-            found.setdefault((m[0], t[max(0, m.start() - secrets.NEAR) : m.start()], t[m.end() : m.end() + secrets.NEAR], f"s{d % 3}"), []).append(d)
-    featured = secrets.with_features(spark.createDataFrame(list(found), "match string, before string, after string, path string")).collect()
-    sure, n = {}, {}
-    for r in featured:
-        value = re.sub(rf"^(?i:{secrets.GIVEN}\s?[\"']?)", "", r.match)
-        yes = model.predictProbability(Vectors.dense([r[c] for c in secrets.FEATURES]))[1] >= 0.5
-        for d in found[r.match, r.before, r.after, r.path]:
-            n.setdefault(d, set()).add((r.match, value))
-            if yes:
-                sure.setdefault(d, set()).add(value)
-    for r in secrets.scan_secrets(df, model).collect():
-        want = sorted(m for m, v in n.get(r.doc_id, ()) if v in sure.get(r.doc_id, ()))
-        masked = r.text
-        for m in sorted(want, key=lambda m: (-len(m), m)):
-            masked = masked.replace(m, secrets.MASK)
-        assert (r.n_candidates, r.secrets, r.redacted) == (len(n.get(r.doc_id, ())), want, masked)
-    assert sure
+    want = brute.secrets(spark, [(d, t, f"s{d % 3}") for d, t in enumerate(texts)], model)
+    got = {r.doc_id: (r.n_candidates, r.secrets, r.redacted) for r in secrets.scan_secrets(frame(spark, texts), model).collect()}
+    assert got == want and any(s for _, s, _ in want.values())
 
 
 def test_quality(spark, sf):
@@ -366,26 +347,34 @@ def test_oracles_agree(spark, name):
 
 
 def test_pipeline(spark, sf):
+    """Each stage against brute force on its own input."""
     import corpus_pipeline as cp
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(frame(spark, [t for t in ODD if t is not None] + [None, "password=dd93acb406f036cedd ok"], 50_000))
+    foul = ["You are all idiots and I hate you", "I will kill you. " * 3]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(frame(spark, [t for t in ODD if t is not None] + [None, "password=dd93acb406f036cedd ok", *foul], 50_000))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
     kept = docs
     for name, stage in cp.STAGES[:-1]:
         before, kept = kept, stage(spark, kept, sf)
         assert kept.columns == docs.columns
-        old, new = {r.doc_id: r.text for r in before.collect()}, {r.doc_id: r.text for r in kept.collect()}
+        rows = sorted(before.collect(), key=lambda r: r.doc_id)
+        old, new = {r.doc_id: r.text for r in rows}, {r.doc_id: r.text for r in kept.collect()}
         assert new.keys() <= old.keys() and len(new) == kept.count()
-        if name == "ngram_join":
-            rows = sorted(old.items())
-            sets = {d: brute.shingles(t, 5) for d, t in rows}
-            assert all(any(100 * len(sets[d] & sets[k]) >= 50 * len(sets[d] | sets[k]) for k in new) for d in old.keys() - new.keys())
-            assert not any(a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a in new for b in new)
+        if name == "toxicity":
+            grammar = toxicity.fit_grammar(before, labels)
+            want = {d: t for d, t in old.items() if not brute.toxic(t, grammar)}
+        elif name == "ngram_join":
+            joined = brute.jaccard(list(old.items()), 80, 5)
+            want = {d: t for d, t in old.items() if joined[d][1] == d}
+            assert len(want) < len(old)
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-            bad = brute.contamination(list(old.values()), items)
-            assert old.keys() - new.keys() == {d for d, b in zip(old, bad) if b[4]}
-        elif name == "secret_scan":
-            assert old.keys() == new.keys() and "dd93acb406f036cedd" not in new[50_000 + len(ODD)]
+            want = {d: t for (d, t), b in zip(old.items(), brute.contamination(list(old.values()), items)) if not b[4]}
+        else:
+            found = brute.secrets(spark, [(r.doc_id, r.text, r.source) for r in rows], secrets.default_model(spark))
+            want = {d: masked for d, (_, _, masked) in found.items()}
+            assert "dd93acb406f036cedd" not in new[50_000 + len(ODD)]
+        assert new == want, name
     assert cp.STAGES[-1][1](spark, kept, sf).where("round_trip").count() == kept.count()
     assert cp.run(spark, sf).count() > 0
 
@@ -465,3 +454,29 @@ def test_token_store_misses_lost_recipes(spark, tmp_path, monkeypatch):
     got = token_store.read_store(spark, str(store)).collect()
     want = {(d, p != home[0]) for d, p in home.items() if d != 0 and p != gone} | {(None, False)}
     assert {(r.doc_id, r.verified) for r in got} == want and len(got) == len(want)
+
+
+def test_statistics_and_scores_of_awkward_tables(spark):
+    """Clashing columns, repeated rows, null ids and a very long text."""
+    long = "word and more, " * 60_000
+    rows = [(1, "one two", 9, 9.0), (1, "one two", 9, 9.0), (None, "one two", 9, 9.0), (2, long, 9, 9.0), (3, None, 9, 9.0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, score double").withColumns({"features": F.lit(1), "clauses": F.lit("x")})
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_repeat_words) for r in quality.with_stats(df).collect()))
+    assert got == [(0, 2, 0), (1, 2, 0), (1, 2, 0), (2, 180_000, 180_000), (3, 0, 0)]
+    grammar = toxicity.Grammar({"idiot": 2.0}, {}, weights=np.ones(len(toxicity.PATTERNS)), bias=-1.0)
+    scored = toxicity.score_toxicity(df, grammar).collect()
+    assert len(scored) == 5 and len({r.score for r in scored}) == 1
+    assert toxicity.keep_civil(df, grammar).columns == df.columns and toxicity.keep_civil(df, grammar).count() == 5
+
+
+def test_scratch_is_shared_and_dropped(spark, tmp_path):
+    from veriskill.llm import common
+
+    kept = list(common._MADE)
+    common._MADE.clear()
+    before = spark.conf.get("spark.checkpoint.dir")
+    made = common.written(spark.range(3), "some")
+    assert made.count() == 3 and all(p.startswith(before) for p in common._MADE)
+    common.drop_scratch(spark)
+    assert not common._MADE and not (made.inputFiles() and __import__("os").path.exists(made.inputFiles()[0].removeprefix("file://")))
+    common._MADE += kept
