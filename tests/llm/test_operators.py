@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from veriskill.llm.common import Powers
+from veriskill.llm.common import Powers, word_hashes
 from veriskill.llm import decontaminate, entries, ngram_join, pieces, quality, repeats, secrets, sharding, token_store, toxicity, url_filter
 
 POWERS = (Powers(), Powers(0xA0761D6478BD642F))
@@ -480,3 +480,43 @@ def test_scratch_is_shared_and_dropped(spark, tmp_path):
     common.drop_scratch(spark)
     assert not common._MADE and not (made.inputFiles() and __import__("os").path.exists(made.inputFiles()[0].removeprefix("file://")))
     common._MADE += kept
+
+
+def thue_morse(doublings):
+    """Two different strings of 2^doublings bytes that polynomials modulo 2^64 cannot tell apart from 2^10 on."""
+    a, b = "a", "b"
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_of_words():
+    words = ["", "a", "b", "\0", "\0\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "abcdefghabcdefgh", "x" * 63, "x" * 64, "x" * 65, "y" + "x" * 64, "é" * 40, *thue_morse(10), *thue_morse(5)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) for w in words])
+    start = end - [len(w.encode()) for w in words]
+    hashes = word_hashes(data, start, end)
+    assert len(set(hashes.tolist())) == len(set(words))
+    for w, h in zip(words, hashes):
+        assert word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] == h
+
+
+@pytest.mark.parametrize("doublings", [9, 10, 12])
+def test_strings_that_powers_cannot_tell_apart(spark, doublings):
+    a, b = thue_morse(doublings)
+    texts = [a, b, a + " p q r s " + b + " p q r s", a + "\n" + b + "\nx", a + "\n" + a + "\nx", "p q " + a, "p q " + b]
+    for t in texts:
+        counts, _ = quality.text_stats(t)
+        assert (*counts, base(t)) == brute.quality(t)
+    rows = list(enumerate(texts))
+    for join in (lambda df: ngram_join.jaccard_join(df),):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(frame(spark, texts)).collect()}
+        assert got == brute.jaccard(rows)
+    pad = [a + b, b + a, a + a, b + b, "z" * 80 + a + b]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove_repeats(frame(spark, pad)).collect()}
+    assert [got[k] for k in range(len(pad))] == brute.repeats(pad, 400)
+
+
+def base(text):
+    n, _, _, _, repeat = quality.text_stats(text)[0]
+    return n < 10 or 100 * repeat > 20 * n

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +117,11 @@ BYTE = mix(np.arange(256, dtype=np.uint64) + _ODD)
 
 
 class Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
+    """Powers of an odd base modulo 2^64 and of its inverse, grown on demand.
+
+    For short stretches that something else tells apart in the end: modulo 2^64 every base gives equal hashes to some
+    different strings of 512 bytes and more (those of Thue and Morse).
+    """
 
     def __init__(self, base: int = 0xD1342543DE82EF95):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -151,6 +156,30 @@ def word_bounds(data: np.ndarray, is_space: np.ndarray = SPACE) -> tuple[np.ndar
     return edge[::2], edge[1::2]
 
 
+#: Of the eight bytes read for what is left of a word, those that belong to it.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 64  # bytes from which on a word is hashed by xxh3
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words `data[start:end]` (uint8), eight bytes of all words at a time."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * _ODD ^ (eight[start] & _OWN[np.minimum(size, 8)]))
+    rest = np.flatnonzero((size > 8) & (size <= _LONG))
+    at = 8
+    while len(rest):
+        out[rest] = mix(out[rest] + _ODD ^ (eight[start[rest] + at] & _OWN[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    for k in np.flatnonzero(size > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
+    return out
+
+
 def lengths_to_list(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Array:
     """An Arrow list array from flat values and the length of each list."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, type=kind))

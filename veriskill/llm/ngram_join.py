@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import LOWER, Powers, arrow_stage, components, lengths_to_list, mix, probably_in, word_bounds, written
+from veriskill.llm.common import LOWER, arrow_stage, components, lengths_to_list, mix, probably_in, word_bounds, word_hashes, written
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
@@ -28,13 +28,13 @@ GATE = 0.12  # by so much the share of the hash range that is counted first is m
 CELL_BITS = 10  # 2^10 cells, whose parities are 128 bytes of a set
 
 
-def shingle_set(text: str | None, number: int, powers: Powers) -> np.ndarray:
+def shingle_set(text: str | None, number: int) -> np.ndarray:
     """Sorted hashes of the different shingles; the whole sequence if shorter; empty without words."""
     data = np.frombuffer((text or "").encode().translate(LOWER), np.uint8)
     start, end = word_bounds(data)
     if not len(start):
         return np.zeros(0, np.uint64)
-    words = powers.span(powers.prefix(data), start, end)
+    words = word_hashes(data, start, end)
     size = min(number, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
@@ -71,9 +71,9 @@ def _sets(docs: DataFrame, number: int) -> DataFrame:
     """(doc_id, t, n_shingles, h1, h2) for every row: the size and name of its set, zeros without words."""
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        powers, rows = Powers(), []
+        rows = []
         for text in _texts(batch):
-            s = shingle_set(text, number, powers)
+            s = shingle_set(text, number)
             rows.append((len(s), *_set_id(s)))
         n, h1, h2 = zip(*rows)
         return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": n, "h1": h1, "h2": h2}
@@ -89,9 +89,9 @@ def _lone_shingles(docs: DataFrame, number: int, share: float) -> DataFrame:
     bound = np.uint64(min((1 << 64) - 1, int(share * 2.0**64)))
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
-        powers, seen, names, parts = Powers(), set(), [], [np.zeros(0, np.uint64)]
+        seen, names, parts = set(), [], [np.zeros(0, np.uint64)]
         for text in _texts(batch):
-            s = shingle_set(text, number, powers)
+            s = shingle_set(text, number)
             name = _set_id(s)
             if len(s) and name not in seen:
                 seen.add(name)
@@ -108,9 +108,9 @@ def _tokens(docs: DataFrame, number: int) -> DataFrame:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            powers, rows = Powers(), []
+            rows = []
             for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2", "text"))):
-                s = shingle_set(text, number, powers)
+                s = shingle_set(text, number)
                 cut = np.searchsorted(s, np.array([(k << 64) // OVERLAP_PARTS for k in range(1, OVERLAP_PARTS)], np.uint64))
                 if _set_id(s) == (h1, h2):  # another text may have the same hash
                     rows += [(node, k, x.view(np.int64), None if k else parities(s)) for k, x in enumerate(np.split(s, cut))]

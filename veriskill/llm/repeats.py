@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ STEP = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
 SEEN = "r1 bigint, r2 bigint, at bigint, starts int, lead int, key bigint, c1 bigint, c2 bigint"
 
 
-def _pieces(raws: list[bytes], width: int, stride: int, powers: Powers, other: Powers) -> Iterator[tuple[np.ndarray, ...]]:
+def _pieces(raws: list[bytes], width: int, stride: int, powers: Powers) -> Iterator[tuple[np.ndarray, ...]]:
     """(text number, first start, starts, core's distance from the first start, bucket, content hashes) of each piece."""
     group: list[tuple[int, int, bytes]] = []
     held = 0
@@ -43,15 +44,15 @@ def _pieces(raws: list[bytes], width: int, stride: int, powers: Powers, other: P
         for at in range(0, len(raw) - width + 1, SLICE):
             part = raw[at : at + SLICE + width - 1]
             if held + len(part) > 2 * SLICE and group:
-                yield _group_pieces(group, width, stride, powers, other)
+                yield _group_pieces(group, width, stride, powers)
                 group, held = [], 0
             group.append((k, at, part))
             held += len(part)
     if group:
-        yield _group_pieces(group, width, stride, powers, other)
+        yield _group_pieces(group, width, stride, powers)
 
 
-def _group_pieces(group: list[tuple[int, int, bytes]], width: int, stride: int, powers: Powers, other: Powers) -> tuple[np.ndarray, ...]:
+def _group_pieces(group: list[tuple[int, int, bytes]], width: int, stride: int, powers: Powers) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
     size = np.array([len(p) for _, _, p in group])
     begin = np.cumsum(size) - size
@@ -81,7 +82,9 @@ def _group_pieces(group: list[tuple[int, int, bytes]], width: int, stride: int,
     end = at + length + (width - 1)
     number, offset = np.array([k for k, _, _ in group]), np.array([a for _, a, _ in group])
     of = own[first]
-    return number[of], at - begin[of] + offset[of], length, core - at, key.view(np.int64), powers.span(prefix, at, end).view(np.int64), other.span(other.prefix(data), at, end).view(np.int64)
+    whole = memoryview(data)
+    name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(at.tolist(), end.tolist())), np.int64).reshape(-1, 2)
+    return number[of], at - begin[of] + offset[of], length, core - at, key.view(np.int64), name[:, 0], name[:, 1]
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -200,8 +203,8 @@ def _starts(rows: DataFrame, width: int, stride: int, kinds_most: int) -> DataFr
     """(r1, r2, a, b): ranges [a, b) of starts of repeated strings in `rows` (r1, r2, raw)."""
 
     def pieces(batch: pa.RecordBatch) -> dict[str, object]:
-        powers, other = Powers(), Powers(0xA0761D6478BD642F)
-        got = list(_pieces(batch.column("raw").to_pylist(), width, stride, powers, other))
+        powers = Powers()
+        got = list(_pieces(batch.column("raw").to_pylist(), width, stride, powers))
         number, at, starts, lead, key, c1, c2 = (np.concatenate(c) if got else np.zeros(0, np.int64) for c in (zip(*got) if got else [()] * 7))
         r1, r2 = (batch.column(c).to_numpy(zero_copy_only=False)[number] for c in ("r1", "r2"))
         return {"r1": r1, "r2": r2, "at": at, "starts": starts.astype(np.int32), "lead": lead.astype(np.int32), "key": key, "c1": c1, "c2": c2}
