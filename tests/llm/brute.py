@@ -178,3 +178,68 @@ def secrets(spark, rows, model):
             masked = masked.replace(m, s.MASK)
         out[key] = (len(held[key]), want, masked)
     return out
+
+
+def resample(rows, items, percent=25, least_words=20):
+    """[(doc_id, text)] and target texts -> {doc_id: (n_features, weight, score, rank)}."""
+    import math
+
+    def grams(text):
+        w = ALNUM.findall((text or "").translate(LOWER))
+        return len(w), w + [" ".join(p) for p in zip(w, w[1:])]
+
+    bucket = lambda g: zlib.crc32(g.encode()) % 10_000
+    docs = [(d, *grams(t)) for d, t in rows]
+    s, t = Counter(bucket(g) for _, _, gs in docs for g in gs), Counter(bucket(g) for x in items for g in grams(x)[1])
+    n_s, n_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (n_s + 10_000) / ((s[b] + 1) * (n_t + 10_000)))) for b in range(10_000)]
+    out = {}
+    for d, n, gs in docs:
+        weight = sum(gain[bucket(g)] for g in gs) // len(gs) if gs else 0
+        h = int(hashlib.sha256(f"7:{d}".encode()).hexdigest()[:8], 16)
+        out[d] = [len(gs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n]
+    able = sorted((d for d, v in out.items() if v[4] >= least_words), key=lambda d: (-out[d][2], d))
+    for k, d in enumerate(able[: percent * len(able) // 100]):
+        out[d][3] = k + 1
+    return {d: tuple(v[:4]) for d, v in out.items()}
+
+
+def spelling(rows):
+    """[(doc_id, text)] -> {word: (n, n_near, form, form_n, root)}."""
+    count = Counter()
+    for d, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{d}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            count[w] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    gone = defaultdict(set)  # words that agree but for one place
+    for w in words:
+        gone[w].add(w)
+        for k in range(len(w)):
+            gone[w[:k] + w[k + 1 :]].add(w)
+    nears = defaultdict(set)
+    for group in gone.values():
+        for a in group:
+            nears[a].update(b for b in group if near(a, b))
+    form = {}
+    for w, n in words.items():
+        best = min(nears[w], key=lambda b: (-words[b], b), default=None)
+        form[w] = best if best is not None and words[best] >= 5 * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (n, len(nears[w]), form[w], words[form[w]] if form[w] else None, root)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from veriskill.llm.common import Powers, word_hashes
-from veriskill.llm import decontaminate, entries, ngram_join, pieces, quality, repeats, secrets, sharding, token_store, toxicity, url_filter
+from veriskill.llm import decontaminate, entries, minhash, ngram_join, pieces, quality, repeats, resample, secrets, sharding, spelling, token_store, toxicity, url_filter
 
 POWERS = (Powers(), Powers(0xA0761D6478BD642F))
 ODD = [None, "", " ", "a", "one two", "One two three", "x" * 5000, "é ñ ü ß", "word " * 900, "a\tb\nc\x0bd\r\ne", "\0nul\0", "日本語 テキスト", "  wide", "a" * 399 + "b" * 401, "same text here", "same text here"]
@@ -520,3 +520,78 @@ def test_strings_that_powers_cannot_tell_apart(spark, doublings):
 def base(text):
     n, _, _, _, repeat = quality.text_stats(text)[0]
     return n < 10 or 100 * repeat > 20 * n
+
+
+def test_span_crcs():
+    rng = random.Random(3)
+    data = np.frombuffer(rng.randbytes(9000), np.uint8)
+    spans = [(a := rng.randrange(8999), min(9000, a + 1 + rng.choice([rng.randrange(90), rng.randrange(6000)]))) for _ in range(500)] + [(5, 5 + n) for n in (1, 63, 64, 65, 127, 128, 129)]
+    got = resample.span_crcs(data, *np.array(spans).T)
+    assert [int(x) for x in got] == [zlib.crc32(data[a:b].tobytes()) for a, b in spans]
+
+
+def test_importance_resampling(spark, sf):
+    _, rows = documents(spark, sf)
+    texts = [t for _, t in rows] + ODD + ["w" * 700_000 + " tail " * 30, "Ünïcode words " * 40]
+    target = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [None, ""]
+    df, to = frame(spark, texts), spark.createDataFrame([(t,) for t in target], "text string")
+    got = {r.doc_id: (r.n_features, r.weight, r.score, r["rank"]) for r in resample.importance_resample(df.repartition(5), to).collect()}
+    assert got == brute.resample(list(enumerate(texts)), target)
+    assert resample.importance_resample(df.limit(0), to).count() == 0
+    none = {r.doc_id: (r.n_features, r.weight, r.score, r["rank"]) for r in resample.importance_resample(df, to.limit(0)).collect()}
+    assert none == brute.resample(list(enumerate(texts)), [])
+    same = spark.createDataFrame([(i, "one word " * 15) for i in (3, 3, None, None, 5, 5, 5, 5)], "doc_id bigint, text string")
+    drawn = resample.importance_resample(same, to).collect()
+    assert len(drawn) == 8 and sorted(r["rank"] for r in drawn if r["rank"]) == [1, 2] and len({r.score for r in drawn}) == 3
+
+
+@pytest.mark.parametrize("number,least", [(3, 85), (5, 80)])
+def test_near_duplicates(spark, sf, number, least):
+    _, rows = documents(spark, sf)
+    texts = [t for _, t in rows] + ODD + variants() + variants(2)[:60] + list(thue_morse(10))
+    df = frame(spark, texts).withColumn("sig", F.lit("clash")).withColumn("node", F.lit(1))
+    found = minhash.near_duplicates(df, number, least).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
+    assert got == brute.jaccard(list(enumerate(texts)), least, number)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (7, None), (8, "q r s t")], "doc_id bigint, text string")
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(twice).collect()))) == sorted(map(str, [(None, 7, False), (None, 7, False), (7, 7, True), (7, 7, True), (8, 8, True)]))
+
+
+def test_estimates_of_similarity(spark):
+    rng = np.random.default_rng(5)
+    for share in (0.3, 0.85):
+        sets = []
+        for _ in range(60):
+            u = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+            k = int(1000 * share)
+            sets.append((np.sort(u[: k + (1000 - k) // 2]), np.sort(np.concatenate([u[:k], u[k + (1000 - k) // 2 :]]))))
+        packed = [minhash.packed(np.stack([minhash.minima(x) for x in pair])).tolist() for pair in sets]
+        got = [r.e for r in spark.createDataFrame(packed, "a array<bigint>, b array<bigint>").select(minhash.estimate("a", "b").alias("e")).collect()]
+        assert abs(np.mean(got) - share) < 0.02 and np.std(got) < 0.05
+    assert minhash.band_rows(85) == 6 and minhash.lowest_estimate(85) < 0.7
+
+
+def test_spelling_variants(spark, sf):
+    _, rows = documents(spark, sf)
+    plain = ["example", "exampel", "exmple", "examples", "exampless", "exbmple", "Éxample", "éxample", "exaÿple", "aaaaaa", "aaaaaaa", "aaaaaaaa"]
+    texts = [t for _, t in rows] + ODD + [" ".join([w] * (5 + k % 3 + 300 * (k % 5 == 0))) for k, w in enumerate(plain)]
+    got = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in spelling.spelling_variants(frame(spark, texts)).collect()}
+    want = brute.spelling(list(enumerate(texts)))
+    assert got == want and any(v[2] and v[4] != v[2] for v in want.values())
+    assert spelling.spelling_variants(frame(spark, [])).count() == 0
+
+
+def test_spelling_blocks(spark, monkeypatch):
+    """Cells of many words are cut into blocks, and no pair across blocks is lost."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abgh") for _ in range(rng.randint(6, 8))): 1 + rng.randrange(500) for _ in range(1500)}
+    monkeypatch.setattr(spelling, "BLOCK", 8)
+    got = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root) for r in spelling.variant_groups(spark.createDataFrame(list(words.items()), "word string, n bigint")).collect()}
+    near = {w: [v for v in words if w != v and (sum(x != y for x, y in zip(w, v)) == 1 if len(w) == len(v) else abs(len(w) - len(v)) == 1 and min(w, v, key=len) in {max(w, v, key=len)[:k] + max(w, v, key=len)[k + 1 :] for k in range(9)})] for w in words}
+    assert {w: v[1] for w, v in got.items()} == {w: len(v) for w, v in near.items()}
+    for w, (n, _, form, form_n, root) in got.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        assert (form, form_n) == ((best, words[best]) if best and words[best] >= 5 * n else (None, None))
+        assert root == (got[form][4] if form else w)

@@ -43,7 +43,7 @@ def shingle_set(text: str | None, number: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def _set_id(hashes: np.ndarray) -> tuple[int, int]:
+def set_name(hashes: np.ndarray) -> tuple[int, int]:
     """A signed 128-bit name of the set; zeros only for the empty one."""
     if not len(hashes):
         return 0, 0
@@ -60,7 +60,7 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+def texts_of(batch: pa.RecordBatch) -> Iterator[str | None]:
     """The batch's texts, a few hundred at a time as Python strings."""
     column = batch.column("text")
     for at in range(0, len(column), 256):
@@ -72,9 +72,9 @@ def _sets(docs: DataFrame, number: int) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         rows = []
-        for text in _texts(batch):
+        for text in texts_of(batch):
             s = shingle_set(text, number)
-            rows.append((len(s), *_set_id(s)))
+            rows.append((len(s), *set_name(s)))
         n, h1, h2 = zip(*rows)
         return {"doc_id": batch.column("doc_id"), "t": batch.column("t"), "n_shingles": n, "h1": h1, "h2": h2}
 
@@ -90,9 +90,9 @@ def _lone_shingles(docs: DataFrame, number: int, share: float) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         seen, names, parts = set(), [], [np.zeros(0, np.uint64)]
-        for text in _texts(batch):
+        for text in texts_of(batch):
             s = shingle_set(text, number)
-            name = _set_id(s)
+            name = set_name(s)
             if len(s) and name not in seen:
                 seen.add(name)
                 names.append(name[0])
@@ -103,7 +103,7 @@ def _lone_shingles(docs: DataFrame, number: int, share: float) -> DataFrame:
     return posted.groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("other")).where("h1 = other").groupBy("h1").agg(F.count("*").alias("lone"))
 
 
-def _tokens(docs: DataFrame, number: int) -> DataFrame:
+def fragments(docs: DataFrame, number: int) -> DataFrame:
     """(node, part, hashes, odd): each set's shingles in OVERLAP_PARTS fragments; the first one bears its parities."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def _tokens(docs: DataFrame, number: int) -> DataFrame:
             for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2", "text"))):
                 s = shingle_set(text, number)
                 cut = np.searchsorted(s, np.array([(k << 64) // OVERLAP_PARTS for k in range(1, OVERLAP_PARTS)], np.uint64))
-                if _set_id(s) == (h1, h2):  # another text may have the same hash
+                if set_name(s) == (h1, h2):  # another text may have the same hash
                     rows += [(node, k, x.view(np.int64), None if k else parities(s)) for k, x in enumerate(np.split(s, cut))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "part", "hashes", "odd"])
 
@@ -139,14 +139,18 @@ def _compared(pairs: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int)
         differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         able = (100 * F.least("na", "nb") >= least * F.greatest("na", "nb")) & (differ * (100 + least) <= (100 - least) * (F.col("na") + F.col("nb")))
         near = near.select("a", "b").join(oa, "a").join(ob, "b").where(able).select("a", "b", "na", "nb")
-    near = written(near, "near")
+    return overlaps(written(near, "near"), tokens)
+
+
+def overlaps(near: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(a, b, shared, united) of the pairs `near` (a, b, na, nb): counted in each fragment of the order apart, and summed."""
     ta, tb = (tokens.select(F.col("node").alias(c), "part", F.col("hashes").alias(f"h{c}")) for c in "ab")
     counted = near.join(ta, "a").join(tb, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("c"))
     both = counted.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("shared"))
     return both.select("a", "b", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("united"))
 
 
-def _apart(star: DataFrame, label: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+def apart(star: DataFrame, label: DataFrame, tokens: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of nodes with one head, in different components, that may be linked; one at least not with the head."""
     of = star.join(label, "node").join(label.select(F.col("node").alias("head"), F.col("comp").alias("head_comp")), "head").withColumn("out", F.col("comp") != F.col("head_comp"))
     of = written(of, "members")  # written: a plain join, whose skew can be split; a head may have very many members
@@ -193,7 +197,7 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
 
     near = probably_in(docs, passed.select("t"), "t")  # most texts that are not asked for are not shuffled
     asked = passed.select("node", "h1", "h2", F.col("doc_id").alias("owner"), F.col("t").alias("of"))
-    tokens = written(_tokens(near.join(asked, (F.col("t") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
+    tokens = written(fragments(near.join(asked, (F.col("t") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("owner"))), number), "tokens")
     met = written(_prefixes(tokens, passed, least), "buckets")
     degree = met.groupBy("node").agg(F.sum("count").alias("degree"))
     about = degree.join(passed.select("node", "doc_id", "n"), "node").join(tokens.where("part = 0").select("node", "odd"), "node")
@@ -211,7 +215,7 @@ def jaccard_join(docs: DataFrame, number: int = NUMBER, least: int = LEAST, doc_
 
     links = compared(star.select(*ordered("head", "node")).distinct())
     label = labels(links)
-    links = links.unionByName(compared(_apart(star, label, tokens, about, least)))
+    links = links.unionByName(compared(apart(star, label, tokens, about, least)))
     label = labels(links)
 
     label = written(passed.join(label, "node").select("h1", "h2", "doc_id", "comp"), "classes")
