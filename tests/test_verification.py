@@ -17,6 +17,7 @@ from veriskill.operators import match as J
 from veriskill.operators import metrics as M
 from veriskill.plans import entries as V
 from veriskill.sources import gridfiles as S
+from veriskill.sources import merge as MG
 from veriskill.streaming import observations as O
 
 SF = "/root/testdata/sf0.01"
@@ -152,13 +153,48 @@ def test_grid_files(spark, tmp_path):
         (folder / name).write_text(text)
     counts = S.load_folders(spark, {str(folder): 1}, 5, str(tmp_path / "data"), str(tmp_path / "stats"))
     assert counts == {"forecast_data": 6, "ensemble_statistics": 2}
-    data = spark.read.parquet(str(tmp_path / "data"))
+    data = MG.read(spark, str(tmp_path / "data"))
     assert sorted((r.forecast_hour, r.ensemble_member, r.value) for r in data.where("value IS NOT NULL").collect() if r.ensemble_member is not None) == [(6, 0, 1.0), (6, 1, 3.0)]
     assert [(r.forecast_hour, r.value) for r in data.where("ensemble_member IS NULL AND value IS NOT NULL").collect()] == [(0, 7.0)]
-    first = spark.read.parquet(str(tmp_path / "stats")).where("mean_value IS NOT NULL").first()
+    first = MG.read(spark, str(tmp_path / "stats")).where("mean_value IS NOT NULL").first()
     assert (first.mean_value, first.std_dev) == (2.0, 1.5)
 
 
+def fields(spark, rows):
+    """Points of run 1 and variable 1: (hour, latitude, kind, value)."""
+    return spark.createDataFrame([(1, 1, h, None, y, -85.0, v, k) for h, y, k, v in rows], "run_id int, variable_id int, forecast_hour int, ensemble_member int, latitude double, longitude double, value double, kind string")
+
+
+def test_merged_loads(spark, tmp_path):
+    """Late deviations, repeated loads, new means, deviations without a mean, and a commit that comes second."""
+    data, stats = str(tmp_path / "data"), str(tmp_path / "stats")
+    now = lambda v=None: sorted((r.forecast_hour, r.latitude, r.mean_value, r.std_dev) for r in MG.read(spark, stats, v).collect())
+    assert MG.read(spark, stats) is None
+    S.load(fields(spark, [(6, 25.0, "std", 9.0)]), data, stats)
+    assert now() == []  # lost: no mean has come
+    S.load(fields(spark, [(6, 25.0, "mean", 1.0), (6, 25.5, "mean", 2.0), (12, 25.0, "mean", 3.0)]), data, stats)
+    assert now() == [(6, 25.0, 1.0, None), (6, 25.5, 2.0, None), (12, 25.0, 3.0, None)]
+    late = [(6, 25.0, "std", 0.5), (6, 26.0, "std", 7.0)]
+    for _ in range(2):
+        S.load(fields(spark, late), data, stats)
+        assert now() == [(6, 25.0, 1.0, 0.5), (6, 25.5, 2.0, None), (12, 25.0, 3.0, None)]
+    S.load(fields(spark, [(6, 25.0, "mean", 4.0), (6, 25.0, "mean", 3.5)]), data, stats)
+    want = [(6, 25.0, 4.0, 0.5), (6, 25.5, 2.0, None), (12, 25.0, 3.0, None)]
+    assert now() == want and now(2)[0] == (6, 25.0, 1.0, None)
+    newest = MG.versions(spark, stats)[-1]
+    S.load(fields(spark, []), data, stats)
+    assert MG.versions(spark, stats)[-1] == newest
+    live = spark.read.parquet(f"{stats}/manifest/{newest:010d}").collect()
+    assert {(r.forecast_hour, r.version) for r in live} == {(6, newest), (12, 2)}  # hour 12 was not written again
+    with pytest.raises(RuntimeError):
+        MG._commit(spark.read.parquet(f"{stats}/manifest/{newest:010d}"), stats, newest)
+    assert MG.vacuum(spark, stats) == newest - 2 and now() == want and MG.versions(spark, stats) == [newest]
+    members = spark.createDataFrame([(1, 1, 6, m, 25.0, -85.0, v, "member" if m is not None else "deterministic") for m, v in ((0, 1.0), (None, 2.0), (0, 5.0), (None, 2.0))], "run_id int, variable_id int, forecast_hour int, ensemble_member int, latitude double, longitude double, value double, kind string")
+    for _ in range(2):
+        S.load(members, data, stats)
+    assert sorted((r.ensemble_member is None, r.value) for r in MG.read(spark, data).collect()) == [(False, 5.0), (True, 2.0)]
+
+
 def test_upsert(spark):
     old = spark.sql("SELECT 1 AS run_id, 1 AS model_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS initialization_time")
     new = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ '2024-01-01 00:00:00'), (2, TIMESTAMP_NTZ '2024-01-01 00:00:00'), (2, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS t(model_id, initialization_time)")

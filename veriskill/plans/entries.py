@@ -16,6 +16,7 @@ from veriskill.operators import metrics as M
 from veriskill.plans import canonical as C
 from veriskill.scratch import scratch_path
 from veriskill.sources import gridfiles as S
+from veriskill.sources import merge as MG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -748,37 +749,81 @@ for _v in ("ssr", "crps"):
     query(f"rsh05_{_v}_by_hour", f"{_CH}, f1 AS (SELECT *, row_number() OVER (PARTITION BY model_name, forecast_hour ORDER BY latitude, longitude) AS k FROM ch) SELECT forecast_hour, " + ", ".join(f"max({_v}) FILTER (WHERE model_name = '{m}') AS \"{m}\"" for m in MODELS3) + " FROM f1 WHERE k = 1 GROUP BY ALL")(lambda f, v=_v: A.wide_by_hour(A.compare_hours(f.point(f.pairs())), v, MODELS3))
 
 
-def loaded(f: Frames) -> tuple[str, str, str]:
-    """Writes run 1's precipitation as grid files, one for each lead hour and member, mean and spread, and loads them.
 
-    The folders of the files, of forecast_data and of ensemble_statistics. Files are named by the writer, a task at a
-    time; a broken one, an empty one and one without a place are among them.
-    """
+
+
+def grid_files(f: Frames, folder: str, kinds: tuple[str, ...], variables: tuple[int, ...] = (1, 3, 4)) -> None:
+    """Writes all runs' fields as grid files, one for each run, variable, lead hour and member, mean or deviation."""
+    at = F.format_string("%s-%03dh-x_", F.lower("model_name"), "forecast_hour")
+    keyed = lambda rows, name, value: rows.where(F.col("variable_id").isin(*variables)).join(F.broadcast(f.latest.select("model_name", "run_id")), "run_id").select("run_id", "variable_id", F.concat(at, name).alias("file"), "latitude", "longitude", F.col(value).alias("value"))
+    out = {"member": lambda: keyed(f.data, F.format_string("member_%d.json", "ensemble_member"), "value"), "mean": lambda: keyed(f.stats, F.lit("mean.json"), "mean_value"), "std": lambda: keyed(f.stats, F.lit("std.json"), "std_dev")}
+    for kind in kinds:
+        S.write_grid_files(out[kind](), folder, "append")
+
+
+def broken_files(f: Frames, folder: str) -> None:
+    """A file that is no JSON, an empty one and one without a place, among the others."""
+    rows = [(1, 1, "bad.json", "{oops"), (1, 1, "none.json", "[]"), (1, 1, "placeless-6h-x_mean.json", '[{"lat": 25.0}]')]
+    S.write_texts(f.spark.createDataFrame(rows, "run_id int, variable_id int, file string, content string"), folder, "append")
+
+
+def loader_folders(f: Frames) -> tuple[str, str, str]:
     here = scratch_path(f.spark, "loader")
-    files, data, stats = (f"{here}/{n}" for n in ("files", "data", "stats"))
-    at = F.format_string("aifs-%03dh-x_", "forecast_hour")
-    members = f.data.where("run_id = 1 AND variable_id = 1").select(F.concat(at, F.format_string("member_%d.json", "ensemble_member")).alias("file"), "latitude", "longitude", "value")
-    fields = f.stats.where("run_id = 1 AND variable_id = 1")
-    pair = [fields.select(F.concat(at, F.lit(f"{n}.json")).alias("file"), "latitude", "longitude", F.col(c).alias("value")) for n, c in (("mean", "mean_value"), ("std", "std_dev"))]
-    S.write_grid_files(members.unionByName(pair[0]).unionByName(pair[1]), files)
-    S.write_texts(f.spark.createDataFrame([("bad.json", "{oops"), ("none.json", "[]"), ("placeless-6h-x_mean.json", '[{"lat": 25.0}]')], "file string, content string"), files)
-    S.load_folders(f.spark, {files: 1}, 1, data, stats)
-    return files, data, stats
-
-
-@query("src01_loaded_members", f"{C.SQL} SELECT run_id, variable_id, forecast_hour, ensemble_member, latitude, longitude, value FROM forecast_data WHERE run_id = 1 AND variable_id = 1", six=("value",))
+    return f"{here}/files", f"{here}/data", f"{here}/stats"
+
+
+@query("src01_loaded_members", f"{C.SQL} SELECT run_id, variable_id, forecast_hour, ensemble_member, latitude, longitude, value FROM forecast_data WHERE variable_id = 1", six=("value",))
 def _loaded_members(f: Frames) -> DataFrame:
-    return f.spark.read.parquet(loaded(f)[1])
+    """Members of all runs, written as files and loaded."""
+    files, data, stats = loader_folders(f)
+    grid_files(f, files, ("member",), (1,))
+    broken_files(f, files)
+    S.load(S.read_grid_tree(f.spark, files), data, stats)
+    return MG.read(f.spark, data)
 
 
-@query("src06_loaded_statistics", f"{C.SQL} SELECT run_id, variable_id, forecast_hour, latitude, longitude, mean_value, std_dev FROM ensemble_statistics WHERE run_id = 1 AND variable_id = 1", six=("mean_value", "std_dev"))
-def _loaded_statistics(f: Frames) -> DataFrame:
-    return f.spark.read.parquet(loaded(f)[2])
+_FIELDS_SQL = f"{C.SQL} SELECT run_id, variable_id, forecast_hour, latitude, longitude, mean_value, std_dev FROM ensemble_statistics"
 
 
-@query("src03_file_report", f"{C.SQL} SELECT 'aifs-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x_member_' || ensemble_member || '.json' AS file, count(*) AS n_points, CAST(0 AS BIGINT) AS n_errors FROM forecast_data WHERE run_id = 1 AND variable_id = 1 GROUP BY ALL UNION ALL SELECT 'aifs-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x_' || k || '.json', count(*), CAST(0 AS BIGINT) FROM ensemble_statistics, (VALUES ('mean'), ('std')) t(k) WHERE run_id = 1 AND variable_id = 1 GROUP BY ALL UNION ALL SELECT * FROM (VALUES ('bad.json', 0, 1), ('none.json', 0, 0), ('placeless-6h-x_mean.json', 0, 1)) v")
+@query("src06_loaded_statistics", f"{_FIELDS_SQL} WHERE variable_id = 1", six=("mean_value", "std_dev"))
+def _loaded_statistics(f: Frames) -> DataFrame:
+    files, data, stats = loader_folders(f)
+    grid_files(f, files, ("mean", "std"), (1,))
+    broken_files(f, files)
+    S.load(S.read_grid_tree(f.spark, files), data, stats)
+    return MG.read(f.spark, stats)
+
+
+@query("src06_late_deviations", _FIELDS_SQL, six=("mean_value", "std_dev"))
+def _late_deviations(f: Frames) -> DataFrame:
+    """Means of all runs and variables are loaded, their deviations later and twice."""
+    files, data, stats = loader_folders(f)
+    for k, kind in enumerate(("mean", "std")):
+        grid_files(f, f"{files}{k}", (kind,))
+    for k in (0, 1, 1):
+        S.load(S.read_grid_tree(f.spark, f"{files}{k}"), data, stats)
+    MG.vacuum(f.spark, stats)
+    return MG.read(f.spark, stats)
+
+
+for _k, _models in (("src09", ("AIFS",)), ("src10", ("GEFS", "UKMO"))):
+
+    @query(f"{_k}_wind_folders", f"{C.SQL}, {_LATEST} SELECT run_id, variable_id, forecast_hour, count(*) AS n_points, round_even(sum(mean_value), 4) AS total FROM ensemble_statistics JOIN latest USING (run_id) WHERE variable_id IN (3, 4) AND model_name IN {str(_models).replace(',)', ')')} GROUP BY ALL")
+    def _wind_folders(f: Frames, models: tuple[str, ...] = _models) -> DataFrame:
+        """A folder of each run and wind component, loaded one after the other by the names that they stand under."""
+        files, data, stats = loader_folders(f)
+        grid_files(f, files, ("mean",), (3, 4))
+        for run in (r for r, m, _ in C.RUNS if r < 10 and C.MODELS[m - 1][1] in models):
+            S.load_folders(f.spark, {f"{files}/run_id={run}/variable_id={v}": v for v in (3, 4)}, run, data, stats)
+        return MG.read(f.spark, stats).groupBy("run_id", "variable_id", "forecast_hour").agg(F.count("*").alias("n_points"), F.bround(F.sum("mean_value"), 4).alias("total"))
+
+
+@query("src03_file_report", f"{C.SQL}, {_LATEST}, d AS (SELECT lower(model_name) || '-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x_' AS stem, ensemble_member FROM forecast_data JOIN latest USING (run_id) WHERE variable_id = 1), s AS (SELECT lower(model_name) || '-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x_' AS stem FROM ensemble_statistics JOIN latest USING (run_id) WHERE variable_id = 1) SELECT stem || 'member_' || ensemble_member || '.json' AS file, count(*) AS n_points, CAST(0 AS BIGINT) AS n_errors FROM d GROUP BY ALL UNION ALL SELECT stem || 'mean.json', count(*), CAST(0 AS BIGINT) FROM s GROUP BY ALL UNION ALL SELECT * FROM (VALUES ('bad.json', 0, 1), ('none.json', 0, 0), ('placeless-6h-x_mean.json', 0, 1)) t(a, b, c)")
 def _file_report(f: Frames) -> DataFrame:
-    return S.file_report(f.spark, loaded(f)[0])
+    files, _, _ = loader_folders(f)
+    grid_files(f, files, ("member", "mean"), (1,))
+    broken_files(f, files)
+    return S.file_report(f.spark, files)
 
 
 @query("src09_upserted_runs", f"{C.SQL}, new AS (SELECT DISTINCT model_id, initialization_time + d * INTERVAL 1 DAY AS initialization_time FROM forecast_runs, range(0, 2) r(d)), fresh AS (SELECT * FROM new ANTI JOIN forecast_runs USING (model_id, initialization_time)) SELECT run_id, model_id, initialization_time FROM forecast_runs UNION ALL SELECT (SELECT max(run_id) FROM forecast_runs) + row_number() OVER (ORDER BY model_id, initialization_time), model_id, initialization_time FROM fresh")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriskill.sources import merge
+
 POINT = "lat double, lon double, value double"
 
 
@@ -16,37 +18,46 @@ def name_parts(name: Column) -> dict[str, Column]:
     return {"forecast_hour": F.coalesce(number(r"-(\d+)h-"), F.lit(0)), "ensemble_member": member, "kind": kind}
 
 
+def _raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Points with `file`: the file's own name, or that of its folder where tasks have written `file=<name>` folders."""
+    raw = spark.read.schema(POINT).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
+    return raw if "file" in raw.columns else raw.select("*", F.col("_metadata.file_name").alias("file"))
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    rows = raw.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(name_parts(F.col("file")))
+    return rows.select("run_id", "variable_id", "forecast_hour", "ensemble_member", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "value", "kind")
+
+
 def read_grid_files(spark: SparkSession, folder: str, run_id: int, variable_id: int) -> DataFrame:
     """One distributed read of all files of a folder; files that are no JSON give no rows, see `file_report`."""
-    raw = spark.read.schema(POINT).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder).select("*", F.col("_metadata.file_name").alias("file"))
-    rows = raw.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns(name_parts(F.col("file")))
-    return rows.select(F.lit(run_id).alias("run_id"), F.lit(variable_id).alias("variable_id"), "forecast_hour", "ensemble_member", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "value", "kind")
+    return _placed(_raw(spark, folder).withColumns({"run_id": F.lit(run_id), "variable_id": F.lit(variable_id)}))
 
 
-def write_texts(texts: DataFrame, folder: str) -> None:
-    """Each row's content as a file of its own name in `folder`, through the cluster's file system; rows are few or small.
+def read_grid_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """One distributed read of the files of many runs and variables, as `write_grid_files` lays them out."""
+    return _placed(_raw(spark, folder))
 
-    File names are data here, which Spark's writers do not allow; rows come to the driver one at a time.
+
+def write_grid_files(points: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Points (run_id, variable_id, file, latitude, longitude, value) as grid files, written by the tasks that hold them.
+
+    The layout is run_id=/variable_id=/file=<name>/; a file holds one field, a bounded number of points.
     """
-    spark = texts.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(conf)
-    for r in texts.toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(top, r.file))
-        out.write(bytearray(r.content.encode()))
-        out.close()
-
-
-def write_grid_files(points: DataFrame, folder: str) -> None:
-    """Points (file, latitude, longitude, value) as grid files; a file holds one field, a bounded number of points."""
     one = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "value")
-    write_texts(points.groupBy("file").agg(F.to_json(F.collect_list(one)).alias("content")), folder)
+    write_texts(points.groupBy("run_id", "variable_id", "file").agg(F.to_json(F.collect_list(one)).alias("content")), folder, mode)
+
+
+def write_texts(texts: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Each row's `content` as a file of its own, in a folder for every value of the other columns."""
+    texts.write.mode(mode).partitionBy(*(c for c in texts.columns if c != "content")).text(folder)
 
 
 def file_report(spark: SparkSession, folder: str) -> DataFrame:
     """file, n_points, n_errors of each file: points read, and elements without a place; one error where it is no JSON."""
-    text = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("file"), F.from_json(F.col("content").cast("string"), f"array<struct<{POINT}>>").alias("points"))
+    raw = spark.read.format("binaryFile").load(folder)
+    name = F.col("file") if "file" in raw.columns else F.col("_metadata.file_name")
+    text = raw.select(name.alias("file"), F.from_json(F.col("content").cast("string"), f"array<struct<{POINT}>>").alias("points"))
     placed = F.filter("points", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
     return text.select("file", F.coalesce(F.size(placed), F.lit(0)).cast("bigint").alias("n_points"), F.coalesce(F.size("points") - F.size(placed), F.lit(1)).cast("bigint").alias("n_errors"))
 
@@ -57,11 +68,10 @@ def route_members(points: DataFrame) -> DataFrame:
 
 
 def route_statistics(points: DataFrame) -> DataFrame:
-    """Rows of ensemble_statistics: means with their deviation; one without a mean is lost, whatever the file order."""
-    keys = ["run_id", "variable_id", "forecast_hour", "latitude", "longitude"]
-    mean = points.where("kind = 'mean'").select(*keys, F.col("value").alias("mean_value"))
-    std = points.where("kind = 'std'").groupBy(*keys).agg(F.max("value").alias("std_dev"))
-    return mean.join(std, keys, "left")
+    """Rows of ensemble_statistics: a mean, a deviation or both for each cell of a field, and whether there is a mean."""
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    rows = points.where(F.col("kind").isin("mean", "std")).groupBy(*merge.FIELD_KEYS)
+    return rows.agg(pick("mean").alias("mean_value"), pick("std").alias("std_dev"), F.max(F.col("kind") == "mean").alias("has_mean"))
 
 
 def upsert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
@@ -74,17 +84,21 @@ def upsert_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
     return runs.unionByName(numbered.join(top).select((F.col("top") + F.col("k")).cast("int").alias("run_id"), "model_id", "initialization_time"))
 
 
-def append(points: DataFrame, table_folder: str) -> None:
-    points.write.mode("append").partitionBy("run_id", "variable_id", "forecast_hour").parquet(table_folder)
+def load(points: DataFrame, data_folder: str, stats_folder: str) -> None:
+    """Merges points into the two tables, forecast_data and ensemble_statistics; loading again changes nothing.
+
+    A deviation goes to the mean of its cell, whether that comes with it or was loaded before; without one it is lost.
+    Means replace means; a mean that comes again without its deviation keeps the one it has.
+    """
+    merge.merge(route_members(points), data_folder, merge.MEMBER_KEYS)
+    merge.merge(route_statistics(points), stats_folder, merge.FIELD_KEYS, creates="has_mean")
 
 
 def load_folders(spark: SparkSession, folders: dict[str, int], run_id: int, data_folder: str, stats_folder: str) -> dict[str, int]:
     """Loads several variables' folders into the two tables; their row counts."""
     for folder, variable_id in folders.items():
-        points = read_grid_files(spark, folder, run_id, variable_id)
-        append(route_members(points), data_folder)
-        append(route_statistics(points), stats_folder)
-    return {"forecast_data": spark.read.parquet(data_folder).count(), "ensemble_statistics": spark.read.parquet(stats_folder).count()}
+        load(read_grid_files(spark, folder, run_id, variable_id), data_folder, stats_folder)
+    return {"forecast_data": merge.read(spark, data_folder).count(), "ensemble_statistics": merge.read(spark, stats_folder).count()}
 
 
 def to_json(df: DataFrame) -> DataFrame:
