@@ -2,120 +2,148 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriskill.functions import exprs as E
-from veriskill.scratch import written
 
 
-def near(targets: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """Targets (ty, tx) with the points (latitude, longitude, ...) closer than `radius`, and d2.
+def near(targets: DataFrame, points: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Targets (ty, tx) with the points (latitude, longitude, ...) of the same field closer than `radius`, and d2.
 
-    Both sides are cut into squares of the radius; a point is copied to the nine squares around its own, so that an
-    equi-join finds all neighbours, and every square's load is bounded by its points, not by the grid.
+    A field is what shares the columns `by`. Both sides are cut into squares of the radius; a point is copied to the
+    nine squares around its own, so that an equi-join by field and square finds all neighbours of all fields, and every
+    square's load is bounded by its points, not by the grid.
     """
     square = lambda c: F.floor(F.col(c) / radius).cast("long")
     around = F.sequence(F.lit(-1), F.lit(1))
     copied = points.withColumn("__y", F.explode(F.transform(around, lambda k: square("latitude") + k))).withColumn("__x", F.explode(F.transform(around, lambda k: square("longitude") + k)))
-    both = targets.withColumns({"__y": square("ty"), "__x": square("tx")}).join(copied, ["__y", "__x"])
+    both = targets.withColumns({"__y": square("ty"), "__x": square("tx")}).join(copied, [*by, "__y", "__x"])
     d2 = (F.col("latitude") - F.col("ty")) * (F.col("latitude") - F.col("ty")) + (F.col("longitude") - F.col("tx")) * (F.col("longitude") - F.col("tx"))
     return both.withColumn("d2", d2).where(F.col("d2") < radius * radius).drop("__y", "__x")
 
 
-class Box(NamedTuple):
-    """A regular grid: its south-west corner, the nodes along each axis, and the step between them."""
-
-    south: float
-    west: float
-    rows: int
-    columns: int
-    step: float
-
+def boxes(points: DataFrame, step: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, south, west, rows, columns): the regular grid inside each field's box. A row for each field."""
+    corner = points.groupBy(*by).agg(F.min("latitude").alias("south"), F.max("latitude").alias("n"), F.min("longitude").alias("west"), F.max("longitude").alias("e")).where("south IS NOT NULL")
+    count = lambda a, b: (F.floor((F.col(b) - F.col(a)) / step + 1e-9) + 1).alias
+    return corner.select(*by, "south", "west", count("south", "n")("rows"), count("west", "e")("columns"))
 
-def box_of(points: DataFrame, step: float) -> Box | None:
-    """The grid inside the points' box, from its four corners; None without points."""
-    corner = points.agg(F.min("latitude").alias("s"), F.max("latitude").alias("n"), F.min("longitude").alias("w"), F.max("longitude").alias("e")).first()
-    count = lambda a, b: int((b - a) / step + 1e-9) + 1
-    return None if corner.s is None else Box(corner.s, corner.w, count(corner.s, corner.n), count(corner.w, corner.e), step)
 
+def nodes_of(boxes: DataFrame, step: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, column, ty, tx) of every node of each field's grid; rows are dealt out before columns are made."""
+    lines = boxes.withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))).repartition(*by, "row")
+    at = lines.withColumn("column", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("columns") - 1)))
+    return at.select(*by, "row", "column", (F.col("south") + F.col("row") * step).alias("ty"), (F.col("west") + F.col("column") * step).alias("tx"))
 
-def target_grid(points: DataFrame, step: float) -> DataFrame:
-    """Nodes (ty, tx) of a regular grid inside the points' box; all tasks make their share of them."""
-    return nodes_of(points, box_of(points, step)).select("ty", "tx")
 
+def target_grid(points: DataFrame, step: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Nodes (by, ty, tx) of a regular grid inside each field's box; all tasks make their share of them."""
+    return nodes_of(boxes(points, step, by), step, by).select(*by, "ty", "tx")
 
-def nodes_of(points: DataFrame, box: Box | None) -> DataFrame:
-    """Row, column, ty and tx of every node of `box`."""
-    n = box.rows * box.columns if box else 0
-    south, west, _, columns, step = box or Box(0.0, 0.0, 0, 1, 1.0)
-    at = points.sparkSession.range(n).select((F.expr(f"id div {columns}")).alias("row"), (F.col("id") % columns).alias("column"))
-    return at.select("row", "column", (F.lit(south) + F.col("row") * step).alias("ty"), (F.lit(west) + F.col("column") * step).alias("tx"))
 
-
-def idw(points: DataFrame, radius: float = 0.75, step: float = 0.25, unit: float = 0.02) -> DataFrame:
-    """Inverse-distance interpolation: weight 1/d^4 in units of `unit` (1 when closer than it), never under 0.
+def idw(points: DataFrame, radius: float = 0.75, step: float = 0.25, unit: float = 0.02, by: tuple[str, ...] = ()) -> DataFrame:
+    """Inverse-distance interpolation of each field: weight 1/d^4 in units of `unit` (1 when closer than it), never under 0.
 
     Nodes without a neighbour have no row.
     """
     d2 = F.col("d2") / (unit * unit)
     weight = F.when(d2 < 1, 1.0).otherwise(F.try_divide(F.lit(1.0), d2 * d2))
-    got = near(target_grid(points, step), points, radius).withColumn("w", weight)
-    return got.groupBy("ty", "tx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("v")).select("ty", "tx", F.greatest("v", F.lit(0.0)).alias("value"))
+    got = near(target_grid(points, step, by), points, radius, by).withColumn("w", weight)
+    return got.groupBy(*by, "ty", "tx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("v")).select(*by, "ty", "tx", F.greatest("v", F.lit(0.0)).alias("value"))
 
 
-def dense(points: DataFrame, per_degree: int) -> DataFrame:
-    """Every cell of distinct latitudes by distinct longitudes, null where there is no point; edges half a step away."""
-    keyed = points.groupBy(E.cell(F.col("latitude"), per_degree).alias("cy"), E.cell(F.col("longitude"), per_degree).alias("cx")).agg(F.max_by("value", F.struct("latitude", "longitude")).alias("value"))
-    ys, xs = keyed.select("cy").distinct(), keyed.select("cx").distinct()
+def dense(points: DataFrame, per_degree: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every cell of each field's distinct latitudes by its distinct longitudes, null where there is no point; edges half a step away."""
+    keyed = points.groupBy(*by, E.cell(F.col("latitude"), per_degree).alias("cy"), E.cell(F.col("longitude"), per_degree).alias("cx")).agg(F.max_by("value", F.struct("latitude", "longitude")).alias("value"))
     # Both are axes of a grid, at most 360 * per_degree values; their product is the result that is asked for.
-    cells = ys.join(F.broadcast(xs.agg(F.collect_list("cx").alias("xs")))).select("cy", F.explode("xs").alias("cx"))
+    axes = keyed.groupBy(*by).agg(F.collect_set("cy").alias("ys"), F.collect_set("cx").alias("xs"))
+    cells = axes.withColumn("cy", F.explode("ys")).repartition(*by, "cy").withColumn("cx", F.explode("xs")).select(*by, "cy", "cx")
     half = 0.5 / per_degree
-    out = cells.join(keyed, ["cy", "cx"], "left").select((F.col("cy") / per_degree).alias("latitude"), (F.col("cx") / per_degree).alias("longitude"), "value")
+    out = cells.join(keyed, [*by, "cy", "cx"], "left").select(*by, (F.col("cy") / per_degree).alias("latitude"), (F.col("cx") / per_degree).alias("longitude"), "value")
     return out.withColumns({"south": F.col("latitude") - half, "north": F.col("latitude") + half, "west": F.col("longitude") - half, "east": F.col("longitude") + half})
 
 
-def decimate(points: DataFrame) -> DataFrame:
-    """The point of least latitude, then longitude, of each one-degree cell (halves rounded up)."""
-    cols = [c for c in points.columns if c not in ("latitude", "longitude")]
-    one = points.groupBy(E.half_up(F.col("latitude")).alias("cy"), E.half_up(F.col("longitude")).alias("cx")).agg(F.min(F.struct("latitude", "longitude", *cols)).alias("p"))
-    return one.select("p.*")
+def decimate(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The point of least latitude, then longitude, of each one-degree cell (halves rounded up) of each field."""
+    cols = [c for c in points.columns if c not in ("latitude", "longitude", *by)]
+    one = points.groupBy(*by, E.half_up(F.col("latitude")).alias("cy"), E.half_up(F.col("longitude")).alias("cx")).agg(F.min(F.struct("latitude", "longitude", *cols)).alias("p"))
+    return one.select(*by, "p.*")
 
 
-def grid_step(points: DataFrame, fallback: float = 0.25) -> DataFrame:
-    """The wider of the steps between the two least latitudes and the two least longitudes."""
+def grid_step(points: DataFrame, fallback: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
+    """The wider of the steps between the two least latitudes and the two least longitudes of each field."""
     low = lambda c: F.slice(F.array_sort(F.collect_set(F.round(c, 3))), 1, 2)
     step = lambda a: F.when(F.size(a) >= 2, F.round(F.try_element_at(a, F.lit(2)) - F.try_element_at(a, F.lit(1)), 6)).otherwise(fallback)
-    return points.agg(low("latitude").alias("y"), low("longitude").alias("x")).select(F.greatest(step(F.col("y")), step(F.col("x"))).alias("step"))
+    return points.groupBy(*by).agg(low("latitude").alias("y"), low("longitude").alias("x")).select(*by, F.greatest(step(F.col("y")), step(F.col("x"))).alias("step"))
 
 
-def arrows(wind: DataFrame, spacing: float = 0.5, reach: float = 0.75) -> DataFrame:
+def arrows(wind: DataFrame, spacing: float = 0.5, reach: float = 0.75, by: tuple[str, ...] = ()) -> DataFrame:
     """The nearest vector of each node within reach: angle and length; calm nodes (under 0.5) and u = 0 go."""
-    nearest = near(target_grid(wind, spacing), wind, reach).groupBy("ty", "tx").agg(F.min(F.struct("d2", "latitude", "longitude", "u", "v")).alias("p"))
+    nearest = near(target_grid(wind, spacing, by), wind, reach, by).groupBy(*by, "ty", "tx").agg(F.min(F.struct("d2", "latitude", "longitude", "u", "v")).alias("p"))
     speed = E.wind_speed(F.col("p.u"), F.col("p.v"))
-    return nearest.where((F.col("p.u") != 0) & (speed >= 0.5)).select("ty", "tx", F.round(F.atan2("p.v", "p.u"), 6).alias("angle"), F.round(F.least(speed * 3, F.lit(32.0)), 6).alias("length"))
+    return nearest.where((F.col("p.u") != 0) & (speed >= 0.5)).select(*by, "ty", "tx", F.round(F.atan2("p.v", "p.u"), 6).alias("angle"), F.round(F.least(speed * 3, F.lit(32.0)), 6).alias("length"))
 
 
-def resample(wind: DataFrame, step: float = 0.25, ring: float = 1.0, box: Box | None = None) -> DataFrame:
-    """u and v of the nearest vector of each node, however far: within `ring` first, in a doubled ring for the rest.
+def lower_envelope(y: np.ndarray, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of `at` (ascending), the place of the least of the parabolas (at - y)^2 + g; `y` ascending and different.
 
-    Each round is a bucketed equi-join over the nodes that are still open; what it found and what it left are written,
-    so that no round plans the earlier ones again. Rounds end when no node is open. Without vectors there is no row.
+    The envelope is built in one pass and searched once. Where parabolas meet, rounding may hide a neighbour that is
+    as near, so both neighbours in the envelope are looked at as well; ties go to the smaller y.
+    """
+    hull: list[int] = []
+    cuts: list[float] = []  # from which on each of the hull is the least
+    for k in range(len(y)):
+        while hull:
+            j = hull[-1]
+            cut = ((g[k] + y[k] * y[k]) - (g[j] + y[j] * y[j])) / (2 * (y[k] - y[j]))
+            if cut > cuts[-1]:
+                break
+            hull.pop()
+            cuts.pop()
+        cuts.append(cut if hull else -np.inf)
+        hull.append(k)
+    own = np.array(hull)
+    place = np.searchsorted(np.array(cuts), at, side="left") - 1
+    near_by = own[np.clip(np.stack([place - 1, place, place + 1]), 0, len(own) - 1)]
+    cost = (y[near_by] - at) ** 2 + g[near_by]
+    return near_by[np.argmin(cost, axis=0), np.arange(len(at))]
+
+
+def resample(wind: DataFrame, step: float = 0.25, by: tuple[str, ...] = ()) -> DataFrame:
+    """u and v of the nearest vector of each node of each field, however far; ties to the smaller latitude, then longitude.
+
+    An exact distance transform, one axis at a time. Along the columns: of each latitude that has vectors, the nearest one
+    of every column's longitude, by two window scans. Along the rows: of each column, the least of its parabolas over
+    those latitudes at every row. Both passes look at latitudes times columns and at nodes, whatever voids lie between, and
+    a group is one latitude or one column of one field. Without vectors there is no row.
     """
-    done, open_ = [], nodes_of(wind, box or box_of(wind, step)).select("ty", "tx")
-    while open_.limit(1).count():
-        got = near(open_, wind, ring).groupBy("ty", "tx").agg(F.min(F.struct("d2", "latitude", "longitude", "u", "v")).alias("p")).select("ty", "tx", "p.u", "p.v")
-        done.append(written(got, "resampled"))
-        open_ = written(open_.join(done[-1], ["ty", "tx"], "left_anti"), "open")
-        ring *= 2
-    out = done[0] if done else open_.select("ty", "tx", F.lit(0.0).alias("u"), F.lit(0.0).alias("v"))
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    held = F.broadcast(boxes(wind, step, by))  # a row for each field
+    at = wind.groupBy(*by, "latitude", "longitude").agg(F.min(F.struct("u", "v")).alias("wind"))
+    sites = at.select(*by, "latitude", F.col("longitude").alias("x"), F.lit(None).cast("bigint").alias("column"), F.struct("longitude", "wind.u", "wind.v").alias("site"))
+    own = wind.select(*by, "latitude").distinct()
+    lines = (own.join(held, list(by)) if by else own.crossJoin(held)).withColumn("column", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("columns") - 1)))
+    asked = lines.select(*by, "latitude", (F.col("west") + F.col("column") * step).alias("x"), "column", F.lit(None).cast(sites.schema["site"].dataType).alias("site"))
+    line = Window.partitionBy(*by, "latitude").orderBy("x", F.col("column").isNotNull())  # a vector before a node at its place
+    met = sites.unionByName(asked).withColumns({"left": F.last("site", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first("site", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))})
+    away = lambda s: (F.col(f"{s}.longitude") - F.col("x")) * (F.col(f"{s}.longitude") - F.col("x"))
+    best = F.least(F.when(F.col("left").isNotNull(), F.struct(away("left").alias("g"), F.col("left").alias("site"))), F.when(F.col("right").isNotNull(), F.struct(away("right").alias("g"), F.col("right").alias("site"))))
+    sided = met.where(F.col("column").isNotNull()).withColumn("best", best).select(*by, "column", F.col("x").alias("tx"), "latitude", "best.g", "best.site.u", "best.site.v", "best.site.longitude")
+    sided = sided.join(held.select(*by, "south", "rows"), list(by)) if by else sided.crossJoin(held.select("south", "rows"))
+
+    def column(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("latitude", ignore_index=True)
+        row = np.arange(int(rows.rows[0]))
+        ty = rows.south[0] + row * step
+        k = lower_envelope(rows.latitude.to_numpy(), rows.g.to_numpy(), ty)
+        out = {c: rows[c][0] for c in by} | {"row": row, "column": rows["column"][0], "ty": ty, "tx": rows.tx[0], "u": rows.u.to_numpy()[k], "v": rows.v.to_numpy()[k]}
+        return pd.DataFrame(out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in wind.schema.fields}
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "row bigint", "column bigint", "ty double", "tx double", "u double", "v double"])
+    return sided.groupBy(*by, "column").applyInPandas(column, ddl)
 
 
 STEPS, LENGTH = 120, 3.0  # of a traced line
@@ -153,40 +181,46 @@ def along(line: list[tuple[float, float]], every: float = 40.0, least: float = 1
     return list(zip(np.interp(where, at, p[:, 0]).tolist(), np.interp(where, at, p[:, 1]).tolist()))
 
 
-def streamlines(wind: DataFrame, step: float = 0.25, unit: float = 8.0, seed_every: float = 28.0, tile: int = 64) -> DataFrame:
-    """seed_y, seed_x, n_points, length, dots of each traced line of three points or more.
+def streamlines(wind: DataFrame, step: float = 0.25, unit: float = 8.0, seed_every: float = 28.0, tile: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, seed_y, seed_x, n_points, length, dots) of each traced line of three points or more, of every field.
 
     Tracing is sequential along a line and needs the wind around it, but a line reaches no further than its steps are
-    long. So seeds are grouped by tiles of `tile` nodes each way, and every tile gets its nodes and those of a margin
+    long. So seeds are grouped by field and by tiles of `tile` nodes each way, and every tile gets its nodes and those of a margin
     that wide: a group's size does not hang on the grid's. Nodes without wind are calm. Without vectors there is no line.
     """
-    box = box_of(wind, step)
-    rows, columns = (box.rows, box.columns) if box else (0, 0)
     margin = int(STEPS * LENGTH / unit) + 2
-    count = lambda n: int(max(0, np.ceil(((n - 1) * unit - seed_every / 2) / seed_every)))
-    down, across = count(rows), count(columns)
+    held = boxes(wind, step, by)
+    seeds_in = lambda c: F.floor(F.greatest(F.lit(0), F.ceil(((F.col(c) - 1) * unit - seed_every / 2) / seed_every)))
+    steps = lambda c: F.explode(F.when(seeds_in(c) > 0, F.sequence(F.lit(0).cast("bigint"), seeds_in(c) - 1)))
     tile_of = lambda c: F.floor(F.floor(F.col(c) / unit + 0.5) / tile)
-    seeds = wind.sparkSession.range(down * across).select((F.floor(F.col("id") / max(1, across)) * seed_every + seed_every / 2).alias("y"), (F.col("id") % max(1, across) * seed_every + seed_every / 2).alias("x"))
+    seeds = held.withColumn("k", steps("rows")).repartition(*by, "k").withColumn("j", steps("columns"))
+    seeds = seeds.select(*by, "rows", "columns", (F.col("k") * seed_every + seed_every / 2).alias("y"), (F.col("j") * seed_every + seed_every / 2).alias("x"))
     seeds = seeds.withColumns({"ky": tile_of("y"), "kx": tile_of("x")})
-    south, west = (box.south, box.west) if box else (0.0, 0.0)
-    nodes = resample(wind, step, box=box).select(F.round((F.col("ty") - south) / step).cast("int").alias("i"), F.round((F.col("tx") - west) / step).cast("int").alias("j"), "u", "v")
+    nodes = resample(wind, step, by).select(*by, F.col("row").alias("i"), F.col("column").alias("j"), "u", "v")
     tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / tile), F.floor((F.col(c) + margin) / tile)))
     nodes = nodes.withColumn("ky", tiles("i")).withColumn("kx", tiles("j"))
 
     def lines(key: tuple, here: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        first = max(0, key[0] * tile - margin), max(0, key[1] * tile - margin)
-        size = tuple(min(n, (k + 1) * tile + margin + 1) - f for n, k, f in zip((rows, columns), key, first))
+        names = [*by, "seed_y", "seed_x", "n_points", "length", "dots"]
+        if here.empty:
+            return pd.DataFrame([], columns=names)
+        shape = int(here.rows[0]), int(here["columns"][0])
+        first = tuple(max(0, int(k) * tile - margin) for k in key[-2:])
+        size = tuple(min(n, (int(k) + 1) * tile + margin + 1) - f for n, k, f in zip(shape, key[-2:], first))
         u, v = np.zeros(size), np.zeros(size)
         i, j = around.i.to_numpy() - first[0], around.j.to_numpy() - first[1]
-        u[i, j], v[i, j] = around.u, around.v
+        inside = (i >= 0) & (j >= 0) & (i < size[0]) & (j < size[1])
+        u[i[inside], j[inside]], v[i[inside], j[inside]] = around.u[inside], around.v[inside]
         out = []
         for y, x in zip(here.y, here.x):
-            line = trace(u, v, y, x, unit, corner=first, shape=(rows, columns))
+            line = trace(u, v, y, x, unit, corner=first, shape=shape)
             if len(line) >= 3:
-                out.append((y, x, len(line), LENGTH * (len(line) - 1), [{"y": a, "x": b} for a, b in along(line)]))
-        return pd.DataFrame(out, columns=["seed_y", "seed_x", "n_points", "length", "dots"])
+                out.append((*key[:-2], y, x, len(line), LENGTH * (len(line) - 1), [{"y": a, "x": b} for a, b in along(line)]))
+        return pd.DataFrame(out, columns=names)
 
-    return seeds.groupBy("ky", "kx").cogroup(nodes.groupBy("ky", "kx")).applyInPandas(lines, "seed_y double, seed_x double, n_points int, length double, dots array<struct<y:double,x:double>>")
+    kinds = {f.name: f.dataType.simpleString() for f in wind.schema.fields}
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "seed_y double, seed_x double, n_points int, length double, dots array<struct<y:double,x:double>>"])
+    return seeds.groupBy(*by, "ky", "kx").cogroup(nodes.groupBy(*by, "ky", "kx")).applyInPandas(lines, ddl)
 
 
 def regrid(points: DataFrame, keys: list[str], value: str = "value", per_degree: int = 2) -> DataFrame:

@@ -658,6 +658,62 @@ def _arc(f: Frames) -> DataFrame:
     return G.streamlines(one_wind(f)).select("seed_y", "seed_x", F.posexplode("dots").alias("k", "dot"))
 
 
+# -- the same grids over all runs and lead hours, one job each -----------------------------------------------------
+
+FIELD = ("run_id", "forecast_hour")
+_EVERY = f"{C.SQL}, pts AS (SELECT run_id, forecast_hour, latitude, longitude, coalesce(mean_value, 0) AS value FROM ensemble_statistics WHERE variable_id = 1), w1 AS (SELECT u.run_id, u.forecast_hour, u.latitude, u.longitude, u.mean_value AS u, v.mean_value AS v FROM ensemble_statistics u JOIN ensemble_statistics v USING (run_id, forecast_hour, latitude, longitude) WHERE u.variable_id = 3 AND v.variable_id = 4)"
+_ALL_NODES = "box AS (SELECT run_id, forecast_hour, min(latitude) s, max(latitude) n, min(longitude) w, max(longitude) e FROM {0} GROUP BY ALL), nodes AS (SELECT run_id, forecast_hour, s + i * {1} AS ty, w + j * {1} AS tx FROM box, range(100) a(i), range(100) b(j) WHERE i <= floor((n - s) / {1} + 1e-9) AND j <= floor((e - w) / {1} + 1e-9))"
+_D2 = "(latitude-ty)*(latitude-ty)+(longitude-tx)*(longitude-tx)"
+
+
+def _all_nearest(step: str, reach: str = "1e9") -> str:
+    return f"{_ALL_NODES.format('w1', step)}, nn AS (SELECT * FROM (SELECT nodes.run_id, nodes.forecast_hour, ty, tx, u, v, row_number() OVER (PARTITION BY nodes.run_id, nodes.forecast_hour, ty, tx ORDER BY {_D2}, latitude, longitude) AS k FROM nodes JOIN w1 USING (run_id, forecast_hour) WHERE {_D2} < {reach}) WHERE k = 1)"
+
+
+def all_points(f: Frames) -> DataFrame:
+    """Precipitation fields of all runs and lead hours."""
+    return f.stats.where("variable_id = 1").select(*FIELD, "latitude", "longitude", E.zero_if_null(F.col("mean_value")).alias("value"))
+
+
+def all_winds(f: Frames) -> DataFrame:
+    return wind_field(f).select(*FIELD, "latitude", "longitude", "u", "v")
+
+
+@query("grd01_idw_all_fields", f"{_EVERY}, {_ALL_NODES.format('pts', '0.25e0')}, near AS (SELECT run_id, forecast_hour, ty, tx, value, {_D2} AS d FROM nodes JOIN pts USING (run_id, forecast_hour) WHERE {_D2} < 0.5625), w AS (SELECT *, CASE WHEN d / 0.0004e0 < 1 THEN 1 ELSE 1 / ((d / 0.0004e0) * (d / 0.0004e0)) END AS w FROM near) SELECT run_id, forecast_hour, ty, tx, round_even(greatest(sum(w * value) / sum(w), 0), 6) AS value FROM w GROUP BY ALL")
+def _idw_all(f: Frames) -> DataFrame:
+    return G.idw(all_points(f), by=FIELD).withColumn("value", F.bround("value", 6))
+
+
+@query("grd03_dense_all_fields", f"{_EVERY}, k AS (SELECT run_id, forecast_hour, CAST(latitude * 2 AS INTEGER) AS cy, CAST(longitude * 2 AS INTEGER) AS cx, value FROM pts) SELECT run_id, forecast_hour, cy / 2 AS latitude, cx / 2 AS longitude, value, cy / 2 - 0.25 AS south, cy / 2 + 0.25 AS north, cx / 2 - 0.25 AS west, cx / 2 + 0.25 AS east FROM (SELECT DISTINCT run_id, forecast_hour, cy FROM k) JOIN (SELECT DISTINCT run_id, forecast_hour, cx FROM k) USING (run_id, forecast_hour) LEFT JOIN k USING (run_id, forecast_hour, cy, cx)", six=("value",))
+def _dense_all(f: Frames) -> DataFrame:
+    return G.dense(all_points(f), 2, FIELD)
+
+
+@query("grd04_decimate_all_fields", f"{_EVERY} SELECT run_id, forecast_hour, latitude, longitude, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, forecast_hour, floor(latitude + 0.5), floor(longitude + 0.5) ORDER BY latitude, longitude) AS k FROM pts) WHERE k = 1", six=("value",))
+def _decimate_all(f: Frames) -> DataFrame:
+    return G.decimate(all_points(f), FIELD)
+
+
+@query("grd05_grid_step_all_fields", f"{_EVERY}, y AS (SELECT run_id, forecast_hour, list(DISTINCT latitude ORDER BY latitude) AS ys, list(DISTINCT longitude ORDER BY longitude) AS xs FROM pts GROUP BY ALL) SELECT run_id, forecast_hour, greatest(coalesce(ys[2] - ys[1], 0.25), coalesce(xs[2] - xs[1], 0.25)) AS step FROM y")
+def _step_all(f: Frames) -> DataFrame:
+    return G.grid_step(all_points(f), by=FIELD)
+
+
+@query("grd06_arrows_all_fields", f"{_EVERY}, {_all_nearest('0.5e0', '0.5625')} SELECT run_id, forecast_hour, ty, tx, round_even(atan2(v, u), 6) AS angle, round_even(least(sqrt(u*u+v*v) * 3, 32), 6) AS length FROM nn WHERE u <> 0 AND sqrt(u*u+v*v) >= 0.5")
+def _arrows_all(f: Frames) -> DataFrame:
+    return G.arrows(all_winds(f), by=FIELD)
+
+
+@query("grd07_resample_all_fields", f"{_EVERY}, {_all_nearest('0.2e0')} SELECT run_id, forecast_hour, round_even(ty, 6) AS ty, round_even(tx, 6) AS tx, u, v FROM nn", six=("u", "v"))
+def _resample_all(f: Frames) -> DataFrame:
+    return G.resample(all_winds(f), 0.2, FIELD).select(*FIELD, F.bround("ty", 6).alias("ty"), F.bround("tx", 6).alias("tx"), "u", "v")
+
+
+@query("grd08_streamlines_all_fields")
+def _streamlines_all(f: Frames) -> DataFrame:
+    return G.streamlines(all_winds(f), by=FIELD).drop("dots")
+
+
 def _snap_sql(x: str, n: int) -> str:
     return f"(floor(least(greatest({x}, 0), 0.9999) * {n}) + 0.5) / {n}"
 
