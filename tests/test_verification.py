@@ -47,6 +47,23 @@ def test_normal_law(spark):
     assert max(abs(r.d - math.exp(-r.x * r.x / 2) / math.sqrt(2 * math.pi)) for r in got) < 1e-15
 
 
+def test_exact_rounding(spark):
+    """Ties, near ties and all kinds of doubles as Python rounds them."""
+    rng = random.Random(7)
+    xs = [0.0, -0.0, 2.675, 8.345, 1.005, 0.5, 1.5, 2.5, -2.5, 1e15 + 0.3, 1e300, -1e-300, 123456789.125, 0.125, 0.375, 5e-5, 0.00015, 4503599627370497.5]
+    xs += [rng.randrange(10**6) / 10**5 + 5e-5 for _ in range(20_000)] + [rng.randrange(-(2**30), 2**30) / 2 ** rng.randrange(1, 20) for _ in range(20_000)]
+    xs += [rng.uniform(-1e4, 1e4) for _ in range(20_000)] + [math.ldexp(rng.random(), rng.randrange(-60, 60)) for _ in range(20_000)]
+    xs += [math.nextafter(rng.randrange(10**6) / 10**5 + 5e-5, s) for s in (-math.inf, math.inf) for _ in range(10_000)]
+    places = (0, 2, 4, 6)
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *(E.exact_round(F.col("x"), n).alias(f"r{n}") for n in places)).collect()
+    assert len(rows) > 100_000 - 1000
+    for r in rows:
+        for n in places:
+            assert r[f"r{n}"] == round(r.x, n), (r.x, n)
+    none = spark.sql("SELECT CAST(NULL AS DOUBLE) AS x, double('NaN') AS y").select(E.exact_round(F.col("x"), 2).alias("x"), E.exact_round(F.col("y"), 2).alias("y")).first()
+    assert none.x is None and math.isnan(none.y)
+
+
 def test_metric_edges(spark):
     """Equality with the threshold is no event; zero spread is a step; guards drop what has no denominator."""
     limit = 4.0
@@ -61,7 +78,9 @@ def test_metric_edges(spark):
     missing = A.point_summary(pairs(spark, [(5, 1, 5)]), limit, spark.createDataFrame([("AIFS",), ("GEFS",)], "model_name string")).orderBy("model_name").collect()
     assert [(r.model_name, r.hits, r.csi) for r in missing] == [("AIFS", 1, 1.0), ("GEFS", None, None)]
     half = M.score(pairs(spark, [(1.00005, 1, 1), (1.00005, 1, 1)]), ["bias", "mae"], limit).first()
-    assert (half.bias, half.mae) == (0.0, 0.0) or half.bias == half.mae  # halves go to the even digit
+    assert half.bias == half.mae == round(1.00005 - 1, 4) == 0.0  # the difference is just under the half
+    even = M.score(pairs(spark, [(0.03125, 1, 0), (0.03125, 1, 0)]), ["bias", "mae"], limit).first()
+    assert even.bias == even.mae == round(0.03125, 4) == 0.0312  # a true half goes to the even digit
     assert set(M.SPATIAL) == set(M.METRICS) | {"ssr", "correlation"} and set(A.EDGES) == set(M.SPATIAL) - {"correlation"}
     assert A.compare_summary(A.compare_hours(pairs(spark, [(1, 1, 2), (2, 1, 3)]).withColumns({"mean_value": F.lit(1.0), "std_dev": F.lit(1.0), "n_obs": F.lit(1)}))).first().correlation is None
 

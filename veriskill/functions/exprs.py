@@ -59,6 +59,30 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+_SPLIT = 134217729.0  # 2^27 + 1
+
+
+def exact_round(x: Column | str, places: int) -> Column:
+    """`x` rounded to `places` decimals by its exact binary value, halves to even, as doubles are rounded by the decimal law.
+
+    Spark rounds the shortest decimal text of a double, which may stand on a half that the double does not. Here x * 10^places is
+    taken as a double and the exact rest of that product (both factors cut in two halves, whose products have no
+    rest), and the sign of (fraction - 1/2 + rest) decides. Nulls, NaN and values without decimals stay. `x` is repeated
+    in the expression: give it a column, an aggregate or something as cheap.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    power = 10.0**places
+    high = power * _SPLIT - (power * _SPLIT - power)
+    low = power - high
+    product = F.abs(x) * power
+    head = x * _SPLIT - (x * _SPLIT - x)
+    tail = x - head
+    rest = ((head * high - x * power) + head * low + tail * high) + tail * low
+    side = (product - F.floor(product) - 0.5) + F.signum(x) * rest
+    whole = F.floor(product) + F.when((side > 0) | ((side == 0) & (F.floor(product) % 2 == 1)), 1).otherwise(0)
+    return F.when(product < 2.0**53, F.when(x == 0, x).otherwise(F.signum(x) * whole / power)).otherwise(x)
+
+
 def normal_cdf_sql(x: str) -> str:
     """Hart's rational form of the standard normal law as published by West (2005); absolute error near 1e-16."""
     a = f"abs({x})"

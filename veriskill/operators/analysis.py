@@ -17,7 +17,7 @@ def point_series(members: DataFrame, value: str = "value", divide: Column | floa
     x = F.col(value) / by
     got = members.groupBy("model_name", "forecast_hour").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*map(F.lit, PERCENTILES))).alias("p"))
     cols = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min"), "max": F.col("max")} | {f"p{round(q * 100)}": F.col("p")[k] for k, q in enumerate(PERCENTILES)}
-    return got.select("model_name", "forecast_hour", *(F.bround(E.zero_if_null(c), places).alias(n) for n, c in cols.items()))
+    return got.select("model_name", "forecast_hour", *(E.exact_round(E.zero_if_null(c), places).alias(n) for n, c in cols.items()))
 
 
 def spread_skill(members: DataFrame, observed: DataFrame) -> DataFrame:
@@ -28,23 +28,25 @@ def spread_skill(members: DataFrame, observed: DataFrame) -> DataFrame:
     """
     spread = members.groupBy("model_name", "forecast_hour", "obs_time").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("*").alias("n_members"))
     met = spread.join(observed, "obs_time").withColumn("e", F.abs(F.col("m") - F.col("obs")))
-    ratio = F.when(F.col("e") * F.col("e") > E.NEAR_ZERO, F.bround(F.try_divide(F.col("v"), F.col("e") * F.col("e")), 4))
-    return met.select("model_name", "forecast_hour", F.bround(F.sqrt("v"), 4).alias("spread"), F.bround("e", 4).alias("error"), ratio.alias("ssr"), F.bround("m", 4).alias("ens_mean"), F.bround("obs", 4).alias("obs"), "n_members")
+    ratio = F.when(F.col("e") * F.col("e") > E.NEAR_ZERO, E.exact_round(F.try_divide(F.col("v"), F.col("e") * F.col("e")), 4))
+    return met.select("model_name", "forecast_hour", E.exact_round(F.sqrt("v"), 4).alias("spread"), E.exact_round("e", 4).alias("error"), ratio.alias("ssr"), E.exact_round("m", 4).alias("ens_mean"), E.exact_round("obs", 4).alias("obs"), "n_members")
 
 
 def spread_skill_summary(hours: DataFrame) -> DataFrame:
     """Correlation over the rounded hours, mean ratio over those that have one, number of hours."""
-    return hours.groupBy("model_name").agg(F.bround(M.pearson("spread", "error"), 4).alias("correlation"), F.bround(F.avg("ssr"), 4).alias("mean_ssr"), F.count("*").alias("n_cases"))
+    return hours.groupBy("model_name").agg(E.exact_round(M.pearson("spread", "error"), 4).alias("correlation"), E.exact_round(F.avg("ssr"), 4).alias("mean_ssr"), F.count("*").alias("n_cases"))
 
 
 def compare_hours(pairs: DataFrame) -> DataFrame:
     """Scores of each forecast row of `pairs` at a point; rows of one hour are not put together."""
     err = F.col("mean_rate") - F.col("obs_rate")
-    ssr = F.when(err * err > E.NEAR_ZERO, F.bround(F.try_divide(F.col("std_rate") * F.col("std_rate"), err * err), 4))
-    return pairs.select(
-        "model_name", "forecast_hour", "latitude", "longitude", E.accum_hours(F.col("model_name")).cast("int").alias("accum_h"), ssr.alias("ssr"), F.bround(F.expr(E.crps_sql("mean_rate", "std_rate", "obs_rate", clamp=False)), 6).alias("crps"),
-        F.bround(err, 4).alias("bias"), F.bround(F.abs(err), 4).alias("mae"), F.bround(F.abs(err), 4).alias("rmse"), F.bround("std_rate", 4).alias("spread"), F.bround("mean_rate", 4).alias("mean_val"),
-        F.bround("obs_rate", 4).alias("obs"), F.bround("mean_value", 4).alias("raw_mean"), F.bround("std_dev", 4).alias("raw_std"), F.col("n_obs").alias("n_obs_in_window"),
+    ssr = F.when(err * err > E.NEAR_ZERO, F.try_divide(F.col("std_rate") * F.col("std_rate"), err * err))
+    raw = pairs.withColumns({"__err": err, "__ssr": ssr, "__crps": F.expr(E.crps_sql("mean_rate", "std_rate", "obs_rate", clamp=False))})
+    err = F.col("__err")
+    return raw.select(
+        "model_name", "forecast_hour", "latitude", "longitude", E.accum_hours(F.col("model_name")).cast("int").alias("accum_h"), E.exact_round("__ssr", 4).alias("ssr"), E.exact_round("__crps", 6).alias("crps"),
+        E.exact_round(err, 4).alias("bias"), E.exact_round(F.abs(err), 4).alias("mae"), E.exact_round(F.abs(err), 4).alias("rmse"), E.exact_round("std_rate", 4).alias("spread"), E.exact_round("mean_rate", 4).alias("mean_val"),
+        E.exact_round("obs_rate", 4).alias("obs"), E.exact_round("mean_value", 4).alias("raw_mean"), E.exact_round("std_dev", 4).alias("raw_std"), F.col("n_obs").alias("n_obs_in_window"),
     )
 
 
@@ -53,8 +55,8 @@ def compare_summary(hours: DataFrame) -> DataFrame:
 
     obs_hours: the sorted lead hours that any model was verified at, the same in all rows.
     """
-    mean = lambda c: F.bround(F.avg(c), 4).alias(c)
-    out = hours.groupBy("model_name").agg(F.bround(F.avg("ssr"), 4).alias("mean_ssr"), F.bround(M.pearson("spread", "mae"), 4).alias("correlation"), F.bround(F.avg("crps"), 4).alias("mean_crps"), mean("bias"), mean("mae"), F.bround(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), 4).alias("rmse"), F.count_distinct("forecast_hour").alias("n_hours"))
+    mean = lambda c: E.exact_round(F.avg(c), 4).alias(c)
+    out = hours.groupBy("model_name").agg(E.exact_round(F.avg("ssr"), 4).alias("mean_ssr"), E.exact_round(M.pearson("spread", "mae"), 4).alias("correlation"), E.exact_round(F.avg("crps"), 4).alias("mean_crps"), mean("bias"), mean("mae"), E.exact_round(F.sqrt(F.avg(F.col("rmse") * F.col("rmse"))), 4).alias("rmse"), F.count_distinct("forecast_hour").alias("n_hours"))
     return out.join(F.broadcast(hours.agg(F.sort_array(F.collect_set("forecast_hour")).alias("obs_hours"))))  # one row: a few hundred lead hours
 
 
@@ -72,7 +74,7 @@ def with_tiers(scores: DataFrame, names: list[str], by: tuple[str, ...] = ("mode
 def point_events(pairs: DataFrame, limit: float) -> DataFrame:
     """Event flags and chance of the event for each forecast row at a point."""
     chance = F.expr(E.event_probability_sql("mean_rate", "std_rate", f"{limit!r}E0"))
-    return pairs.select("model_name", "forecast_hour", "latitude", "longitude", (F.col("mean_rate") > limit).alias("is_fcst"), (F.col("obs_rate") > limit).alias("is_obs"), F.bround(chance, 4).alias("p_event"), F.bround("mean_rate", 4).alias("mean_rate"), F.bround("obs_rate", 4).alias("obs_rate"))
+    return pairs.withColumn("__chance", chance).select("model_name", "forecast_hour", "latitude", "longitude", (F.col("mean_rate") > limit).alias("is_fcst"), (F.col("obs_rate") > limit).alias("is_obs"), E.exact_round("__chance", 4).alias("p_event"), E.exact_round("mean_rate", 4).alias("mean_rate"), E.exact_round("obs_rate", 4).alias("obs_rate"))
 
 
 def point_summary(pairs: DataFrame, limit: float, models: DataFrame | None = None) -> DataFrame:
@@ -93,7 +95,7 @@ def region_summary(pairs: DataFrame, forecast: DataFrame, limit: float) -> DataF
     hours = M.counts(pairs, limit, ("model_name", "forecast_hour"))
     skill = M.fractions_skill("f", "o")
     hours = hours.withColumns({"f": F.col("f_sum") / F.col("n_pts"), "o": F.col("o_sum") / F.col("n_pts")}).withColumn("hour_fss", skill)
-    pooled = hours.groupBy("model_name").agg(*(F.sum(c).alias(c) for c in M.SUMS), F.bround(F.avg("hour_fss"), 4).alias("mean_fss"))
+    pooled = hours.groupBy("model_name").agg(*(F.sum(c).alias(c) for c in M.SUMS), E.exact_round(F.avg("hour_fss"), 4).alias("mean_fss"))
     pooled = M.scored(pooled).drop("fss", "fcst_frac", "obs_frac").withColumnRenamed("mean_fss", "fss")
     cells = forecast.select("model_name", "latitude", "longitude").distinct().groupBy("model_name").agg(F.count("*").alias("n_grid_pts"))
     out = cells.join(pooled, "model_name", "left")
@@ -106,7 +108,7 @@ def cumulative_ratios(hours: DataFrame) -> DataFrame:
     h, m, fa = (F.sum(c).over(upto) for c in ("hits", "misses", "false_alarms"))
     run = hours.select("model_name", "forecast_hour", h.alias("h"), m.alias("m"), fa.alias("fa"))
     h, m, fa = F.col("h"), F.col("m"), F.col("fa")
-    return run.select("model_name", "forecast_hour", F.bround(M.ratio(h, h + m + fa), 3).alias("csi"), F.bround(M.ratio(h, h + m), 3).alias("pod"), F.bround(M.ratio(fa, h + fa), 3).alias("far"))
+    return run.select("model_name", "forecast_hour", E.exact_round(M.ratio(h, h + m + fa), 3).alias("csi"), E.exact_round(M.ratio(h, h + m), 3).alias("pod"), E.exact_round(M.ratio(fa, h + fa), 3).alias("far"))
 
 
 def coverage(hours: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ EDGES = {
 def disagreement(forecast: DataFrame) -> DataFrame:
     """Sample deviation of the models' means by cell, raw units, where two or more models have one."""
     out = forecast.where("mean_value IS NOT NULL").groupBy("forecast_hour", "latitude", "longitude").agg(F.stddev_samp("mean_value").alias("d"), F.avg("mean_value").alias("m"), F.count_distinct("model_name").alias("n_models"))
-    return out.where("n_models >= 2").select("forecast_hour", "latitude", "longitude", F.bround("d", 4).alias("disagreement"), F.bround("m", 4).alias("avg_mean"), "n_models")
+    return out.where("n_models >= 2").select("forecast_hour", "latitude", "longitude", E.exact_round("d", 4).alias("disagreement"), E.exact_round("m", 4).alias("avg_mean"), "n_models")
 
 
 def field_range(field: DataFrame, value: str = "value") -> DataFrame:
@@ -150,7 +152,7 @@ def field_range(field: DataFrame, value: str = "value") -> DataFrame:
     x = F.col(value)
     fine = field.where(x.isNotNull() & ~F.isnan(x))
     got = fine.agg(F.min(F.when(x > 0, x)).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.count("*").alias("count"))
-    return got.select(F.bround(F.coalesce("lo", F.lit(0.01)), 6).alias("min"), F.bround(F.when(F.coalesce("hi", F.lit(0.0)) <= 0, 100.0).otherwise(F.col("hi")), 6).alias("max"), F.bround("mean", 4).alias("mean"), "count")
+    return got.select(E.exact_round(F.coalesce("lo", F.lit(0.01)), 6).alias("min"), E.exact_round(F.when(F.coalesce("hi", F.lit(0.0)) <= 0, 100.0).otherwise(F.col("hi")), 6).alias("max"), E.exact_round("mean", 4).alias("mean"), "count")
 
 
 def merged_series(series: DataFrame, models: list[str], precipitation: bool = True, places: int = 6) -> DataFrame:
@@ -159,7 +161,7 @@ def merged_series(series: DataFrame, models: list[str], precipitation: bool = Tr
     std = E.zero_if_null(F.col("std_dev"))
     first = series.groupBy("model_name", "forecast_hour").agg(F.min(F.struct("latitude", "longitude", "mean_value", "std_dev")).alias("r")).select("model_name", "forecast_hour", "r.*")
     cols = {"mean": F.col("mean_value") / by, "hi": (F.col("mean_value") + std) / by, "lo": F.greatest(F.lit(0.0), (F.col("mean_value") - std) / by), "raw_mean": F.col("mean_value"), "raw_std": F.col("std_dev")}
-    wide = first.withColumns(cols).groupBy("forecast_hour").pivot("model_name", models).agg(*(F.bround(F.first(c), places).alias(c) for c in cols))
+    wide = first.withColumns(cols).groupBy("forecast_hour").pivot("model_name", models).agg(*(E.exact_round(F.first(c), places).alias(c) for c in cols))
     return wide
 
 
@@ -172,13 +174,13 @@ def normalised(series: DataFrame, precipitation: bool = True) -> DataFrame:
     """Means as shares of the model's peak; a model that is next to zero everywhere keeps its values."""
     by = E.accum_hours(F.col("model_name")) if precipitation else F.lit(1.0)
     peak = F.max((E.zero_if_null(F.col("mean_value")) + E.zero_if_null(F.col("std_dev"))) / by).over(Window.partitionBy("model_name"))
-    return series.withColumn("peak", F.when(peak > 1e-9, peak).otherwise(1.0)).select("model_name", "forecast_hour", "latitude", "longitude", F.bround(F.col("mean_value") / by / F.col("peak"), 6).alias("share"))
+    return series.withColumn("peak", F.when(peak > 1e-9, peak).otherwise(1.0)).select("model_name", "forecast_hour", "latitude", "longitude", E.exact_round(F.col("mean_value") / by / F.col("peak"), 6).alias("share"))
 
 
 def scale_ratio(series: DataFrame, precipitation: bool = True) -> DataFrame:
     """Greatest over least positive peak, 1 with under two; a warning over 5."""
     got = peaks(series, precipitation).where("peak > 0").agg(F.count("*").alias("n"), F.max("peak").alias("hi"), F.min("peak").alias("lo"))
-    return got.select(F.when(F.col("n") < 2, 1.0).otherwise(F.bround(F.try_divide(F.col("hi"), F.col("lo")), 4)).alias("ratio")).withColumn("warn", F.col("ratio") > 5)
+    return got.select(F.when(F.col("n") < 2, 1.0).otherwise(E.exact_round(F.try_divide(F.col("hi"), F.col("lo")), 4)).alias("ratio")).withColumn("warn", F.col("ratio") > 5)
 
 
 def wide_by_hour(hours: DataFrame, value: str, models: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Pairs have mean_rate (m), std_rate (s) and obs_rate (o). Two registries are the extension points: `METRICS` holds the
 aggregates over window pairs, `SPATIAL` every spatial metric by name, whatever pairs it is taken from. Results are
-rounded at their edges, halves to even.
+rounded at their edges by their exact values, halves to even.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ METRICS: dict[str, Metric] = {
 
 def score(pairs: DataFrame, names: list[str], limit: float, by: tuple[str, ...] = ("model_name", "latitude", "longitude")) -> DataFrame:
     """All of `names` for each group in one aggregate; null where a metric's guard does not hold."""
-    return pairs.groupBy(*by).agg(*(F.when(METRICS[n].guard(limit), F.bround(METRICS[n].value(limit), METRICS[n].places)).alias(n) for n in names))
+    out = pairs.groupBy(*by).agg(*(F.when(METRICS[n].guard(limit), METRICS[n].value(limit)).alias(n) for n in names))
+    return out.select(*by, *(E.exact_round(n, METRICS[n].places).alias(n) for n in names))
 
 
 def spatial(pairs: DataFrame, name: str, limit: float) -> DataFrame:
@@ -91,7 +92,7 @@ def pearson(x: str, y: str) -> Column:
 def single_hour_ssr(pairs: DataFrame, hour: int) -> DataFrame:
     """std^2 / error^2 of snapped pairs at one lead hour, raw units; cells without error go."""
     err = (F.col("mean_value") - F.col("obs")) * (F.col("mean_value") - F.col("obs"))
-    return pairs.where(F.col("forecast_hour") == hour).withColumn("e2", err).where(F.col("e2") > E.NEAR_ZERO).select("model_name", "latitude", "longitude", F.bround(F.col("std_dev") * F.col("std_dev") / F.col("e2"), 4).alias("value"))
+    return pairs.where(F.col("forecast_hour") == hour).withColumn("e2", err).where(F.col("e2") > E.NEAR_ZERO).select("model_name", "latitude", "longitude", E.exact_round(F.col("std_dev") * F.col("std_dev") / F.col("e2"), 4).alias("value"))
 
 
 def spread_error_correlation(pairs: DataFrame, hours: DataFrame | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def spread_error_correlation(pairs: DataFrame, hours: DataFrame | None = None) -
     """
     rows = pairs.where(F.col("forecast_hour").isin(*E.CORRELATION_HOURS)).withColumn("err", F.abs(F.col("mean_value") - F.col("obs")))
     place = F.min_by(F.struct("latitude", "longitude"), "forecast_hour")
-    out = rows.groupBy("model_name", "cy", "cx").agg(place.alias("p"), F.bround(pearson("std_dev", "err"), 4).alias("value")).where("value IS NOT NULL").select("model_name", "p.latitude", "p.longitude", "value")
+    out = rows.groupBy("model_name", "cy", "cx").agg(place.alias("p"), E.exact_round(pearson("std_dev", "err"), 4).alias("value")).where("value IS NOT NULL").select("model_name", "p.latitude", "p.longitude", "value")
     if hours is None:
         return out
     counted = hours.where(F.col("forecast_hour").isin(*E.CORRELATION_HOURS)).groupBy("model_name").agg(F.count_distinct("forecast_hour").alias("n_hours"))
@@ -136,9 +137,9 @@ SUMS = ("n_pts", "hits", "misses", "false_alarms", "correct_neg", "brier_sum", "
 
 def scored(sums: DataFrame) -> DataFrame:
     """Counts, ratios, Brier score, event shares and whole-domain fractions skill of the groups of `counts`."""
-    out = sums.withColumns({"brier_score": F.bround(F.col("brier_sum") / F.col("n_pts"), 6), "f": F.col("f_sum") / F.col("n_pts"), "o": F.col("o_sum") / F.col("n_pts")})
+    out = sums.withColumns({"brier_score": E.exact_round(F.col("brier_sum") / F.col("n_pts"), 6), "f": F.col("f_sum") / F.col("n_pts"), "o": F.col("o_sum") / F.col("n_pts")})
     out = with_ratios(out).withColumn("fss", fractions_skill("f", "o"))
-    return out.withColumn("fcst_frac", F.bround("f", 4)).withColumn("obs_frac", F.bround("o", 4)).drop("f", "o", "brier_sum", "f_sum", "o_sum")
+    return out.withColumn("fcst_frac", E.exact_round("f", 4)).withColumn("obs_frac", E.exact_round("o", 4)).drop("f", "o", "brier_sum", "f_sum", "o_sum")
 
 
 def contingency(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFrame:
@@ -149,16 +150,16 @@ def contingency(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFram
 def fractions_skill(f: str, o: str) -> Column:
     f, o = F.col(f), F.col(o)
     low = (f * f + o * o) * 0.5
-    return F.when(low <= E.NEAR_ZERO, 1.0).otherwise(F.bround(1 - F.try_divide((f - o) * (f - o), low), 4))
+    return F.when(low <= E.NEAR_ZERO, 1.0).otherwise(E.exact_round(1 - F.try_divide((f - o) * (f - o), low), 4))
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
     h, m, fa = F.col("hits"), F.col("misses"), F.col("false_alarms")
-    return counts.withColumns({"csi": F.bround(ratio(h, h + m + fa), 4), "pod": F.bround(ratio(h, h + m), 4), "far": F.bround(ratio(fa, h + fa), 4), "fbi": F.bround(ratio(h + fa, h + m), 4)})
+    return counts.withColumns({"csi": E.exact_round(ratio(h, h + m + fa), 4), "pod": E.exact_round(ratio(h, h + m), 4), "far": E.exact_round(ratio(fa, h + fa), 4), "fbi": E.exact_round(ratio(h + fa, h + m), 4)})
 
 
 def composite(csi: str = "csi", pod: str = "pod", far: str = "far", fss: str | None = None) -> Column:
     """Weighted confidence of rounded ratios; null where any is null."""
     if fss is None:
-        return F.bround((0.40 * F.col(csi) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far))) / 0.70, 4)
-    return F.bround(0.40 * F.col(csi) + 0.30 * F.col(fss) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far)), 4)
+        return E.exact_round((0.40 * F.col(csi) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far))) / 0.70, 4)
+    return E.exact_round(0.40 * F.col(csi) + 0.30 * F.col(fss) + 0.20 * F.col(pod) + 0.10 * (1 - F.col(far)), 4)

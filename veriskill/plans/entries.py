@@ -261,6 +261,17 @@ def _cells(f: Frames) -> DataFrame:
     return f.spark.read.parquet(f"{f.sf}/supplier.parquet").select("s_suppkey", E.cell(F.col("s_acctbal") / 1000, 4).alias("quarter"), E.cell(F.col("s_acctbal") / 1000, 2).alias("half"))
 
 
+_PRICES = {"tax_2": ("l_extendedprice * l_tax", 2), "half_2": ("l_extendedprice / 8", 2), "eighth_1": ("l_quantity / 8 + l_linenumber / 16", 1), "share_4": ("l_discount / l_linenumber + l_quantity / 160000", 4), "minus_0": ("l_quantity / 2 - 30", 0)}
+
+
+@query("fn08_exact_rounding", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"CAST(printf('%.{n}f', CAST({x} AS DOUBLE)) AS DOUBLE) + 0 AS {c}" for c, (x, n) in _PRICES.items()) + " FROM lineitem")
+def _exact(f: Frames) -> DataFrame:
+    """Amounts of all order lines, many of them on a half, rounded by their exact binary value."""
+    line = f.spark.read.parquet(f"{f.sf}/lineitem.parquet")
+    raw = line.select("l_orderkey", "l_linenumber", *(F.expr(x).cast("double").alias(c) for c, (x, _) in _PRICES.items()))
+    return raw.select("l_orderkey", "l_linenumber", *((E.exact_round(c, n) + 0.0).alias(c) for c, (_, n) in _PRICES.items()))
+
+
 @query("fn09_normal_law", f"SELECT s_suppkey, round_even({_LAW.format('(s_acctbal/1500)')}, 10) AS cdf, round_even({_DENSITY.format('(s_acctbal/1500)')}, 10) AS pdf FROM supplier")
 def _normal(f: Frames) -> DataFrame:
     return f.spark.read.parquet(f"{f.sf}/supplier.parquet").select("s_suppkey", F.bround(F.expr(E.normal_cdf_sql("s_acctbal/1500")), 10).alias("cdf"), F.bround(F.expr(E.normal_pdf_sql("s_acctbal/1500")), 10).alias("pdf"))
