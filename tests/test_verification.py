@@ -77,8 +77,8 @@ def test_metric_edges(spark):
     assert none.fss == 1.0 and none.csi is None
     missing = A.point_summary(pairs(spark, [(5, 1, 5)]), limit, spark.createDataFrame([("AIFS",), ("GEFS",)], "model_name string")).orderBy("model_name").collect()
     assert [(r.model_name, r.hits, r.csi) for r in missing] == [("AIFS", 1, 1.0), ("GEFS", None, None)]
-    half = M.score(pairs(spark, [(1.00005, 1, 1), (1.00005, 1, 1)]), ["bias", "mae"], limit).first()
-    assert half.bias == half.mae == round(1.00005 - 1, 4) == 0.0  # the difference is just under the half
+    half = M.score(pairs(spark, [(1.00005, 1, 0), (1.00005, 1, 0)]), ["bias", "mae"], limit).first()
+    assert half.bias == half.mae == round(1.00005, 4) == 1.0001  # the double is just over the half that its text shows
     even = M.score(pairs(spark, [(0.03125, 1, 0), (0.03125, 1, 0)]), ["bias", "mae"], limit).first()
     assert even.bias == even.mae == round(0.03125, 4) == 0.0312  # a true half goes to the even digit
     assert set(M.SPATIAL) == set(M.METRICS) | {"ssr", "correlation"} and set(A.EDGES) == set(M.SPATIAL) - {"correlation"}
