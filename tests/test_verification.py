@@ -107,6 +107,28 @@ def test_window_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def scans(spark, name):
+    plan = V.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return [sum(f"{t}.parquet" in line and "Scan parquet" in line for line in plan.split("\n")) for t in ("lineitem", "events")]
+
+
+def test_pairs_read_each_side_once(spark):
+    assert scans(spark, "met00_all_spatial_metrics") == [1, 1] and scans(spark, "jn07_window_pairs") == [1, 1]
+    assert scans(spark, "met00_registry") == [2, 2]
+
+
+def test_metrics_at_once_are_metrics_by_name(spark):
+    f = V.Frames(spark, SF)
+    given = M.Inputs(f.pairs(), V.snapped(f), V.LIMIT, 6)
+    got = {}
+    for r in M.spatial_all(given).collect():
+        got.setdefault(r.metric, []).append((r.model_name, r.latitude, r.longitude, r.value))
+    assert set(got) == set(M.SPATIAL)
+    for name in ("ssr", "correlation", "bias", "brier"):
+        assert sorted(got[name]) == sorted(tuple(r) for r in M.SPATIAL[name](given).collect())
+    assert {r.metric for r in M.spatial_all(given, ["ssr", "mae"]).collect()} == {"ssr", "mae"}
+
+
 def test_plans_stay_in_the_jvm(spark):
     for name in V.QUERIES:
         if not name.startswith(("grd07", "grd08", "grd09")):

@@ -120,11 +120,16 @@ def coverage_message(n: int, first: int | None, last: int | None) -> str:
     return "No observations cover these lead times." if not n else f"Observations cover {n} lead time{'s' * (n != 1)} ({first}-{last} h)."
 
 
-#: Upper edges of tiers, the first that holds; fixed values.
-TIERS = {
-    "ssr": ([("<", 0.5, "overconfident"), ("<", 0.8, "slightly overconfident"), ("<=", 1.2, "calibrated"), ("<=", 2.0, "slightly underconfident")], "underconfident"),
-    "correlation": ([("<", 0.0, "none"), ("<", 0.3, "weak"), ("<", 0.6, "moderate")], "strong"),
-}
+#: Ends and middle of the colour scale of correlations, from -1 over 0 to 1; fixed values.
+CORRELATION_SCALE = ((52, 152, 219), (240, 240, 240), (231, 76, 60))
+
+
+def correlation_colour(value: Column) -> dict[str, Column]:
+    """r, g, b of a correlation: a line from the lower end to the middle, another to the upper end, halves rounded up."""
+    share = (value + 1) / 2
+    line = lambda a, b, at: E.half_up(a + (b - a) * at).cast("int")
+    return {c: F.when(share <= 0.5, line(low, mid, share * 2)).otherwise(line(mid, high, (share - 0.5) * 2)) for c, low, mid, high in zip("rgb", *CORRELATION_SCALE)}
+
 
 #: Edges of the spatial metrics' tiers, tested in order; tiers go by number, one more than there are edges. Fixed values.
 EDGES = {

@@ -66,23 +66,36 @@ def snapped_pairs(stats: DataFrame, observed: DataFrame, obs: str, per_degree: i
     return one.join(seen, ["obs_time", "cy", "cx"]).select("model_name", "forecast_hour", "cy", "cx", "f.*", "obs")
 
 
-def window_pairs(forecast: DataFrame, observed: DataFrame, accum: Column, keys: tuple[str, ...] = ("latitude", "longitude"), divide: Column | None = None) -> DataFrame:
+#: Accumulation windows that forecasts have, in hours.
+WINDOWS = tuple(sorted({1, *E.ACCUM_HOURS.values()}))
+
+
+def window_means(observed: DataFrame, keys: list[str], windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """(keys, end, hours, obs_rate, n_obs): the mean of the hourly means of (end - hours, end], for each length of `windows`.
+
+    `observed` has obs_time, value and the keys. Each hour is sent to the few ends that it counts for, so that a window is a
+    partial aggregate; a window without any hour has no row.
+    """
+    hourly = observed.groupBy("obs_time", *keys).agg(F.avg("value").alias("__o"))
+    ends = F.array(*(F.struct(F.lit(w).alias("hours"), F.lit(back).alias("back")) for w in windows for back in range(w)))
+    sent = hourly.withColumn("__to", F.explode(ends)).select(*keys, F.expr("timestampadd(HOUR, __to.back, obs_time)").alias("end"), "__to.hours", "__o")
+    return sent.groupBy(*keys, "end", "hours").agg(F.avg("__o").alias("obs_rate"), F.count("*").alias("n_obs"))
+
+
+def window_pairs(forecast: DataFrame, observed: DataFrame, accum: Column, keys: tuple[str, ...] = ("latitude", "longitude"), divide: Column | None = None, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """`forecast` rows with mean_rate, std_rate, obs_rate and n_obs: hourly observations of (valid - accum, valid].
 
-    `forecast` has initialization_time, mean_value and std_dev; `observed` has obs_time, value and the keys. The
-    different windows of the forecasts are exploded into their few hours, so that a window becomes an equi-join and a
-    sum, and come back to the forecast rows by (cell, end, length): each row stays a row, repeated ones too. At least
-    one hour must be there. Coordinates join by integer cell keys of a hundredth of a degree.
+    `forecast` has initialization_time, mean_value and std_dev; `observed` has obs_time, value and the keys; `accum` is one
+    of `windows`. Either side is read once: observations become window means, which meet the forecast rows by cell, end and
+    length, so each forecast row stays a row, repeated ones too. At least one hour must be there. Coordinates join by
+    integer cell keys of a hundredth of a degree.
     """
     fine = {f"__{k}": E.cell(F.col(k), 100) for k in keys}
-    hourly = observed.withColumns(fine).groupBy("obs_time", *fine).agg(F.avg("value").alias("__o"))
+    met = window_means(observed.withColumns(fine), list(fine), windows).withColumnsRenamed({"end": "__end", "hours": "__accum"})
     rows = forecast.where("mean_value IS NOT NULL AND std_dev IS NOT NULL").withColumns(fine).withColumns({"__accum": accum.cast("int"), "__end": E.valid_time("initialization_time", "forecast_hour")})
-    window = ["__end", "__accum", *fine]
-    hours = rows.select(*window).distinct().withColumn("__back", F.explode(F.sequence(F.lit(0), F.col("__accum") - 1))).withColumn("obs_time", F.expr("timestampadd(HOUR, -__back, __end)"))
-    met = hours.join(hourly, ["obs_time", *fine]).groupBy(*window).agg(F.avg("__o").alias("obs_rate"), F.count("*").alias("n_obs"))
     by = divide if divide is not None else F.col("__accum")
     rows = rows.withColumns({"mean_rate": F.col("mean_value") / by, "std_rate": F.col("std_dev") / by})
-    return rows.join(met, window).select(*forecast.columns, "mean_rate", "std_rate", "obs_rate", "n_obs")
+    return rows.join(met, ["__end", "__accum", *fine]).select(*forecast.columns, "mean_rate", "std_rate", "obs_rate", "n_obs")
 
 
 def with_default(mean: DataFrame, std: DataFrame, keys: list[str]) -> DataFrame:

@@ -81,9 +81,12 @@ def spatial(pairs: DataFrame, name: str, limit: float) -> DataFrame:
     return score(pairs, [name], limit).where(F.col(name).isNotNull()).withColumnRenamed(name, "value")
 
 
-def pearson(x: str, y: str) -> Column:
-    """Correlation from sums; null under two rows or where either is next to constant, instead of an error."""
-    n, fx, fy = F.count("*"), F.col(x), F.col(y)
+def pearson(x: str, y: str, n: Column | None = None) -> Column:
+    """Correlation from sums; null under two rows or where either is next to constant, instead of an error.
+
+    `n` counts the rows where there are nulls, which must then be null in both.
+    """
+    n, fx, fy = F.count("*") if n is None else n, F.col(x), F.col(y)
     sxx, syy, sxy = F.var_pop(fx) * n, F.var_pop(fy) * n, F.covar_pop(fx, fy) * n
     low = F.sqrt(sxx * syy)
     return F.when((n >= 2) & (low > E.NEAR_ZERO), F.try_divide(sxy, low))
@@ -126,6 +129,38 @@ SPATIAL: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 
+def spatial_all(x: Inputs, names: list[str] | None = None) -> DataFrame:
+    """(metric, model_name, latitude, longitude, value) of many of `SPATIAL`, all by default, as each gives it by its name.
+
+    All that come from window pairs are one aggregate, and both that come from snapped pairs another, so that no pair is
+    made twice. A metric that is registered apart from these is called by its name.
+    """
+    names = list(SPATIAL) if names is None else names
+    at = ("model_name", "latitude", "longitude")
+    row = lambda n, value: F.struct(F.lit(n).alias("metric"), value.alias("value"))
+    parts = []
+    if window := [n for n in names if n in METRICS]:
+        scores = score(x.window, window, x.limit)
+        parts.append(scores.withColumn("__m", F.explode(F.array(*(row(n, F.col(n).cast("double")) for n in window)))).select("__m.metric", *at, "__m.value").where("value IS NOT NULL"))
+    if {"ssr", "correlation"} <= set(names):
+        own = F.abs(F.col("mean_value") - F.col("obs"))
+        rows = x.snapped.withColumns({"err": own, "__fixed": F.col("forecast_hour").isin(*E.CORRELATION_HOURS)}).where(F.col("__fixed") | (F.col("forecast_hour") == x.hour))
+        fixed = lambda c: F.when(F.col("__fixed"), F.col(c))
+        place = F.min(F.when(F.col("__fixed"), F.struct("forecast_hour", "latitude", "longitude")))
+        hour = F.max(F.when(F.col("forecast_hour") == x.hour, F.struct("latitude", "longitude", "std_dev", (F.col("err") * F.col("err")).alias("e2"))))
+        both = rows.withColumns({"__s": fixed("std_dev"), "__e": fixed("err")}).groupBy("model_name", "cy", "cx").agg(place.alias("p"), hour.alias("h"), pearson("__s", "__e", F.count("__s")).alias("r"))
+        ssr = F.when(F.col("h.e2") > E.NEAR_ZERO, F.try_divide(F.col("h.std_dev") * F.col("h.std_dev"), F.col("h.e2")))
+        both = both.withColumn("ssr", ssr)
+        found = F.array(F.struct(F.lit("ssr").alias("metric"), F.col("h.latitude").alias("latitude"), F.col("h.longitude").alias("longitude"), F.col("ssr").alias("value")), F.struct(F.lit("correlation").alias("metric"), F.col("p.latitude").alias("latitude"), F.col("p.longitude").alias("longitude"), F.col("r").alias("value")))
+        parts.append(both.withColumn("__m", F.explode(found)).select("__m.metric", "model_name", "__m.latitude", "__m.longitude", "__m.value").where("value IS NOT NULL").withColumn("value", E.exact_round("value", 4)))
+        names = [n for n in names if n not in ("ssr", "correlation")]
+    parts += [SPATIAL[n](x).select(F.lit(n).alias("metric"), *at, "value") for n in names if n not in METRICS]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def counts(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFrame:
     """Sums for each group, from which `scored` makes scores; those of several groups may be added up."""
     event = lambda c: F.sum((F.col(c) > limit).cast("long"))

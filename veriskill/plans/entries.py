@@ -475,13 +475,8 @@ _REGISTRY = " UNION ALL ".join(
 
 @query("met00_registry", _pairs_sql().replace(f"{C.SQL}, {_LATEST}", _SNAP) + f", {_CORR} {_REGISTRY}")
 def _registry(f: Frames) -> DataFrame:
-    """Every registered spatial metric, called by its name."""
-    given = M.Inputs(f.pairs(), snapped(f), LIMIT, 6)
-    out = None
-    for name, metric in M.SPATIAL.items():
-        rows = metric(given).select(F.lit(name).alias("metric"), "model_name", "latitude", "longitude", "value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Every registered spatial metric; window pairs and snapped pairs are made once."""
+    return M.spatial_all(M.Inputs(f.pairs(), snapped(f), LIMIT, 6))
 
 
 _SKILL = f"""{C.SQL}, {_LATEST}, po AS (SELECT obs_time, round_even(avg(precipitation), 10) AS obs FROM observation_data WHERE {_NEAR} AND precipitation IS NOT NULL GROUP BY ALL),
@@ -585,9 +580,18 @@ def _coverage(f: Frames) -> DataFrame:
     return A.coverage(f.pairs())
 
 
-@query("met24_tiers", f"{_SKILL} SELECT model_name, forecast_hour, CASE WHEN ssr IS NULL THEN NULL WHEN ssr < 0.5 THEN 'overconfident' WHEN ssr < 0.8 THEN 'slightly overconfident' WHEN ssr <= 1.2 THEN 'calibrated' WHEN ssr <= 2.0 THEN 'slightly underconfident' ELSE 'underconfident' END AS tier FROM sk")
+@query("met24_tiers", f"{_SKILL} SELECT model_name, forecast_hour, CAST(CASE WHEN ssr IS NULL THEN NULL WHEN ssr < 0.5 THEN 1 WHEN ssr < 0.8 THEN 2 WHEN ssr <= 1.2 THEN 3 WHEN ssr <= 2.0 THEN 4 ELSE 5 END AS INTEGER) AS tier FROM sk")
 def _tiers(f: Frames) -> DataFrame:
-    return skill_hours(f).select("model_name", "forecast_hour", E.tier(F.col("ssr"), *A.TIERS["ssr"]).alias("tier"))
+    edges = A.EDGES["ssr"]
+    return skill_hours(f).select("model_name", "forecast_hour", E.tier(F.col("ssr"), [(sign, edge, k + 1) for k, (sign, edge) in enumerate(edges)], len(edges) + 1).alias("tier"))
+
+
+_HALF = "CAST(floor({0} + ({1} - {0}) * (value + 1) + 0.5) AS INTEGER)", "CAST(floor({0} + ({1} - {0}) * value + 0.5) AS INTEGER)"
+
+
+@query("met24_correlation_colours", f"{_SNAP}, {_CORR} SELECT model_name, latitude, longitude, " + ", ".join(f"CASE WHEN value <= 0 THEN {_HALF[0].format(a, 240)} ELSE {_HALF[1].format(240, b)} END AS {c}" for c, a, b in (("r", 52, 231), ("g", 152, 76), ("b", 219, 60))) + " FROM c WHERE value IS NOT NULL")
+def _correlation_colours(f: Frames) -> DataFrame:
+    return M.spread_error_correlation(snapped(f)).select("model_name", "latitude", "longitude", *(c.alias(n) for n, c in A.correlation_colour(F.col("value")).items()))
 
 
 def _tier_sql(name: str) -> str:
