@@ -31,6 +31,7 @@ MANIFEST = "part int, documents bigint, ids bigint, root binary"
 CLOSING = ".,;:!?*$#%&|<>)]}"  # marks that make one pre-token after letters
 CACHE = 1_100_000  # words whose ids a worker process keeps
 SLAB = 8 << 20  # bytes of texts that are encoded together, or one text
+RANGE_BYTES = 64 << 20  # of recipes in one file, about
 
 
 def _byte_letters() -> dict[int, int]:
@@ -207,9 +208,10 @@ def manifest_of(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes every row of `docs` (null: empty), adds END, and writes the store to `folder`.
 
-    The Arrow pass drops a batch's repeated chunks, partial aggregation those of a task, and one shuffle by chunk hash
-    the rest, so that a chunk of very many documents arrives once from each task. Only its hash stands in recipes.
-    Repeated rows are stored as documents of their own. An empty table gives a store without documents.
+    The Arrow pass drops a slab's repeated chunks and its output is written as it is, so that a task run again after a lost
+    executor cannot give a document another's key. Partial aggregation drops those of a task, and one shuffle by
+    chunk hash the rest, so that a chunk of very many documents arrives once from each task; documents are not in it. Only a chunk's
+    hash stands in recipes. Repeated rows are stored as documents of their own. An empty table gives a store without documents.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -245,15 +247,17 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
                 yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "doc_id", "n", "ids", "chunks", "root"])
 
     rows = docs.select(F.col(doc_id), F.col(text)).mapInArrow(stage, f"kind string, key binary, doc_id {kind}, n bigint, ids binary, chunks array<binary>, root binary")
-    rows.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/parts")
+    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/staged")
     spark = docs.sparkSession
-    stored = spark.read.schema(PARTS.format(kind)).parquet(f"{folder}/parts")
-    made = stored.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_tokens"), "chunks", "root", "key")
-    files = max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    staged = spark.read.schema(PARTS.format(kind)).parquet(f"{folder}/staged")
+    staged.where("kind = 'chunk'").dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/parts")
+    made = staged.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_tokens"), "chunks", "root", "key")
+    entries = made.agg(F.sum(F.size("chunks") + 2).alias("n")).first().n or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries * 32 // RANGE_BYTES))
     ranged = made.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "key").withColumn("part", F.spark_partition_id())
     ranged.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "key").write.option("compression", "zstd").parquet(f"{folder}/ranges")
     ranges = spark.read.schema(ranged.schema).parquet(f"{folder}/ranges")
-    sums = ranges.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each file: at most 4,096
+    sums = ranges.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row for each RANGE_BYTES of recipes
     before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     upto = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "key")
     placed = ranges.withColumns({"within": F.sum("n_tokens").over(upto) - F.col("n_tokens"), "place": F.row_number().over(upto) - 1})
@@ -261,6 +265,9 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     back = spark.read.schema(recipes.schema).parquet(f"{folder}/recipes")
     manifest_of(back).write.parquet(f"{folder}/manifest")
+    for done in ("staged", "ranges"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{done}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _POLY = np.uint64(0xEDB88320)
@@ -330,7 +337,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     out = arrow_stage(whole, join, f"part int, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
     listed = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     found = manifest_of(recipes)
-    same = found.join(listed, ["part", "documents", "ids", "root"], "left_semi").select("part", F.lit(True).alias("same"))  # at most 4,096 rows
+    same = found.join(listed, ["part", "documents", "ids", "root"], "left_semi").select("part", F.lit(True).alias("same"))  # a row for each part
     lost = listed.join(found, "part", "left_anti").select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("bigint").alias("start"), F.col("ids").alias("n_tokens"), F.lit(None).cast("bigint").alias("ids_crc32"), F.lit(False).alias("verified"))
     out = out.join(F.broadcast(same), "part", "left").withColumn("verified", F.col("verified") & F.coalesce("same", F.lit(False)))
     return out.drop("part", "same").unionByName(lost)
