@@ -15,6 +15,8 @@ from veriskill.operators import analysis as A
 from veriskill.operators import grid as G
 from veriskill.operators import match as J
 from veriskill.operators import metrics as M
+from veriskill.operators import places as P
+from veriskill.operators import sums as SM
 from veriskill.plans import entries as V
 from veriskill.sources import gridfiles as S
 from veriskill.sources import merge as MG
@@ -154,6 +156,86 @@ def test_polygon_of_a_box_is_the_box(spark):
     assert df.where(inside != J.in_box(F.col("y"), F.col("x"), 0.5, 1.5, 0.5, 1.5)).count() == 0
 
 
+def star(rng, y, x, r, corners):
+    """Corners around a place, near and far in turn; some on whole cells."""
+    out = []
+    for k in range(corners):
+        far = r * rng.uniform(0.3, 1)
+        out.append((y + far * math.sin(2 * math.pi * k / corners), x + far * math.cos(2 * math.pi * k / corners)))
+    return [(round(a * 4) / 4, round(b * 4) / 4) for a, b in out] if rng.random() < 0.2 else out
+
+
+def test_many_polygons(spark):
+    """10,000 polygons of all sizes and shapes, against the even-odd rule over all of their edges."""
+    rng = random.Random(11)
+    shapes = [star(rng, rng.uniform(20, 45), rng.uniform(-100, -60), rng.choice([0.05, 0.3, 1.0, 4.0 if k % 50 == 0 else 0.5]), rng.randrange(3, 9)) for k in range(9_990)]
+    shapes += [[], [(30.0, -80.0)], [(30.0, -80.0), (31.0, -80.0)], [(30.0, -80.0), (30.0, -79.0), (31.0, -79.0), (31.0, -80.0)], [(30.1, -80.1), (30.1, -70.1), (30.2, -70.1), (30.2, -80.1)], [(30.0, -80.0)] * 4, [(30.0, -80.0), (31.0, -79.0), (31.0, -80.0), (30.0, -79.0)], [(-1.0, -1.0), (-1.0, 1.0), (1.0, 1.0), (1.0, -1.0)], [(20.0, -100.0), (20.0, -60.0), (45.0, -60.0), (45.0, -100.0)], [(30.125, -80.125), (30.125, -79.875), (30.13, -79.875)]]
+    places = [(rng.uniform(20, 45), rng.uniform(-100, -60)) for _ in range(700)] + [(rng.randrange(80, 180) / 4, rng.randrange(-400, -240) / 4) for _ in range(200)] + [(30.0, -80.0), (30.5, -79.5), (30.15, -75.0), (0.0, 0.0)]
+    at = np.array(places)
+    want = set()
+    for k, vertices in enumerate(shapes):
+        inside = np.zeros(len(at), bool)
+        for (yi, xi), (yj, xj) in zip(vertices, [vertices[-1], *vertices[:-1]] if vertices else []):
+            if yi != yj:
+                inside ^= ((yi > at[:, 0]) != (yj > at[:, 0])) & (at[:, 1] < (xj - xi) * (at[:, 0] - yi) / (yj - yi) + xi)
+        want.update((int(i), k) for i in np.flatnonzero(inside))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(places)] + [(-1, None, 3.0)], "spot int, latitude double, longitude double")
+    polygons = spark.createDataFrame([(k, [tuple(map(float, v)) for v in s]) for k, s in enumerate(shapes)], "polygon_id int, vertices array<struct<lat:double,lon:double>>")
+    got = P.in_polygons(points, polygons, 0.5)
+    rows = [(r.spot, r.polygon_id) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 4000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert P.in_polygons(points, polygons.limit(0)).count() == 0
+
+
+def test_boxes_read_ranges(spark, tmp_path):
+    """A keyed table gives a box's rows from a share of its row groups that falls with the box."""
+    folder = str(tmp_path / "keyed")
+    rows = spark.range(120_000).select((F.rand(1) * 40 + 10).alias("latitude"), (F.rand(2) * 60 - 120).alias("longitude"), "id")
+    P.with_key(rows).write.option("parquet.block.size", 65536).parquet(folder)
+    table = spark.read.parquet(folder)
+
+    def read(box):
+        df = P.in_box(table, *box)
+        n = len(df.collect())
+        assert n == table.where(F.col("latitude").between(*box[:2]) & F.col("longitude").between(*box[2:])).count()
+        return n, df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    whole, half, small = read((0.0, 90.0, -180.0, 0.0)), read((10.0, 30.0, -120.0, -60.0)), read((30.0, 32.0, -90.0, -87.0))
+    assert whole == (120_000, 120_000) and half[1] < 90_000 and small[0] > 100 and small[1] < 12_000
+    for box in ((10.0, 10.0, -120.0, -120.0), (44.9, 45.0, -179.9, 179.9), (-90.0, 90.0, -180.0, 180.0)):
+        ranges = P.z_ranges(*box)
+        assert len(ranges) <= 48 and all(a <= b < c for (a, b), (c, _) in zip(ranges, ranges[1:]))
+
+
+def test_box_sums(spark):
+    """100 boxes over two fields with holes, each against a plain sum; boxes that stick out, or lie outside."""
+    rng = random.Random(5)
+    cells = [(k, rng.randrange(-6, 9), rng.randrange(-4, 12), rng.randrange(1, 50)) for k in (1, 2) for _ in range(90)]
+    boxes = [(b, *sorted((rng.randrange(-9, 12), rng.randrange(-9, 12))), *sorted((rng.randrange(-9, 15), rng.randrange(-9, 15)))) for b in range(98)] + [(98, 30, 40, 30, 40), (99, -99, 99, -99, 99)]
+    df = spark.createDataFrame(cells, "field int, cy bigint, cx bigint, n bigint")
+    asked = spark.createDataFrame([(k, *b) for k in (1, 2) for b in boxes], "field int, box int, y0 bigint, y1 bigint, x0 bigint, x1 bigint")
+    got = {(r.field, r.box): r.n for r in SM.box_sums(SM.area_table(df, ("field",), ("n",)), asked, ("field",), ("n",), ("field", "box")).collect()}
+    want = {(k, b): sum(n for f, y, x, n in cells if f == k and y0 <= y <= y1 and x0 <= x <= x1) for k in (1, 2) for b, y0, y1, x0, x1 in boxes}
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n} and (1, 98) not in got
+
+
+def test_exact_percentiles(spark):
+    """Groups of all rows, of ties, of wide ranges, small ones, one without values; numpy's law between the nearest."""
+    rng = np.random.default_rng(3)
+    groups = {"wide": np.exp(rng.normal(0, 9, 30_000)), "ties": rng.integers(0, 5, 20_000).astype(float), "even": rng.random(9_000), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "flat": np.full(6_000, 7.5), None: rng.normal(size=5_001)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("none", None), ("even", None), ("even", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = (0.0, 0.1, 0.25, 0.5, 0.999, 1.0)
+    got = {r.g: (r.n, r.p) for r in SM.exact_percentiles(df, ("g",), "x", shares).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g][0] == len(xs) and np.allclose(got[g][1], np.quantile(xs, shares), rtol=1e-12, atol=0)
+    every = SM.exact_percentiles(df, (), "x", (0.5,)).first()
+    assert every.n == sum(map(len, groups.values())) and every.p[0] == np.quantile(np.concatenate(list(groups.values())), 0.5)
+
+
 def test_streamline_follows_a_steady_wind():
     line = G.trace(np.full((20, 40), 3.0), np.zeros((20, 40)), 40.0, 16.0, 8.0)
     assert line[0] == (40.0, 16.0) and all(y == 40.0 for y, _ in line) and line[-1][1] > 300

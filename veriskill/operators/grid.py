@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriskill.functions import exprs as E
+from veriskill.operators import sums as S
 
 
 def near(targets: DataFrame, points: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -232,13 +233,13 @@ def regrid(points: DataFrame, keys: list[str], value: str = "value", per_degree:
 def neighbourhood_skill(pairs: DataFrame, limit: float, radius: int, per_degree: int = 2) -> DataFrame:
     """Fractions skill over squares of (2 radius + 1) cells around each cell, by model and hour (an extension).
 
-    Each pair is copied to the squares that it belongs to, so that event shares are one equi-aggregate.
+    Event shares of all squares come from summed-area tables: four corners each, whatever the radius.
     """
-    around = F.sequence(F.lit(-radius), F.lit(radius))
-    keyed = pairs.withColumns({"cy": E.cell(F.col("latitude"), per_degree), "cx": E.cell(F.col("longitude"), per_degree)})
-    own = keyed.select("model_name", "forecast_hour", "cy", "cx").distinct()
-    spread = keyed.withColumn("cy", F.explode(F.transform(around, lambda k: F.col("cy") + k))).withColumn("cx", F.explode(F.transform(around, lambda k: F.col("cx") + k)))
-    share = spread.groupBy("model_name", "forecast_hour", "cy", "cx").agg(F.avg((F.col("mean_rate") > limit).cast("double")).alias("f"), F.avg((F.col("obs_rate") > limit).cast("double")).alias("o"))
-    met = own.join(share, ["model_name", "forecast_hour", "cy", "cx"])
+    by, values = ("model_name", "forecast_hour"), ("n", "nf", "no")
+    event = lambda c: (F.col(c) > limit).cast("bigint")
+    cells = pairs.select(*by, E.cell(F.col("latitude"), per_degree).cast("bigint").alias("cy"), E.cell(F.col("longitude"), per_degree).cast("bigint").alias("cx"), F.lit(1).cast("bigint").alias("n"), event("mean_rate").alias("nf"), event("obs_rate").alias("no"))
+    asked = cells.select(*by, F.col("cy").alias("y"), F.col("cx").alias("x")).distinct()
+    asked = asked.select("*", *((F.col(c) + d * radius).alias(f"{c}{k}") for c in "yx" for k, d in ((0, -1), (1, 1))))
+    met = S.box_sums(S.area_table(cells, by, values), asked, by, values, (*by, "y", "x")).select(*by, (F.col("nf") / F.col("n")).alias("f"), (F.col("no") / F.col("n")).alias("o"))
     got = met.groupBy("model_name", "forecast_hour").agg(F.avg((F.col("f") - F.col("o")) * (F.col("f") - F.col("o"))).alias("mse"), F.avg(F.col("f") * F.col("f") + F.col("o") * F.col("o")).alias("ref"))
-    return got.select("model_name", "forecast_hour", F.when(F.col("ref") <= E.NEAR_ZERO, 1.0).otherwise(F.bround(1 - F.try_divide(F.col("mse"), F.col("ref")), 4)).alias("fss"))
+    return got.select("model_name", "forecast_hour", F.when(F.col("ref") <= E.NEAR_ZERO, 1.0).otherwise(E.exact_round(1 - F.try_divide(F.col("mse"), F.col("ref")), 4)).alias("fss"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriskill.functions import exprs as E
+from veriskill.operators import sums
 
 M, S, O = F.col, F.col, F.col  # noqa: E741
 
@@ -170,13 +171,27 @@ def counts(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFrame:
 SUMS = ("n_pts", "hits", "misses", "false_alarms", "correct_neg", "brier_sum", "f_sum", "o_sum")
 
 
-def scored(sums: DataFrame) -> DataFrame:
+def scored(totals: DataFrame) -> DataFrame:
     """Counts, ratios, Brier score, event shares and whole-domain fractions skill of the groups of `counts`."""
-    out = sums.withColumns({"brier_score": E.exact_round(F.col("brier_sum") / F.col("n_pts"), 6), "f": F.col("f_sum") / F.col("n_pts"), "o": F.col("o_sum") / F.col("n_pts")})
+    out = totals.withColumns({"brier_score": E.exact_round(F.col("brier_sum") / F.col("n_pts"), 6), "f": F.col("f_sum") / F.col("n_pts"), "o": F.col("o_sum") / F.col("n_pts")})
     out = with_ratios(out).withColumn("fss", fractions_skill("f", "o"))
     return out.withColumn("fcst_frac", E.exact_round("f", 4)).withColumn("obs_frac", E.exact_round("o", 4)).drop("f", "o", "brier_sum", "f_sum", "o_sum")
 
 
+def box_scores(pairs: DataFrame, limit: float, boxes: DataFrame, by: tuple[str, ...] = ("model_name", "forecast_hour"), per_degree: int = 2) -> DataFrame:
+    """`scored` counts of every box (box_id, south, north, west, east) for each group of `by`, all in one job.
+
+    Summed-area tables of the counts by cell give each box from four corners, so that a box costs the same whatever it
+    holds. Bounds are degrees, both ends in, and cells are where pairs snap to. A box without pairs in a group has no row.
+    """
+    cells = pairs.withColumns({"cy": E.cell(F.col("latitude"), per_degree).cast("bigint"), "cx": E.cell(F.col("longitude"), per_degree).cast("bigint")})
+    table = sums.area_table(counts(cells, limit, (*by, "cy", "cx")), by, SUMS)
+    ends = {f"{axis}{k}": f(F.col(c) * per_degree).cast("bigint") for axis, (low, high) in (("y", ("south", "north")), ("x", ("west", "east"))) for k, c, f in ((0, low, F.ceil), (1, high, F.floor))}
+    groups = F.broadcast(table.select(*by).distinct())  # a row for each model and lead hour
+    asked = boxes.select("box_id", *(x.alias(c) for c, x in ends.items())).join(groups)
+    return scored(sums.box_sums(table, asked, by, SUMS, ("box_id", *by)).where("n_pts > 0"))
+
+
 def contingency(pairs: DataFrame, limit: float, by: tuple[str, ...]) -> DataFrame:
     """Counts, ratios, Brier score, event shares and whole-domain fractions skill for each group."""
     return scored(counts(pairs, limit, by))

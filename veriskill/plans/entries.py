@@ -13,6 +13,8 @@ from veriskill.operators import analysis as A
 from veriskill.operators import grid as G
 from veriskill.operators import match as J
 from veriskill.operators import metrics as M
+from veriskill.operators import places as P
+from veriskill.operators import sums as SM
 from veriskill.plans import canonical as C
 from veriskill.scratch import scratch_path
 from veriskill.sources import gridfiles as S
@@ -227,6 +229,37 @@ def _polygon(f: Frames) -> DataFrame:
     return f.stats.select("latitude", "longitude").where(J.in_polygon(F.col("latitude"), F.col("longitude"), POLYGON)).distinct()
 
 
+_SPOTS = "spots AS (SELECT c_custkey AS spot, 20 + (c_custkey * 7919 % 100003) / 5000::DOUBLE AS latitude, -100 + (c_custkey * 104729 % 100019) / 2500::DOUBLE AS longitude FROM customer)"
+_SHAPES = "shapes AS (SELECT s_suppkey AS polygon_id, 20 + (s_suppkey * 6007 % 10007) / 500::DOUBLE AS y, -100 + (s_suppkey * 7001 % 10009) / 250::DOUBLE AS x, 0.25 + (s_suppkey % 17) / 8::DOUBLE AS r FROM supplier), corners AS (SELECT polygon_id, [y - r, y - r * 0.25::DOUBLE, y + r, y + r * 0.125::DOUBLE, y + r] AS ys, [x - r, x + r, x + r * 0.5::DOUBLE, x, x - r] AS xs FROM shapes), edges AS (SELECT polygon_id, ys[k] AS yi, xs[k] AS xi, ys[(k + 3) % 5 + 1] AS yj, xs[(k + 3) % 5 + 1] AS xj FROM corners, range(1, 6) t(k))"
+
+
+def spots(f: Frames) -> DataFrame:
+    """A place for every customer."""
+    k = F.col("c_custkey")
+    return f.spark.read.parquet(f"{f.sf}/customer.parquet").select(k.alias("spot"), (20 + k * 7919 % 100003 / 5000.0).alias("latitude"), (-100 + k * 104729 % 100019 / 2500.0).alias("longitude"))
+
+
+def shapes(f: Frames) -> DataFrame:
+    """A polygon of five corners, one of them inwards, for every supplier."""
+    k, y, x, r = F.col("s_suppkey"), F.col("y"), F.col("x"), F.col("r")
+    at = f.spark.read.parquet(f"{f.sf}/supplier.parquet").select(k.alias("polygon_id"), (20 + k * 6007 % 10007 / 500.0).alias("y"), (-100 + k * 7001 % 10009 / 250.0).alias("x"), (0.25 + k % 17 / 8.0).alias("r"))
+    corners = ((y - r, x - r), (y - r * 0.25, x + r), (y + r, x + r * 0.5), (y + r * 0.125, x), (y + r, x - r))
+    return at.select("polygon_id", F.array(*(F.struct(a.alias("lat"), b.alias("lon")) for a, b in corners)).alias("vertices"))
+
+
+@query("flt07_many_polygons", f"WITH {_SPOTS}, {_SHAPES} SELECT spot, latitude, longitude, polygon_id FROM spots, edges WHERE (yi > latitude) <> (yj > latitude) AND longitude < (xj - xi) * (latitude - yi) / (yj - yi) + xi GROUP BY ALL HAVING count(*) % 2 = 1")
+def _many_polygons(f: Frames) -> DataFrame:
+    return P.in_polygons(spots(f), shapes(f))
+
+
+@query("flt01_key_ranges", f"WITH {_SPOTS} SELECT spot, latitude, longitude FROM spots WHERE latitude BETWEEN 24.5 AND 29.25 AND longitude BETWEEN -92.125 AND -85")
+def _key_ranges(f: Frames) -> DataFrame:
+    """A table written in key order, of which a box reads only some ranges."""
+    table = scratch_path(f.spark, "keyed")
+    P.with_key(spots(f)).write.parquet(table)
+    return P.in_box(f.spark.read.parquet(table), 24.5, 29.25, -92.125, -85.0).drop("z_key")
+
+
 _WIND = "wind AS (SELECT u.run_id, u.forecast_hour, u.latitude, u.longitude, u.mean_value AS u, v.mean_value AS v FROM ensemble_statistics u JOIN ensemble_statistics v USING (run_id, forecast_hour, latitude, longitude) WHERE u.variable_id = 3 AND v.variable_id = 4)"
 _FIELD = ["run_id", "forecast_hour", "latitude", "longitude"]
 
@@ -444,6 +477,13 @@ def _statistics(f: Frames) -> DataFrame:
     return C.ensemble_statistics(f.data)
 
 
+@query("agg11_large_groups", f"{C.SQL} SELECT variable_id, count(value) AS n, " + ", ".join(f"round_even(quantile_cont(value, {q}), 6) AS p{round(q * 100)}" for q in A.PERCENTILES) + " FROM forecast_data GROUP BY ALL")
+def _large_groups(f: Frames) -> DataFrame:
+    """Percentiles of each variable over all runs, hours, members and cells: three groups of any size."""
+    got = SM.exact_percentiles(f.data, ("variable_id",), "value", A.PERCENTILES)
+    return got.select("variable_id", "n", *(F.bround(F.col("p")[k], 6).alias(f"p{round(q * 100)}") for k, q in enumerate(A.PERCENTILES)))
+
+
 # -- point metrics ---------------------------------------------------------------------------------------------------
 
 
@@ -565,6 +605,18 @@ def _region(f: Frames) -> DataFrame:
     return region(f)
 
 
+_BOXES = "boxes AS (SELECT s_suppkey AS box_id, 24.75 + (s_suppkey % 5) * 0.375::DOUBLE AS south, 24.75 + (s_suppkey % 5) * 0.375::DOUBLE + (s_suppkey % 7) * 0.25::DOUBLE AS north, -85.5 + (s_suppkey % 3) * 0.5::DOUBLE AS west, -85.5 + (s_suppkey % 3) * 0.5::DOUBLE + (s_suppkey % 11) * 0.25::DOUBLE AS east FROM supplier)"
+
+
+@query("met18_any_box", f"{_pairs_sql()}, {_BOXES}, b AS (SELECT box_id, model_name, forecast_hour, count(*) AS n_pts, {_H} AS hits, {_MI} AS misses, {_FA} AS false_alarms, {_CN} AS correct_neg, round_even({_BRIER}, 6) AS brier_score FROM pairs JOIN boxes ON latitude BETWEEN south AND north AND longitude BETWEEN west AND east GROUP BY ALL) SELECT *, CASE WHEN hits + misses + false_alarms > 0 THEN round_even(hits / (hits + misses + false_alarms), 4) END AS csi, CASE WHEN hits + misses > 0 THEN round_even(hits / (hits + misses), 4) END AS pod, CASE WHEN hits + false_alarms > 0 THEN round_even(false_alarms / (hits + false_alarms), 4) END AS far FROM b")
+def _any_box(f: Frames) -> DataFrame:
+    """Scores of a box for every supplier, each model and lead hour, from one set of summed-area tables."""
+    k = F.col("s_suppkey")
+    south, west = 24.75 + k % 5 * 0.375, -85.5 + k % 3 * 0.5
+    boxes = f.spark.read.parquet(f"{f.sf}/supplier.parquet").select(k.alias("box_id"), south.alias("south"), (south + k % 7 * 0.25).alias("north"), west.alias("west"), (west + k % 11 * 0.25).alias("east"))
+    return M.box_scores(f.pairs(), LIMIT, boxes).select("box_id", "model_name", "forecast_hour", "n_pts", "hits", "misses", "false_alarms", "correct_neg", "brier_score", "csi", "pod", "far")
+
+
 @query("met21_region_composite", f"{_RS} SELECT model_name, composite FROM rs")
 def _region_composite(f: Frames) -> DataFrame:
     return region(f).select("model_name", "composite")
