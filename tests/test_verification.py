@@ -302,6 +302,28 @@ def test_fields_apart_are_fields_at_once(spark):
             assert tidy(both.where(F.col("field") == field).select(*rest)) == tidy(apart)
 
 
+def test_line_dots(spark):
+    """Dots of all lines at once are those of each line alone."""
+    rng = random.Random(12)
+    lines = {k: [(rng.uniform(0, 90), rng.uniform(0, 90)) for _ in range(rng.randrange(1, 9))] for k in range(30)} | {30: [(0.0, 0.0), (0.0, 3.0)], 31: [(0.0, 0.0), (0.0, 80.0)], 32: [(1.0, 1.0), (1.0, 1.0), (1.0, 50.0)]}
+    df = spark.createDataFrame([(k, j, *p) for k, line in lines.items() for j, p in enumerate(line)], "line int, k int, y double, x double")
+    got = {}
+    for r in sorted(G.line_dots(df, ("line",)).collect()):
+        got.setdefault(r.line, []).append((r.y, r.x))
+    for k, line in lines.items():
+        assert np.allclose(got.get(k, []), G.along(line) if len(line) > 1 else [])
+
+
+def test_names_and_levels(spark):
+    names = {"aifs-006h-p_member_3.json": (6, 3, "member"), "gefs-12h-x_mean.json": (12, None, "mean"), "u_std.json": (0, None, "std"), "ukmo-24h-run.json": (24, None, "deterministic"), "plain_member_12.json": (0, 12, "member"), "a-7h-b_std.json": (7, None, "std")}
+    rows = spark.createDataFrame([(n,) for n in names], "file string").withColumns(S.name_parts(F.col("file"))).collect()
+    assert {r.file: (r.forecast_hour, r.ensemble_member, r.kind) for r in rows} == names
+    assert [E.vsup_levels(n) for n in (1, 2, 5, 16)] == [[8, 4, 2, 1], [2, 1], [5, 2, 1], [16, 8, 4, 2, 1]]
+    assert J.alias("wind")[1:] == ("wind_speed", "ERA5_WIND") and J.alias("pressure_msl") == ("pressure_msl", "precipitation", "GPM_IMERG_V07B")
+    words = ["a_1", "", "a b", "x\n", "a" * 40, "a" * 41]
+    assert [r.ok for r in spark.createDataFrame([(w,) for w in words], "w string").select(E.is_token(F.col("w")).alias("ok")).collect()] == [True, False, False, False, True, False]
+
+
 def test_tokens():
     assert E.checked_token("wind_u_10m")
     for bad in ("", "a b", "x;--", "a" * 41):

@@ -22,6 +22,11 @@ def checked_token(name: str) -> str:
     return name
 
 
+def is_token(name: Column) -> Column:
+    """Whether a column's name would pass `checked_token`."""
+    return name.rlike(f"^(?:{TOKEN.pattern})\\z")
+
+
 def zero_if_null(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 

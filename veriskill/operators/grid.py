@@ -182,6 +182,19 @@ def along(line: list[tuple[float, float]], every: float = 40.0, least: float = 1
     return list(zip(np.interp(where, at, p[:, 0]).tolist(), np.interp(where, at, p[:, 1]).tolist()))
 
 
+def line_dots(points: DataFrame, by: tuple[str, ...], every: float = 40.0, least: float = 10.0) -> DataFrame:
+    """(by, dot, y, x): what `along` gives, of many lines (by, k, y, x; in order of k) as joins of nothing: windows over
+    each line for its lengths, and every stretch makes the dots that fall on it."""
+    line = Window.partitionBy(*by).orderBy("k")
+    ends = points.withColumns({"y1": F.lead("y").over(line), "x1": F.lead("x").over(line)})
+    length = F.sqrt((F.col("y1") - F.col("y")) * (F.col("y1") - F.col("y")) + (F.col("x1") - F.col("x")) * (F.col("x1") - F.col("x")))
+    parts = ends.withColumn("l", length).where("l > 0").withColumns({"upto": F.sum("l").over(line), "whole": F.sum("l").over(Window.partitionBy(*by))})
+    first, last = F.ceil((F.col("upto") - F.col("l")) / every), F.ceil(F.col("upto") / every) - 1
+    dots = parts.where((F.col("whole") >= least) & (first <= last)).withColumn("dot", F.explode(F.sequence(first, last)))
+    share = (F.col("dot") * every - F.col("upto") + F.col("l")) / F.col("l")
+    return dots.select(*by, "dot", (F.col("y") + (F.col("y1") - F.col("y")) * share).alias("y"), (F.col("x") + (F.col("x1") - F.col("x")) * share).alias("x"))
+
+
 def streamlines(wind: DataFrame, step: float = 0.25, unit: float = 8.0, seed_every: float = 28.0, tile: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, seed_y, seed_x, n_points, length, dots) of each traced line of three points or more, of every field.
 

@@ -127,12 +127,28 @@ def _all(f: Frames) -> DataFrame:
 
 # -- sources and lookups ---------------------------------------------------------------------------------------------
 
-_FILES = ("aifs-006h-p_member_3.json", "gefs-12h-x_mean.json", "u_std.json", "ukmo-24h-run.json", "plain_member_12.json", "a-7h-b_std.json")
+_ORDER_RUNS = f"{C.SQL.rstrip()}, pairs_of AS (SELECT DISTINCT CAST(o_custkey % 3 + 1 AS INTEGER) AS model_id, date_trunc('day', o_orderdate) AS initialization_time, bool_or(o_orderstatus = 'F') AS old FROM orders GROUP BY ALL), old_runs AS (SELECT CAST(row_number() OVER (ORDER BY model_id, initialization_time) AS INTEGER) AS run_id, model_id, initialization_time FROM pairs_of WHERE old), all_runs AS (SELECT * FROM old_runs UNION ALL SELECT CAST((SELECT max(run_id) FROM old_runs) + row_number() OVER (ORDER BY model_id, initialization_time) AS INTEGER), model_id, initialization_time FROM pairs_of WHERE NOT old)"
 
 
-@query("src02_file_names", "SELECT * FROM (VALUES ('aifs-006h-p_member_3.json', 6, 3, 'member'), ('gefs-12h-x_mean.json', 12, NULL, 'mean'), ('u_std.json', 0, NULL, 'std'), ('ukmo-24h-run.json', 24, NULL, 'deterministic'), ('plain_member_12.json', 0, 12, 'member'), ('a-7h-b_std.json', 7, NULL, 'std')) t(file, forecast_hour, ensemble_member, kind)")
+def order_runs(f: Frames) -> DataFrame:
+    """A run for each model and day that has orders: those with a finished one first, the others by an upsert of all orders."""
+    from pyspark.sql import Window
+
+    orders = f.spark.read.parquet(f"{f.sf}/orders.parquet").select((F.col("o_custkey") % 3 + 1).cast("int").alias("model_id"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("initialization_time"), "o_orderstatus")
+    known = orders.where("o_orderstatus = 'F'").select("model_id", "initialization_time").distinct()
+    known = known.select(F.row_number().over(Window.orderBy("model_id", "initialization_time")).alias("run_id"), "model_id", "initialization_time")  # a row for each model and day
+    return S.upsert_runs(known, orders)
+
+
+_STEM = "lower(model_name) || '-' || lpad(CAST(forecast_hour AS VARCHAR), 3, '0') || 'h-x'"
+
+
+@query("src02_file_names", f"{C.SQL}, {_LATEST}, d AS (SELECT DISTINCT {_STEM} AS stem, forecast_hour, ensemble_member AS m FROM forecast_data JOIN latest USING (run_id)), n AS (SELECT stem || '_member_' || m || '.json' AS file, forecast_hour, m, 'member' AS kind FROM d UNION SELECT stem || '_mean.json', forecast_hour, NULL, 'mean' FROM d UNION SELECT stem || '_std.json', forecast_hour, NULL, 'std' FROM d UNION SELECT stem || '.json', forecast_hour, NULL, 'deterministic' FROM d UNION SELECT 'run_member_' || m || '.json', 0, m, 'member' FROM d) SELECT file, forecast_hour, m AS ensemble_member, kind FROM n")
 def _names(f: Frames) -> DataFrame:
-    return f.spark.createDataFrame([(n,) for n in _FILES], "file string").withColumns(S.name_parts(F.col("file")))
+    """Names of the files of all fields and members, taken apart again; some have no hour."""
+    at = f.data.join(f.latest, "run_id").select(F.format_string("%s-%03dh-x", F.lower("model_name"), "forecast_hour").alias("stem"), F.col("ensemble_member").alias("m")).distinct()
+    names = F.array(F.format_string("%s_member_%d.json", "stem", "m"), F.concat("stem", F.lit("_mean.json")), F.concat("stem", F.lit("_std.json")), F.concat("stem", F.lit(".json")), F.format_string("run_member_%d.json", "m"))
+    return at.select(F.explode(names).alias("file")).distinct().withColumns(S.name_parts(F.col("file")))
 
 
 @query("src11_row_counts", f"{C.SQL} SELECT (SELECT count(*) FROM forecast_data) AS forecast_data, (SELECT count(*) FROM ensemble_statistics) AS ensemble_statistics")
@@ -141,9 +157,9 @@ def _counts(f: Frames) -> DataFrame:
     return n(f.data, "forecast_data").join(n(f.stats, "ensemble_statistics"))  # one row each
 
 
-@query("lkp01_latest_run", f"{C.SQL}, {_LATEST} SELECT model_name, run_id, initialization_time FROM latest")
+@query("lkp01_latest_run", f"{_ORDER_RUNS} SELECT model_name, run_id, initialization_time FROM (SELECT m.model_name, r.run_id, r.initialization_time, row_number() OVER (PARTITION BY m.model_name ORDER BY r.initialization_time DESC) AS k FROM all_runs r JOIN models m USING (model_id)) WHERE k = 1")
 def _latest(f: Frames) -> DataFrame:
-    return J.latest_runs(f.runs, f.models)
+    return J.latest_runs(order_runs(f), f.models)
 
 
 @query("lkp02_latest_run_join", f"{C.SQL}, {_LATEST} SELECT rf.model_name, rf.variable_name, l.run_id, count(*) AS n_rows FROM regridded_forecast rf JOIN latest l ON rf.model_name = l.model_name AND rf.run_id = l.run_id GROUP BY ALL")
@@ -157,19 +173,24 @@ def _variable(f: Frames) -> DataFrame:
     return f.data.join(F.broadcast(one), "variable_id").groupBy("variable_id").agg(F.count("*").alias("n_rows"))
 
 
-@query("lkp04_variable_alias", "SELECT * FROM (VALUES ('wind', 'wind_u_10m', 'wind_speed', 'ERA5_WIND'), ('precipitation', 'precipitation', 'precipitation', 'GPM_IMERG_V07B')) t(variable, forecast, observed, source)")
+@query("lkp04_variable_alias", f"{C.SQL} SELECT t.*, (SELECT count(*) FROM regridded_forecast WHERE variable_name = forecast) AS n_forecast, (SELECT count(*) FROM regridded_observation o WHERE o.variable_name = observed AND o.source = t.source) AS n_observed FROM (VALUES ('wind', 'wind_u_10m', 'wind_speed', 'ERA5_WIND'), ('precipitation', 'precipitation', 'precipitation', 'GPM_IMERG_V07B')) t(variable, forecast, observed, source)")
 def _alias(f: Frames) -> DataFrame:
-    return f.spark.createDataFrame([(v, *J.alias(v)) for v in ("wind", "precipitation")], "variable string, forecast string, observed string, source string")
+    """What a requested variable stands for on both sides, and how many rows there are of it."""
+    asked = f.spark.createDataFrame([(v, *J.alias(v)) for v in ("wind", "precipitation")], "variable string, forecast string, observed string, source string")
+    fc = C.regridded_forecast(f.spark, f.stats).groupBy(F.col("variable_name").alias("forecast")).agg(F.count("*").alias("n_forecast"))
+    obs = C.regridded_observation(f.observed).groupBy(F.col("variable_name").alias("observed"), "source").agg(F.count("*").alias("n_observed"))
+    return fc.join(F.broadcast(asked), "forecast").join(obs, ["observed", "source"]).select("variable", "forecast", "observed", "source", "n_forecast", "n_observed")
 
 
-@query("lkp05_models_with_runs", f"{C.SQL} SELECT DISTINCT model_name, model_id FROM models JOIN forecast_runs USING (model_id) ORDER BY model_name")
+@query("lkp05_models_with_runs", f"{_ORDER_RUNS} SELECT DISTINCT model_name, model_id FROM models JOIN all_runs USING (model_id) ORDER BY model_name")
 def _with_runs(f: Frames) -> DataFrame:
-    return f.models.join(f.runs, "model_id", "left_semi").select("model_name", "model_id").orderBy("model_name")
+    return f.models.join(order_runs(f), "model_id", "left_semi").select("model_name", "model_id").orderBy("model_name")
 
 
-@query("lkp06_variables", f"{C.SQL} SELECT variable_name FROM variables ORDER BY 1")
+@query("lkp06_variables", f"{C.SQL} SELECT variable_name FROM variables WHERE variable_id IN (SELECT variable_id FROM forecast_data) ORDER BY 1")
 def _variables(f: Frames) -> DataFrame:
-    return f.variables.select("variable_name").orderBy("variable_name")
+    """Variables that have forecasts, in order."""
+    return f.variables.join(f.data, "variable_id", "left_semi").select("variable_name").orderBy("variable_name")
 
 
 @query("lkp07_health", f"{C.SQL} SELECT 'ok' AS status, count(*) AS forecast_records FROM forecast_data")
@@ -279,9 +300,14 @@ def _rate(f: Frames) -> DataFrame:
     return rows.select("model_name", "forecast_hour", "latitude", "longitude", F.bround(F.col("mean_value") / E.accum_hours(F.col("model_name")), 7).alias("rate"))
 
 
-@query("fn05_threshold", "SELECT * FROM (VALUES ('precipitation', round_even(25e0 / 6, 6)), ('wind', 10e0)) t(variable, threshold)")
+@query("fn05_threshold", f"{C.SQL}, {_LATEST}, {_WIND}, x AS (SELECT 'precipitation' AS variable, model_name, mean_value / accum_h AS rate, 25e0 / 6 AS threshold FROM ensemble_statistics JOIN latest USING (run_id) WHERE variable_id = 1 UNION ALL SELECT 'wind', model_name, sqrt(u * u + v * v), 10e0 FROM wind JOIN latest USING (run_id)) SELECT variable, model_name, round_even(threshold, 6) AS threshold, count(*) FILTER (WHERE rate > threshold) AS n_events FROM x GROUP BY ALL")
 def _threshold(f: Frames) -> DataFrame:
-    return f.spark.createDataFrame([(v, round(E.threshold(v), 6)) for v in ("precipitation", "wind")], "variable string, threshold double")
+    """How many cells are over the threshold of their variable: rain as a rate, wind as a speed."""
+    rain = f.timed(1).select(F.lit("precipitation").alias("variable"), "model_name", (F.col("mean_value") / E.accum_hours(F.col("model_name"))).alias("rate"))
+    wind = wind_field(f).join(f.latest, "run_id").select(F.lit("wind").alias("variable"), "model_name", E.wind_speed(F.col("u"), F.col("v")).alias("rate"))
+    limit = F.when(F.col("variable") == "wind", E.threshold("wind")).otherwise(E.threshold("precipitation"))
+    over = rain.unionByName(wind).withColumn("threshold", limit)
+    return over.groupBy("variable", "model_name", F.bround("threshold", 6).alias("threshold")).agg(F.count_if(F.col("rate") > F.col("threshold")).alias("n_events"))
 
 
 @query("fn06_valid_time", f"{C.SQL} SELECT DISTINCT run_id, forecast_hour, initialization_time + forecast_hour * INTERVAL 1 HOUR AS valid_time FROM forecast_data JOIN forecast_runs USING (run_id)")
@@ -297,6 +323,13 @@ def _cells(f: Frames) -> DataFrame:
 _PRICES = {"tax_2": ("l_extendedprice * l_tax", 2), "half_2": ("l_extendedprice / 8", 2), "eighth_1": ("l_quantity / 8 + l_linenumber / 16", 1), "share_4": ("l_discount / l_linenumber + l_quantity / 160000", 4), "minus_0": ("l_quantity / 2 - 30", 0)}
 
 
+@query("flt08_tokens", "SELECT p_partkey, p_brand, regexp_full_match(p_name, '[A-Za-z0-9_]{1,40}') AS name_allowed, regexp_full_match(replace(p_name, ' ', '_'), '[A-Za-z0-9_]{1,40}') AS joined_allowed, regexp_full_match(p_type, '[A-Za-z0-9_]{1,40}') AS type_allowed FROM part")
+def _tokens(f: Frames) -> DataFrame:
+    """Which names of all parts would pass as identifiers."""
+    part = f.spark.read.parquet(f"{f.sf}/part.parquet")
+    return part.select("p_partkey", "p_brand", E.is_token(F.col("p_name")).alias("name_allowed"), E.is_token(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).alias("joined_allowed"), E.is_token(F.col("p_type")).alias("type_allowed"))
+
+
 @query("fn08_exact_rounding", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"CAST(printf('%.{n}f', CAST({x} AS DOUBLE)) AS DOUBLE) + 0 AS {c}" for c, (x, n) in _PRICES.items()) + " FROM lineitem")
 def _exact(f: Frames) -> DataFrame:
     """Amounts of all order lines, many of them on a half, rounded by their exact binary value."""
@@ -348,9 +381,9 @@ def _wind_members(f: Frames) -> DataFrame:
     return member_wind(f).select("run_id", "forecast_hour", "ensemble_member", "latitude", "longitude", F.bround("speed", 4).alias("speed"))
 
 
-@query("jn03_runs_models", f"{C.SQL} SELECT run_id, model_name, ensemble_count, initialization_time FROM forecast_runs JOIN models USING (model_id)")
+@query("jn03_runs_models", f"{_ORDER_RUNS} SELECT run_id, model_name, ensemble_count, initialization_time FROM all_runs JOIN models USING (model_id)")
 def _runs_models(f: Frames) -> DataFrame:
-    return f.runs.join(F.broadcast(f.models), "model_id").select("run_id", "model_name", "ensemble_count", "initialization_time")
+    return order_runs(f).join(F.broadcast(f.models), "model_id").select("run_id", "model_name", "ensemble_count", "initialization_time")
 
 
 @query("jn04_latest_forecast", f"{C.SQL}, {_LATEST} SELECT rf.model_name, rf.forecast_hour, rf.latitude, rf.longitude, rf.mean_value, rf.std_dev, l.initialization_time FROM regridded_forecast rf JOIN models USING (model_name) JOIN latest l ON l.model_name = rf.model_name WHERE variable_name = 'precipitation'", six=('mean_value', 'std_dev'))
@@ -776,6 +809,17 @@ def _resample_all(f: Frames) -> DataFrame:
     return G.resample(all_winds(f), 0.2, FIELD).select(*FIELD, F.bround("ty", 6).alias("ty"), F.bround("tx", 6).alias("tx"), "u", "v")
 
 
+@query("grd09_lines", f"""{C.SQL}, p AS (SELECT run_id, variable_id, latitude, longitude, forecast_hour AS x, mean_value AS y FROM ensemble_statistics),
+g AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY run_id, variable_id, latitude, longitude ORDER BY x)),
+c AS (SELECT *, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS l FROM g WHERE x1 IS NOT NULL), d AS (SELECT *, sum(l) OVER (PARTITION BY run_id, variable_id, latitude, longitude ORDER BY x) AS upto, sum(l) OVER (PARTITION BY run_id, variable_id, latitude, longitude) AS whole FROM c)
+SELECT run_id, variable_id, latitude, longitude, count(*) AS n_dots, round_even(sum(y + (y1-y) * (k * 40 - upto + l) / l), 5) AS sum_y, round_even(sum(x + (x1-x) * (k * 40 - upto + l) / l), 5) AS sum_x FROM d, range(0, 100) t(k) WHERE whole >= 10 AND k * 40 >= upto - l AND k * 40 < upto GROUP BY ALL""")
+def _lines(f: Frames) -> DataFrame:
+    """The course of every cell's mean over lead hours, as a line with dots at equal distances."""
+    by = ("run_id", "variable_id", "latitude", "longitude")
+    dots = G.line_dots(f.stats.select(*by, F.col("forecast_hour").cast("double").alias("k"), F.col("mean_value").alias("y"), F.col("forecast_hour").cast("double").alias("x")), by)
+    return dots.groupBy(*by).agg(F.count("*").alias("n_dots"), F.bround(F.sum("y"), 5).alias("sum_y"), F.bround(F.sum("x"), 5).alias("sum_x"))
+
+
 @query("grd08_streamlines_all_fields")
 def _streamlines_all(f: Frames) -> DataFrame:
     return G.streamlines(all_winds(f), by=FIELD).drop("dots")
@@ -790,9 +834,18 @@ def _snap(f: Frames) -> DataFrame:
     return field_shares(f).select("latitude", "longitude", F.bround(E.snap(F.col("v"), 5), 6).alias("v"), F.bround(E.snap(1 - F.col("s"), 5), 6).alias("s"))
 
 
-@query("grd11_vsup_levels", "SELECT * FROM (VALUES (1, '8,4,2,1'), (2, '2,1'), (5, '5,2,1'), (16, '16,8,4,2,1')) t(buckets, levels)")
+_RINGS = {1: [8, 4, 2, 1], 2: [2, 1], 5: [5, 2, 1], 16: [16, 8, 4, 2, 1]}
+
+
+@query("grd11_vsup_levels", " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS buckets, round_even((ring + 0.5) / {len(r)}, 6) AS s, count(*) AS n_lines, count(DISTINCT v) AS n_values FROM (SELECT least(floor(l_discount * 10 * {len(r)}), {len(r) - 1})::INTEGER AS ring, floor(least(l_quantity / 50, 0.9999) * {r}[ring + 1]) AS v FROM lineitem) GROUP BY ALL" for n, r in _RINGS.items()))
 def _levels(f: Frames) -> DataFrame:
-    return f.spark.createDataFrame([(n, ",".join(map(str, E.vsup_levels(n)))) for n in (1, 2, 5, 16)], "buckets int, levels string")
+    """All order lines as value and uncertainty, quantised in trees of 1, 2, 5 and 16 values."""
+    line, out = f.spark.read.parquet(f"{f.sf}/lineitem.parquet").select((F.col("l_quantity") / 50).alias("v"), (F.col("l_discount") * 10).alias("s")), None
+    for n in _RINGS:
+        v, s = E.vsup_snap(F.col("v"), F.col("s"), n)
+        rows = line.select(F.lit(n).alias("buckets"), F.bround(s, 6).alias("s"), v.alias("v")).groupBy("buckets", "s").agg(F.count("*").alias("n_lines"), F.count_distinct("v").alias("n_values"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("grd12_vsup_snap", f"{_NORM}, r AS (SELECT *, least(floor(s * 4), 3)::INTEGER AS ring FROM norm) SELECT latitude, longitude, round((floor(least(greatest(v, 0), 0.9999) * [8, 4, 2, 1][ring + 1]) + 0.5) / [8, 4, 2, 1][ring + 1], 6) AS v, round_even((ring + 0.5) / 4, 6) AS s FROM r")
@@ -949,16 +1002,15 @@ def _file_report(f: Frames) -> DataFrame:
     return S.file_report(f.spark, files)
 
 
-@query("src09_upserted_runs", f"{C.SQL}, new AS (SELECT DISTINCT model_id, initialization_time + d * INTERVAL 1 DAY AS initialization_time FROM forecast_runs, range(0, 2) r(d)), fresh AS (SELECT * FROM new ANTI JOIN forecast_runs USING (model_id, initialization_time)) SELECT run_id, model_id, initialization_time FROM forecast_runs UNION ALL SELECT (SELECT max(run_id) FROM forecast_runs) + row_number() OVER (ORDER BY model_id, initialization_time), model_id, initialization_time FROM fresh")
+@query("src09_upserted_runs", f"{_ORDER_RUNS} SELECT * FROM all_runs")
 def _upserted(f: Frames) -> DataFrame:
-    """Runs of each known start and a day after it: known pairs keep their id, repeated ones come once."""
-    new = f.runs.select("model_id", F.explode(F.array("initialization_time", F.expr("initialization_time + INTERVAL 1 DAY"))).alias("initialization_time"))
-    return S.upsert_runs(f.runs, new.unionByName(new))
+    """Known pairs of model and start keep their id, new ones get the next, repeated ones come once."""
+    return order_runs(f)
 
 
-@query("snk03_json", f"{C.SQL} SELECT '{{\"variable_id\":' || variable_id || ',\"variable_name\":\"' || variable_name || '\",\"units\":\"' || units || '\"}}' AS json FROM variables")
+@query("snk03_json", f"{C.SQL}, r AS (SELECT model_name, forecast_hour, count(*) AS n FROM regridded_forecast GROUP BY ALL) SELECT '{{\"model_name\":\"' || model_name || '\",\"forecast_hour\":' || forecast_hour || ',\"n_cells\":' || n || '}}' AS json FROM r")
 def _json(f: Frames) -> DataFrame:
-    return S.to_json(f.variables)
+    return S.to_json(C.regridded_forecast(f.spark, f.stats).groupBy("model_name", "forecast_hour").agg(F.count("*").alias("n_cells")))
 
 
 @query("rg01_regrid", f"{C.SQL} SELECT obs_time, CAST(round_even(latitude, 0) AS INTEGER) / 1 AS latitude, CAST(round_even(longitude, 0) AS INTEGER) / 1 AS longitude, round_even(avg(p), 6) AS value FROM obs_mean GROUP BY ALL")
