@@ -92,6 +92,12 @@ def window_pairs(forecast: DataFrame, observed: DataFrame, accum: Column, keys:
     """
     fine = {f"__{k}": E.cell(F.col(k), 100) for k in keys}
     met = window_means(observed.withColumns(fine), list(fine), windows).withColumnsRenamed({"end": "__end", "hours": "__accum"})
+    return met_pairs(forecast, met, accum, keys, divide)
+
+
+def met_pairs(forecast: DataFrame, met: DataFrame, accum: Column, keys: tuple[str, ...] = ("latitude", "longitude"), divide: Column | None = None, per_degree: int = 100) -> DataFrame:
+    """`forecast` rows with their window's mean: `met` has __end, __accum, a cell key __<key> for each of `keys`, obs_rate and n_obs."""
+    fine = {f"__{k}": E.cell(F.col(k), per_degree) for k in keys}
     rows = forecast.where("mean_value IS NOT NULL AND std_dev IS NOT NULL").withColumns(fine).withColumns({"__accum": accum.cast("int"), "__end": E.valid_time("initialization_time", "forecast_hour")})
     by = divide if divide is not None else F.col("__accum")
     rows = rows.withColumns({"mean_rate": F.col("mean_value") / by, "std_rate": F.col("std_dev") / by})

@@ -19,6 +19,8 @@ from veriskill.plans import canonical as C
 from veriskill.scratch import scratch_path
 from veriskill.sources import gridfiles as S
 from veriskill.sources import merge as MG
+from veriskill.streaming import observations as O
+from veriskill.streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -417,6 +419,19 @@ def _pairs(f: Frames) -> DataFrame:
     return f.pairs().select("model_name", "forecast_hour", "latitude", "longitude", *(F.bround(c, 7).alias(c) for c in ("mean_rate", "std_rate", "obs_rate")), "n_obs")
 
 
+@query("jn07_arriving_observations", f"{_pairs_sql()} SELECT model_name, latitude, longitude, " + ", ".join(f"CASE WHEN {g} THEN {v} END AS {n}" for n, (v, g) in _SPATIAL.items()) + " FROM pairs GROUP BY ALL")
+def _arriving(f: Frames) -> DataFrame:
+    """All observations come as a stream, in files without order in time; metrics are taken from the windows it keeps."""
+    here = scratch_path(f.spark, "arriving")
+    seen = f.observed.select(F.col("obs_time").cast("timestamp"), "latitude", "longitude", F.col("precipitation").alias("value"))
+    seen.repartition(3, F.xxhash64("obs_time", "latitude", "value")).write.parquet(f"{here}/in")
+    updates = W.window_updates(O.observation_stream(f.spark, f"{here}/in", 1))
+    W.keep_windows(updates, f"{here}/windows", f"{here}/state").awaitTermination()
+    fc = f.timed(1).where(J.in_box(F.col("latitude"), F.col("longitude"), *BOX)).select("model_name", "initialization_time", "forecast_hour", "latitude", "longitude", "mean_value", "std_dev")
+    pairs = W.streamed_pairs(fc, MG.read(f.spark, f"{here}/windows"), E.accum_hours(F.col("model_name")))
+    return M.score(pairs, list(M.METRICS), LIMIT)
+
+
 @query("jn09_left_default", f"{C.SQL} SELECT run_id, forecast_hour, latitude, longitude, mean_value, coalesce(std_dev, 0) AS std_dev FROM ensemble_statistics WHERE variable_id = 1", six=('mean_value', 'std_dev'))
 def _left(f: Frames) -> DataFrame:
     rows = f.stats.where("variable_id = 1")

@@ -93,15 +93,15 @@ def _commit(live: DataFrame, folder: str, version: int) -> None:
         raise RuntimeError(f"version {version} of {folder} is there already: merge again")
 
 
-def vacuum(spark: SparkSession, folder: str) -> int:
+def vacuum(spark: SparkSession, folder: str, partitions: tuple[str, ...] = PARTITIONS) -> int:
     """Removes partitions that the newest manifest does not name, and older manifests; how many partitions went."""
     known = versions(spark, folder)
     path, fs = _fs(spark, folder)
-    live = {tuple(r) for r in _manifest(spark, folder, known[-1]).select("version", *PARTITIONS).collect()} if known else set()  # a row for each partition
+    live = {tuple(map(str, r)) for r in _manifest(spark, folder, known[-1]).select("version", *partitions).collect()} if known else set()  # a row for each partition
     gone = 0
-    for s in fs.globStatus(path(f"{folder}/data/version=*/" + "/".join(f"{c}=*" for c in PARTITIONS))) or []:
-        parts = s.getPath().toString().split("/")[-1 - len(PARTITIONS) :]
-        if tuple(int(p.split("=")[1]) for p in parts) not in live:
+    for s in fs.globStatus(path(f"{folder}/data/version=*/" + "/".join(f"{c}=*" for c in partitions))) or []:
+        parts = s.getPath().toString().split("/")[-1 - len(partitions) :]
+        if tuple(p.split("=")[1] for p in parts) not in live:
             gone += fs.delete(s.getPath(), True)
     for v in known[:-1]:
         fs.delete(path(f"{folder}/manifest/{v:010d}"), True)
