@@ -21,6 +21,7 @@ from veriskill.plans import entries as V
 from veriskill.sources import gridfiles as S
 from veriskill.sources import merge as MG
 from veriskill.streaming import observations as O
+from veriskill.streaming import windows as W
 
 SF = "/root/testdata/sf0.01"
 
@@ -133,7 +134,7 @@ def test_metrics_at_once_are_metrics_by_name(spark):
 
 def test_plans_stay_in_the_jvm(spark):
     for name in V.QUERIES:
-        if not name.startswith(("grd07", "grd08", "grd09")):
+        if not name.startswith(("grd07", "grd08", "grd09_arc", "jn07_arriving")):
             plan = V.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
             assert "Python" not in plan and "Pandas" not in plan, name
     scan = V.QUERIES["agg07_disagreement"](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -402,6 +403,24 @@ def test_stream(spark, tmp_path):
     assert got == [(0, 2.0, 2), (12, 9.0, 1)]
 
 
+def test_windows_of_late_observations(spark, tmp_path):
+    """In any order of arrival, the kept windows end up as those of all observations; each batch revises what it touches."""
+    folder, table, check = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rng = random.Random(4)
+    rows = [(f"2024-01-0{rng.randrange(1, 4)} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", 25.0 + rng.randrange(2) / 2, -85.0, float(rng.randrange(16))) for _ in range(90)]
+    rows += [("2024-01-01 23:30:00", 25.0, -85.0, 1.0), ("2024-01-01 23:40:00", 25.0, -85.0, None), (None, 25.0, -85.0, 2.0)]
+    frame = lambda some: spark.createDataFrame(some, "t string, latitude double, longitude double, value double").select(F.to_timestamp("t").alias("obs_time"), "latitude", "longitude", "value")
+    for k in range(3):
+        frame(rows[k::3]).coalesce(1).write.mode("append").parquet(folder)
+        W.keep_windows(W.window_updates(O.observation_stream(spark, folder, 1)), table, check).awaitTermination()
+        so_far = [r for j in range(k + 1) for r in rows[j::3]]
+        hourly = frame(so_far).where("value IS NOT NULL AND obs_time IS NOT NULL").withColumns({"obs_time": F.date_trunc("hour", "obs_time"), "cy": E.cell(F.col("latitude"), 100), "cx": E.cell(F.col("longitude"), 100)})
+        want = {(r.cy, r.cx, r.end, r.hours): (r.obs_rate, r.n_obs) for r in J.window_means(hourly, ["cy", "cx"]).collect()}
+        got = {(r.cy, r.cx, r.end, r.hours): (r.obs_rate, r.n_obs) for r in MG.read(spark, table).collect()}
+        assert set(got) == set(want) and all(got[w][1] == want[w][1] and abs(got[w][0] - want[w][0]) < 1e-9 for w in want)
+    assert MG.vacuum(spark, table, ("day",)) > 0 and MG.read(spark, table).count() == len(want)
+
+
 def test_rest_stands_without_the_corpus_part(tmp_path):
     """With the corpus folders taken away, the entry module imports and has the other queries."""
     import shutil

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 _MADE: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`, or, where the session names none, one under the warehouse.
+
+    A warehouse on the driver's own disk is shared in local mode only; elsewhere the session must name a folder.
+    """
+    here = spark.conf.get("spark.checkpoint.dir", None)
+    if here:
+        return here.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return f"{warehouse}/_scratch"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder in `spark.checkpoint.dir`, or, where the session names none, under the warehouse; both are shared."""
-    here = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    _MADE.append(f"{here.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    """A new folder in the shared one, which `drop_scratch` removes."""
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
     return _MADE[-1]
 
 
