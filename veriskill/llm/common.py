@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,45 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriskill.scratch import _MADE, drop_scratch, scratch_path, shared_dir, written  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one under the warehouse, which they share too, where the session names none."""
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if here is None:
-        here = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", here)
-    return here.rstrip("/")
-
-
-_MADE: list[str] = []
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one, which `drop_scratch` removes."""
-    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes all scratch tables of this driver; results that still read them must have been written by then."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage, and survives the loss of an executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_column(values: object, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.Array):
         return values if values.type == kind else values.cast(kind)
