@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ def as_column(values: object, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def let_go() -> None:
+    """Gives memory that a finished task no longer holds back to the system, as worker processes live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_stage(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, object]], schema: str) -> DataFrame:
     """One Arrow pass: `each` turns a record batch into columns named as in `schema` (DDL)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,6 +44,8 @@ def arrow_stage(df: DataFrame, each: Callable[[pa.RecordBatch], dict[str, object
             if batch.num_rows:
                 cols = each(batch)
                 yield pa.RecordBatch.from_arrays([as_column(cols[f.name], f.type) for f in target], schema=target)
+                del batch, cols
+        let_go()
 
     return df.mapInArrow(stage, schema)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import LOWER, arrow_stage, components, lengths_to_list, mix, probably_in, word_bounds, word_hashes, written
+from veriskill.llm.common import LOWER, arrow_stage, components, lengths_to_list, let_go, mix, probably_in, word_bounds, word_hashes, written
 
 NUMBER, LEAST = 3, 90  # words of a shingle; percent of the union that two linked sets share
 OVERLAP_PARTS = 4  # fragments in which overlaps are counted
@@ -109,12 +109,14 @@ def fragments(docs: DataFrame, number: int) -> DataFrame:
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2", "text"))):
+            for node, h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("node", "h1", "h2")), texts_of(batch)):
                 s = shingle_set(text, number)
                 cut = np.searchsorted(s, np.array([(k << 64) // OVERLAP_PARTS for k in range(1, OVERLAP_PARTS)], np.uint64))
                 if set_name(s) == (h1, h2):  # another text may have the same hash
                     rows += [(node, k, x.view(np.int64), None if k else parities(s)) for k, x in enumerate(np.split(s, cut))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["node", "part", "hashes", "odd"])
+            del batch, rows
+        let_go()
 
     found = docs.select("node", "h1", "h2", "text").mapInArrow(stage, "node bigint, part int, hashes array<bigint>, odd array<bigint>")
     return found.dropDuplicates(["node", "part"])  # rows that are alike in id and text
