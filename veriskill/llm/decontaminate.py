@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ WINDOW = 13  # words of a phrase
 BLOCK = 4000  # benchmark items searched in one pass; further items take further passes over all rows
 BLOCK_BYTES = 16 << 20  # of their texts, at most, or one item
 SAMPLE = 8  # every so many-th text position of the index keeps its suffix position
+FOUND = "n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>"
 SHARE = 20  # contaminated where SHARE * hit words >= words
 
 
@@ -171,13 +174,38 @@ def find_spans(texts: list[str | None], phrases: Phrases) -> tuple[list[int], li
     return counts, [_merge(s) for s in spans], items
 
 
+def _spans(docs: DataFrame, text: str, phrases: Broadcast, key: str | None = None) -> DataFrame:
+    """`docs` with n_words, spans and items of one block's phrases; with `key`, key, n_words, spans and items only."""
+    kept = docs.columns if key is None else [key]
+    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        counts, spans, items = find_spans(batch.column(text).to_pylist(), phrases.value)
+        return {c: batch.column(c) for c in kept} | {"n_words": counts, "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "items": [sorted(x) for x in items]}
+
+    return arrow_stage(docs, each, f"{ddl}, {FOUND}")
+
+
+def _merged(parts: DataFrame, key: str) -> DataFrame:
+    """(key, n_words, spans, items) of rows whose spans come from several blocks; a row has one part of each block at most."""
+    kind = parts.schema[key].dataType.simpleString()
+    rows = parts.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def each(batch: pa.RecordBatch) -> dict[str, object]:
+        whole = [_merge([(x["a"], x["b"]) for x in v]) for v in batch.column("spans").to_pylist()]
+        return {c: batch.column(c) for c in (key, "n_words", "items")} | {"spans": [[{"a": a, "b": b} for a, b in s] for s in whole]}
+
+    return arrow_stage(rows, each, f"`{key}` {kind}, {FOUND}")
+
+
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """`docs` with n_words, spans (merged word spans inside benchmark phrases) and items (found items, sorted).
 
     A phrase is `WINDOW` consecutive words of an item, or all of an item of fewer. Each Arrow batch of texts is one
     training shard with an index of its own, so a lost task is built again alone. The benchmark is a stated query set
-    that goes to the tasks in blocks of `block` items and BLOCK_BYTES bytes, one in the driver at a time; each block is
-    one narrow pass, whose result is written where another follows, and nothing is shuffled.
+    that goes to the tasks in blocks of `block` items and BLOCK_BYTES bytes, one in the driver at a time. One block is one
+    narrow pass. Where there are more, `docs` are written once with a row number, every block is a narrow pass over number
+    and text that keeps the rows with a hit, and what all of them found comes back to the rows by one join.
 
     Null and empty texts have no words and no spans; null items are skipped; a null or empty item text gives no
     phrase; repeated rows are each answered; columns of `docs` named as those added are replaced.
@@ -185,25 +213,25 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id), F.col(item_text)).orderBy(item_id).toLocalIterator()
     spark = docs.sparkSession
     base = docs.drop(*({"n_words", "spans", "items"} & set(docs.columns)))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = base
-    for k, part in enumerate(_blocks(items, block)):
-        if k:  # the passes before are written, and their phrases let go
-            out = written(out, "matched")
-            phrases.unpersist()
+    blocks = _blocks(items, block)
+    part, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _spans(base, text, spark.sparkContext.broadcast(Phrases.of(part)))
+    keyed = written(base.withColumn("__row", F.monotonically_increasing_id()), "keyed")  # written: numbers stay as they are
+    texts, found, counted = keyed.select("__row", text), None, None
+    for part in itertools.chain([part, more], blocks):
         phrases = spark.sparkContext.broadcast(Phrases.of(part))
-
-        def each(batch: pa.RecordBatch, phrases=phrases, more: bool = k > 0) -> dict[str, object]:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            counts, spans, items = find_spans(batch.column(text).to_pylist(), phrases.value)
-            if more:
-                old = [[(x["a"], x["b"]) for x in v] for v in cols["spans"].to_pylist()]
-                spans = [_merge([*a, *b]) for a, b in zip(old, spans)]
-                items = [x | set(y) for x, y in zip(items, cols["items"].to_pylist())]
-            return cols | {"n_words": counts, "spans": [[{"a": a, "b": b} for a, b in s] for s in spans], "items": [sorted(x) for x in items]}
-
-        out = arrow_stage(out, each, f"{ddl}, n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>")
-    return out
+        rows = _spans(texts, text, phrases, "__row")
+        if counted is None:  # the first pass keeps every row's number of words
+            counted = written(rows, "matched")
+            found = counted.where(F.size("spans") > 0)
+        else:
+            found = found.unionByName(written(rows.where(F.size("spans") > 0), "matched"))
+        phrases.unpersist()
+    whole = _merged(found, "__row").drop("n_words")
+    none = [F.array().cast(t).alias(c) for c, t in (("spans", "array<struct<a:bigint,b:bigint>>"), ("items", "array<string>"))]
+    out = keyed.join(counted.select("__row", "n_words"), "__row").join(whole, "__row", "left")
+    return out.select(*base.columns, "n_words", *(F.coalesce(c, n).alias(c) for c, n in zip(("spans", "items"), none)))
 
 
 def _blocks(items: Iterator[Row], most: int) -> Iterator[list[tuple[object, str | None]]]:
