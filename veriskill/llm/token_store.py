@@ -205,6 +205,11 @@ def manifest_of(recipes: DataFrame) -> DataFrame:
     return arrow_stage(parts, root, MANIFEST)
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes every row of `docs` (null: empty), adds END, and writes the store to `folder`.
 
@@ -251,6 +256,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
     spark = docs.sparkSession
     staged = spark.read.schema(PARTS.format(kind)).parquet(f"{folder}/staged")
     staged.where("kind = 'chunk'").dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/parts")
+    _remove(spark, f"{folder}/staged/kind=chunk")  # only documents are read from there now
     made = staged.where("kind = 'doc'").select("doc_id", F.col("n").alias("n_tokens"), "chunks", "root", "key")
     entries = made.agg(F.sum(F.size("chunks") + 2).alias("n")).first().n or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries * 32 // RANGE_BYTES))
@@ -266,8 +272,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc
     back = spark.read.schema(recipes.schema).parquet(f"{folder}/recipes")
     manifest_of(back).write.parquet(f"{folder}/manifest")
     for done in ("staged", "ranges"):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{done}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, f"{folder}/{done}")
 
 
 _POLY = np.uint64(0xEDB88320)
