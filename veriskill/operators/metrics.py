@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from veriskill.functions import exprs as E
 from veriskill.operators import sums
+from veriskill.scratch import written
 
 M, S, O = F.col, F.col, F.col  # noqa: E741
 
@@ -185,7 +186,7 @@ def box_scores(pairs: DataFrame, limit: float, boxes: DataFrame, by: tuple[str,
     holds. Bounds are degrees, both ends in, and cells are where pairs snap to. A box without pairs in a group has no row.
     """
     cells = pairs.withColumns({"cy": E.cell(F.col("latitude"), per_degree).cast("bigint"), "cx": E.cell(F.col("longitude"), per_degree).cast("bigint")})
-    table = sums.area_table(counts(cells, limit, (*by, "cy", "cx")), by, SUMS)
+    table = written(sums.area_table(counts(cells, limit, (*by, "cy", "cx")), by, SUMS), "areas")  # written: it is read three times
     ends = {f"{axis}{k}": f(F.col(c) * per_degree).cast("bigint") for axis, (low, high) in (("y", ("south", "north")), ("x", ("west", "east"))) for k, c, f in ((0, low, F.ceil), (1, high, F.floor))}
     groups = F.broadcast(table.select(*by).distinct())  # a row for each model and lead hour
     asked = boxes.select("box_id", *(x.alias(c) for c, x in ends.items())).join(groups)
