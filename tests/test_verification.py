@@ -190,6 +190,35 @@ def test_many_polygons(spark):
     assert P.in_polygons(points, polygons.limit(0)).count() == 0
 
 
+def shuffled_rows(node):
+    """Rows that the exchanges of an executed plan wrote, each exchange once."""
+    kind, seen = node.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(node.executedPlan())
+    if kind == "ShuffleQueryStageExec":
+        seen = [int(node.getRuntimeStatistics().rowCount().get())]
+    if kind.endswith("QueryStageExec"):
+        return seen + shuffled_rows(node.plan())
+    children = node.children()
+    return seen + [n for k in range(children.size()) for n in shuffled_rows(children.apply(k))]
+
+
+def test_pairs_of_points_and_polygons_are_not_shuffled(spark):
+    """400 points in one cell, on the edge of 300 polygons: exchanges hold points and cells, not 120,000 pairs."""
+    points = spark.range(400).select(F.col("id").alias("spot"), (F.lit(30.1) + F.col("id") / 10_000).alias("latitude"), F.lit(-80.1).alias("longitude"))
+    square = lambda r: F.array(*(F.struct((F.lit(30.05) + a * r).alias("lat"), (F.lit(-80.15) + b * r).alias("lon")) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0))))
+    polygons = spark.range(300).select(F.col("id").alias("polygon_id"), square(F.lit(0.2) + F.col("id") / 1000).alias("vertices"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = P.in_polygons(points, polygons, 0.5)
+        assert len(got.collect()) == 120_000
+        rows = shuffled_rows(got._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert rows and max(rows) < 10_000
+
+
 def test_boxes_read_ranges(spark, tmp_path):
     """A keyed table gives a box's rows from a share of its row groups that falls with the box."""
     folder = str(tmp_path / "keyed")

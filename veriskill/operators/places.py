@@ -49,22 +49,37 @@ def cover(polygons: DataFrame, size: float) -> DataFrame:
     return inner.withColumn("edge", F.lit(False)).unionByName(run.withColumn("edge", F.lit(True)))
 
 
+FEW_EDGES = 6  # of a row of cells: up to so many are tested in the join itself
+
+
 def in_polygons(points: DataFrame, polygons: DataFrame, size: float = 0.25) -> DataFrame:
     """`points` (latitude, longitude, ...) with polygon_id, a row for each polygon that holds the point.
 
     Points meet the polygons' covers by cell; inner cells settle it, and only in edge cells the even-odd test runs,
-    over the edges of the polygon in that row of cells. It gives what the test over all edges gives. Nothing is
-    compared but within a cell; `size` should be a small part of a polygon. Null places are in none.
+    over the edges of the polygon in that row of cells. It gives what the test over all edges gives. Edge cells bring
+    these edges along as columns, so that pairs are tested where they meet and never shuffled; where a row has more than
+    FEW_EDGES, pairs fetch them. Nothing is compared but within a cell; `size` should be a small part of a polygon. Null
+    places are in none.
     """
-    keyed = points.withColumns({"__cy": F.floor(F.col("latitude") / size), "__cx": F.floor(F.col("longitude") / size)})
-    cells = cover(polygons, size).withColumnsRenamed({"cy": "__cy", "cx": "__cx", "edge": "__edge"})
-    met = keyed.join(cells, ["__cy", "__cx"])
-    one = F.struct(*EDGE)
-    slabs = _rows(edges(polygons).where("yi <> yj"), size).groupBy("polygon_id", F.col("cy").alias("__cy")).agg(F.collect_list(one).alias("__edges"))
-    odd = F.aggregate("__edges", F.lit(False), lambda s, e: s != crosses(F.col("latitude"), F.col("longitude"), e))
-    tested = met.where("__edge").join(slabs, ["polygon_id", "__cy"]).where(odd)
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    polygons = polygons.repartition(parts, "polygon_id")  # covers are made where the polygon is
+    lat, lon, here = F.col("latitude"), F.col("longitude"), ["__cy", "__cx"]
+    keyed = points.where(lat.isNotNull() & lon.isNotNull()).withColumns({"__cy": F.floor(lat / size), "__cx": F.floor(lon / size)})
+    slabs = _rows(edges(polygons).where("yi <> yj"), size).groupBy("polygon_id", F.col("cy").alias("__cy")).agg(F.collect_list(F.struct(*EDGE)).alias("__edges"))
+    cells = cover(polygons, size).withColumnsRenamed({"cy": "__cy", "cx": "__cx"})
+    inner, run = cells.where("NOT edge").drop("edge"), cells.where("edge").drop("edge")
+    brought, few = {}, F.lit(False)
+    for k in range(FEW_EDGES):  # one that is not there crosses nothing
+        e, yi, yj, xi, dx, dy = F.get("__edges", F.lit(k)), f"__yi{k}", f"__yj{k}", f"__xi{k}", f"__dx{k}", f"__dy{k}"
+        values = {yi: (e["yi"], 0.0), yj: (e["yj"], 0.0), xi: (e["xi"], 0.0), dx: (e["xj"] - e["xi"], 0.0), dy: (e["yj"] - e["yi"], 1.0)}
+        brought |= {name: F.coalesce(value, F.lit(none)) for name, (value, none) in values.items()}
+        few = few != (((F.col(yi) > lat) != (F.col(yj) > lat)) & (lon < F.col(dx) * (lat - F.col(yi)) / F.col(dy) + F.col(xi)))
+    light = run.join(slabs.where(F.size("__edges") <= FEW_EDGES), ["polygon_id", "__cy"]).select("polygon_id", *here, *(v.alias(n) for n, v in brought.items()))
+    odd = F.aggregate("__edges", F.lit(False), lambda s, e: s != crosses(lat, lon, e))
     columns = [*points.columns, "polygon_id"]
-    return met.where("NOT __edge").select(*columns).unionByName(tested.select(*columns))
+    many = slabs.where(F.size("__edges") > FEW_EDGES)
+    tested = keyed.join(run.join(many.select("polygon_id", "__cy"), ["polygon_id", "__cy"]), here).join(many, ["polygon_id", "__cy"]).where(odd)
+    return keyed.join(inner, here).select(*columns).unionByName(keyed.join(light, here).where(few).select(*columns)).unionByName(tested.select(*columns))
 
 
 BITS = 16  # of each coordinate in a key
