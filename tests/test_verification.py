@@ -450,6 +450,30 @@ def test_windows_of_late_observations(spark, tmp_path):
     assert MG.vacuum(spark, table, ("day",)) > 0 and MG.read(spark, table).count() == len(want)
 
 
+def test_observations_reach_the_state_as_sums(spark, tmp_path):
+    """10,000 observations of four hours: the state takes a few sums, and goes through a batch once."""
+    folder, table, check = (str(tmp_path / n) for n in ("in", "out", "state"))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 4 * 3600)
+    spark.range(0, 10_000, 1, 2).select(at.alias("obs_time"), F.lit(25.0).alias("latitude"), F.lit(-85.0).alias("longitude"), (F.col("id") % 7).cast("double").alias("value")).write.parquet(folder)
+    before, kept = W.merge.merge, []
+
+    def watched(batch, *rest):
+        kept.append(batch.storageLevel.useMemory)
+        return before(batch, *rest)
+
+    W.merge.merge = watched
+    try:
+        W.keep_windows(W.window_updates(O.observation_stream(spark, folder)), table, check).awaitTermination()
+    finally:
+        W.merge.merge = before
+    assert kept and all(kept)
+    got = {(r.end.hour, r.hours): (r.obs_rate, r.n_obs) for r in MG.read(spark, table).collect()}
+    mean = [sum(k % 7 for k in range(h, 10_000, 4)) / 2500 for h in range(4)]
+    assert abs(got[3, 3][0] - sum(mean[1:]) / 3) < 1e-9 and got[3, 3][1] == 3 and abs(got[0, 1][0] - mean[0]) < 1e-9
+    sent = W._summed(spark.read.parquet(folder).select("obs_time", F.lit(1).alias("cy"), F.lit(1).alias("cx"), "value")).collect()
+    assert sum(r.n for r in sent) == 10_000 and len(sent) <= 4 * 2 * spark.sparkContext.defaultParallelism
+
+
 def test_rest_stands_without_the_corpus_part(tmp_path):
     """With the corpus folders taken away, the entry module imports and has the other queries."""
     import shutil

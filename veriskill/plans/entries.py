@@ -424,8 +424,9 @@ def _arriving(f: Frames) -> DataFrame:
     """All observations come as a stream, in files without order in time; metrics are taken from the windows it keeps."""
     here = scratch_path(f.spark, "arriving")
     seen = f.observed.select(F.col("obs_time").cast("timestamp"), "latitude", "longitude", F.col("precipitation").alias("value"))
-    seen.repartition(3, F.xxhash64("obs_time", "latitude", "value")).write.parquet(f"{here}/in")
-    updates = W.window_updates(O.observation_stream(f.spark, f"{here}/in", 1))
+    files = f.spark.sparkContext.defaultParallelism  # of one batch; there are three
+    seen.repartition(3 * files, F.xxhash64("obs_time", "latitude", "value")).write.parquet(f"{here}/in")
+    updates = W.window_updates(O.observation_stream(f.spark, f"{here}/in", files))
     W.keep_windows(updates, f"{here}/windows", f"{here}/state").awaitTermination()
     fc = f.timed(1).where(J.in_box(F.col("latitude"), F.col("longitude"), *BOX)).select("model_name", "initialization_time", "forecast_hour", "latitude", "longitude", "mean_value", "std_dev")
     pairs = W.streamed_pairs(fc, MG.read(f.spark, f"{here}/windows"), E.accum_hours(F.col("model_name")))
