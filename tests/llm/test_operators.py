@@ -323,6 +323,26 @@ def test_quality(spark, sf):
     assert quality.judge(quality.with_stats(frame(spark, [])), forest).count() == 0
 
 
+def test_quality_learns_from_all_labels(spark):
+    """Statistics looked at and the threshold are those of every one of 24,000 labelled rows."""
+    rng = random.Random(5)
+    words = lambda k: " ".join(w.upper() if rng.random() < 0.1 + 0.3 * (k % 9 == 0) else w for w in (f"w{rng.randrange(999)}" + "!" * rng.randrange(3) for _ in range(rng.randrange(12, 24))))
+    stats = quality.with_stats(frame(spark, [words(k) + " #" * (k % 9 == 0) for k in range(24_000)]))
+    labels = spark.range(24_000).select(F.col("id").alias("doc_id"), (F.col("id") % 9 != 0).cast("int").alias("quality"))
+    forest = quality.fit_stats(stats, labels)
+    rows = stats.select("doc_id", "features").collect()
+    x, good = np.array([r.features for r in rows]), np.array([r.doc_id % 9 != 0 for r in rows])
+    area = lambda b, g: (np.searchsorted(np.sort(g), b) + np.searchsorted(np.sort(g), b, side="right")).sum() / 2 / len(g) / len(b)
+    assert forest.use == [k for k in range(x.shape[1]) if area(x[~good, k], x[good, k]) >= quality.LEAST_AREA] and len(forest.use) > 1
+    score = forest.score(x)
+    edge = np.nextafter(np.quantile(score[good], 1 - quality.MOST_GOOD_LOST, method="higher"), 2)
+    worse = score[~good & (score >= edge)]
+    assert forest.threshold == ((edge + worse.min()) / 2 if len(worse) else edge)
+    assert len(forest.roots) == quality.TREES
+    empty = quality.fit_stats(stats, labels.limit(0))
+    assert empty.threshold == 2 and quality.judge(stats.limit(50), empty).where("NOT kept AND NOT base_failed").count() == 0
+
+
 def test_pieces(spark, sf):
     import public_tokenizers
     import sentencepiece

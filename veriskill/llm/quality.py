@@ -6,16 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriskill.llm.common import SPACE, arrow_stage, hashed_sample, word_bounds, word_hashes
+from veriskill.llm.common import SPACE, arrow_stage, word_bounds, word_hashes, written
 
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 10, 20, 5
-#: Of the labelled rows, at most this many, chosen by the hash of their id, make the forest and its threshold.
-SAMPLE_ROWS = 20_000
+#: The method's own: each tree isolates SUBSAMPLE rows, drawn for it alone from all labelled rows.
 TREES, SUBSAMPLE = 100, 256
-#: Of the sampled rows labelled good, at most this share may be found anomalous.
+#: Of the rows labelled good, at most this share may be found anomalous.
 MOST_GOOD_LOST = 0.002
 LEAST_AREA, BAD_SHARE = 0.6, 0.02
 
@@ -95,9 +94,10 @@ class IsolationForest:
         return 0.0 if n < 2 else 2.0 * (np.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
     @staticmethod
-    def fit(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> IsolationForest:
+    def fit(samples: list[np.ndarray], seed: int = 7) -> IsolationForest:
+        """A tree for each of `samples`, which have equally many rows."""
         rng = np.random.default_rng(seed)
-        size = min(subsample, len(rows))
+        size = max(map(len, samples), default=0)
         most = int(np.ceil(np.log2(max(2, size))))
         nodes: list[list[float]] = []
 
@@ -113,7 +113,7 @@ class IsolationForest:
                 nodes[me][3] = grow(x[x[:, f] > s], depth + 1)
             return me
 
-        roots = [grow(rows[rng.choice(len(rows), size, replace=False)], 0) for _ in range(trees)] if len(rows) else []
+        roots = [grow(x, 0) for x in samples if len(x)]
         flat = np.array(nodes, float).reshape(-1, 5)
         return IsolationForest(flat[:, 0].astype(int), flat[:, 1], flat[:, 2].astype(int), flat[:, 3].astype(int), flat[:, 4], roots, max(1e-9, IsolationForest.mean_depth(size)))
 
@@ -128,65 +128,101 @@ class IsolationForest:
             total += self.depth[at]
         return 2.0 ** (-total / max(1, len(self.roots)) / self.expected)
 
-    def calibrate(self, rows: np.ndarray, good: np.ndarray, most_good_lost: float = MOST_GOOD_LOST) -> None:
-        """The threshold with the most bad rows above it that puts at most that share of the good rows above it."""
-        score = self.score(rows)
-        self.threshold = float(np.nextafter(np.quantile(score[good], 1 - most_good_lost, method="higher"), 2)) if good.any() else 2.0
-        if (~good).any() and self.threshold < 2:  # in the middle of the gap, where there is one
-            worse = score[~good & (score >= self.threshold)]
-            self.threshold = float((self.threshold + worse.min()) / 2) if len(worse) else self.threshold
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
-def area(bad: np.ndarray, good: np.ndarray) -> float:
-    """Chance that a bad row has the greater value, ties counted half; 0 without rows of both kinds."""
-    if not len(bad) or not len(good):
-        return 0.0
-    ordered = np.sort(good)
-    return float((np.searchsorted(ordered, bad) + np.searchsorted(ordered, bad, side="right")).sum() / 2 / len(good) / len(bad))
 
+def _before(values: DataFrame) -> DataFrame:
+    """(k, v, good, bad, before) for each different value `v` of `k`: rows that have it, and good rows of lesser ones.
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    `values` has k, v and label. Values are sorted by ranges, so that no task sees all; what stands before a range is one
+    number for each k.
+    """
+    counts = values.groupBy("k", "v").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
+    ranged = written(counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("k", "part").agg(F.sum("good").alias("held"))  # a row for each task of the sort, or two
+    sums = sums.select("k", "part", (F.sum("held").over(Window.partitionBy("k").orderBy("part")) - F.col("held")).alias("earlier"))
+    upto = F.sum("good").over(Window.partitionBy("k", "part").orderBy("v")) - F.col("good")
+    return ranged.withColumn("upto", upto).join(F.broadcast(sums), ["k", "part"]).select("k", "v", "good", "bad", (F.col("earlier") + F.col("upto")).alias("before"))
+
+
+def telling(rows: DataFrame, good: int, bad: int) -> list[int]:
+    """The statistics in which a bad row has the greater value with a chance of LEAST_AREA or more, ties counted half; all if none."""
+    both = _before(rows.select("label", F.posexplode("features").alias("k", "v")))
+    twice = both.groupBy("k").agg(F.sum(F.col("bad") * (2 * F.col("before") + F.col("good"))).alias("n")).collect()  # a row for each statistic
+    return sorted(r.k for r in twice if good and bad and r.n / 2 / good / bad >= LEAST_AREA) or list(range(len(FEATURES)))
+
+
+def draw_samples(rows: DataFrame, good: int, bad: int, trees: int = TREES, size: int = SUBSAMPLE) -> list[np.ndarray]:
+    """For each tree `size` rows, those with the least hash of id and tree, of all good rows and a share of the bad ones.
+
+    Bad rows are let in by the hash of their id, about BAD_SHARE of the good ones in number. Only rows whose hash can be among the
+    least come to the driver: at most `trees` times a little over `size`, whatever the input.
+    """
+    span = 1 << 40
+    let_in = min(1.0, float(np.ceil(BAD_SHARE * good)) / max(1, bad))
+    seen = rows.where((F.col("label") == 1) | (F.pmod(F.xxhash64("h"), F.lit(span)) < int(let_in * span)))
+    share = min(1.0, (size + 8 * size**0.5) / max(1, good))
+    drawn = seen.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("key", F.pmod(F.xxhash64("h", "tree"), F.lit(span))).where(F.col("key") < int(share * span))
+    nth = F.row_number().over(Window.partitionBy("tree").orderBy("key", "label", "features"))
+    got: list[list[tuple]] = [[] for _ in range(trees)]
+    for r in drawn.withColumn("nth", nth).where(F.col("nth") <= size).select("tree", "nth", "features").collect():  # trees * size rows
+        got[r.tree].append((r.nth, r.features))
+    return [np.array([f for _, f in sorted(g)], float).reshape(-1, len(FEATURES)) for g in got]
+
+
+def _score(forest: IsolationForest, session) -> object:
+    from pyspark.sql.functions import pandas_udf
+
+    shared = session.sparkContext.broadcast(forest)
+
+    @pandas_udf("double")
+    def anomaly(features):
+        return __import__("pandas").Series(shared.value.score(np.stack(features.to_numpy())) if len(features) else [], dtype=float)
+
+    return anomaly("features")
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, quality: str = "quality", text: str = "text") -> IsolationForest:
-    """A forest grown on a bounded, hashed sample of labelled rows that pass the base rule, calibrated by their labels.
+def calibrated(rows: DataFrame, forest: IsolationForest, good: int, most_good_lost: float = MOST_GOOD_LOST) -> float:
+    """The threshold with the most bad rows above it that puts at most that share of all good rows above it; 2 without good ones."""
+    if not good:
+        return 2.0
+    scores = written(_before(rows.select("label", F.lit(0).alias("k"), _score(forest, rows.sparkSession).alias("v"))), "scores")
+    place = int(np.ceil((good - 1) * (1 - most_good_lost)))
+    threshold = float(np.nextafter(scores.where(F.col("before") + F.col("good") > place).agg(F.min("v")).first()[0], 2))
+    worse = scores.where((F.col("bad") > 0) & (F.col("v") >= threshold)).agg(F.min("v")).first()[0]
+    return threshold if worse is None else (threshold + worse) / 2  # in the middle of the gap, where there is one
 
-    The sample's ids are joined with `docs` first, so that only sampled texts are looked at.
+
+def fit_stats(stats: DataFrame, labels: DataFrame, quality: str = "quality") -> IsolationForest:
+    """A forest over all labelled rows of `with_stats` that pass the base rule, calibrated by all of their labels.
 
     Only statistics that tell bad rows from good ones (area under the curve of LEAST_AREA or more) are looked at. The
-    trees see the good rows and a few bad ones (BAD_SHARE of the good), for a statistic that no good row varies in
-    could not be split on else, and too many bad rows would look normal to each other.
-    Rows without a 0 or 1 label take no part; with none at all the forest keeps everything.
+    trees see good rows and a few bad ones (BAD_SHARE of the good), for a statistic that no good row varies in
+    could not be split on else, and too many bad rows would look normal to each other. A tree isolates SUBSAMPLE rows, as
+    the method has it; areas and the threshold are exact counts over every labelled row. Rows without a 0 or 1 label take no
+    part; with none at all the forest keeps everything. `stats` is read once.
     """
-    some = hashed_sample(labels.where(F.col(quality).isin(0, 1)).select("doc_id", F.col(quality).alias("label")), "doc_id", rows)
-    known = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(some), "doc_id")  # at most `rows` ids
-    stats = with_stats(known.select(F.struct("doc_id", "label").alias("doc_id"), "text")).where(~base_failed())
-    got = stats.select("features", "doc_id.label", F.xxhash64("doc_id.doc_id").alias("h")).collect()
-    got.sort(key=lambda r: (r.h, r.label))
-    x = np.array([r.features for r in got], float).reshape(-1, len(FEATURES))
-    good = np.array([r.label == 1 for r in got], bool)
-    use = [k for k in range(len(FEATURES)) if area(x[~good, k], x[good, k]) >= LEAST_AREA] or list(range(len(FEATURES)))
-    bad = np.flatnonzero(~good)[: int(np.ceil(BAD_SHARE * good.sum()))]
-    forest = IsolationForest.fit(np.concatenate([x[good], x[bad]])[:, use])
+    known = labels.where(F.col(quality).isin(0, 1)).select("doc_id", F.col(quality).cast("int").alias("label"))
+    rows = written(stats.where(~base_failed()).select("doc_id", "features").join(known, "doc_id").select("features", "label", F.xxhash64("doc_id").alias("h")), "labelled")
+    count = rows.agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad")).first()
+    use = telling(rows, count.good, count.bad)
+    forest = IsolationForest.fit([x[:, use] for x in draw_samples(rows, count.good, count.bad)])
     forest.use = use
-    forest.calibrate(x, good) if len(got) else None
-    forest.threshold = forest.threshold if len(got) else 2.0
+    forest.threshold = calibrated(rows, forest, count.good)
     return forest
 
 
+def fit_forest(docs: DataFrame, labels: DataFrame, quality: str = "quality", text: str = "text") -> IsolationForest:
+    """`fit_stats` from texts: every labelled one is looked at."""
+    return fit_stats(with_stats(docs, text), labels, quality)
+
+
 def judge(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     """Adds base_failed, anomaly (the forest's score) and kept to `stats`; drops features.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT percent of them inside repeated windows. kept: the
     base rule passed and the score is under the calibrated threshold. Empty and null texts fail the base rule.
     """
-    from pyspark.sql.functions import pandas_udf
-
-    shared = stats.sparkSession.sparkContext.broadcast(forest)
-
-    @pandas_udf("double")
-    def anomaly(features):
-        return __import__("pandas").Series(shared.value.score(np.stack(features.to_numpy())) if len(features) else [], dtype=float)
-
-    return stats.withColumn("base_failed", base_failed()).withColumn("anomaly", anomaly("features")).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(forest.threshold))).drop("features")
+    return stats.withColumn("base_failed", base_failed()).withColumn("anomaly", _score(forest, stats.sparkSession)).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(forest.threshold))).drop("features")
