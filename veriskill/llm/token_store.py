@@ -89,13 +89,14 @@ class WordCachedTokenizer:
     def values(self, memo: dict[str, bytes], words: list[str], before: str) -> list[bytes]:
         """Ids of each of `words` with `before` (a space or nothing) in front of it: most often letters and what closes them."""
         found, encode, token = list(map(memo.get, words)), self.encode_token, self.token
+        two, cut, letters = self.two, self.tokenizer.model.tokenize, before.replace(" ", "\u0120")
         for k in [k for k, x in enumerate(found) if x is None]:
             word = words[k]
             core = word.rstrip(CLOSING)
             if core.isalpha():
                 own = memo.get(core)
                 if own is None:
-                    own = memo[core] = encode(before + core)
+                    own = memo[core] = b"".join([two[t.id] for t in cut(letters + core)]) if core.isascii() else encode(before + core)
                 if len(core) < len(word):
                     own = memo[word] = own + token(word[len(core) :])
             else:
@@ -326,17 +327,17 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     whole = pieces.groupBy("part", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk", "crc", "n", "good"))).alias("p"))
 
     def join(batch: pa.RecordBatch) -> dict[str, object]:
-        crcs, tails, owner, fine = [], [], [], []
-        for d, (p, root, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p", "root", "n_tokens")))):
-            left = n
-            for x in p:
-                left -= x["n"] or 0
-                crcs.append(x["crc"] or 0)
-                tails.append(max(0, left) * 4)
-                owner.append(d)
-            fine.append(left == 0 and all(x["good"] for x in p) and merkle([x["chunk"] for x in p]) == root)
-        out = np.zeros(batch.num_rows, np.uint64)
-        np.bitwise_xor.at(out, np.array(owner, np.int64), join_crcs(np.array(crcs, np.uint64), np.array(tails, np.int64)))
+        at = batch.column("p").offsets.to_numpy()
+        at, p, rows = at - at[0], batch.column("p").flatten(), batch.num_rows
+        held = np.concatenate([[0], np.cumsum(pc.fill_null(p.field("n"), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        owner, n = np.repeat(np.arange(rows), np.diff(at)), batch.column("n_tokens").to_numpy()
+        left = n[owner] - (held[1:] - held[at[:-1]][owner])
+        bad = np.bincount(owner, ~pc.fill_null(p.field("good"), False).to_numpy(zero_copy_only=False), rows)
+        whole = (held[at[1:]] - held[at[:-1]] == n) & (bad == 0)
+        leaves, ends = p.field("chunk").to_pylist(), at.tolist()
+        fine = [bool(w) and merkle(leaves[a:b]) == root for w, a, b, root in zip(whole, ends, ends[1:], batch.column("root").to_pylist())]
+        out = np.zeros(rows, np.uint64)
+        np.bitwise_xor.at(out, owner, join_crcs(pc.fill_null(p.field("crc"), 0).to_numpy(zero_copy_only=False).astype(np.uint64), np.maximum(left, 0) * 4))
         return {c: batch.column(c) for c in ("part", "doc_id", "start", "n_tokens")} | {"ids_crc32": out.astype(np.int64), "verified": fine}
 
     out = arrow_stage(whole, join, f"part int, doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, verified boolean")
