@@ -358,6 +358,28 @@ def test_pieces(spark, sf):
     assert [r.decoded for r in pieces.decode_pieces(df.drop("decoded"), path).orderBy("doc_id").collect()] == [(t or "").replace("▁", " ") for t in texts]
 
 
+def test_pieces_memory_follows_blocks_and_slabs(spark, monkeypatch):
+    import tracemalloc
+
+    import public_tokenizers
+    import sentencepiece
+
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(9)
+    words = list({"".join(rng.choice("aeinorstdl") for _ in range(9)) for _ in range(60_000)})
+    model = pieces.model_of(path)
+    tracemalloc.start()
+    ids, _ = model.encode_words(words)
+    model.decode_all(np.tile(ids, 10), np.array([10 * len(ids)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6, most
+    monkeypatch.setattr(pieces, "SLAB", 64)  # slabs of a row or a few
+    texts = [*ODD, " ".join(words[:300]), None, *words[300:340]]
+    got = pieces.encode_pieces(frame(spark, texts).coalesce(1), path).orderBy("doc_id").collect()
+    coder = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [(r.text, r.source, r.ids) for r in got] == [(t, f"s{k % 3}", coder.encode(t or "")) for k, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_oracles_agree(spark, name):
     from tests.oracle import connect, differences

@@ -18,15 +18,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from veriskill.llm.common import arrow_stage
+from veriskill.llm.common import arrow_stage, lengths_to_list
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-BATCH_CHARS = 1_200_000  # of different words that one suffix array indexes
+BATCH_CHARS = 300_000  # of different words that one suffix array indexes: their edges take some 100 MB for each million
 LONG = 200  # longer words are relaxed by a queue of their own
 CUT = 4096  # characters from which a word is cut where no piece crosses
 CACHE = 200_000  # different words whose ids a worker process keeps
 SLAB = 4 << 20  # bytes of texts that are encoded together, or one text
+STRETCH = 1 << 18  # ids whose bytes are put together at a time
 
 
 def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -52,6 +53,11 @@ def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
         bits = max(1, int(rank.max()).bit_length())
 
 
+def spread(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Stretches [at, at + n) of `pool`, one after the other."""
+    return pool[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
 @dataclass
 class Lattice:
     """Edges sorted by position: where each position's begin, a mask of their lengths, and each edge's piece by rank."""
@@ -279,14 +285,15 @@ class PieceModel:
         word[~from_rest] = plain
         word[from_rest] = self.places([w for r in rest for w in r])
         n = self.size[word]
-        ids = self.pool[np.repeat((np.cumsum(self.size) - self.size)[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = (np.cumsum(self.size) - self.size)[word]
+        ids = np.concatenate([np.zeros(0, np.int32), *(spread(self.pool, at[k : k + STRETCH], n[k : k + STRETCH]) for k in range(0, len(n), STRETCH))])
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
         return ids, np.diff(ends)
 
     def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of ids laid one after the other: bytes of pieces put together, the added first space taken off."""
         n = self.raw_size[ids]
-        raw = self.raw[np.repeat(self.raw_at[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+        raw = b"".join(spread(self.raw, self.raw_at[ids[k : k + STRETCH]], n[k : k + STRETCH]).tobytes() for k in range(0, len(ids), STRETCH))
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
@@ -305,7 +312,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """`docs` with ids (array<int>), n_tokens and round_trip (the ids decode to the text).
 
     Each text is decoded again from its ids by `decode_all`. Gives the ids that the sentencepiece library gives for the
-    model. A batch's different words are put together and indexed by one suffix array, so memory follows the batch, and
+    model. A slab's different words are put together and indexed by one suffix array, so memory follows the slab, and
     a very long word is cut where no piece crosses; nothing is shuffled. Null and empty texts have no ids,
     and round_trip is true. The character U+2581 itself decodes to a space, as in the library, so a text that holds
     it has round_trip false. Repeated rows are all kept; columns of `docs` named as those added are replaced.
@@ -315,24 +322,11 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> dict[str, object]:
         coder, texts = model_of(model), batch.column(text)
-        cuts, held = [0], 0
-        for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-            if held and held + n > SLAB:
-                cuts.append(k)
-                held = 0
-            held += n
-        ids, counts, same = [], [], []
-        for at, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
-            some = texts.slice(at, stop - at)
-            flat, n = coder.encode_all(some)
-            same += [x == (t or "") for x, t in zip(coder.decode_all(flat, n), some.to_pylist())]
-            ids.append(flat)
-            counts.append(n)
-        n = np.concatenate(counts)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-        return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32))), "n_tokens": pa.array(n, pa.int64()), "round_trip": same}
-
-    return arrow_stage(base, each, f"{ddl}, ids array<int>, n_tokens bigint, round_trip boolean")
+        ids, n = coder.encode_all(texts)
+        same = [x == (t or "") for x, t in zip(coder.decode_all(ids, n), texts.to_pylist())]
+        return {c: batch.column(i) for i, c in enumerate(batch.schema.names)} | {"ids": lengths_to_list(ids, n, pa.int32()), "n_tokens": n, "round_trip": same}
+
+    return arrow_stage(base, each, f"{ddl}, ids array<int>, n_tokens bigint, round_trip boolean", text, SLAB)
 
 
 def decode_pieces(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
