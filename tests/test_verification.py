@@ -219,6 +219,40 @@ def test_pairs_of_points_and_polygons_are_not_shuffled(spark):
     assert rows and max(rows) < 10_000
 
 
+def broadcast_rows(node):
+    """Rows that an executed plan sent through the driver to all executors."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcast_rows(node.executedPlan())
+    if kind == "BroadcastQueryStageExec":
+        return [int(node.getRuntimeStatistics().rowCount().get())]
+    if kind.endswith("QueryStageExec"):
+        return broadcast_rows(node.plan())
+    children = node.children()
+    return [n for k in range(children.size()) for n in broadcast_rows(children.apply(k))]
+
+
+def test_covers_of_polygons_are_not_broadcast(spark):
+    """Ten stars, few bytes as a table, cover some 30,000 cells, which never pass the driver; some rows hold more than FEW_EDGES edges."""
+    points = spark.range(2_000).select(F.col("id").alias("spot"), (F.lit(20.0) + F.col("id") % 50 / 2.1).alias("latitude"), (F.lit(-100.0) + F.col("id") / 50.3).alias("longitude"))
+    rng = random.Random(5)
+    shapes = [star(rng, 32 + k / 7, -80 - k / 3, 12.0, 5 if k % 2 else 16) for k in range(10)]
+    polygons = spark.createDataFrame([(k, [tuple(map(float, v)) for v in s]) for k, s in enumerate(shapes)], "polygon_id int, vertices array<struct<lat:double,lon:double>>")
+    got = P.in_polygons(points, polygons)
+    rows = got.collect()
+    sent = broadcast_rows(got._jdf.queryExecution().executedPlan())
+    assert max(sent, default=0) <= 2_000
+    want = set()
+    at = [(r.spot, r.latitude, r.longitude) for r in points.collect()]
+    for k, vertices in enumerate(shapes):
+        for spot, y, x in at:
+            odd = False
+            for (yi, xi), (yj, xj) in zip(vertices, [vertices[-1], *vertices[:-1]]):
+                odd ^= (yi > y) != (yj > y) and x < (xj - xi) * (y - yi) / (yj - yi) + xi
+            want |= {(spot, k)} if odd else set()
+    assert len(rows) == len(want) > 1_000 and {(r.spot, r.polygon_id) for r in rows} == want
+
+
 def test_boxes_read_ranges(spark, tmp_path):
     """A keyed table gives a box's rows from a share of its row groups that falls with the box."""
     folder = str(tmp_path / "keyed")

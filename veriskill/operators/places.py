@@ -11,8 +11,8 @@ _NEAR = 1e-9  # degrees by which an edge is thought wider when its cells are tak
 
 def edges(polygons: DataFrame) -> DataFrame:
     """(polygon_id, yi, xi, yj, xj): each vertex with the one before it; `polygons` has vertices, array<struct<lat, lon>>."""
-    before = F.concat(F.slice("vertices", -1, 1), "vertices")
-    pairs = F.transform("vertices", lambda v, k: F.struct(v["lat"].alias("yi"), v["lon"].alias("xi"), before[k]["lat"].alias("yj"), before[k]["lon"].alias("xj")))
+    before = lambda k: F.element_at("vertices", F.when(k == 0, -1).otherwise(k))
+    pairs = F.transform("vertices", lambda v, k: F.struct(v["lat"].alias("yi"), v["lon"].alias("xi"), before(k)["lat"].alias("yj"), before(k)["lon"].alias("xj")))
     return polygons.where(F.size("vertices") > 0).select("polygon_id", F.explode(pairs).alias("e")).select("polygon_id", "e.*")
 
 
@@ -28,25 +28,27 @@ def crosses(lat: Column, lon: Column, e: Column) -> Column:
 
 
 def cover(polygons: DataFrame, size: float) -> DataFrame:
-    """(polygon_id, cy, cx, edge): cells of `size` degrees that a polygon fills, and those that its edges run through.
+    """(polygon_id, cy, run, inner, edges): of each row of cells that a polygon's edges touch, `cx` of the cells of `size`
+    degrees that they run through and of those that the polygon fills, and its edges there but for flat ones.
 
-    Edge cells come from each edge cut at the rows; inner cells from the crossings of each row's middle, taken in pairs. A
+    Edge cells come from each edge cut at the row; inner cells from the crossings of the row's middle, taken in pairs. A
     row of a polygon is gathered in one place, so memory follows the edges in that row.
     """
     floor = lambda x: F.floor(x / size)
-    touched = _rows(edges(polygons), size)
     at = lambda y: F.when(F.col("yi") == F.col("yj"), F.col("xi")).otherwise((F.col("xj") - F.col("xi")) * (y - F.col("yi")) / F.nullif(F.col("yj") - F.col("yi"), F.lit(0.0)) + F.col("xi"))
     low, high = (F.greatest(F.least("yi", "yj"), F.least(F.greatest("yi", "yj"), b)) for b in (F.col("cy") * size, (F.col("cy") + 1) * size))
-    flat = F.col("yi") == F.col("yj")
+    flat, middle = F.col("yi") == F.col("yj"), (F.col("cy") + 0.5) * size
     west, east = (F.when(flat, f("xi", "xj")).otherwise(f(at(low), at(high))) for f in (F.least, F.greatest))
-    run = touched.withColumn("cx", F.explode(F.sequence(floor(west - _NEAR), floor(east + _NEAR)))).select("polygon_id", "cy", "cx").distinct()
-    middle = (F.col("cy") + 0.5) * size
-    crossed = touched.where((F.col("yi") > middle) != (F.col("yj") > middle)).withColumn("x", at(middle)).groupBy("polygon_id", "cy").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    pair = crossed.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)))
-    first, last = F.ceil(F.col("xs")[F.col("k") * 2] / size - 0.5), F.floor(F.col("xs")[F.col("k") * 2 + 1] / size - 0.5)
-    inner = pair.where(first <= last).withColumn("cx", F.explode(F.sequence(first, last))).select("polygon_id", "cy", "cx").distinct()
-    inner = inner.join(run, ["polygon_id", "cy", "cx"], "left_anti")
-    return inner.withColumn("edge", F.lit(False)).unionByName(run.withColumn("edge", F.lit(True)))
+    crossing = F.when((F.col("yi") > middle) != (F.col("yj") > middle), at(middle))
+    touching = F.struct(*EDGE, floor(west - _NEAR).alias("first"), floor(east + _NEAR).alias("last"), crossing.alias("x"))
+    rows = _rows(edges(polygons), size).groupBy("polygon_id", "cy").agg(F.collect_list(touching).alias("all"))
+    steep = F.transform(F.filter("all", lambda e: e["yi"] != e["yj"]), lambda e: F.struct(*(e[n].alias(n) for n in EDGE)))
+    rows = rows.select("polygon_id", "cy", "all", F.array_sort(F.array_compact("all.x")).alias("xs"), steep.alias("edges"))
+    cells = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    between = lambda k: cells(F.ceil(F.col("xs")[k * 2] / size - 0.5), F.floor(F.col("xs")[k * 2 + 1] / size - 0.5))
+    pairs = F.when(F.size("xs") > 0, F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    run = F.aggregate("all", F.array().cast("array<bigint>"), lambda held, e: F.array_union(held, cells(e["first"], e["last"])))  # a cell is held once, however many edges touch it
+    return rows.select("polygon_id", "cy", run.alias("run"), F.flatten(F.transform(pairs, between)).alias("filled"), "edges").select("polygon_id", "cy", "run", F.array_except("filled", "run").alias("inner"), "edges")
 
 
 FEW_EDGES = 6  # of a row of cells: up to so many are tested in the join itself
@@ -60,26 +62,28 @@ def in_polygons(points: DataFrame, polygons: DataFrame, size: float = 0.25) -> D
     these edges along as columns, so that pairs are tested where they meet and never shuffled; where a row has more than
     FEW_EDGES, pairs fetch them. Nothing is compared but within a cell; `size` should be a small part of a polygon. Null
     places are in none.
+
+    Spark takes covers to be as small as the polygons, as it does not know how many cells come of one; so the joins are
+    told to sort and merge, else it broadcasts all cells through the driver. A cell's points are held at a time.
     """
     parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    polygons = polygons.repartition(parts, "polygon_id")  # covers are made where the polygon is
+    covered = lambda p: cover(p.repartition(parts, "polygon_id"), size).withColumnsRenamed({"cy": "__cy", "edges": "__edges"})  # noqa: E731 made where the polygon is
     lat, lon, here = F.col("latitude"), F.col("longitude"), ["__cy", "__cx"]
     keyed = points.where(lat.isNotNull() & lon.isNotNull()).withColumns({"__cy": F.floor(lat / size), "__cx": F.floor(lon / size)})
-    slabs = _rows(edges(polygons).where("yi <> yj"), size).groupBy("polygon_id", F.col("cy").alias("__cy")).agg(F.collect_list(F.struct(*EDGE)).alias("__edges"))
-    cells = cover(polygons, size).withColumnsRenamed({"cy": "__cy", "cx": "__cx"})
-    inner, run = cells.where("NOT edge").drop("edge"), cells.where("edge").drop("edge")
     brought, few = {}, F.lit(False)
     for k in range(FEW_EDGES):  # one that is not there crosses nothing
         e, yi, yj, xi, dx, dy = F.get("__edges", F.lit(k)), f"__yi{k}", f"__yj{k}", f"__xi{k}", f"__dx{k}", f"__dy{k}"
         values = {yi: (e["yi"], 0.0), yj: (e["yj"], 0.0), xi: (e["xi"], 0.0), dx: (e["xj"] - e["xi"], 0.0), dy: (e["yj"] - e["yi"], 1.0)}
         brought |= {name: F.coalesce(value, F.lit(none)) for name, (value, none) in values.items()}
         few = few != (((F.col(yi) > lat) != (F.col(yj) > lat)) & (lon < F.col(dx) * (lat - F.col(yi)) / F.col(dy) + F.col(xi)))
-    light = run.join(slabs.where(F.size("__edges") <= FEW_EDGES), ["polygon_id", "__cy"]).select("polygon_id", *here, *(v.alias(n) for n, v in brought.items()))
+    rows, many = covered(polygons), covered(polygons.where(F.size("vertices") > FEW_EDGES)).where(F.size("__edges") > FEW_EDGES)
+    inner = rows.select("polygon_id", "__cy", F.explode("inner").alias("__cx"))
+    light = rows.where(F.size("__edges").between(1, FEW_EDGES)).select("polygon_id", "__cy", "run", *(v.alias(n) for n, v in brought.items())).withColumn("__cx", F.explode("run")).drop("run")
     odd = F.aggregate("__edges", F.lit(False), lambda s, e: s != crosses(lat, lon, e))
     columns = [*points.columns, "polygon_id"]
-    many = slabs.where(F.size("__edges") > FEW_EDGES)
-    tested = keyed.join(run.join(many.select("polygon_id", "__cy"), ["polygon_id", "__cy"]), here).join(many, ["polygon_id", "__cy"]).where(odd)
-    return keyed.join(inner, here).select(*columns).unionByName(keyed.join(light, here).where(few).select(*columns)).unionByName(tested.select(*columns))
+    meet = lambda cells: cells.hint("merge").join(keyed, here)
+    tested = meet(many.select("polygon_id", "__cy", F.explode("run").alias("__cx"))).hint("merge").join(many.select("polygon_id", "__cy", "__edges"), ["polygon_id", "__cy"]).where(odd)
+    return meet(inner).select(*columns).unionByName(meet(light).where(few).select(*columns)).unionByName(tested.select(*columns))
 
 
 BITS = 16  # of each coordinate in a key
